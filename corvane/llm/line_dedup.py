@@ -190,7 +190,7 @@ def _compatible(size, pos, parity, i, j, similarity: float) -> np.ndarray:
     need = np.ceil(np.round(similarity / (1 + similarity) * total, 9)).astype(np.int64)
     left = np.minimum(size[i] - pos[i], size[j] - pos[j])  # words from the shared one on
     ok = (size[j] >= np.round(similarity * size[i], 9)) & (left >= need - np.minimum(pos[i], pos[j]))
-    ok[ok] &= np.bitwise_count(parity[i[ok]] ^ parity[j[ok]]) <= (total - 2 * need)[ok]
+    ok[ok] &= np.bitwise_count((parity[i[ok]] ^ parity[j[ok]]).view(np.uint64)) <= (total - 2 * need)[ok]
     return ok
 
 
@@ -239,7 +239,7 @@ def bucket_candidates(rows: DataFrame, similarity: float, every: bool) -> DataFr
                     if use.any():
                         yield pairs(x, a[use], b[use], np.zeros(int(use.sum()), bool))
                 else:
-                    gap = np.bitwise_count(x["parity"][a] ^ x["parity"][b]).astype(np.int64)
+                    gap = np.bitwise_count((x["parity"][a] ^ x["parity"][b]).view(np.uint64)).astype(np.int64)
                     more[b] |= best[b] >= 0
                     closer = gap < least[b]
                     # b may occur twice in a step (once as the smaller, once as the larger row): the last one wins, the other counts as more.
