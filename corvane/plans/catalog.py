@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from corvane.plans import page_queries, store_queries
+from corvane.plans import corpus_queries, page_queries, store_queries
 from corvane.plans.base import Query
 
-_PARTS = (page_queries.catalog, store_queries.catalog)
+_PARTS = (page_queries.catalog, store_queries.catalog, corpus_queries.catalog)
 
 
 def queries() -> dict[str, Query]:
