@@ -7,6 +7,7 @@ import ipaddress
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from corvane.functions.text import bytes_of, contains_any, is_blank, lines, non_blank_lines, trim_space
 
@@ -148,7 +149,7 @@ def private_ipv4(host: Column) -> Column:
     return F.when(literal, private)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def private_address(host: pd.Series) -> pd.Series:
     """As private_ipv4, for IPv6 literals too (with or without brackets); null for names."""
 

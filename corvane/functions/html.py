@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from corvane.functions.text import collapse_space, trim_space
 from corvane.functions.urls import title_from_url
@@ -131,7 +132,7 @@ def metadata_mode(x: Column) -> Column:
     return F.when(F.size(found) == 0, F.lit(NO_METADATA)).otherwise(F.array_join(F.transform(found, lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "\n"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def pretty_json(x: pd.Series) -> pd.Series:
     """Two-space JSON with sorted keys; what isn't JSON is unchanged."""
 

@@ -7,6 +7,7 @@ import gzip
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
 EXPORTED = ("domain", "strategy", "avg_latency_ms", "success_rate", "total_requests")
 _ENTRY = "domain string, strategy string, avg_latency_ms bigint, success_rate double, total_requests int"
@@ -24,8 +25,9 @@ def export_text(stats: DataFrame) -> DataFrame:
     return stats.agg(F.to_json(rows, {"pretty": "true"}).alias("json"))
 
 
-def read_entries(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(_ENTRY).option("multiLine", True).json(path)
+def read_entries(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Entries of a JSON array, or of one object a line as export_json writes them."""
+    return spark.read.schema(_ENTRY).option("multiLine", not lines).json(path)
 
 
 def as_outcomes(entries: DataFrame, ts: Column) -> DataFrame:
@@ -57,11 +59,11 @@ def load_store(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return rows.where(F.col("version") == newest).drop("version")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def gzip_bytes(x: pd.Series) -> pd.Series:
     return x.map(lambda s: None if s is None else gzip.compress(s.encode(), mtime=0))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def gunzip_text(x: pd.Series) -> pd.Series:
     return x.map(lambda b: None if b is None else gzip.decompress(bytes(b)).decode())

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane import ship
 from corvane.operators.routes import STRATEGIES
 
 #: The instant that stands for "now" in queries.
@@ -41,6 +42,7 @@ FROM documents WHERE text IS NOT NULL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
