@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import gc
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvane import ship
+
 #: Bytes of text that one step of a Python operator holds in numpy arrays at a time.
 STEP_BYTES = 4 << 20
 #: Used only if the session names no shared folder.
@@ -37,6 +41,7 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark = spark
         self.base = f"{shared_dir(spark)}/corvane-{name}-{uuid.uuid4().hex[:12]}"
         atexit.register(self._remove, "")
@@ -51,6 +56,16 @@ class Workspace:
     def read(self, table: str, schema: T.StructType) -> DataFrame:
         return self.spark.read.schema(schema).parquet(self.path(table))
 
+    def release(self) -> None:
+        """Lets Spark's cleaner remove the shuffle files of finished steps, whose results are written tables by now.
+
+        The last plan becomes unreachable only after the first collection, hence the second.
+        """
+        for _ in range(2):
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.5)
+
     def drop(self, *tables: str) -> None:
         for table in tables:
             self._remove(f"/{table}")
@@ -64,6 +79,17 @@ class Workspace:
             pass
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until no column of df has it (by any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 bytes of each text; null is empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
@@ -83,6 +109,7 @@ def steps(sizes: list[int], limit: int = STEP_BYTES) -> Iterator[tuple[int, int]
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | T.StructType) -> DataFrame:
     """mapInArrow with a function of one batch."""
+    ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

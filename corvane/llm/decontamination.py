@@ -29,13 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import PLAIN_WORDS, map_batches, sequential_segments, steps, text_bytes, word_stream
+from corvane.llm.common import PLAIN_WORDS, free_names, map_batches, sequential_segments, steps, text_bytes, word_stream
 
 WINDOW = 10
 #: Test strings of one searcher: with 10 words of 40 bytes each, below 64 MB.
 MAX_WINDOWS = 100_000
 #: Positions that one cursor scans.
 STRETCH = 512
+#: Column that find_overlap adds.
+HITS = "_hits"
 
 
 def plain_words(text: str | None) -> list[str]:
@@ -159,17 +161,11 @@ def item_blocks(benchmark: DataFrame, window: int, max_windows: int) -> list[lis
     return blocks
 
 
-#: Columns that find_overlap adds.
-HITS = "_hits"
-
-
-def find_overlap(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """docs with a struct ``_hits``: n_words, spans (word intervals, joined), items (item_ids as sorted strings)."""
+def find_overlap(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS, name: str = HITS) -> DataFrame:
+    """docs with a struct of that name: n_words, spans (word intervals, joined), items (item_ids as sorted strings)."""
     spark = docs.sparkSession
     kind = T._parse_datatype_string("struct<n_words: long, spans: array<struct<first: long, last: long>>, items: array<string>>")
-    if HITS in docs.columns:
-        raise ValueError(f"documents may not have a column {HITS}")
-    schema = T.StructType([*docs.schema.fields, T.StructField(HITS, kind)])
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, kind)])
     arrow = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), ("items", pa.list_(pa.string()))])
     out, blocks = docs, item_blocks(benchmark, window, max_windows) or [[]]
     for k, block in enumerate(blocks):
@@ -177,7 +173,7 @@ def find_overlap(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, ma
 
         def search(batch: pa.RecordBatch, searcher=searcher, k=k) -> pa.RecordBatch:
             texts = text_bytes(batch.column("text"))
-            old = batch.column(HITS).to_pylist() if k else None
+            old = batch.column(batch.num_columns - 1).to_pylist() if k else None
             found = []
             for a, b in steps([len(x) for x in texts]):
                 flat, offsets = word_stream([x.translate(PLAIN_WORDS) for x in texts[a:b]])
@@ -229,7 +225,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """The documents in which no window of the benchmark occurs, with all their columns."""
-    return find_overlap(docs, benchmark, window, max_windows).where(F.size(F.col(f"{HITS}.items")) == 0).drop(HITS)
+    [name] = free_names(docs, HITS)
+    return find_overlap(docs, benchmark, window, max_windows, name).where(F.size(F.col(name)["items"]) == 0).drop(name)
 
 
 def digest(items: list[str]) -> str:

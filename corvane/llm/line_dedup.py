@@ -3,17 +3,17 @@
 A line is the set of its words (A-Z lower-cased, split at ASCII white space).
 Lines of equal sets are one class; a class matches another if the Jaccard
 similarity of their sets is at least ``SIMILARITY``.  A line is removed if an
-earlier line (by doc_id, then line number) has the same set or a matching one, so
+earlier line (by doc_id, then line number, then class) has the same set or a matching one, so
 of each matching pair the later line goes.  Lines without a word always stay.
 
 Exactness and bounds:
 
 * Words are ordered by rarity: a fixed-size table of counts over all documents
-  (2^20 counters, broadcast) gives each word's place, ties by the word's hash.
+  (2^22 one-byte counters, broadcast) gives each word's place, ties by the word's hash.
 * Prefix filter: matching sets share a word in their |x| - ceil(t |x|) + 1 rarest;
   only those are shuffled.  A word whose counter is 1 can't be shared.
 * Within a word's bucket rows are ordered by size and compared in arrays: length
-  filter, positional filter, and a 64-bit parity map of the words, whose
+  filter, positional filter, and a 128-bit parity map of the words, whose
   differing bits never exceed the sets' symmetric difference.
 * First round: for each row of a bucket only its closest earlier candidate is
   emitted, so rows out are linear in rows in even in a large group of near copies.
@@ -41,12 +41,11 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from corvane.llm.common import Workspace, map_batches, sequential_segments, steps, text_bytes, word_stream
+from corvane.llm.common import Workspace, free_names, map_batches, sequential_segments, steps, text_bytes, word_stream
 
 SIMILARITY = 0.8
-COUNTER_BITS, BLOOM_BITS = 20, 24
+COUNTER_BITS, BLOOM_BITS = 22, 24
 #: Rows of a bucket that are compared at a time.
 BLOCK = 1 << 15
 
@@ -57,12 +56,34 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def _spread(x: np.ndarray) -> np.ndarray:
+    """A fixed random-looking 64-bit number for each number."""
+    with np.errstate(over="ignore"):
+        x = (x + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+_BYTE = _spread(np.arange(256, 512, dtype=np.uint64))
+
+
 def word_hashes(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """XXH64 of every word of the lines, and the lines' offsets."""
+    """A 64-bit multilinear hash of every word of the lines, and the lines' offsets.
+
+    The sum of byte value times place value, each from a table of fixed random
+    numbers, mixed at the end; computed for all words at once.
+    """
     flat, offsets = word_stream([x.lower() for x in lines])
-    coded = flat.dictionary_encode()
-    unique = np.fromiter((xxhash.xxh64_intdigest(x) for x in coded.dictionary.cast(pa.large_binary()).to_pylist()), np.uint64, len(coded.dictionary))
-    return unique[coded.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.zeros(0, np.uint64), offsets
+    if not len(flat):
+        return np.zeros(0, np.uint64), offsets
+    ends = np.frombuffer(flat.buffers()[1], np.int64, len(flat) + 1, flat.offset * 8)
+    data = np.frombuffer(flat.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+    start = ends[:-1] - ends[0]
+    length = np.diff(ends)
+    place = np.arange(len(data), dtype=np.int64) - np.repeat(start, length)
+    values = _BYTE[data] * _spread(np.arange(int(length.max()), dtype=np.uint64))[place]
+    return _spread(np.add.reduceat(values, start) + length.astype(np.uint64)), offsets
 
 
 def document_lines(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -79,15 +100,23 @@ class LineSets:
         h, offsets = word_hashes(lines)
         line = np.repeat(np.arange(len(lines)), np.diff(offsets))
         rank = counters[h >> np.uint64(64 - COUNTER_BITS)] if counters is not None else np.zeros(len(h), np.uint8)
-        order = np.lexsort((h, rank, line))
+        # One key of line, rank and the hash's first bits; the rare tie of different words is settled by a full sort.
+        spare = np.uint64(56 - max(1, int(len(lines)).bit_length()))
+        key = line.astype(np.uint64) << np.uint64(8 + int(spare)) | rank.astype(np.uint64) << spare | h >> (np.uint64(64) - spare)
+        order = np.argsort(key)
+        sorted_key, sorted_h = key[order], h[order]
+        if ((sorted_key[1:] == sorted_key[:-1]) & (sorted_h[1:] != sorted_h[:-1])).any():
+            order = np.lexsort((h, rank, line))
         h, line, rank = h[order], line[order], rank[order]
         first = np.ones(len(h), bool)
         first[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
         self.words, line, self.rank = h[first], line[first], rank[first]
         self.line, self.start, self.size = np.unique(line, return_index=True, return_counts=True)
         self.ids = np.add.reduceat(_mix(self.words), self.start).view(np.int64) if len(self.words) else np.zeros(0, np.int64)
-        bits = np.uint64(1) << (_mix(self.words + np.uint64(1)) >> np.uint64(58))
-        self.parity = np.bitwise_xor.reduceat(bits, self.start).view(np.int64) if len(self.words) else np.zeros(0, np.int64)
+        place = _mix(self.words + np.uint64(1)) >> np.uint64(57)
+        bits = np.uint64(1) << (place & np.uint64(63))
+        #: Two halves of a 128-bit map.
+        self.parity = [np.bitwise_xor.reduceat(np.where(place >> np.uint64(6) == k, bits, np.uint64(0)), self.start).view(np.int64) if len(self.words) else np.zeros(0, np.int64) for k in (0, 1)]
 
 
 def word_counters(docs: DataFrame) -> np.ndarray:
@@ -116,7 +145,7 @@ def prefix_length(size: np.ndarray | int, similarity: float):
     return size - np.ceil(np.round(similarity * size, 9)).astype(np.int64) + 1 if isinstance(size, np.ndarray) else size - math.ceil(round(similarity * size, 9)) + 1
 
 
-LINE_SCHEMA = "id long, doc_id long, text_key long, line int, size int, parity long, prefix array<long>"
+LINE_SCHEMA = "id long, doc_id long, text_key long, line int, size int, map_a long, map_b long, prefix array<long>"
 
 
 def line_table(docs: DataFrame, counters, similarity: float = SIMILARITY) -> DataFrame:
@@ -134,7 +163,7 @@ def line_table(docs: DataFrame, counters, similarity: float = SIMILARITY) -> Dat
             words = pa.array(sets.words[at].view(np.int64), mask=sets.rank[at] == 0)
             offsets = np.concatenate(([0], np.cumsum(prefix))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(sets.ids), batch.column(0).take(pa.array(own + a)), pa.array(keys[own]), pa.array(number[sets.line].astype(np.int32)), pa.array(sets.size.astype(np.int32)), pa.array(sets.parity), pa.ListArray.from_arrays(pa.array(offsets), words)],
+                [pa.array(sets.ids), batch.column(0).take(pa.array(own + a)), pa.array(keys[own]), pa.array(number[sets.line].astype(np.int32)), pa.array(sets.size.astype(np.int32)), *map(pa.array, sets.parity), pa.ListArray.from_arrays(pa.array(offsets), words)],
                 names=[x.split()[0] for x in LINE_SCHEMA.split(", ")],
             )
 
@@ -184,31 +213,40 @@ def hash_longs(values: np.ndarray) -> np.ndarray:
 PAIR_SCHEMA = "a long, a_doc long, b long, b_doc long, more boolean"
 
 
-def _compatible(size, pos, parity, i, j, similarity: float) -> np.ndarray:
+def _distance(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Differing bits of the rows' parity maps: at most the size of the symmetric difference."""
+    # Unsigned: the count of a negative number's bits would be that of its absolute value.
+    return sum(np.bitwise_count((x[n][i] ^ x[n][j]).view(np.uint64)).astype(np.int64) for n in ("map_a", "map_b"))
+
+
+def _compatible(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
     """Of rows i and j of one bucket (j before i in size order), which may match."""
+    size, pos = x["size"], x["pos"]
     total = size[i] + size[j]
     need = np.ceil(np.round(similarity / (1 + similarity) * total, 9)).astype(np.int64)
     left = np.minimum(size[i] - pos[i], size[j] - pos[j])  # words from the shared one on
     ok = (size[j] >= np.round(similarity * size[i], 9)) & (left >= need - np.minimum(pos[i], pos[j]))
-    ok[ok] &= np.bitwise_count((parity[i[ok]] ^ parity[j[ok]]).view(np.uint64)) <= (total - 2 * need)[ok]
+    ok[ok] &= _distance(x, i[ok], j[ok]) <= (total - 2 * need)[ok]
     return ok
 
 
 def bucket_candidates(rows: DataFrame, similarity: float, every: bool) -> DataFrame:
     """Pairs (a earlier, b later) of classes that share a prefix word and pass the filters.
 
-    rows: word, size, pos, parity, id, doc_id, text_key, line, open; dealt out by word
-    and sorted by (word, size).  every: all pairs with an open b, else for each row its closest earlier candidate.
+    rows: word, place (size and position in one number), map_a, map_b, id, doc_id,
+    line, and open if not every row is; dealt out by word and sorted by (word, place).  every: all pairs with an open b, else for each row its closest earlier candidate.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] | None = None
-        names = ["word", "size", "pos", "parity", "id", "doc_id", "text_key", "line", "open", "known"]
+        names = ["word", "map_a", "map_b", "id", "doc_id", "line", "size", "pos", "open", "known"]
         for batch in batches:
             for first in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(first, BLOCK)
-                own = {n: pc.fill_null(part.column(n), 0).to_numpy(zero_copy_only=False).astype(np.int64) for n in names[:8]}
-                own["open"] = part.column("open").to_numpy(zero_copy_only=False).astype(bool)
+                own = {n: pc.fill_null(part.column(n), 0).to_numpy(zero_copy_only=False).astype(np.int64) for n in names[:6]}
+                place = part.column("place").to_numpy(zero_copy_only=False)
+                own["size"], own["pos"] = place >> 32, place & 0xFFFFFFFF
+                own["open"] = part.column("open").to_numpy(zero_copy_only=False).astype(bool) if every else np.ones(part.num_rows, bool)
                 own["known"] = pc.is_valid(part.column("doc_id")).to_numpy(zero_copy_only=False)
                 new = len(own["word"])
                 # Of earlier blocks only rows of this word whose size is still near enough are carried over.
@@ -229,7 +267,7 @@ def bucket_candidates(rows: DataFrame, similarity: float, every: bool) -> DataFr
             j = i - d
             same = (j >= 0) & (x["word"][j] == x["word"][i]) & (x["size"][j] >= np.floor(similarity * x["size"][i]))
             i, j = i[same], j[same]
-            ok = _compatible(x["size"], x["pos"], x["parity"], i, j, similarity)
+            ok = _compatible(x, i, j, similarity)
             p, q = i[ok], j[ok]
             if len(p):
                 before = _earlier(x, q, p)
@@ -239,7 +277,7 @@ def bucket_candidates(rows: DataFrame, similarity: float, every: bool) -> DataFr
                     if use.any():
                         yield pairs(x, a[use], b[use], np.zeros(int(use.sum()), bool))
                 else:
-                    gap = np.bitwise_count((x["parity"][a] ^ x["parity"][b]).view(np.uint64)).astype(np.int64)
+                    gap = _distance(x, a, b)
                     more[b] |= best[b] >= 0
                     closer = gap < least[b]
                     # b may occur twice in a step (once as the smaller, once as the larger row): the last one wins, the other counts as more.
@@ -256,7 +294,7 @@ def bucket_candidates(rows: DataFrame, similarity: float, every: bool) -> DataFr
         """Whether row q's class comes before row p's."""
         out = np.zeros(len(q), bool)
         tie = np.ones(len(q), bool)
-        for n, sign in (("known", -1), ("doc_id", 1), ("text_key", 1), ("line", 1), ("id", 1)):
+        for n, sign in (("known", -1), ("doc_id", 1), ("line", 1), ("id", 1)):
             u, v = x[n][q].astype(np.int64), x[n][p].astype(np.int64)
             u, v = (u, v) if sign > 0 else (v, u)
             out |= tie & (u < v)
@@ -267,7 +305,7 @@ def bucket_candidates(rows: DataFrame, similarity: float, every: bool) -> DataFr
         doc = lambda k: pa.array(x["doc_id"][k], mask=~x["known"][k])
         return pa.RecordBatch.from_arrays([pa.array(x["id"][a]), doc(a), pa.array(x["id"][b]), doc(b), pa.array(more)], names=["a", "a_doc", "b", "b_doc", "more"])
 
-    dealt = rows.repartition("word").sortWithinPartitions("word", "size")
+    dealt = rows.repartition("word").sortWithinPartitions("word", "place")
     return dealt.mapInArrow(run, PAIR_SCHEMA)
 
 
@@ -306,12 +344,18 @@ def matched_lines(docs: DataFrame, similarity: float = SIMILARITY, work: Workspa
     work = work or Workspace(docs.sparkSession, "line-dedup")
     counters = docs.sparkSession.sparkContext.broadcast(word_counters(docs))
     lines = work.write(line_table(docs, counters, similarity), "lines", "lz4")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "line")
-    classes = lines.groupBy("id").agg(F.min(order).alias("first"), F.first("size").alias("size"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"))
-    classes = work.write(classes.select("id", "first.doc_id", "first.text_key", "first.line", "size", "parity", "prefix"), "classes", "lz4")
-    exploded = classes.select("id", "doc_id", "text_key", "line", "size", "parity", F.posexplode("prefix").alias("pos", "word")).where("word is not null")
-    first = work.write(bucket_candidates(exploded.withColumn("open", F.lit(True)), similarity, False), "pairs", "lz4")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line", "text_key")
+    classes = lines.groupBy("id").agg(F.min(order).alias("first"), *[F.first(c).alias(c) for c in ("size", "map_a", "map_b", "prefix")])
+    classes = work.write(classes.select("id", "first.doc_id", "first.text_key", "first.line", "size", "map_a", "map_b", "prefix"), "classes", "lz4")
+    lines = work.write(lines.select("id", "doc_id", "text_key", "line"), "places", "lz4")
+    work.drop("lines")
+    work.release()
+    place = F.shiftleft(F.col("size").cast("long"), 32) + F.col("pos")
+    exploded = classes.select("id", "doc_id", "line", "size", "map_a", "map_b", F.posexplode("prefix").alias("pos", "word")).where("word is not null").withColumn("place", place).drop("size", "pos")
+    first = work.write(bucket_candidates(exploded, similarity, False), "pairs", "lz4")
+    work.release()
     close = work.write(verified(first, docs, similarity), "close", "lz4")
+    work.release()
     gone = close.select(F.col("b").alias("id")).distinct()
     undecided = first.where("more").select(F.col("b").alias("id")).distinct().join(gone, "id", "left_anti")
     undecided = work.write(undecided, "undecided", "lz4")
@@ -327,7 +371,7 @@ def matched_lines(docs: DataFrame, similarity: float = SIMILARITY, work: Workspa
         gone = work.write(gone.unionByName(verified(again, docs, similarity).select(F.col("b").alias("id"))).distinct(), "gone", "lz4")
     verdict = classes.select("id", F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), F.col("line").alias("_line")).join(gone.withColumn("_gone", F.lit(True)), "id", "left")
     own = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_key") == F.col("_key")) & (F.col("line") == F.col("_line"))
-    judged = lines.drop("prefix", "parity").join(verdict, "id").withColumn("removed", F.col("_gone").isNotNull() | ~own)
+    judged = lines.join(verdict, "id").withColumn("removed", F.col("_gone").isNotNull() | ~own)
     return work.write(judged.select("id", "doc_id", "text_key", "line", "removed"), "judged", "lz4")
 
 
@@ -337,28 +381,17 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, work: Workspace
     counts: only doc_id, text, n_lines (lines with a word), n_removed and removed_lines (their numbers from 0).
     """
     judged = matched_lines(docs, similarity, work)
-    taken = judged.where("removed").groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("line")).alias("_removed"))
-    taken = taken.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), "_removed")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text") if counts else docs
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_key"))
-    joined = base.join(taken, same, "left")
-    kept_columns = [c for c in base.columns]
-    extra = T.StructType([T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed_lines", T.ArrayType(T.IntegerType()))]) if counts else T.StructType([])
-    schema = T.StructType([*base.schema.fields, *extra.fields])
-
-    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, numbers, at = [], [], batch.schema.get_field_index("text")
-        for text, gone in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-            lines = None if text is None else text.split("\n")
-            numbers.append((sum(1 for x in lines or () if x.encode().split()), len(gone or ()), gone or []) if counts else None)
-            if gone:
-                drop = set(gone)
-                lines = [x for k, x in enumerate(lines) if k not in drop]
-            texts.append(None if lines is None else "\n".join(lines))
-        columns = [batch.column(i) for i in range(len(kept_columns))]
-        columns[at] = pa.array(texts, pa.string())
-        if counts:
-            columns += [pa.array(list(c), k) for c, k in zip(zip(*numbers, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.int32())), strict=True)]
-        return pa.RecordBatch.from_arrays(columns, names=schema.names)
-
-    return map_batches(joined.select(*[base[c] for c in kept_columns], "_removed"), cut, schema)
+    doc, key, number, gone = free_names(base, "_doc", "_key", "_lines", "_gone")
+    removed = F.array_sort(F.collect_set(F.when(F.col("removed"), F.col("line")))).alias(gone)
+    taken = judged.groupBy("doc_id", "text_key").agg(F.countDistinct("line").alias(number), removed)
+    taken = taken.select(F.col("doc_id").alias(doc), F.col("text_key").alias(key), number, gone)
+    same = base["doc_id"].cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(base["text"]) == F.col(key))
+    joined = base.join(taken if counts else taken.where(F.size(gone) > 0), same, "left")
+    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains(F.col(gone), i)), "\n")
+    text = F.when(F.size(gone) > 0, kept).otherwise(F.col("text")).alias("text")
+    columns = [text if c == "text" else base[c] for c in base.columns]
+    if counts:
+        found = F.coalesce(gone, F.array().cast("array<int>"))
+        columns += [F.coalesce(number, F.lit(0)).cast("long").alias("n_lines"), F.size(found).cast("long").alias("n_removed"), found.alias("removed_lines")]
+    return joined.select(*columns)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane import ship
 from corvane.llm import chat, decontamination, licenses, line_dedup, packing, quality, sharding, simhash, token_files, warc
 from corvane.llm.common import Workspace
 from corvane.llm.encoders import vocabulary
@@ -15,6 +16,7 @@ BYTE_VOCABULARY, WORD_VOCABULARY = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

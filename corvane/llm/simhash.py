@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import Workspace, hex64, map_batches, text_bytes
+from corvane.llm.common import Workspace, free_names, hex64, map_batches, text_bytes
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Members of a bucket from which on it is dealt out again by the second masks.
@@ -175,13 +175,13 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
 def keep_first(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, work: Workspace | None = None) -> DataFrame:
     """One document of each component: that of the smallest doc_id (of rows that repeat it, one), with all its columns."""
     work = work or Workspace(docs.sparkSession, "simhash-keep")
-    fp = next(x for x in ("fp", *(f"_fp{i}" for i in range(len(docs.columns) + 1))) if x not in docs.columns)
+    fp, least, own = free_names(docs, "fp", "_id", "_own")
     marked = work.write(with_fingerprint(docs, fp, shingle), "documents")
     fps = marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(fp).alias("fp"))
     comp = _components_of(fps, work, radius)
     # A component's rows with its smallest doc_id may still have several fingerprints, where an id is repeated.
-    first = fps.join(comp, "fp").where(F.col("doc_id").eqNullSafe(F.col("least"))).groupBy("comp").agg(F.min("fp").alias("_own"), F.first("least").alias("_id"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col(fp) == F.col("_own"))
-    kept = marked.join(first, same).drop("_id")
+    first = fps.join(comp, "fp").where(F.col("doc_id").eqNullSafe(F.col("least"))).groupBy("comp").agg(F.min("fp").alias(own), F.first("least").alias(least))
+    same = marked["doc_id"].cast("long").eqNullSafe(F.col(least)) & (marked[fp] == F.col(own))
+    kept = marked.join(first.select(own, least), same).select(*[marked[c] for c in marked.columns])
     # Rows of one id and fingerprint only: the join has put them together.
     return kept.dropDuplicates(["doc_id", fp]).select(*docs.columns)

@@ -17,7 +17,7 @@ from corvane.llm.common import Workspace
 from corvane.llm.encoders import encoder, vocabulary
 
 BYTE, WORD = "byte_bpe_50k.json", "word_bpe_49k.json"
-SCHEMA = "doc_id long, text string, lang string, fp long, part int, line int, removed string"
+SCHEMA = "doc_id long, text string, lang string, fp long, _gone int, _id int, _hits string"
 
 
 def prose(rng, n, words=("the", "of", "rain", "was", "there", "a", "hill", "über", "château", "and", "stone", "bird", "sings", "low", "near", "every", "wall")):
@@ -486,11 +486,17 @@ def plain_removed(given, similarity=0.8):
         key = key - (1 << 64) if key >> 63 else key
         for k, line in enumerate((text or "").encode().split(b"\n")):
             if words := frozenset(line.lower().split()):
-                lines.append(((doc_id is None, doc_id or 0, key, k), words, (doc_id, text, k)))
-    lines.sort(key=lambda x: x[0])
+                lines.append(((doc_id is None, doc_id or 0, k), key, words, (doc_id, text, k)))
+    # A class is where its first line is; classes at the same place are told apart by their sets' own hashes.
+    classes = {}
+    for place, key, words, _ in lines:
+        classes[words] = min(classes.get(words, (place, key)), (place, key))
+    ids = {w: int(line_dedup.LineSets([b" ".join(w)], None).ids[0]) for w in classes}
     gone = defaultdict(set)
-    for i, (_, words, at) in enumerate(lines):
-        if any(len(words & w) >= similarity * len(words | w) - 1e-9 for _, w, _ in lines[:i]):
+    for place, key, words, at in lines:
+        first = classes[words]
+        near = (w for w in classes if w != words and len(words & w) >= similarity * len(words | w) - 1e-9)
+        if (place, key) != first or any((classes[w][0], ids[w]) < (first[0], ids[words]) for w in near):
             gone[at[:2]].add(at[2])
     return gone
 
