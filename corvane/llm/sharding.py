@@ -4,7 +4,8 @@ Equal texts stay together.  Groups of equal texts are ordered by a 64-bit hash o
 the text; neighbours in that order that share the hash's first 18 bits are one
 atom, so the driver sees at most 2^18 atom sizes whatever the corpus holds.  The
 smallest feasible capacity is found by binary search, each candidate checked by
-a greedy pass over the ordered atoms, and the atoms are cut there.  An atom larger
+a greedy pass over the ordered atoms, and the atoms are cut under it, as evenly
+as the check of the rest allows.  An atom larger
 than an even share (a large group of copies) can't be split; it comes first in the
 order and has a shard of its own, and the rest is divided among the other shards.
 
@@ -42,6 +43,26 @@ def greedy_cuts(prefix: np.ndarray, shards: int, capacity: int) -> list[int] | N
     return cuts
 
 
+def even_cuts(prefix: np.ndarray, shards: int, capacity: int) -> list[int]:
+    """Cuts under a feasible capacity, each as near to an even share of what is left as the greedy check of the rest allows."""
+    cuts, at, n = [], 0, len(prefix) - 1
+    for left in range(shards, 0, -1):
+        if at == n:
+            break
+        far = int(np.searchsorted(prefix, prefix[at] + capacity, side="right")) - 1
+        goal = prefix[at] + (prefix[n] - prefix[at]) / left
+        to = int(np.searchsorted(prefix, goal))
+        if to > at + 1 and goal - prefix[to - 1] < prefix[min(to, n)] - goal:
+            to -= 1
+        to = min(max(to, at + 1), far)
+        # The greedy cut always leaves a feasible rest.
+        if to < n and (left == 1 or greedy_cuts(prefix[to:], left - 1, capacity) is None):
+            to = far
+        cuts.append(to)
+        at = to
+    return cuts
+
+
 def minimax_cuts(sizes: np.ndarray, shards: int) -> tuple[int, list[int]]:
     """The smallest capacity for which a contiguous partition into ``shards`` exists, and its cuts."""
     prefix = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
@@ -55,7 +76,7 @@ def minimax_cuts(sizes: np.ndarray, shards: int) -> tuple[int, list[int]]:
             low = middle + 1
         else:
             high = middle
-    return low, greedy_cuts(prefix, shards, low)
+    return low, even_cuts(prefix, shards, low)
 
 
 def plan_shards(atoms: np.ndarray, sizes: np.ndarray, shards: int) -> tuple[dict[int, int], list[int]]:
