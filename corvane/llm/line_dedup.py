@@ -13,7 +13,7 @@ Exactness and bounds:
 * Prefix filter: matching sets share a word in their |x| - ceil(t |x|) + 1 rarest;
   only those are shuffled.  A word whose counter is 1 can't be shared.
 * Within a word's bucket rows are ordered by size and compared in arrays: length
-  filter, positional filter, and a 128-bit parity map of the words, whose
+  filter, positional filter, and a parity map of the words (128 bits, for large sets 256), whose
   differing bits never exceed the sets' symmetric difference.
 * First round: for each row of a bucket only its closest earlier candidate is
   emitted, so rows out are linear in rows in even in a large group of near copies.
@@ -46,6 +46,9 @@ from corvane.llm.common import Workspace, free_names, map_batches, sequential_se
 
 SIMILARITY = 0.8
 COUNTER_BITS, BLOOM_BITS = 22, 24
+#: Sets of more words have the wider parity map.
+LARGE = 96
+MAPS = ("map_a", "map_b", "map_c", "map_d")
 #: Rows of a bucket that are compared at a time.
 BLOCK = 1 << 15
 
@@ -115,8 +118,15 @@ class LineSets:
         self.ids = np.add.reduceat(_mix(self.words), self.start).view(np.int64) if len(self.words) else np.zeros(0, np.int64)
         place = _mix(self.words + np.uint64(1)) >> np.uint64(57)
         bits = np.uint64(1) << (place & np.uint64(63))
-        #: Two halves of a 128-bit map.
-        self.parity = [np.bitwise_xor.reduceat(np.where(place >> np.uint64(6) == k, bits, np.uint64(0)), self.start).view(np.int64) if len(self.words) else np.zeros(0, np.int64) for k in (0, 1)]
+        more = _mix(self.words + np.uint64(2)) >> np.uint64(63) == 1
+
+        def parity(chosen: np.ndarray) -> np.ndarray:
+            return np.bitwise_xor.reduceat(np.where(chosen, bits, np.uint64(0)), self.start).view(np.int64) if len(self.words) else np.zeros(0, np.int64)
+
+        #: Two halves of a 128-bit map; of sets over LARGE words also the second half of each half, which makes it 256 bits.
+        halves = [place >> np.uint64(6) == k for k in (0, 1)]
+        large = np.where(self.size > LARGE, np.int64(-1), np.int64(0))
+        self.parity = [*(parity(x) for x in halves), *(parity(x & more) & large for x in halves)]
 
 
 def word_counters(docs: DataFrame) -> np.ndarray:
@@ -145,7 +155,7 @@ def prefix_length(size: np.ndarray | int, similarity: float):
     return size - np.ceil(np.round(similarity * size, 9)).astype(np.int64) + 1 if isinstance(size, np.ndarray) else size - math.ceil(round(similarity * size, 9)) + 1
 
 
-LINE_SCHEMA = "id long, doc_id long, text_key long, line int, size int, map_a long, map_b long, prefix array<long>"
+LINE_SCHEMA = "id long, doc_id long, text_key long, line int, size int, map_a long, map_b long, map_c long, map_d long, prefix array<long>"
 
 
 def line_table(docs: DataFrame, counters, similarity: float = SIMILARITY) -> DataFrame:
@@ -216,7 +226,10 @@ PAIR_SCHEMA = "a long, a_doc long, b long, b_doc long, more boolean"
 def _distance(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Differing bits of the rows' parity maps: at most the size of the symmetric difference."""
     # Unsigned: the count of a negative number's bits would be that of its absolute value.
-    return sum(np.bitwise_count((x[n][i] ^ x[n][j]).view(np.uint64)).astype(np.int64) for n in ("map_a", "map_b"))
+    a, b, c, d = ((x[n][i] ^ x[n][j]).view(np.uint64) for n in ("map_a", "map_b", "map_c", "map_d"))
+    count = lambda *maps: sum(np.bitwise_count(m).astype(np.int64) for m in maps)
+    both_large = (x["size"][i] > LARGE) & (x["size"][j] > LARGE)
+    return np.where(both_large, count(a ^ c, c, b ^ d, d), count(a, b))
 
 
 def _compatible(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
@@ -233,17 +246,17 @@ def _compatible(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, similari
 def bucket_candidates(rows: DataFrame, similarity: float, every: bool) -> DataFrame:
     """Pairs (a earlier, b later) of classes that share a prefix word and pass the filters.
 
-    rows: word, place (size and position in one number), map_a, map_b, id, doc_id,
+    rows: word, place (size and position in one number), the maps, id, doc_id,
     line, and open if not every row is; dealt out by word and sorted by (word, place).  every: all pairs with an open b, else for each row its closest earlier candidate.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] | None = None
-        names = ["word", "map_a", "map_b", "id", "doc_id", "line", "size", "pos", "open", "known"]
+        names = ["word", "map_a", "map_b", "map_c", "map_d", "id", "doc_id", "line", "size", "pos", "open", "known"]
         for batch in batches:
             for first in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(first, BLOCK)
-                own = {n: pc.fill_null(part.column(n), 0).to_numpy(zero_copy_only=False).astype(np.int64) for n in names[:6]}
+                own = {n: pc.fill_null(part.column(n), 0).to_numpy(zero_copy_only=False).astype(np.int64) for n in names[:8]}
                 place = part.column("place").to_numpy(zero_copy_only=False)
                 own["size"], own["pos"] = place >> 32, place & 0xFFFFFFFF
                 own["open"] = part.column("open").to_numpy(zero_copy_only=False).astype(bool) if every else np.ones(part.num_rows, bool)
@@ -345,13 +358,13 @@ def matched_lines(docs: DataFrame, similarity: float = SIMILARITY, work: Workspa
     counters = docs.sparkSession.sparkContext.broadcast(word_counters(docs))
     lines = work.write(line_table(docs, counters, similarity), "lines", "lz4")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line", "text_key")
-    classes = lines.groupBy("id").agg(F.min(order).alias("first"), *[F.first(c).alias(c) for c in ("size", "map_a", "map_b", "prefix")])
-    classes = work.write(classes.select("id", "first.doc_id", "first.text_key", "first.line", "size", "map_a", "map_b", "prefix"), "classes", "lz4")
+    classes = lines.groupBy("id").agg(F.min(order).alias("first"), *[F.first(c).alias(c) for c in ("size", *MAPS, "prefix")])
+    classes = work.write(classes.select("id", "first.doc_id", "first.text_key", "first.line", "size", *MAPS, "prefix"), "classes", "lz4")
     lines = work.write(lines.select("id", "doc_id", "text_key", "line"), "places", "lz4")
     work.drop("lines")
     work.release()
     place = F.shiftleft(F.col("size").cast("long"), 32) + F.col("pos")
-    exploded = classes.select("id", "doc_id", "line", "size", "map_a", "map_b", F.posexplode("prefix").alias("pos", "word")).where("word is not null").withColumn("place", place).drop("size", "pos")
+    exploded = classes.select("id", "doc_id", "line", "size", *MAPS, F.posexplode("prefix").alias("pos", "word")).where("word is not null").withColumn("place", place).drop("size", "pos")
     first = work.write(bucket_candidates(exploded, similarity, False), "pairs", "lz4")
     work.release()
     close = work.write(verified(first, docs, similarity), "close", "lz4")

@@ -534,6 +534,21 @@ def test_line_dedup_of_many_near_copies(spark):
     assert got == {i: len(gone.get((i, t), ())) for i, t in given}
 
 
+def test_line_dedup_of_large_sets(spark):
+    rng = random.Random(22)
+    base, texts = [f"w{i}" for i in range(400)], []
+    for n in (90, 100, 120, 300, 380):
+        for _ in range(8):
+            words = base[:n]
+            for k in rng.sample(range(n), rng.randint(0, n // 6)):
+                words[k] = f"v{rng.randrange(900)}"
+            texts.append(" ".join(words))
+    given = list(enumerate(texts))
+    gone = plain_removed(given)
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(spark.createDataFrame(given, "doc_id long, text string"), counts=True).collect()}
+    assert got == {i: len(gone.get((i, t), ())) for i, t in given} and 5 < sum(got.values()) < 40
+
+
 def test_long_hash_equals_spark(spark):
     values = [0, 1, -1, 42, 2**62, -(2**63), 123456789]
     got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v long").selectExpr("xxhash64(v)").collect()]
