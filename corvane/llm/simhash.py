@@ -175,13 +175,19 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
 def keep_first(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, work: Workspace | None = None) -> DataFrame:
     """One document of each component: that of the smallest doc_id (of rows that repeat it, one), with all its columns."""
     work = work or Workspace(docs.sparkSession, "simhash-keep")
-    fp, least, own = free_names(docs, "fp", "_id", "_own")
+    (fp,) = free_names(docs, "fp")
     marked = work.write(with_fingerprint(docs, fp, shingle), "documents")
     fps = marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(fp).alias("fp"))
-    comp = _components_of(fps, work, radius)
+    return first_of(marked, fp, _components_of(fps, work, radius)).select(*docs.columns)
+
+
+def first_of(marked: DataFrame, fp: str, comp: DataFrame) -> DataFrame:
+    """One row of each component; marked: documents with their column fp (written), comp: (fp, comp, least) of all fp."""
+    least, own = free_names(marked, "_id", "_own")
+    fps = marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(fp).alias("fp"))
     # A component's rows with its smallest doc_id may still have several fingerprints, where an id is repeated.
     first = fps.join(comp, "fp").where(F.col("doc_id").eqNullSafe(F.col("least"))).groupBy("comp").agg(F.min("fp").alias(own), F.first("least").alias(least))
     same = marked["doc_id"].cast("long").eqNullSafe(F.col(least)) & (marked[fp] == F.col(own))
     kept = marked.join(first.select(own, least), same).select(*[marked[c] for c in marked.columns])
     # Rows of one id and fingerprint only: the join has put them together.
-    return kept.dropDuplicates(["doc_id", fp]).select(*docs.columns)
+    return kept.dropDuplicates(["doc_id", fp])

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from corvane.llm import chat, decontamination, licenses, line_dedup, packing, quality, sharding, simhash, token_files, warc
+from corvane.llm import chat, decontamination, licenses, line_dedup, near_copies, packing, quality, sharding, simhash, token_files, warc
 from corvane.llm.common import Workspace
 from corvane.llm.encoders import encoder, vocabulary
 
@@ -392,6 +392,74 @@ def test_links_of_dense_fingerprints(spark, monkeypatch, split):
     assert {frozenset(x) for x in found.values()} == {frozenset(x) for x in groups.values()}
 
 
+# --- near copies of the pipeline ---
+
+
+def five_word_shingles(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def plain_first(given, similarity=0.8):
+    """doc_ids that stay: the smallest of each component of distinct (doc_id, text) rows."""
+    sets = [five_word_shingles(t) for _, t in given]
+    root = list(range(len(given)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(given)), 2):
+        x, y = sets[i], sets[j]
+        if x == y or len(x & y) >= similarity * len(x | y) - 1e-9:
+            root[find(j)] = find(i)
+    groups = defaultdict(list)
+    for i, (doc_id, _) in enumerate(given):
+        groups[find(i)].append(doc_id)
+    return sorted((min((d for d in g if d is not None), default=None) for g in groups.values()), key=str)
+
+
+def planted_copies():
+    """Texts of invented words with copies at similarities about 0.7 to 0.95; (doc_id, text) rows."""
+    rng, out = random.Random(11), []
+    for base in range(40):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice((60, 200, 600)))]
+        out.append((base, " ".join(words)))
+        for k, share in enumerate((0.005, 0.01, 0.018, 0.022, 0.035)):
+            changed = list(words)
+            for i in rng.sample(range(len(words)), max(1, round(share * len(words)))):
+                changed[i] = f"x{rng.randrange(10**6)}"
+            out.append((1000 + 10 * base + k, "  ".join(changed).upper()))
+    return out
+
+
+def test_pipeline_takes_near_copies_from_similarity_on(spark, none):
+    import corpus_pipeline
+
+    given = planted_copies()
+    got = corpus_pipeline.simhash_near_dedup(spark, spark.createDataFrame(given, "doc_id long, text string").repartition(3), "")
+    assert sorted((r["doc_id"] for r in got.collect()), key=str) == plain_first(given)
+    close = sum(0.8 <= len(x & y) / len(x | y) < 0.95 for base in range(40) for x in [five_word_shingles(given[6 * base][1])] for y in [five_word_shingles(given[6 * base + k][1].lower()) for k in range(1, 6)])
+    assert close > 50
+    assert near_copies.keep_first(none).collect() == []
+
+
+def test_near_copies_of_odd_rows(spark, docs):
+    given = list({(r["doc_id"], r["text"]) for r in docs.collect()})
+    got = near_copies.keep_first(docs)
+    assert got.columns == docs.columns
+    assert sorted((r["doc_id"] for r in got.collect()), key=str) == plain_first(given)
+
+
+def test_chained_near_copies_are_one_component(spark):
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(words[: 100 + 4 * k]) for k in range(40)] + [" ".join(words[200 - 3 * k :]) for k in range(20)]
+    given = list(enumerate(texts))
+    got = near_copies.keep_first(spark.createDataFrame(given, "doc_id long, text string"))
+    assert sorted((r["doc_id"] for r in got.collect()), key=str) == plain_first(given)
+
+
 # --- decontamination ---
 
 
