@@ -5,7 +5,9 @@ notice is a string of words.  A notice that may have ``k`` edits is split into
 k + 1 pieces: an occurrence with at most k edits leaves one of them untouched
 (pigeonhole), so exact search for the pieces finds every candidate place.  There
 the regex library matches the notice with its bounded-error syntax and reports
-span and edits.  Three base phrases are searched exactly in the same strings.
+span and edits.  Three base phrases are searched exactly in the same strings, and
+as notices of few edits besides; a notice of another license that is as near as a
+misspelling (``UNLIKE``) is not reported as one.
 
 Defined cases: null and empty texts have no words, no labels and score 0; a
 notice counts wherever it begins and ends at word borders; overlapping candidates
@@ -47,7 +49,18 @@ NOTICES = (
     ("creative commons attribution license", "cc-by", 3),
     ("all rights reserved", "all-rights-reserved", 1),
     ("this is free and unencumbered software released into the public domain", "unlicense", 5),
+    ("under the mit license", "mit", 2),
+    ("apache license version 2", "apache-2", 2),
+    ("cc by nc", "cc-by-nc", 1),
+    ("licensed under cc by nc", "cc-by-nc", 2),
 )
+#: Words that make a near place of a wording something else: a pattern over the place (and the word after it, for version numbers).
+UNLIKE = {
+    "under the mit license": regex.compile(r"\b(?:mpl|ms)\b"),
+    "apache license version 2": regex.compile(r"(?<! 2) 1\b"),
+    "cc by nc": regex.compile(r"\bn[do]$"),
+    "licensed under cc by nc": regex.compile(r"\b(?:nd|no|sa)$"),
+}
 
 
 class Notice:
@@ -55,6 +68,7 @@ class Notice:
 
     def __init__(self, wording: str, label: str, edits: int):
         self.wording, self.label, self.edits = wording, label, edits
+        self.unlike = UNLIKE.get(wording)
         # k + 1 pieces of nearly equal length cover the wording.
         n = edits + 1
         cuts = [len(wording) * i // n for i in range(n + 1)]
@@ -86,6 +100,11 @@ class Notice:
             end = words.find(b" ", b)
             part = words[a : end if end >= 0 else len(words)].decode()
             for m in self.pattern.finditer(part):
+                if self.unlike and any(m.fuzzy_counts):
+                    place = part[m.start() : m.end()].strip()
+                    after = words[a + len(part[: m.end()].encode()) :][:16].split()[:1] if self.wording[-1].isdigit() else []
+                    if self.unlike.search(" ".join([place, *(x.decode(errors="ignore") for x in after)])):
+                        continue
                 first = words.count(b" ", 0, a) + part.count(" ", 0, m.start())
                 found.append((first, first + m.group().strip().count(" ") + 1, sum(m.fuzzy_counts)))
         return found

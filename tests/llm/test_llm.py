@@ -271,6 +271,22 @@ def test_licenses(spark, none):
     assert licenses.license_scan(none).collect() == []
 
 
+MISSPELT = {
+    "mit": ["Released under the MIT licence", "released undr the MIT license", "Released under the MlT Licence", "under teh MIT license"],
+    "apache-2": ["Apache Licence, Version 2.0", "the apach license version 2", "Apache Lisense Version 2", "apache license verson 2 0"],
+    "cc-by-nc": ["licensed under cc by-nx", "CC BYNC", "cc b-nc", "licenced under cc by-nx", "published as cc by mc"],
+}
+
+
+def test_misspelt_base_phrases(spark):
+    texts = [(label, x) for label, each in MISSPELT.items() for x in each] + [("", x) for x in ("CC BY-ND", "licensed under CC BY-SA", "licensed under cc by nd", "released under the MPL license", "Apache License, Version 1.1", "apache lisence version 1", "apache license")]
+    # Every single edit of each phrase's letters.
+    texts += [(label, "so " + phrase[:i] + edit + phrase[i + 1 :] + " it") for phrase, label in licenses.BASE_PHRASES.items() for i in range(1, len(phrase) - 1) if phrase[i] not in " 2" for edit in ("", "q", phrase[i] + "q")]
+    got = licenses.license_scan(spark.createDataFrame([(i, f"before {x} after") for i, (_, x) in enumerate(texts)], "doc_id long, text string")).collect()
+    assert {texts[r["doc_id"]]: r["labels"] for r in got} == {x: x[0] for x in texts}
+    assert all((r["score"] > 0) == (r["labels"] != "") for r in got)
+
+
 # --- quality ---
 
 
