@@ -4,7 +4,7 @@ The library spends most of its time on alignment and on words it has met before.
 Texts are therefore cut where the tokenizer itself always cuts, each distinct
 piece is encoded once by the library's model, and its ids are kept as packed
 bytes in a cache of bounded size.  Anything outside the plain alphabet that the
-cutting rules are proven for goes through the library's whole ``encode``.
+cutting rules are proven for goes through the library's whole ``encode``, and so does a text that holds the string of an added token.
 """
 
 from __future__ import annotations
@@ -103,7 +103,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        #: Strings that the library takes out of a text before it cuts it.
+        self.added = tuple(x.content for x in self.tokenizer.get_added_tokens_decoder().values() if x.content)
+        #: Those that it looks for in the normalized text are looked for in any case.
+        self._added_normal = re.compile("|".join(re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values() if x.content and x.normalized) or "(?!)", re.IGNORECASE)
+        self._any_normal = any(x.content and x.normalized for x in self.tokenizer.get_added_tokens_decoder().values())
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self._model = self.tokenizer.model
         said = str(self.tokenizer.pre_tokenizer)
@@ -126,10 +130,15 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
+    def _has_added(self, text: str) -> bool:
+        return any(x in text for x in self.added) or self._any_normal and bool(self._added_normal.search(text))
+
     def encode(self, text: str | None) -> bytes:
         """Equal to the packed ids of ``tokenizer.encode(text, add_special_tokens=False)``; null is empty."""
         if not text:
             return b""
+        if self._has_added(text):
+            return self._whole(text)
         if self.kind == "words":
             # White space only separates here and is never part of a piece.
             return b"".join(map(self._chunks.__getitem__, text.replace("\n", " ").split(" ")))

@@ -93,6 +93,20 @@ def test_encoder_equals_library():
             assert enc.encode(text) == enc._whole(text), repr(text)
 
 
+def test_encoder_takes_added_tokens_as_the_library_does():
+    from tokenizers import Tokenizer
+
+    for name in (BYTE, WORD):
+        path = vocabulary(name)
+        plain, enc = Tokenizer.from_file(path), encoder(path)
+        added = [x.content for x in plain.get_added_tokens_decoder().values()]
+        for token in added:
+            for text in (token, f"one {token} two", f"one{token}two", f"The end.{token}\n{token} Next", token.upper(), token[:-1]):
+                want = plain.encode(text, add_special_tokens=False).ids
+                assert np.frombuffer(enc.encode(text), enc.dtype).tolist() == want, text
+        assert added
+
+
 def test_encoder_cache_is_bounded(monkeypatch):
     from corvane.llm import encoders
 
