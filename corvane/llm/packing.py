@@ -82,8 +82,10 @@ class _Counts:
         """Two lengths of this sum that the counts allow beside the held ones; those used most often at once."""
         a = np.arange(1, total // 2 + 1)
         often = np.minimum(self.left[a], self.left[total - a])
-        for i in np.argsort(-often, kind="stable")[:4] if len(a) else ():
-            if often[i] and self.times((*held, int(a[i]), total - int(a[i]))):
+        for i in np.argsort(-often, kind="stable") if len(a) else ():
+            if not often[i]:
+                break
+            if self.times((*held, int(a[i]), total - int(a[i]))):
                 return int(a[i]), total - int(a[i])
         return None
 
@@ -95,8 +97,10 @@ class _Counts:
             return found
         thirds = np.flatnonzero(self.left[1 : gap - 1]) + 1 if gap > 2 else np.zeros(0, np.int64)
         thirds = thirds[self.pairs[gap - thirds]][::-1]
-        for c in thirds[:64].tolist():
-            if found := self.pair(gap - c, (*held, c)):
+        for i, c in enumerate(thirds.tolist()):
+            if i == 64:  # the sums are out of date: with new ones nearly every third has a pair
+                self._index_pairs()
+            if self.pairs[gap - c] and (found := self.pair(gap - c, (*held, c))):
                 return (c, *found)
         if len(thirds):
             self._index_pairs()

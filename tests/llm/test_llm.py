@@ -198,6 +198,16 @@ def test_pattern_plan(seed):
         assert bins <= math.ceil(total / capacity) * 1.01 + 1 or max(counts, key=counts.get) * 2 > capacity
 
 
+def test_exact_complements_behind_spent_lengths_are_found():
+    # Over 64 larger thirds whose pairs are spent, then one that has a pair left.
+    have = packing._Counts(dict.fromkeys([*range(450, 501), *range(2000, 2101), 700, 800, 1096, 1500], 1), 4096)
+    have.left[450:501] = 0
+    assert sorted(have.exact(3000, (1096,))) == [700, 800, 1500]
+    # Four pairs that the held lengths have used up, then one that is free.
+    have = packing._Counts({x: 1 for x in (10, 20, 30, 40, 45, 55, 60, 70, 80, 90)}, 4096)
+    assert have.pair(100, (10, 20, 30, 40)) == (45, 55)
+
+
 def test_exact_complements_are_consumed():
     assert packing.plan_patterns({6: 4, 4: 4}, 10) == [((6, 4), 4)]
     [(lengths, times)] = packing.plan_patterns({7: 1, 2: 1, 1: 1}, 10)
