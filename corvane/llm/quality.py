@@ -5,8 +5,8 @@ boilerplate by Viterbi decoding, and a document stays if the content lines hold
 at least ``CONTENT_SHARE`` of its word characters and no base rule fails.
 
 The field is trained here, on a bounded sample (at most ``TRAIN_DOCS`` labelled
-documents, those with the smallest hash of doc_id, of at most ``TRAIN_CHARS``
-characters, and their first ``TRAIN_LINES`` lines).  The table labels documents, not lines: a line of a document labelled
+documents, those with the smallest hash of doc_id among the ones of at most ``TRAIN_CHARS``
+characters, and ``TRAIN_LINES`` lines of each, spread evenly over the text; all three are parameters).  The table labels documents, not lines: a line of a document labelled
 good counts as content, a line of one labelled bad as boilerplate.  Nothing else
 is sampled: every line of every text is decoded.
 
@@ -180,21 +180,27 @@ class LineField:
         return LineField(emit, step)
 
 
-def train_field(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> LineField | None:
+def spread_lines(features: np.ndarray, most: int) -> np.ndarray:
+    """At most this many lines, spread evenly from the first to the last."""
+    return features if len(features) <= most else features[np.linspace(0, len(features) - 1, most).round().astype(np.int64)]
+
+
+def train_field(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS, train_lines: int = TRAIN_LINES) -> LineField | None:
     """The field from the bounded sample of labelled documents; None without both labels."""
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
+    short = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") <= train_chars)
+    known = known.join(short.select("doc_id"), "doc_id", "left_semi")
     half = train_docs // 2
     taken = [r for q in (0, 1) for r in known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(half).collect()]
     if len({r["quality"] for r in taken}) < 2:
         return None
     ids = docs.sparkSession.createDataFrame([(r["doc_id"], r["quality"]) for r in taken], "_id long, _quality int")
-    short = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") <= TRAIN_CHARS)
     # At most train_docs ids; the distinct keeps a repeated row from being collected over and over.
     rows = short.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).groupBy("doc_id").agg(F.min("text").alias("text"), F.first("_quality").alias("quality")).orderBy("doc_id").collect()
     sequences, gold = [], []
     for row in rows:
-        if lines := text_stats(row["text"])[1][:TRAIN_LINES]:
-            sequences.append(line_features(lines))
+        if lines := text_stats(row["text"])[1]:
+            sequences.append(spread_lines(line_features(lines), train_lines))
             gold.append(row["quality"])
     return LineField.train(sequences, gold) if len(set(gold)) == 2 else None
 
@@ -213,9 +219,9 @@ def judge_text(text: str | None, field: LineField | None) -> tuple[TextStats, bo
     return stats, not stats.base_failed and share >= CONTENT_SHARE, share, "".join(map(str, marks.tolist()))
 
 
-def quality_verdicts(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
+def quality_verdicts(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS, train_lines: int = TRAIN_LINES) -> DataFrame:
     """doc_id, the base counts, base_failed, kept, content_share and line_marks of every document."""
-    field = docs.sparkSession.sparkContext.broadcast(train_field(docs, labels, train_docs))
+    field = docs.sparkSession.sparkContext.broadcast(train_field(docs, labels, train_docs, train_chars, train_lines))
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share", "line_marks"]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -229,9 +235,9 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, schema)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS, train_lines: int = TRAIN_LINES) -> DataFrame:
     """The documents that stay, with all their columns."""
-    field = docs.sparkSession.sparkContext.broadcast(train_field(docs, labels, train_docs))
+    field = docs.sparkSession.sparkContext.broadcast(train_field(docs, labels, train_docs, train_chars, train_lines))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         return batch.filter(pa.array([judge_text(x, field.value)[1] for x in batch.column("text").to_pylist()]))

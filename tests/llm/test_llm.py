@@ -360,6 +360,19 @@ def test_quality_on_held_out_labels(spark):
     assert len(right) > 200 and sum(right) / len(right) > 0.95
 
 
+def test_training_takes_its_documents_within_the_bound_and_whole_texts(spark, monkeypatch):
+    # The first ids by hash are too long; the sample is filled from the others.
+    texts = {i: ("long line of words here\n" * 50 if i % 2 else "\n".join(f"line {k} of {i}" for k in range(30))) for i in range(80)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i // 2 % 2, 0) for i in range(80)], "doc_id long, quality int, toxic int")
+    taken = []
+    monkeypatch.setattr(quality.LineField, "train", staticmethod(lambda sequences, gold: taken.append((sequences, gold))))
+    quality.train_field(df, labels, train_docs=20, train_chars=600, train_lines=10)
+    sequences, gold = taken[0]
+    assert len(gold) == 20 and sum(gold) == 10 and {len(x) for x in sequences} == {10}
+    assert quality.spread_lines(np.arange(30), 4).tolist() == [0, 10, 19, 29] and quality.spread_lines(np.arange(3), 4).tolist() == [0, 1, 2]
+
+
 # --- simhash ---
 
 
