@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
-import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -19,16 +17,17 @@ from corvane import ship
 
 #: Bytes of text that one step of a Python operator holds in numpy arrays at a time.
 STEP_BYTES = 4 << 20
-#: Used only if the session names no shared folder.
-DEFAULT_SHARED = "file:///tmp/checkpoints/corvane"
+#: Spark's own switch: shuffle files go when the statement that made them has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or on a single machine the warehouse's where it is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
-        spark.sparkContext.setCheckpointDir(DEFAULT_SHARED)
-        at = DEFAULT_SHARED
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
+        at = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
     return at.rstrip("/")
 
 
@@ -50,22 +49,17 @@ class Workspace:
         return f"{self.base}/{table}"
 
     def write(self, df: DataFrame, table: str, codec: str = "zstd") -> DataFrame:
-        df.write.mode("overwrite").option("compression", codec).parquet(self.path(table))
+        before = self.spark.conf.get(CLEANUP)
+        self.spark.conf.set(CLEANUP, "true")  # what is read from now on is the table
+        try:
+            df.write.mode("overwrite").option("compression", codec).parquet(self.path(table))
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         return self.read(table, df.schema)
 
     def read(self, table: str, schema: T.StructType) -> DataFrame:
         return self.spark.read.schema(schema).parquet(self.path(table))
 
-    def release(self) -> None:
-        """Lets Spark's cleaner remove the shuffle files of finished steps, whose results are written tables by now.
-
-        The last plan becomes unreachable only after the first collection, hence the second.
-        """
-        for _ in range(2):
-            gc.collect()
-            self.spark._jvm.System.gc()
-            time.sleep(0.5)
-
     def drop(self, *tables: str) -> None:
         for table in tables:
             self._remove(f"/{table}")

@@ -10,30 +10,37 @@ Exactness and bounds:
 
 * Words are ordered by rarity: a fixed-size table of counts over all documents
   (2^22 one-byte counters, broadcast) gives each word's place, ties by the word's hash.
+* Lines of equal sets are folded where they are read and again by class, so a
+  line that is everywhere is one row a task; only a class's first line goes on.
 * Prefix filter: matching sets share a word in their |x| - ceil(t |x|) + 1 rarest;
   only those are shuffled.  A word whose counter is 1 can't be shared.
 * Within a word's bucket rows are ordered by size and compared in arrays: length
   filter, positional filter, and a parity map of the words (128 bits, for large sets 256), whose
   differing bits never exceed the sets' symmetric difference.
-* First round: for each row of a bucket only its closest earlier candidate is
-  emitted, so rows out are linear in rows in even in a large group of near copies.
-  Candidates are verified on the words themselves.  Second round: classes that
-  had further candidates and weren't verified are compared with all of them.
-* Words are looked up again only for lines that a fixed-size Bloom filter of
-  candidates lets through; the filter only saves work.
-
-Sets, words and classes are known by 64-bit hashes.
+* Rows out are linear (bounds in ``Limits``): of a row's earlier candidates in a bucket only the
+  ``keep`` closest are verified at first.  In a bucket of over ``full`` rows each
+  row meets its ``window`` neighbours only.  A class that had more candidates, or
+  neighbours that it didn't meet, and wasn't removed, is open.
+* Open classes are compared with all rows of their buckets, by 16-bit hashes of
+  all words, whose overlap is never below the true one, so what passes is a match
+  but for colliding hashes.  Large buckets are dealt out as pairs of groups.
+  What is open even then, for collisions alone, is compared without ``keep``.
+* Candidates are verified on the words themselves, read again from the texts; fixed-size
+  Bloom filters of their places only save work.
+
+Classes are known by 128-bit hashes; words by 64 bits within a pair.
 
 Defined cases: null and empty texts have no lines and stay as they are; null doc_ids come
 last; rows that repeat id and text are one document and are treated alike;
-within a document the first of two like lines stays; an empty table gives no rows;
-other columns are kept, whatever their names.
+within a document the first of two like lines stays; a text of many lines or long
+lines costs time in proportion (a line's shuffled prefix grows with its words); an empty
+table gives no rows; other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -41,16 +48,32 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from corvane.llm import blocks
 from corvane.llm.common import Workspace, free_names, map_batches, sequential_segments, steps, text_bytes, word_stream
 
 SIMILARITY = 0.8
-COUNTER_BITS, BLOOM_BITS = 22, 24
+COUNTER_BITS, BLOCK_BITS, BLOOM_BITS, HEAVY_BITS = 22, 16, 24, 16
 #: Sets of more words have the wider parity map.
 LARGE = 96
-MAPS = ("map_a", "map_b", "map_c", "map_d")
-#: Rows of a bucket that are compared at a time.
-BLOCK = 1 << 15
+
+
+@dataclass(frozen=True)
+class Limits:
+    """Bounds of a step's work; the result doesn't depend on them."""
+
+    #: Earlier candidates of a row in a bucket that are verified at first.
+    keep: int = 4
+    #: Buckets of more rows are compared by neighbourhoods first, each row with so many before it.
+    full: int = 1 << 14
+    window: int = 64
+    #: Rows of a group of such a bucket, where that leaves classes open.
+    group: int = 1 << 13
+    #: Lines that a task folds before it deals them out.
+    fold: int = 1 << 16
+    #: Pairs that are compared at a time.
+    pairs: int = 1 << 18
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -68,120 +91,203 @@ def _spread(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-_BYTE = _spread(np.arange(256, 512, dtype=np.uint64))
+#: The first n bytes of a number.
+_HEAD = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
-def word_hashes(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit multilinear hash of every word of the lines, and the lines' offsets.
+def _string_hashes(strings: pa.LargeStringArray) -> np.ndarray:
+    """Two 64-bit hashes of each string, (n, 2), of eight bytes at a time; for strings of at most eight bytes each is one to one by length."""
+    ends = np.frombuffer(strings.buffers()[1], np.int64, len(strings) + 1, strings.offset * 8)
+    data = np.concatenate((np.frombuffer(strings.buffers()[2] or b"", np.uint8)[: ends[-1]], np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))  # the number that begins at each byte
+    start, left = ends[:-1].copy(), np.diff(ends)
+    one = _spread(left.astype(np.uint64))
+    two = _spread(~left.astype(np.uint64))
+    which = slice(None)
+    while True:
+        chunk = eight[start] & _HEAD[np.minimum(left, 8)]
+        one[which], two[which] = _spread(one[which] ^ chunk), _spread(two[which] + chunk)
+        more = np.flatnonzero(left > 8)
+        if not len(more):
+            return np.column_stack((one, two))
+        start, left = start[more] + 8, left[more] - 8
+        which = more if isinstance(which, slice) else which[more]
 
-    The sum of byte value times place value, each from a table of fixed random
-    numbers, mixed at the end; computed for all words at once.
-    """
-    flat, offsets = word_stream([x.lower() for x in lines])
-    if not len(flat):
-        return np.zeros(0, np.uint64), offsets
-    ends = np.frombuffer(flat.buffers()[1], np.int64, len(flat) + 1, flat.offset * 8)
-    data = np.frombuffer(flat.buffers()[2], np.uint8)[ends[0] : ends[-1]]
-    start = ends[:-1] - ends[0]
-    length = np.diff(ends)
-    place = np.arange(len(data), dtype=np.int64) - np.repeat(start, length)
-    values = _BYTE[data] * _spread(np.arange(int(length.max()), dtype=np.uint64))[place]
-    return _spread(np.add.reduceat(values, start) + length.astype(np.uint64)), offsets
+
+def distinct_words(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each distinct word (n, 2), the words' codes in the lines, and the lines' offsets.  The lines are lower-cased."""
+    flat, offsets = word_stream(lines)
+    coded = flat.dictionary_encode()
+    words = coded.dictionary.cast(pa.large_string())
+    return _string_hashes(words) if len(words) else np.zeros((0, 2), np.uint64), coded.indices.to_numpy(), offsets
+
+
+def word_hashes(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word of the lines (A-Z lower-cased), and the lines' offsets."""
+    h, codes, offsets = distinct_words([x.lower() for x in lines])
+    return h[codes, 0], offsets
 
 
 def document_lines(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Lines of all texts, and each line's text and number."""
-    parts = [x.split(b"\n") for x in texts]
-    counts = np.array([len(x) for x in parts], np.int64)
-    return [y for x in parts for y in x], np.repeat(np.arange(len(texts)), counts), sequential_segments(counts)
+    """Lines of all texts, lower-cased, and each line's text and number."""
+    counts = np.array([x.count(b"\n") + 1 for x in texts], np.int64)
+    return b"\n".join(texts).lower().split(b"\n") if texts else [], np.repeat(np.arange(len(texts)), counts), sequential_segments(counts)
 
 
 class LineSets:
-    """The word sets of some lines, rarest word first; lines without a word are left out."""
-
-    def __init__(self, lines: list[bytes], counters: np.ndarray | None):
-        h, offsets = word_hashes(lines)
-        line = np.repeat(np.arange(len(lines)), np.diff(offsets))
-        rank = counters[h >> np.uint64(64 - COUNTER_BITS)] if counters is not None else np.zeros(len(h), np.uint8)
-        # One key of line, rank and the hash's first bits; the rare tie of different words is settled by a full sort.
-        spare = np.uint64(56 - max(1, int(len(lines)).bit_length()))
-        key = line.astype(np.uint64) << np.uint64(8 + int(spare)) | rank.astype(np.uint64) << spare | h >> (np.uint64(64) - spare)
+    """The word sets of some lower-cased lines, rarest word first; lines without a word are left out."""
+
+    def __init__(self, lines: list[bytes], counters: np.ndarray | None = None):
+        h, codes, offsets = distinct_words(lines)
+        first = h[:, 0]
+        rank = counters[first >> np.uint64(64 - COUNTER_BITS)] if counters is not None else np.zeros(len(h), np.uint8)
+        # Places of the distinct words by rarity and hash; the rare tie of the hashes' first bits is settled by a full sort.
+        key = rank.astype(np.uint64) << np.uint64(56) | first >> np.uint64(8)
         order = np.argsort(key)
-        sorted_key, sorted_h = key[order], h[order]
-        if ((sorted_key[1:] == sorted_key[:-1]) & (sorted_h[1:] != sorted_h[:-1])).any():
-            order = np.lexsort((h, rank, line))
-        h, line, rank = h[order], line[order], rank[order]
-        first = np.ones(len(h), bool)
-        first[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
-        self.words, line, self.rank = h[first], line[first], rank[first]
-        self.line, self.start, self.size = np.unique(line, return_index=True, return_counts=True)
-        self.ids = np.add.reduceat(_mix(self.words), self.start).view(np.int64) if len(self.words) else np.zeros(0, np.int64)
-        place = _mix(self.words + np.uint64(1)) >> np.uint64(57)
-        bits = np.uint64(1) << (place & np.uint64(63))
-        more = _mix(self.words + np.uint64(2)) >> np.uint64(63) == 1
-
-        def parity(chosen: np.ndarray) -> np.ndarray:
-            return np.bitwise_xor.reduceat(np.where(chosen, bits, np.uint64(0)), self.start).view(np.int64) if len(self.words) else np.zeros(0, np.int64)
-
-        #: Two halves of a 128-bit map; of sets over LARGE words also the second half of each half, which makes it 256 bits.
-        halves = [place >> np.uint64(6) == k for k in (0, 1)]
-        large = np.where(self.size > LARGE, np.int64(-1), np.int64(0))
-        self.parity = [*(parity(x) for x in halves), *(parity(x & more) & large for x in halves)]
+        if (key[order][1:] == key[order][:-1]).any():
+            order = np.lexsort((h[:, 1], first, rank))
+        place = np.empty(len(order), np.uint64)
+        place[order] = np.arange(len(order), dtype=np.uint64)
+        tokens = np.sort(np.repeat(np.arange(len(lines), dtype=np.uint64), np.diff(offsets)) << np.uint64(32) | place[codes])
+        if len(tokens):
+            tokens = tokens[np.concatenate(([True], tokens[1:] != tokens[:-1]))]
+        line = (tokens >> np.uint64(32)).astype(np.int64)
+        self.word = order[(tokens & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+        self.start = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1]))) if len(line) else np.zeros(0, np.int64)
+        #: The line of each set and the number of its words.
+        self.line, self.size = line[self.start], np.diff([*self.start, len(line)]).astype(np.int64)
+        self.hash, self.rank = h, rank
+        #: Two halves of a set's hash.
+        self.id, self.id2 = (np.add.reduceat(_mix(h[:, k])[self.word], self.start) if len(line) else np.zeros(0, np.uint64) for k in (0, 1))
+
+    def words(self, index: np.ndarray) -> np.ndarray:
+        """64-bit hashes of the words at these places."""
+        return self.hash[self.word[index], 0]
+
+    def small(self) -> np.ndarray:
+        """16-bit hashes of all words."""
+        return (self.hash[:, 1] >> np.uint64(48)).astype(np.uint16)[self.word]
 
 
 def word_counters(docs: DataFrame) -> np.ndarray:
     """Counters of all words of all documents as logarithms; 0 stands for words met once at most."""
+    size = 1 << BLOCK_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << COUNTER_BITS, np.int64)
-        for batch in batches:
-            texts = text_bytes(batch.column(0))
-            for a, b in steps([len(x) for x in texts]):
-                h, _ = word_hashes(texts[a:b])
-                total += np.bincount((h >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=len(total))
-        at = np.flatnonzero(total)
-        for i in range(0, len(at), 1 << 16):
-            yield pa.RecordBatch.from_pydict({"at": pa.array(at[i : i + (1 << 16)].astype(np.int32)), "n": pa.array(total[at[i : i + (1 << 16)]])})
-
-    # At most 2^COUNTER_BITS rows.
-    found = docs.select("text").mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+        for b in batches:
+            texts = text_bytes(b.column(0))
+            for i, j in steps([len(x) for x in texts]):
+                h, codes, _ = distinct_words([b"\n".join(texts[i:j]).lower()])
+                np.add.at(total, (h[:, 0] >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), np.bincount(codes, minlength=len(h)))
+        for k in range(len(total) // size):
+            own = total[k * size : (k + 1) * size]
+            at = np.flatnonzero(own)
+            yield blocks.batch([k], [blocks.pack([at.astype(np.uint16), own[at].astype(np.uint64)])])
+
+    def add(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
+        for at, n in held:
+            total[at] += n.astype(np.int64)
+        level = np.where(total > 1, np.round(8 * np.log2(np.maximum(total, 1))), 0)
+        yield pa.RecordBatch.from_arrays([pa.array([np.minimum(255, level).astype(np.uint8).tobytes()], pa.binary())], names=["block"])
+
+    def numbered(cell_rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for b in cell_rows:
+            for cell, block in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if cell != now and held:
+                    yield blocks.batch([now], [next(add(held)).column(0)[0].as_py()])
+                    held = []
+                now = cell
+                held.append(blocks.unpack(block))
+        if held:
+            yield blocks.batch([now], [next(add(held)).column(0)[0].as_py()])
+
+    dealt = docs.select("text").mapInArrow(count, blocks.SCHEMA).repartition("cell").sortWithinPartitions("cell")
+    # 2^(COUNTER_BITS - BLOCK_BITS) rows of 2^BLOCK_BITS bytes.
     out = np.zeros(1 << COUNTER_BITS, np.uint8)
-    n = found.column("n").to_numpy().astype(np.float64)
-    out[found.column("at").to_numpy()] = np.minimum(255, np.round(8 * np.log2(n)))
+    for row in dealt.mapInArrow(numbered, blocks.SCHEMA).collect():
+        out[row["cell"] * size : (row["cell"] + 1) * size] = np.frombuffer(row["block"], np.uint8)
     return out
 
 
-def prefix_length(size: np.ndarray | int, similarity: float):
-    return size - np.ceil(np.round(similarity * size, 9)).astype(np.int64) + 1 if isinstance(size, np.ndarray) else size - math.ceil(round(similarity * size, 9)) + 1
-
-
-LINE_SCHEMA = "id long, doc_id long, text_key long, line int, size int, map_a long, map_b long, map_c long, map_d long, prefix array<long>"
-
-
-def line_table(docs: DataFrame, counters, similarity: float = SIMILARITY) -> DataFrame:
-    """One row a line that has a word.  prefix: the rarest words that others may share, null in a word's place that nobody shares."""
-
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        texts = text_bytes(batch.column(1))
-        for a, b in steps([len(x) for x in texts]):
-            lines, owner, number = document_lines(texts[a:b])
-            sets = LineSets(lines, counters.value)
-            keys = np.array([xxhash.xxh64_intdigest(x, 42) for x in texts[a:b]], np.uint64).view(np.int64)
-            own = owner[sets.line]
-            prefix = prefix_length(sets.size.astype(np.int64), similarity)
-            at = np.repeat(sets.start, prefix) + sequential_segments(prefix)
-            words = pa.array(sets.words[at].view(np.int64), mask=sets.rank[at] == 0)
-            offsets = np.concatenate(([0], np.cumsum(prefix))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(sets.ids), batch.column(0).take(pa.array(own + a)), pa.array(keys[own]), pa.array(number[sets.line].astype(np.int32)), pa.array(sets.size.astype(np.int32)), *map(pa.array, sets.parity), pa.ListArray.from_arrays(pa.array(offsets), words)],
-                names=[x.split()[0] for x in LINE_SCHEMA.split(", ")],
-            )
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield from run(batch)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, LINE_SCHEMA)
+def prefix_length(size: np.ndarray, similarity: float) -> np.ndarray:
+    return size - np.ceil(np.round(similarity * size, 9)).astype(np.int64) + 1
+
+
+class Classes:
+    """Columns of line classes: one entry a class, with its first place, all words as 16-bit hashes and the prefix words (0 for one that nobody shares)."""
+
+    def __init__(self, columns: list[np.ndarray]):
+        self.columns = columns
+        self.id, self.id2, self.known, self.doc, self.key, self.line = (columns[0], columns[1], columns[2], columns[3], columns[4], columns[5])
+        self.size, self.n_prefix = columns[6].astype(np.int64), columns[7].astype(np.int64)
+        self.small, self.prefix = columns[8], columns[9]
+
+    def __len__(self) -> int:
+        return len(self.id)
+
+    @staticmethod
+    def of(sets: LineSets, doc: np.ndarray, known: np.ndarray, key: np.ndarray, number: np.ndarray, similarity: float) -> Classes:
+        n_prefix = prefix_length(sets.size, similarity)
+        at = np.repeat(sets.start, n_prefix) + sequential_segments(n_prefix)
+        prefix = np.where(sets.rank[sets.word[at]] > 0, sets.words(at), np.uint64(0))
+        return Classes([sets.id, sets.id2, known.astype(np.uint8), doc, key, number.astype(np.uint64), sets.size.astype(np.uint64), n_prefix.astype(np.uint64), sets.small(), prefix])
+
+    def take(self, order: np.ndarray) -> list[np.ndarray]:
+        return [*(x[order] for x in self.columns[:8]), self.small[blocks.ragged_index(self.size, order)], self.prefix[blocks.ragged_index(self.n_prefix, order)]]
+
+    def first_places(self) -> np.ndarray:
+        """Of entries of the same class, the place of the first by (doc_id, nulls last, line, text)."""
+        order = np.lexsort((self.key, self.line, self.doc, 1 - self.known.astype(np.int8), self.id2, self.id))
+        new = np.ones(len(order), bool)
+        new[1:] = (self.id[order][1:] != self.id[order][:-1]) | (self.id2[order][1:] != self.id2[order][:-1])
+        return order[new]
+
+    @staticmethod
+    def merged(held: list[list[np.ndarray]]) -> Classes:
+        return Classes(blocks.joined(held))
+
+    def place(self) -> np.ndarray:
+        return place_hash(self.doc, self.line.astype(np.int64))
+
+
+def line_classes(docs: DataFrame, counters, similarity: float, work: Workspace, limits: Limits = Limits()) -> DataFrame:
+    """Blocks of classes, written."""
+    n_cells = np.uint64(blocks.cells(docs.sparkSession))
+
+    def flush(held: list[Classes]) -> Iterator[pa.RecordBatch]:
+        if held:
+            own = Classes.merged([x.columns for x in held])
+            own = Classes(own.take(own.first_places()))
+            yield from blocks.deal((own.id % n_cells).astype(np.int32), own.take)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            texts, known = text_bytes(b.column(1)), pc.is_valid(b.column(0)).to_numpy(zero_copy_only=False)
+            doc = pc.fill_null(b.column(0), 0).to_numpy(zero_copy_only=False)
+            for i, j in steps([len(x) for x in texts]):
+                lines, owner, number = document_lines(texts[i:j])
+                sets = LineSets(lines, counters.value)
+                keys = np.array([xxhash.xxh64_intdigest(x, 42) for x in texts[i:j]], np.uint64).view(np.int64)
+                own = owner[sets.line]
+                held.append(Classes.of(sets, doc[own + i], known[own + i], keys[own], number[sets.line], similarity))
+                n += len(own)
+                if n >= limits.fold:
+                    yield from flush(held)
+                    held, n = [], 0
+        yield from flush(held)
+
+    def fold(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        own = Classes.merged(held)
+        order = own.first_places()
+        for i in range(0, len(order), limits.fold):
+            yield blocks.batch([0], [blocks.pack(own.take(order[i : i + limits.fold]))])
+
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return work.write(blocks.by_cell(own.mapInArrow(read, blocks.SCHEMA), fold, blocks.SCHEMA), "classes", "none")
 
 
 class Bloom:
@@ -220,191 +326,385 @@ def hash_longs(values: np.ndarray) -> np.ndarray:
         return h ^ h >> np.uint64(32)
 
 
-PAIR_SCHEMA = "a long, a_doc long, b long, b_doc long, more boolean"
+def place_hash(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """One number for a place (null ids as 0), as ``place_column`` has it."""
+    return doc.astype(np.int64) ^ line.astype(np.int64) << np.int64(40)
+
+
+def place_column(doc: str, line: str):
+    return F.coalesce(F.col(doc), F.lit(0).cast("long")).bitwiseXOR(F.shiftleft(F.col(line).cast("long"), 40))
+
+
+class Bucket:
+    """Rows of one cell, ordered by word and size."""
+
+    NAMES = ("word", "size", "pos", "map_a", "map_b", "known", "doc", "line", "id", "role")
+
+    def __init__(self, held: list[list[np.ndarray]]):
+        *columns, large_c, large_d, small = blocks.joined(held)
+        x = dict(zip(self.NAMES, columns, strict=True))
+        size = x["size"].astype(np.int64)
+        large = size > LARGE
+        for name, values in (("map_c", large_c), ("map_d", large_d)):
+            x[name] = np.zeros(len(size), np.uint64)
+            x[name][large] = values
+        key = x["word"].astype(np.uint64) << np.uint64(32) | size.astype(np.uint64)
+        order = np.argsort(key, kind="stable")
+        self.key = key[order]
+        for name, values in x.items():
+            setattr(self, name, values[order])
+        self.size, self.pos = size[order], self.pos.astype(np.int64)
+        self.known, self.doc, self.line = self.known.astype(bool), self.doc.astype(np.int64), self.line.astype(np.int64)
+        self.n = len(order)
+        if len(small):
+            self._count(small[blocks.ragged_index(size, order)])
+
+    def _count(self, small: np.ndarray) -> None:
+        """All words of a row as 16-bit hash and, for words of one hash, their number."""
+        row = np.repeat(np.arange(self.n, dtype=np.uint64), self.size)
+        tokens = np.sort(row << np.uint64(16) | small.astype(np.uint64))
+        first = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
+        again = sequential_segments(np.diff([*first, len(tokens)]))
+        self.tokens = (tokens & np.uint64(0xFFFF)) << np.uint64(16) | again.astype(np.uint64) & np.uint64(0xFFFF)
+        self.token_start = np.cumsum(self.size) - self.size
+
+    def reach(self, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+        """For each row, the range of rows of its word whose sizes allow a match."""
+        word = self.key & ~np.uint64(0xFFFFFFFF)
+        least, most = np.ceil(np.round(similarity * self.size, 9)), np.floor(np.round(self.size / similarity, 9))
+        low = np.searchsorted(self.key, word | least.astype(np.uint64))
+        return low, np.searchsorted(self.key, word | np.minimum(most, 0xFFFFFFFF).astype(np.uint64), side="right")
+
+    def may_match(self, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+        """Places of the pairs that pass the positional filter and the parity map."""
+        si, sj, pi, pj = self.size[i], self.size[j], self.pos[i], self.pos[j]
+        total = si + sj
+        need = np.ceil(np.round(similarity / (1 + similarity) * total, 9)).astype(np.int64)
+        at = np.flatnonzero(np.minimum(si - pi, sj - pj) >= need - np.minimum(pi, pj))
+        return at[self.distance(i[at], j[at]) <= (total - 2 * need)[at]]
+
+    def distance(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Differing bits of the rows' parity maps: at most the size of the symmetric difference."""
+        a, b = self.map_a[i] ^ self.map_a[j], self.map_b[i] ^ self.map_b[j]
+        out = np.bitwise_count(a).astype(np.int64) + np.bitwise_count(b)
+        at = np.flatnonzero((self.size[i] > LARGE) & (self.size[j] > LARGE))
+        if len(at):
+            c, d = self.map_c[i[at]] ^ self.map_c[j[at]], self.map_d[i[at]] ^ self.map_d[j[at]]
+            out[at] = sum(np.bitwise_count(m).astype(np.int64) for m in (a[at] ^ c, c, b[at] ^ d, d))
+        return out
+
+    def overlap(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Common 16-bit hashes of the rows' words: at least as many as common words."""
+
+        def side(rows: np.ndarray) -> np.ndarray:
+            n = self.size[rows]
+            at = np.repeat(self.token_start[rows], n) + sequential_segments(n)
+            return np.repeat(np.arange(len(rows), dtype=np.uint64), n) << np.uint64(32) | self.tokens[at]
+
+        both = np.sort(np.concatenate((side(i), side(j))))
+        return np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(32)).astype(np.int64), minlength=len(i))
+
+    def earlier(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether row j's class comes before row i's."""
+        out, tie = np.zeros(len(i), bool), np.ones(len(i), bool)
+        for x, y in ((~self.known[j], ~self.known[i]), (self.doc[j], self.doc[i]), (self.line[j], self.line[i]), (self.id[j], self.id[i])):
+            out |= tie & (x < y)
+            tie &= x == y
+        return out
+
+
+PAIR_SCHEMA = "a_doc long, a_line int, a_id long, b_doc long, b_line int, b_id long, more boolean, heavy int, rows long"
 
 
-def _distance(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Differing bits of the rows' parity maps: at most the size of the symmetric difference."""
-    # Unsigned: the count of a negative number's bits would be that of its absolute value.
-    a, b, c, d = ((x[n][i] ^ x[n][j]).view(np.uint64) for n in ("map_a", "map_b", "map_c", "map_d"))
-    count = lambda *maps: sum(np.bitwise_count(m).astype(np.int64) for m in maps)
-    both_large = (x["size"][i] > LARGE) & (x["size"][j] > LARGE)
-    return np.where(both_large, count(a ^ c, c, b ^ d, d), count(a, b))
+def closest(a: np.ndarray, b: np.ndarray, gap: np.ndarray, keep: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each b's pairs the ``keep`` of smallest gap, and the b that had more."""
+    order = np.lexsort((gap, b))
+    a, b, gap = a[order], b[order], gap[order]
+    if keep is None or not len(b):
+        return a, b, gap, b[:0]
+    first = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
+    near = sequential_segments(np.diff([*first, len(b)])) < keep
+    return a[near], b[near], gap[near], np.unique(b[~near])
 
 
-def _compatible(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
-    """Of rows i and j of one bucket (j before i in size order), which may match."""
-    size, pos = x["size"], x["pos"]
-    total = size[i] + size[j]
-    need = np.ceil(np.round(similarity / (1 + similarity) * total, 9)).astype(np.int64)
-    left = np.minimum(size[i] - pos[i], size[j] - pos[j])  # words from the shared one on
-    ok = (size[j] >= np.round(similarity * size[i], 9)) & (left >= need - np.minimum(pos[i], pos[j]))
-    ok[ok] &= _distance(x, i[ok], j[ok]) <= (total - 2 * need)[ok]
-    return ok
+def bucket_candidates(held: list[list[np.ndarray]], similarity: float, keep: int | None, full: bool, limits: Limits = Limits()) -> Iterator[pa.RecordBatch]:
+    """Pairs (a earlier, b later) of one cell's rows that share a prefix word and pass the filters; ``more`` marks a b that isn't settled by them.
 
+    full: only rows whose role is 1 or 3 are taken as b, only those of role 2 or 3 as a,
+    all of a bucket is compared, and by all words.  Else buckets of over limits.full rows are
+    compared by neighbourhoods, and named as heavy.
+    """
+    x = Bucket(held)
+    low, high = x.reach(similarity)
+    rows = np.arange(x.n)
+    open_ = np.zeros(x.n, bool)
+    heavy = np.zeros(0, np.int64)
+    if full:
+        probe = np.flatnonzero(x.role & 1)
+    else:
+        probe, high = rows, rows
+        words, start, n = np.unique(x.word, return_index=True, return_counts=True)
+        heavy = np.flatnonzero(n > limits.full)
+        if len(heavy):
+            in_heavy = np.repeat(n > limits.full, n)
+            cut = in_heavy & (low < rows - limits.window)
+            open_[cut] = True
+            last = np.zeros(x.n + 1, np.int64)  # rows from low to cut are left out by a later row
+            np.add.at(last, low[cut], 1)
+            np.add.at(last, rows[cut] - limits.window, -1)
+            open_ |= np.cumsum(last[:-1]) > 0
+            low = np.where(cut, rows - limits.window, low)
+        heavy_word, heavy_rows = words[heavy], n[heavy]
+    count = (high - low)[probe]
+    ends = np.cumsum(count)
+    found, few = [np.zeros(0, np.int64)] * 3, max(1, limits.pairs >> 6)
+    at = 0
+    while at < len(probe):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limits.pairs, side="right")))
+        i = np.repeat(probe[at:to], count[at:to])
+        j = np.repeat(low[probe[at:to]], count[at:to]) + sequential_segments(count[at:to])
+        at = to
+        if full:
+            ok = np.flatnonzero((x.role[j] & 2 > 0) & (i != j))
+            i, j = i[ok], j[ok]
+        ok = x.may_match(i, j, similarity)
+        i, j = i[ok], j[ok]
+        before = x.earlier(i, j)
+        if full:
+            i, j = i[before], j[before]
+            for k in range(0, len(i), few):
+                p, q = i[k : k + (few)], j[k : k + (few)]
+                common = x.overlap(p, q)
+                near = common >= np.round(similarity / (1 + similarity) * (x.size[p] + x.size[q]), 9)
+                found = [np.concatenate(y) for y in zip(found, (q[near], p[near], -common[near]), strict=True)]
+        else:
+            a, b = np.where(before, j, i), np.where(before, i, j)
+            found = [np.concatenate(y) for y in zip(found, (a, b, x.distance(a, b)), strict=True)]
+        if len(found[0]) > 2 * limits.pairs:
+            *found, more = closest(*found, keep)
+            open_[more] = True
+    a, b, _, more = closest(*found, keep)
+    open_[more] = True
+    alone = np.setdiff1d(np.flatnonzero(open_), b)
+
+    def ids(k: np.ndarray) -> list[pa.Array]:
+        return [pa.array(x.doc[k], mask=~x.known[k]), pa.array(x.line[k].astype(np.int32)), pa.array(x.id[k].view(np.int64))]
+
+    def nothing(n: int) -> list[pa.Array]:
+        return [pa.nulls(n, t) for t in (pa.int64(), pa.int32(), pa.int64())]
+
+    names = [y.split()[0] for y in PAIR_SCHEMA.split(", ")]
+    yield pa.RecordBatch.from_arrays([*ids(a), *ids(b), pa.array(open_[b]), pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.int64())], names=names)
+    if len(alone):
+        yield pa.RecordBatch.from_arrays([*nothing(len(alone)), *ids(alone), pa.array(np.ones(len(alone), bool)), pa.nulls(len(alone), pa.int32()), pa.nulls(len(alone), pa.int64())], names=names)
+    if len(heavy):
+        at = heavy_word >> np.uint64(32 - HEAVY_BITS)
+        yield pa.RecordBatch.from_arrays([*nothing(len(at)), *nothing(len(at)), pa.nulls(len(at), pa.bool_()), pa.array(at.astype(np.int32)), pa.array(heavy_rows.astype(np.int64))], names=names)
+
+
+def parity_maps(small: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """Two halves of each set's 128-bit map; of sets over LARGE words also the second half of each half, which makes it 256 bits."""
+    start = np.cumsum(size) - size
+    spread = _spread(np.arange(1 << 16, dtype=np.uint64))
+    place, more = (spread >> np.uint64(57)), spread & np.uint64(1) == 1
+    bit = np.uint64(1) << (place & np.uint64(63))
+    out = []
+    for limit in (None, LARGE):
+        chosen = np.arange(len(size)) if limit is None else np.flatnonzero(size > limit)
+        at = np.repeat(start[chosen], size[chosen]) + sequential_segments(size[chosen])
+        own, begin = small[at], np.cumsum(size[chosen]) - size[chosen]
+        for half in (0, 1):
+            table = np.where((place >> np.uint64(6) == half) & (more | (limit is None)), bit, np.uint64(0))
+            out.append(np.bitwise_xor.reduceat(table[own], begin) if len(own) else np.zeros(0, np.uint64))
+    return out
 
-def bucket_candidates(rows: DataFrame, similarity: float, every: bool) -> DataFrame:
-    """Pairs (a earlier, b later) of classes that share a prefix word and pass the filters.
 
-    rows: word, place (size and position in one number), the maps, id, doc_id,
-    line, and open if not every row is; dealt out by word and sorted by (word, place).  every: all pairs with an open b, else for each row its closest earlier candidate.
+def deal_by_word(classes: DataFrame, wanted=None, opened=None, heavy=None, limits: Limits = Limits()) -> DataFrame:
+    """Rows of the classes' prefix words, dealt out to cells by word.
+
+    wanted: a Bloom of words, opened: one of class ids; with them only rows of
+    wanted words go, with all words as 16-bit hashes, and those of heavy words
+    go to cells by pairs of groups.
     """
+    n_cells = np.uint64(blocks.cells(classes.sparkSession))
+
+    def one(own: Classes) -> Iterator[pa.RecordBatch]:
+        owner = np.repeat(np.arange(len(own)), own.n_prefix)
+        pos = sequential_segments(own.n_prefix)
+        use = own.prefix != 0
+        if wanted is not None:
+            use[use] = wanted.value.has(own.prefix[use].view(np.int64))
+        owner, pos, word = owner[use], pos[use], own.prefix[use]
+        high = word >> np.uint64(32)
+        if wanted is None:
+            cell, role = word % n_cells, np.zeros(len(word), np.uint8)
+        else:
+            is_open = opened.value.has(own.id.view(np.int64))[owner]
+            groups = heavy.value[high >> np.uint64(32 - HEAVY_BITS)].astype(np.int64)
+            single = np.flatnonzero(groups == 1)
+            parts = [(single, np.where(is_open[single], 3, 2), np.zeros(len(single), np.int64))]
+            many = np.flatnonzero(groups > 1)
+            if len(many):
+                n = groups[many]
+                again, other = np.repeat(many, n), sequential_segments(n)
+                n = np.repeat(n, n)
+                # The group doesn't follow the rows' order, so that cells are even.
+                mine = (_mix(own.id[owner[again]]) % n.astype(np.uint64)).astype(np.int64)
+                parts.append((again, np.where(is_open[again] & (mine == other), 3, 2), 1 + other * n + mine))
+                probe = np.flatnonzero(is_open[again] & (mine != other))
+                parts.append((again[probe], np.ones(len(probe), np.int64), 1 + mine[probe] * n[probe] + other[probe]))
+            at, role, grid = (np.concatenate(y) for y in zip(*parts, strict=True))
+            owner, pos, word, high, role = owner[at], pos[at], word[at], high[at], role.astype(np.uint8)
+            cell = (word + _spread(grid.astype(np.uint64)) * (grid > 0)) % n_cells
+            # Rows of one word in different cells of its grid may meet in one cell; the grid's place keeps them apart.
+            high = (high ^ _spread(grid.astype(np.uint64)) * (grid > 0)) & np.uint64(0xFFFFFFFF)
+        map_a, map_b, map_c, map_d = parity_maps(own.small, own.size)
+        rank_large = np.cumsum(own.size > LARGE) - 1
+
+        def pick(rows: np.ndarray) -> list[np.ndarray]:
+            k = owner[rows]
+            large = rank_large[k[own.size[k] > LARGE]]
+            small = own.small[blocks.ragged_index(own.size, k)] if wanted is not None else own.small[:0]
+            return [high[rows].astype(np.uint32), own.size[k].astype(np.uint64), pos[rows].astype(np.uint64), map_a[k], map_b[k], own.known[k], own.doc[k].view(np.uint64), own.line[k], own.id[k], role[rows], map_c[large], map_d[large], small]
+
+        yield from blocks.deal(cell.astype(np.int32), pick)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] | None = None
-        names = ["word", "map_a", "map_b", "map_c", "map_d", "id", "doc_id", "line", "size", "pos", "open", "known"]
-        for batch in batches:
-            for first in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(first, BLOCK)
-                own = {n: pc.fill_null(part.column(n), 0).to_numpy(zero_copy_only=False).astype(np.int64) for n in names[:8]}
-                place = part.column("place").to_numpy(zero_copy_only=False)
-                own["size"], own["pos"] = place >> 32, place & 0xFFFFFFFF
-                own["open"] = part.column("open").to_numpy(zero_copy_only=False).astype(bool) if every else np.ones(part.num_rows, bool)
-                own["known"] = pc.is_valid(part.column("doc_id")).to_numpy(zero_copy_only=False)
-                new = len(own["word"])
-                # Of earlier blocks only rows of this word whose size is still near enough are carried over.
-                if held is not None:
-                    near = (held["word"] == own["word"][0]) & (held["size"] >= np.floor(similarity * own["size"][0]))
-                    own = {n: np.concatenate((held[n][near], own[n])) for n in names}
-                yield from compare(own, len(own["word"]) - new)
-                last = own["word"] == own["word"][-1]
-                held = {n: own[n][last] for n in names}
-
-    def compare(x: dict[str, np.ndarray], old: int) -> Iterator[pa.RecordBatch]:
-        n = len(x["word"])
-        best = np.full(n, -1, np.int64)
-        least = np.full(n, 1 << 30, np.int64)
-        more = np.zeros(n, bool)
-        i, d = np.arange(max(1, old), n), 1
-        while len(i):
-            j = i - d
-            same = (j >= 0) & (x["word"][j] == x["word"][i]) & (x["size"][j] >= np.floor(similarity * x["size"][i]))
-            i, j = i[same], j[same]
-            ok = _compatible(x, i, j, similarity)
-            p, q = i[ok], j[ok]
-            if len(p):
-                before = _earlier(x, q, p)
-                a, b = np.where(before, q, p), np.where(before, p, q)
-                if every:
-                    use = x["open"][b]
-                    if use.any():
-                        yield pairs(x, a[use], b[use], np.zeros(int(use.sum()), bool))
-                else:
-                    gap = _distance(x, a, b)
-                    more[b] |= best[b] >= 0
-                    closer = gap < least[b]
-                    # b may occur twice in a step (once as the smaller, once as the larger row): the last one wins, the other counts as more.
-                    more[b[~closer]] = True
-                    twice, counts = np.unique(b, return_counts=True)
-                    more[twice[counts > 1]] = True
-                    best[b[closer]], least[b[closer]] = a[closer], gap[closer]
-            d += 1
-            i = i[i - d >= 0]
-        if not every and (got := np.flatnonzero(best >= 0)).size:
-            yield pairs(x, best[got], got, more[got])
-
-    def _earlier(x, q, p) -> np.ndarray:
-        """Whether row q's class comes before row p's."""
-        out = np.zeros(len(q), bool)
-        tie = np.ones(len(q), bool)
-        for n, sign in (("known", -1), ("doc_id", 1), ("line", 1), ("id", 1)):
-            u, v = x[n][q].astype(np.int64), x[n][p].astype(np.int64)
-            u, v = (u, v) if sign > 0 else (v, u)
-            out |= tie & (u < v)
-            tie &= u == v
-        return out
+        held, n = [], 0
+        for b in batches:
+            for block in b.column(1):
+                held.append(blocks.unpack(block.as_buffer().to_pybytes()))
+                n += len(held[-1][0])
+                if n >= limits.fold >> 1:
+                    yield from one(Classes.merged(held))
+                    held, n = [], 0
+        if held:
+            yield from one(Classes.merged(held))
 
-    def pairs(x, a, b, more) -> pa.RecordBatch:
-        doc = lambda k: pa.array(x["doc_id"][k], mask=~x["known"][k])
-        return pa.RecordBatch.from_arrays([pa.array(x["id"][a]), doc(a), pa.array(x["id"][b]), doc(b), pa.array(more)], names=["a", "a_doc", "b", "b_doc", "more"])
+    return classes.mapInArrow(run, blocks.SCHEMA)
 
-    dealt = rows.repartition("word").sortWithinPartitions("word", "place")
-    return dealt.mapInArrow(run, PAIR_SCHEMA)
+
+def from_classes(classes: DataFrame, fn, schema: str) -> DataFrame:
+    """Rows that fn makes of each block of classes."""
+    return map_batches(classes, lambda b: pa.concat_batches([fn(Classes(blocks.unpack(x.as_buffer().to_pybytes()))) for x in b.column(1)]), schema)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """The distinct pairs (a, b) whose sets match, by the words of a line of each class."""
-    spark = docs.sparkSession
-    ends = pairs.select(F.col("a").alias("id"), F.col("a_doc").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("id"), F.col("b_doc").alias("doc_id")))
-    ids, owners = (spark.sparkContext.broadcast(Bloom(ends.select(c).distinct(), c)) for c in ("id", "doc_id"))
+    """(b_doc, b_line, b_id) of the pairs whose sets match, by the words of the lines themselves."""
+    sides = [pairs.select(F.col(f"{s}_doc").alias("doc"), F.col(f"{s}_line").alias("line")) for s in "ab"]
+    ends = sides[0].unionByName(sides[1]).select(F.coalesce("doc", F.lit(0).cast("long")).alias("doc"), place_column("doc", "line").alias("place"))
+    owners, places = (docs.sparkSession.sparkContext.broadcast(Bloom(ends.select(c).distinct(), c)) for c in ("doc", "place"))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            near = owners.value.has(pc.fill_null(batch.column(0), 0).to_numpy(zero_copy_only=False)) | pc.is_null(batch.column(0)).to_numpy(zero_copy_only=False)
-            texts = text_bytes(batch.column(1).filter(pa.array(near)))
-            for a, b in steps([len(x) for x in texts]):
-                sets = LineSets(document_lines(texts[a:b])[0], None)
-                _, keep = np.unique(sets.ids, return_index=True)
-                keep = keep[ids.value.has(sets.ids[keep])] if len(keep) else keep
-                size = sets.size[keep].astype(np.int64)
-                at = np.repeat(sets.start[keep], size) + sequential_segments(size)
-                offsets = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(sets.ids[keep]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(sets.words[at].view(np.int64)))], names=["id", "words"])
-
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(words, "id long, words array<long>")
-    # Copies of a line are many; only one row of each class goes on.
-    one = found.groupBy("id").agg(F.first("words").alias("words"))
-    flat = pairs.select("a", "b").distinct()
-    left = flat.join(one.select(F.col("id").alias("a"), F.col("words").alias("x")), "a")
-    both = left.join(one.select(F.col("id").alias("b"), F.col("words").alias("y")), "b")
+        for b in batches:
+            doc = pc.fill_null(b.column(0), 0).to_numpy(zero_copy_only=False)
+            near = np.flatnonzero(owners.value.has(doc))
+            texts = text_bytes(b.column(1).take(pa.array(near)))
+            for i, j in steps([len(x) for x in texts]):
+                lines, owner, number = document_lines(texts[i:j])
+                mine = np.flatnonzero(places.value.has(place_hash(doc[near[i:j]][owner], number)))
+                sets = LineSets([lines[k] for k in mine.tolist()])
+                at = mine[sets.line]
+                offsets = np.concatenate(([0], np.cumsum(sets.size))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(pa.array(near[i:j][owner[at]])), pa.array(number[at].astype(np.int32)), pa.array(sets.id.view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(sets.words(np.arange(len(sets.word))).view(np.int64)))],
+                    names=["doc", "line", "id", "words"],
+                )
+
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = own.mapInArrow(words, "doc long, line int, id long, words array<long>")
+    # Rows that repeat an id may hold a line again.
+    one = found.groupBy("doc", "line", "id").agg(F.first("words").alias("words"))
+    one = one.select(F.struct("doc", "line", "id").alias("at"), "words")
+    both = pairs
+    for side in "ab":
+        both = both.withColumn(side, F.struct(F.col(f"{side}_doc").alias("doc"), F.col(f"{side}_line").alias("line"), F.col(f"{side}_id").alias("id")))
+    both = both.select("a", "b").distinct()
+    for side, name in (("a", "x"), ("b", "y")):
+        right = one.select(F.col("at").alias("_at"), F.col("words").alias(name))
+        both = both.join(right, both[side].eqNullSafe(right["_at"])).drop("_at")
     common = F.size(F.array_intersect("x", "y"))
     jaccard = common / (F.size("x") + F.size("y") - common)
-    return both.where(jaccard >= similarity).select("a", "b")
-
-
-def matched_lines(docs: DataFrame, similarity: float = SIMILARITY, work: Workspace | None = None) -> DataFrame:
-    """id (the class), doc_id, text_key, line and removed of every line that has a word; written."""
-    work = work or Workspace(docs.sparkSession, "line-dedup")
-    counters = docs.sparkSession.sparkContext.broadcast(word_counters(docs))
-    lines = work.write(line_table(docs, counters, similarity), "lines", "lz4")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line", "text_key")
-    classes = lines.groupBy("id").agg(F.min(order).alias("first"), *[F.first(c).alias(c) for c in ("size", *MAPS, "prefix")])
-    classes = work.write(classes.select("id", "first.doc_id", "first.text_key", "first.line", "size", *MAPS, "prefix"), "classes", "lz4")
-    lines = work.write(lines.select("id", "doc_id", "text_key", "line"), "places", "lz4")
-    work.drop("lines")
-    work.release()
-    place = F.shiftleft(F.col("size").cast("long"), 32) + F.col("pos")
-    exploded = classes.select("id", "doc_id", "line", "size", *MAPS, F.posexplode("prefix").alias("pos", "word")).where("word is not null").withColumn("place", place).drop("size", "pos")
-    first = work.write(bucket_candidates(exploded, similarity, False), "pairs", "lz4")
-    work.release()
-    close = work.write(verified(first, docs, similarity), "close", "lz4")
-    work.release()
-    gone = close.select(F.col("b").alias("id")).distinct()
-    undecided = first.where("more").select(F.col("b").alias("id")).distinct().join(gone, "id", "left_anti")
-    undecided = work.write(undecided, "undecided", "lz4")
-    if not undecided.isEmpty():
-        # Only buckets of words that an undecided class has are dealt out again.
-        marked = exploded.join(undecided.withColumn("open", F.lit(True)), "id", "left").withColumn("open", F.coalesce("open", F.lit(False)))
-        wanted = docs.sparkSession.sparkContext.broadcast(Bloom(marked.where("open").select("word").distinct(), "word"))
-
-        def narrow(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return batch.filter(pa.array(wanted.value.has(batch.column("word").to_numpy(zero_copy_only=False))))
-
-        again = work.write(bucket_candidates(map_batches(marked, narrow, marked.schema), similarity, True), "again", "lz4")
-        gone = work.write(gone.unionByName(verified(again, docs, similarity).select(F.col("b").alias("id"))).distinct(), "gone", "lz4")
-    verdict = classes.select("id", F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), F.col("line").alias("_line")).join(gone.withColumn("_gone", F.lit(True)), "id", "left")
-    own = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_key") == F.col("_key")) & (F.col("line") == F.col("_line"))
-    judged = lines.join(verdict, "id").withColumn("removed", F.col("_gone").isNotNull() | ~own)
-    return work.write(judged.select("id", "doc_id", "text_key", "line", "removed"), "judged", "lz4")
-
-
-def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, work: Workspace | None = None, counts: bool = False) -> DataFrame:
+    return both.where(jaccard >= similarity).select(F.col("b.doc").alias("b_doc"), F.col("b.line").alias("b_line"), F.col("b.id").alias("b_id")).distinct()
+
+
+B = ("b_doc", "b_line", "b_id")
+
+
+def _same(left: DataFrame, right: DataFrame):
+    return left["b_doc"].eqNullSafe(right["b_doc"]) & (left["b_line"] == right["b_line"]) & (left["b_id"] == right["b_id"])
+
+
+def kept_lines(docs: DataFrame, similarity: float = SIMILARITY, work: Workspace | None = None, limits: Limits = Limits()) -> DataFrame:
+    """doc_id, text_key and the numbers of the lines that stay, of every document that has such lines."""
+    spark = docs.sparkSession
+    work = work or Workspace(spark, "line-dedup")
+    classes = line_classes(docs, spark.sparkContext.broadcast(word_counters(docs)), similarity, work, limits)
+    pairs = work.write(blocks.by_cell(deal_by_word(classes, limits=limits), lambda held: bucket_candidates(held, similarity, limits.keep, False, limits), PAIR_SCHEMA), "pairs", "lz4")
+    gone = work.write(verified(pairs.where("a_id is not null"), docs, similarity), "gone", "lz4")
+    groups = np.ones(1 << HEAVY_BITS, np.uint32)
+    # At most 2^HEAVY_BITS rows.
+    for row in pairs.where("heavy is not null").groupBy("heavy").agg(F.max("rows").alias("rows")).collect():
+        groups[row["heavy"]] = -(-row["rows"] // limits.group)
+    heavy = spark.sparkContext.broadcast(groups)
+    for turn, keep in enumerate((limits.keep, None)):
+        marked = pairs.where("more").select(*B).distinct()
+        undecided = work.write(marked.join(gone, _same(marked, gone), "left_anti"), f"open-{turn}", "lz4")
+        if undecided.isEmpty():
+            break
+        opened = spark.sparkContext.broadcast(Bloom(undecided, "b_id"))
+
+        def prefix_of_open(own: Classes, opened=opened) -> pa.RecordBatch:
+            use = np.repeat(opened.value.has(own.id.view(np.int64)), own.n_prefix) & (own.prefix != 0)
+            return pa.RecordBatch.from_arrays([pa.array(np.unique(own.prefix[use]).view(np.int64))], names=["word"])
+
+        words = from_classes(classes, prefix_of_open, "word long")
+        wanted = spark.sparkContext.broadcast(Bloom(words.distinct(), "word"))
+        dealt = deal_by_word(classes, wanted, opened, heavy, limits)
+        pairs = work.write(blocks.by_cell(dealt, lambda held, keep=keep: bucket_candidates(held, similarity, keep, True, limits), PAIR_SCHEMA), f"pairs-{turn}", "lz4")
+        more = verified(pairs.where("a_id is not null"), docs, similarity)
+        gone = work.write(gone.unionByName(more).distinct(), f"gone-{turn}", "lz4")
+
+    def places(own: Classes) -> pa.RecordBatch:
+        known = own.known.astype(bool)
+        return pa.RecordBatch.from_arrays([pa.array(own.doc, mask=~known), pa.array(own.line.astype(np.int32)), pa.array(own.id.view(np.int64)), pa.array(own.key)], names=["b_doc", "b_line", "b_id", "text_key"])
+
+    first = from_classes(classes, places, "b_doc long, b_line int, b_id long, text_key long")
+    stay = first.join(gone, _same(first, gone), "left_anti")
+    # A document's lines: bounded by its text.
+    return stay.groupBy(F.col("b_doc").alias("doc_id"), "text_key").agg(F.collect_set("b_line").alias("kept"))
+
+
+def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, work: Workspace | None = None, counts: bool = False, limits: Limits = Limits()) -> DataFrame:
     """docs with matching later lines taken out of the text; all columns stay.
 
     counts: only doc_id, text, n_lines (lines with a word), n_removed and removed_lines (their numbers from 0).
     """
-    judged = matched_lines(docs, similarity, work)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text") if counts else docs
-    doc, key, number, gone = free_names(base, "_doc", "_key", "_lines", "_gone")
-    removed = F.array_sort(F.collect_set(F.when(F.col("removed"), F.col("line")))).alias(gone)
-    taken = judged.groupBy("doc_id", "text_key").agg(F.countDistinct("line").alias(number), removed)
-    taken = taken.select(F.col("doc_id").alias(doc), F.col("text_key").alias(key), number, gone)
+    doc, key, kept = free_names(base, "_doc", "_key", "_kept")
+    stay = kept_lines(docs, similarity, work, limits).select(F.col("doc_id").alias(doc), F.col("text_key").alias(key), F.col("kept").alias(kept))
     same = base["doc_id"].cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(base["text"]) == F.col(key))
-    joined = base.join(taken if counts else taken.where(F.size(gone) > 0), same, "left")
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains(F.col(gone), i)), "\n")
-    text = F.when(F.size(gone) > 0, kept).otherwise(F.col("text")).alias("text")
-    columns = [text if c == "text" else base[c] for c in base.columns]
-    if counts:
-        found = F.coalesce(gone, F.array().cast("array<int>"))
-        columns += [F.coalesce(number, F.lit(0)).cast("long").alias("n_lines"), F.size(found).cast("long").alias("n_removed"), found.alias("removed_lines")]
-    return joined.select(*columns)
+    held = base.join(stay, same, "left").select(*[base[c] for c in base.columns], kept)
+    more = [T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed_lines", T.ArrayType(T.IntegerType()))] if counts else []
+    schema = T.StructType([*base.schema.fields, *more])
+    at = base.columns.index(next(c for c in base.columns if c.lower() == "text"))
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        texts, n_lines, removed = [], [], []
+        for text, stays in zip(b.column(at).cast(pa.binary()).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
+            lines, mine = (text or b"").split(b"\n"), set(stays or ())
+            worded = [k for k, x in enumerate(lines) if x.strip()]
+            gone = [k for k in worded if k not in mine]
+            if gone:
+                left = set(gone)
+                text = b"\n".join([x for k, x in enumerate(lines) if k not in left])
+            texts.append(text)
+            n_lines.append(len(worded))
+            removed.append(gone)
+        columns = list(b.columns[:-1])
+        columns[at] = pa.array(texts, pa.binary()).cast(columns[at].type)
+        if counts:
+            columns += [pa.array(n_lines, pa.int64()), pa.array(list(map(len, removed)), pa.int64()), pa.array(removed, pa.list_(pa.int32()))]
+        return pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return map_batches(held, run, schema)

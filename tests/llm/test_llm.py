@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,7 +13,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from corvane.llm import chat, decontamination, licenses, line_dedup, near_copies, packing, quality, sharding, simhash, token_files, warc
+from corvane.llm import blocks, chat, decontamination, licenses, line_dedup, near_copies, packing, quality, sharding, simhash, token_files, warc
 from corvane.llm.common import Workspace
 from corvane.llm.encoders import encoder, vocabulary
 
@@ -612,7 +613,7 @@ def plain_removed(given, similarity=0.8):
     classes = {}
     for place, key, words, _ in lines:
         classes[words] = min(classes.get(words, (place, key)), (place, key))
-    ids = {w: int(line_dedup.LineSets([b" ".join(w)], None).ids[0]) for w in classes}
+    ids = {w: int(line_dedup.LineSets([b" ".join(w)], None).id[0]) for w in classes}
     gone = defaultdict(set)
     for place, key, words, at in lines:
         first = classes[words]
@@ -622,12 +623,15 @@ def plain_removed(given, similarity=0.8):
     return gone
 
 
-@pytest.mark.parametrize("block", [64, 1 << 15])
-def test_line_dedup(spark, docs, none, monkeypatch, block):
-    monkeypatch.setattr(line_dedup, "BLOCK", block)
+#: The second bounds are so small that neighbourhoods, groups and later rounds are in use.
+LIMITS = (line_dedup.Limits(), line_dedup.Limits(keep=1, full=3, window=1, group=2, fold=64, pairs=128))
+
+
+@pytest.mark.parametrize("limits", LIMITS)
+def test_line_dedup(spark, docs, none, limits):
     given = [(r[0], r[1]) for r in rows()]
     gone = plain_removed(given)
-    got = line_dedup.dedup_lines(docs, counts=True).collect()
+    got = line_dedup.dedup_lines(docs, counts=True, limits=limits).collect()
     want = []
     for i, t in given:
         own = sorted(gone.get((i, t), ()))
@@ -638,7 +642,8 @@ def test_line_dedup(spark, docs, none, monkeypatch, block):
     assert line_dedup.dedup_lines(none).collect() == [] and line_dedup.dedup_lines(docs).columns == docs.columns
 
 
-def test_line_dedup_of_many_near_copies(spark):
+@pytest.mark.parametrize("limits", LIMITS)
+def test_line_dedup_of_many_near_copies(spark, limits):
     rng = random.Random(21)
     base = [f"w{i}" for i in range(30)]
     texts = []
@@ -651,11 +656,12 @@ def test_line_dedup_of_many_near_copies(spark):
     given = list(enumerate(texts))
     df = spark.createDataFrame(given, "doc_id long, text string").repartition(3)
     gone = plain_removed(given)
-    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(df, counts=True).collect()}
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(df, counts=True, limits=limits).collect()}
     assert got == {i: len(gone.get((i, t), ())) for i, t in given}
 
 
-def test_line_dedup_of_large_sets(spark):
+@pytest.mark.parametrize("limits", LIMITS)
+def test_line_dedup_of_large_sets(spark, limits):
     rng = random.Random(22)
     base, texts = [f"w{i}" for i in range(400)], []
     for n in (90, 100, 120, 300, 380):
@@ -666,10 +672,26 @@ def test_line_dedup_of_large_sets(spark):
             texts.append(" ".join(words))
     given = list(enumerate(texts))
     gone = plain_removed(given)
-    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(spark.createDataFrame(given, "doc_id long, text string"), counts=True).collect()}
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(spark.createDataFrame(given, "doc_id long, text string"), counts=True, limits=limits).collect()}
     assert got == {i: len(gone.get((i, t), ())) for i, t in given} and 5 < sum(got.values()) < 40
 
 
+def test_line_dedup_of_a_document_of_many_lines(spark):
+    lines = [f"word{k} and more of line {k} than of others {k + 1}" for k in range(1_000_000)]
+    lines[5000] = lines[70].upper()
+    df = spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")
+    began = time.time()
+    [row] = line_dedup.dedup_lines(df, counts=True).select("n_lines", "n_removed", "removed_lines").collect()
+    assert row["n_lines"] == 1_000_000 and 5000 in row["removed_lines"] and time.time() - began < 120
+    assert not {*range(70)} & set(row["removed_lines"])
+
+
+def test_blocks_hold_what_they_were_given():
+    columns = [np.array([1, 300, 2**40], np.uint64), np.array([-1, 5]), np.zeros(0, np.uint16), np.array([True, False]).astype(np.uint8)]
+    for given, got in zip(columns, blocks.unpack(blocks.pack(columns)), strict=True):
+        assert given.tolist() == got.tolist()
+
+
 def test_long_hash_equals_spark(spark):
     values = [0, 1, -1, 42, 2**62, -(2**63), 123456789]
     got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v long").selectExpr("xxhash64(v)").collect()]
