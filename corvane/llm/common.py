@@ -19,6 +19,8 @@ from corvane import ship
 STEP_BYTES = 4 << 20
 #: Spark's own switch: shuffle files go when the statement that made them has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows of a batch that goes to Python while a work table is written.
+BATCH_ROWS, MOST_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,12 +51,16 @@ class Workspace:
         return f"{self.base}/{table}"
 
     def write(self, df: DataFrame, table: str, codec: str = "zstd") -> DataFrame:
-        before = self.spark.conf.get(CLEANUP)
-        self.spark.conf.set(CLEANUP, "true")  # what is read from now on is the table
+        # What is read from now on is the table; documents go to Python in batches that fit a worker several times.
+        wanted = {CLEANUP: "true", BATCH_ROWS: str(min(MOST_ROWS, int(self.spark.conf.get(BATCH_ROWS))))}
+        before = {k: self.spark.conf.get(k) for k in wanted}
         try:
+            for k, v in wanted.items():
+                self.spark.conf.set(k, v)
             df.write.mode("overwrite").option("compression", codec).parquet(self.path(table))
         finally:
-            self.spark.conf.set(CLEANUP, before)
+            for k, v in before.items():
+                self.spark.conf.set(k, v)
         return self.read(table, df.schema)
 
     def read(self, table: str, schema: T.StructType) -> DataFrame:
@@ -101,6 +107,13 @@ def steps(sizes: list[int], limit: int = STEP_BYTES) -> Iterator[tuple[int, int]
         yield first, len(sizes)
 
 
+def text_steps(column: pa.Array, limit: int = STEP_BYTES) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, UTF-8 bytes of the texts) of ranges of rows of at most ``limit`` bytes together; null is empty."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    for a, b in steps(sizes, limit):
+        yield a, text_bytes(column.slice(a, b - a))
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | T.StructType) -> DataFrame:
     """mapInArrow with a function of one batch."""
     ship(df.sparkSession)
@@ -147,3 +160,43 @@ def sequential_segments(counts: np.ndarray) -> np.ndarray:
 def hex64(column):
     """16 lower-case hex digits of a long, as unsigned."""
     return F.lower(F.lpad(F.hex(column), 16, "0"))
+
+
+#: Bits of a Bloom filter's address.
+BLOOM_BITS = 24
+
+
+class Bloom:
+    """A bit map of fixed size; membership may be wrong only by saying yes."""
+
+    def __init__(self, values: DataFrame, column: str):
+        at = F.shiftrightunsigned(F.xxhash64(column), 64 - BLOOM_BITS)
+        word = F.shiftright(at, 6)
+        bit = F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))")
+        # At most 2^(BLOOM_BITS - 6) rows.
+        found = values.select(at.alias("at"), word.cast("int").alias("word")).groupBy("word").agg(bit.alias("bits")).toArrow()
+        self.words = np.zeros(1 << (BLOOM_BITS - 6), np.int64)
+        self.words[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+        self.words = self.words.view(np.uint64)
+
+    def has(self, values: np.ndarray) -> np.ndarray:
+        """values: signed longs."""
+        at = hash_longs(values)
+        at >>= np.uint64(64 - BLOOM_BITS)
+        return (self.words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def hash_longs(values: np.ndarray) -> np.ndarray:
+    """XXH64 with seed 42 of 8-byte values, as Spark's xxhash64 has it for longs."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+    def turn(x: np.ndarray, n: int) -> np.ndarray:
+        return x << np.uint64(n) | x >> np.uint64(64 - n)
+
+    with np.errstate(over="ignore"):
+        h = np.full(len(values), np.uint64(42) + p5 + np.uint64(8))
+        h ^= turn(values.astype(np.int64).view(np.uint64) * p2, 31) * p1
+        h = turn(h, 27) * p1 + p4
+        h = (h ^ h >> np.uint64(33)) * p2
+        h = (h ^ h >> np.uint64(29)) * p3
+        return h ^ h >> np.uint64(32)

@@ -51,10 +51,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.llm import blocks
-from corvane.llm.common import Workspace, free_names, map_batches, sequential_segments, steps, text_bytes, word_stream
+from corvane.llm.common import Bloom, Workspace, free_names, map_batches, sequential_segments, text_steps, word_stream
 
 SIMILARITY = 0.8
-COUNTER_BITS, BLOCK_BITS, BLOOM_BITS, HEAVY_BITS = 22, 16, 24, 16
+COUNTER_BITS, BLOCK_BITS, HEAVY_BITS = 22, 16, 16
 #: Sets of more words have the wider parity map.
 LARGE = 96
 
@@ -64,7 +64,7 @@ class Limits:
     """Bounds of a step's work; the result doesn't depend on them."""
 
     #: Earlier candidates of a row in a bucket that are verified at first.
-    keep: int = 4
+    keep: int = 2
     #: Buckets of more rows are compared by neighbourhoods first, each row with so many before it.
     full: int = 1 << 14
     window: int = 64
@@ -176,9 +176,8 @@ def word_counters(docs: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << COUNTER_BITS, np.int64)
         for b in batches:
-            texts = text_bytes(b.column(0))
-            for i, j in steps([len(x) for x in texts]):
-                h, codes, _ = distinct_words([b"\n".join(texts[i:j]).lower()])
+            for _, texts in text_steps(b.column(0)):
+                h, codes, _ = distinct_words([b"\n".join(texts).lower()])
                 np.add.at(total, (h[:, 0] >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), np.bincount(codes, minlength=len(h)))
         for k in range(len(total) // size):
             own = total[k * size : (k + 1) * size]
@@ -266,12 +265,11 @@ def line_classes(docs: DataFrame, counters, similarity: float, work: Workspace,
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for b in batches:
-            texts, known = text_bytes(b.column(1)), pc.is_valid(b.column(0)).to_numpy(zero_copy_only=False)
-            doc = pc.fill_null(b.column(0), 0).to_numpy(zero_copy_only=False)
-            for i, j in steps([len(x) for x in texts]):
-                lines, owner, number = document_lines(texts[i:j])
+            known, doc = pc.is_valid(b.column(0)).to_numpy(zero_copy_only=False), pc.fill_null(b.column(0), 0).to_numpy(zero_copy_only=False)
+            for i, texts in text_steps(b.column(1)):
+                lines, owner, number = document_lines(texts)
                 sets = LineSets(lines, counters.value)
-                keys = np.array([xxhash.xxh64_intdigest(x, 42) for x in texts[i:j]], np.uint64).view(np.int64)
+                keys = np.array([xxhash.xxh64_intdigest(x, 42) for x in texts], np.uint64).view(np.int64)
                 own = owner[sets.line]
                 held.append(Classes.of(sets, doc[own + i], known[own + i], keys[own], number[sets.line], similarity))
                 n += len(own)
@@ -290,42 +288,6 @@ def line_classes(docs: DataFrame, counters, similarity: float, work: Workspace,
     return work.write(blocks.by_cell(own.mapInArrow(read, blocks.SCHEMA), fold, blocks.SCHEMA), "classes", "none")
 
 
-class Bloom:
-    """A bit map of fixed size; membership may be wrong only by saying yes."""
-
-    def __init__(self, values: DataFrame, column: str):
-        at = F.shiftrightunsigned(F.xxhash64(column), 64 - BLOOM_BITS)
-        word = F.shiftright(at, 6)
-        bit = F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))")
-        # At most 2^(BLOOM_BITS - 6) rows.
-        found = values.select(at.alias("at"), word.cast("int").alias("word")).groupBy("word").agg(bit.alias("bits")).toArrow()
-        self.words = np.zeros(1 << (BLOOM_BITS - 6), np.int64)
-        self.words[found.column("word").to_numpy()] = found.column("bits").to_numpy()
-        self.words = self.words.view(np.uint64)
-
-    def has(self, values: np.ndarray) -> np.ndarray:
-        """values: signed longs."""
-        at = hash_longs(values)
-        at >>= np.uint64(64 - BLOOM_BITS)
-        return (self.words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
-
-
-def hash_longs(values: np.ndarray) -> np.ndarray:
-    """XXH64 with seed 42 of 8-byte values, as Spark's xxhash64 has it for longs."""
-    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-
-    def turn(x: np.ndarray, n: int) -> np.ndarray:
-        return x << np.uint64(n) | x >> np.uint64(64 - n)
-
-    with np.errstate(over="ignore"):
-        h = np.full(len(values), np.uint64(42) + p5 + np.uint64(8))
-        h ^= turn(values.astype(np.int64).view(np.uint64) * p2, 31) * p1
-        h = turn(h, 27) * p1 + p4
-        h = (h ^ h >> np.uint64(33)) * p2
-        h = (h ^ h >> np.uint64(29)) * p3
-        return h ^ h >> np.uint64(32)
-
-
 def place_hash(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
     """One number for a place (null ids as 0), as ``place_column`` has it."""
     return doc.astype(np.int64) ^ line.astype(np.int64) << np.int64(40)
@@ -589,8 +551,14 @@ def from_classes(classes: DataFrame, fn, schema: str) -> DataFrame:
     return map_batches(classes, lambda b: pa.concat_batches([fn(Classes(blocks.unpack(x.as_buffer().to_pybytes()))) for x in b.column(1)]), schema)
 
 
+def distinct_pairs(pairs: DataFrame) -> DataFrame:
+    """Each pair once: most share several prefix words."""
+    names = [x.split()[0] for x in PAIR_SCHEMA.split(", ")]
+    return pairs.groupBy(*names[:6], "heavy").agg(F.max("more").alias("more"), F.max("rows").alias("rows")).select(*names)
+
+
 def verified(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """(b_doc, b_line, b_id) of the pairs whose sets match, by the words of the lines themselves."""
+    """(b_doc, b_line, b_id) of the distinct pairs (written) whose sets match, by the words of the lines themselves."""
     sides = [pairs.select(F.col(f"{s}_doc").alias("doc"), F.col(f"{s}_line").alias("line")) for s in "ab"]
     ends = sides[0].unionByName(sides[1]).select(F.coalesce("doc", F.lit(0).cast("long")).alias("doc"), place_column("doc", "line").alias("place"))
     owners, places = (docs.sparkSession.sparkContext.broadcast(Bloom(ends.select(c).distinct(), c)) for c in ("doc", "place"))
@@ -599,9 +567,9 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
         for b in batches:
             doc = pc.fill_null(b.column(0), 0).to_numpy(zero_copy_only=False)
             near = np.flatnonzero(owners.value.has(doc))
-            texts = text_bytes(b.column(1).take(pa.array(near)))
-            for i, j in steps([len(x) for x in texts]):
-                lines, owner, number = document_lines(texts[i:j])
+            for i, texts in text_steps(b.column(1).take(pa.array(near))):
+                j = i + len(texts)
+                lines, owner, number = document_lines(texts)
                 mine = np.flatnonzero(places.value.has(place_hash(doc[near[i:j]][owner], number)))
                 sets = LineSets([lines[k] for k in mine.tolist()])
                 at = mine[sets.line]
@@ -619,7 +587,7 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     both = pairs
     for side in "ab":
         both = both.withColumn(side, F.struct(F.col(f"{side}_doc").alias("doc"), F.col(f"{side}_line").alias("line"), F.col(f"{side}_id").alias("id")))
-    both = both.select("a", "b").distinct()
+    both = both.select("a", "b")
     for side, name in (("a", "x"), ("b", "y")):
         right = one.select(F.col("at").alias("_at"), F.col("words").alias(name))
         both = both.join(right, both[side].eqNullSafe(right["_at"])).drop("_at")
@@ -640,7 +608,8 @@ def kept_lines(docs: DataFrame, similarity: float = SIMILARITY, work: Workspace
     spark = docs.sparkSession
     work = work or Workspace(spark, "line-dedup")
     classes = line_classes(docs, spark.sparkContext.broadcast(word_counters(docs)), similarity, work, limits)
-    pairs = work.write(blocks.by_cell(deal_by_word(classes, limits=limits), lambda held: bucket_candidates(held, similarity, limits.keep, False, limits), PAIR_SCHEMA), "pairs", "lz4")
+    found = blocks.by_cell(deal_by_word(classes, limits=limits), lambda held: bucket_candidates(held, similarity, limits.keep, False, limits), PAIR_SCHEMA)
+    pairs = work.write(distinct_pairs(found), "pairs", "lz4")
     gone = work.write(verified(pairs.where("a_id is not null"), docs, similarity), "gone", "lz4")
     groups = np.ones(1 << HEAVY_BITS, np.uint32)
     # At most 2^HEAVY_BITS rows.
@@ -661,7 +630,8 @@ def kept_lines(docs: DataFrame, similarity: float = SIMILARITY, work: Workspace
         words = from_classes(classes, prefix_of_open, "word long")
         wanted = spark.sparkContext.broadcast(Bloom(words.distinct(), "word"))
         dealt = deal_by_word(classes, wanted, opened, heavy, limits)
-        pairs = work.write(blocks.by_cell(dealt, lambda held, keep=keep: bucket_candidates(held, similarity, keep, True, limits), PAIR_SCHEMA), f"pairs-{turn}", "lz4")
+        found = blocks.by_cell(dealt, lambda held, keep=keep: bucket_candidates(held, similarity, keep, True, limits), PAIR_SCHEMA)
+        pairs = work.write(distinct_pairs(found), f"pairs-{turn}", "lz4")
         more = verified(pairs.where("a_id is not null"), docs, similarity)
         gone = work.write(gone.unionByName(more).distinct(), f"gone-{turn}", "lz4")
 
