@@ -45,7 +45,7 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Workspace(spark, "op3")
-    return warc.read_pages(work.write(warc.archives(table(spark, sf_dir, "pages")), "archives"))
+    return warc.read_pages(work.write(warc.archives(table(spark, sf_dir, "pages")), "archives"), work=work)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,20 +6,26 @@ WARC-Segment-Number 1, the others are continuation records with the origin's id,
 their number and, on the last, the total length.  Of pages with equal payloads of
 at least ``revisit_bytes`` bytes, the one with the largest page_id is a response
 and the others are revisits that name it; a revisit's block is the HTTP header alone, and
-its payload is taken from the record that it refers to.
+its payload is that of the record that it refers to.  A record's id is made of page_id and payload digest, so
+it is known before anything is written.
 
 Archives are written as rows of a Parquet table (archive, member, warc), which
 gives Spark's commit protocol in any store; the members of an archive, one after
 another, are a plain WARC file (``export_archives``).
 
+Writing moves html only for pages whose payload may occur again, by a Bloom filter
+of such digests; the others go from the scan into archives.
+
 Reading parses records out of the members, groups segments by origin id, orders
 them by number, checks that none is missing and that the lengths give the stated
-total, joins the blocks, and decodes the chunked framing.
+total, joins the blocks, and decodes the chunked framing.  Every record that a
+revisit names is looked up; it has to be a response whose decoded payload has the
+size and digest that the revisit states.
 
 Defined cases: null html is an empty payload; null url is an empty target; rows
-that repeat page_id and payload are alike: all are responses, or all revisits;
+that repeat page_id and payload are alike: all are responses, or all revisits, and copies of one record with one id;
 null page_ids come last in choosing a response, and a payload that null ids alone
-have is not revisited; an empty table gives no archives and no rows; other
+have is not revisited; a very long html is many segments, which meet again in one row of its own size; an empty table gives no archives and no rows; other
 columns are ignored.
 """
 
@@ -32,7 +38,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.llm.common import Bloom, Workspace, map_batches
+
 REVISIT_BYTES = 1000
+#: Parts into which pages of one payload are dealt out.
+SALTS = 16
 SEGMENT_BYTES = 16 << 10
 CHUNK_BYTES = 4 << 10
 #: A member is closed at so many bytes.
@@ -91,14 +101,18 @@ def _safe(url: str) -> str:
     return "".join(f"%{b:02X}" if b < 33 or b > 126 else chr(b) for b in url.encode())
 
 
-def page_records(name: str, page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None, segment_bytes: int) -> Iterator[bytes]:
-    """The record of a page, or its segments."""
-    own = f"<urn:page:{name}>"
+def record_id(page_id: int | None, digest: str) -> str:
+    return f"<urn:page:{'none' if page_id is None else page_id}:{digest}>"
+
+
+def page_records(copy: str, page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None, segment_bytes: int) -> Iterator[bytes]:
+    """The record of a page, or its segments; copy tells rows that repeat a record apart."""
+    own = record_id(page_id, digest)
     shown = "" if page_id is None else str(page_id)
-    head = [("WARC-Record-ID", own), ("WARC-Date", DATE), ("WARC-Target-URI", _safe(url)), ("X-Page-ID", shown), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Payload-Length", str(len(payload)))]
+    head = [("WARC-Record-ID", own), ("WARC-Date", DATE), ("WARC-Target-URI", _safe(url)), ("X-Page-ID", shown), ("X-Copy", copy), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Payload-Length", str(len(payload)))]
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
     if refers_to is not None:
-        more = [("WARC-Type", "revisit"), ("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:page:{refers_to}>"), ("Content-Type", "application/http; msgtype=response")]
+        more = [("WARC-Type", "revisit"), ("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(refers_to, digest)), ("Content-Type", "application/http; msgtype=response")]
         yield record([*more, *head], http)
         return
     block = http + chunked(payload)
@@ -110,7 +124,7 @@ def page_records(name: str, page_id: int | None, url: str, payload: bytes, diges
     yield record([*kind, ("WARC-Segment-Number", "1")], parts[0])
     for k, part in enumerate(parts[1:], 2):
         last = [("WARC-Segment-Total-Length", str(len(block)))] if k == len(parts) else []
-        yield record([("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:segment:{name}:{k}>"), ("WARC-Date", DATE), ("WARC-Segment-Origin-ID", own), ("WARC-Segment-Number", str(k)), *last], part)
+        yield record([("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:segment:{own[10:-1]}:{copy}:{k}>"), ("WARC-Date", DATE), ("X-Copy", copy), ("WARC-Segment-Origin-ID", own), ("WARC-Segment-Number", str(k)), *last], part)
 
 
 def archives(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES, segment_bytes: int = SEGMENT_BYTES, member_bytes: int = MEMBER_BYTES) -> DataFrame:
@@ -119,10 +133,25 @@ def archives(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES, segment_bytes
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), F.sha1(html).alias("digest"))
     # Only ids and digests are grouped; the page that others refer to is known before any html moves.
     keys = own.where(F.octet_length("html") >= revisit_bytes).select("page_id", "digest")
-    chosen = keys.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    links = keys.join(chosen, "digest").where("page_id is not null and page_id < refers_to").groupBy("page_id", "digest").agg(F.first("refers_to").alias("refers_to"))
-    right = links.select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "refers_to")
-    decided = own.join(right, (own["page_id"] == right["_id"]) & (own["digest"] == right["_digest"]), "left").select("page_id", "url", "html", "digest", "refers_to")
+    chosen = keys.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 and refers_to is not null").select("digest", "refers_to")
+    digest_key = F.xxhash64("digest")
+    shared = pages.sparkSession.sparkContext.broadcast(Bloom(chosen.select(digest_key.alias("key")), "key"))
+    keyed = own.withColumn("_key", digest_key)
+
+    def only(wanted: bool):
+        def keep(b: pa.RecordBatch) -> pa.RecordBatch:
+            found = shared.value.has(b.column(b.num_columns - 1).to_numpy(zero_copy_only=False))
+            return b.filter(pa.array(found == wanted))
+
+        return map_batches(keyed, keep, keyed.schema)
+
+    # One payload may be that of a third of all pages, so it is dealt out in parts.
+    salted = only(True).withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)))
+    right = chosen.select("digest", "refers_to", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("_salt"))
+    refers = F.when((F.octet_length("html") >= revisit_bytes) & F.col("page_id").isNotNull() & (F.col("page_id") < F.col("refers_to")), F.col("refers_to"))
+    linked = salted.join(right, ["digest", "_salt"], "left").withColumn("refers_to", refers)
+    columns = ["page_id", "url", "html", "digest", "refers_to"]
+    decided = linked.select(*columns).unionByName(only(False).withColumn("refers_to", F.lit(None).cast("long")).select(*columns))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -134,7 +163,7 @@ def archives(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES, segment_bytes
 
         for batch in batches:
             for page_id, url, text, digest, refers_to in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                for raw in page_records(f"{page_id}:{part}:{row}", page_id, url, text.encode(), digest, refers_to, segment_bytes):
+                for raw in page_records(f"{part}.{row}", page_id, url, text.encode(), digest, refers_to, segment_bytes):
                     held.append(raw)
                     size += len(raw)
                     if size >= member_bytes:
@@ -147,7 +176,8 @@ def archives(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES, segment_bytes
     return decided.mapInArrow(write, "archive int, member int, warc binary")
 
 
-_RECORD = "record_id string, kind string, page_id long, refers_to long, digest string, payload_bytes long, segment int, total long, block binary"
+_RECORD = "record_id string, copy string, kind string, page_id long, refers_id string, digest string, payload_bytes long, segment int, total long, block binary"
+_HEAD = ("kind", "page_id", "refers_id", "digest", "payload_bytes")
 
 
 def parsed_records(archive_table: DataFrame) -> DataFrame:
@@ -155,14 +185,14 @@ def parsed_records(archive_table: DataFrame) -> DataFrame:
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in _RECORD.split(", ")]
-        kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+        kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
         for batch in batches:
             for raw in batch.column(0):
                 rows = []
                 for h, block in records(raw.as_py()):
                     kind, total = h["warc-type"], h.get("warc-segment-total-length")
                     page, refers = h.get("x-page-id"), h.get("warc-refers-to")
-                    rows.append((h["warc-segment-origin-id"] if kind == "continuation" else h["warc-record-id"], kind, int(page) if page else None, int(refers[1:-1].rpartition(":")[2]) if refers else None, h.get("warc-payload-digest", "")[5:], int(h.get("x-payload-length", -1)), int(h.get("warc-segment-number", 0)), int(total) if total else None, block))
+                    rows.append((h["warc-segment-origin-id"] if kind == "continuation" else h["warc-record-id"], h.get("x-copy", ""), kind, int(page) if page else None, refers, h.get("warc-payload-digest", "")[5:], int(h.get("x-payload-length", -1)), int(h.get("warc-segment-number", 0)), int(total) if total else None, block))
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     return archive_table.select("warc").mapInArrow(parse, _RECORD)
@@ -173,30 +203,33 @@ def reassembled(archive_table: DataFrame) -> DataFrame:
     rows = parsed_records(archive_table)
     whole = rows.where("segment = 0").drop("segment", "total")
     # A group is one record's segments, so it is bounded by the record's own size.
-    groups = rows.where("segment > 0").groupBy("record_id").agg(
+    groups = rows.where("segment > 0").groupBy("record_id", "copy").agg(
         F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("parts"),
         F.max("total").alias("total"),
-        *[F.max(F.when(F.col("segment") == 1, F.col(c))).alias(c) for c in ("kind", "page_id", "refers_to", "digest", "payload_bytes")],
+        *[F.max(F.when(F.col("segment") == 1, F.col(c))).alias(c) for c in _HEAD],
     )
     joined = groups.withColumn("block", F.unhex(F.array_join(F.transform("parts", lambda x: F.hex(x["block"])), "")))  # linear, unlike a fold of concat
     numbers = F.transform("parts", lambda x: x["segment"]) == F.sequence(F.lit(1), F.size("parts"))
     sound = F.coalesce(numbers & (F.octet_length("block") == F.col("total")), F.lit(False))
     checked = F.when(sound, F.col("block")).otherwise(F.raise_error(F.concat(F.lit("segments are missing from record "), F.col("record_id"))))
-    return whole.unionByName(joined.select("record_id", "kind", "page_id", "refers_to", "digest", "payload_bytes", checked.alias("block")))
+    return whole.drop("copy").unionByName(joined.select("record_id", *_HEAD, checked.alias("block")))
 
 
-def read_pages(archive_table: DataFrame, with_payload: bool = False) -> DataFrame:
+def read_pages(archive_table: DataFrame, with_payload: bool = False, work: Workspace | None = None) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of each page; the payload of responses on request.
 
     A response's size and digest are computed from the decoded payload and held
-    against its headers; a revisit's are those of the payload that it refers to, by digest.
+    against its headers; a revisit's are those of the record that it refers to,
+    which has to be there.
     """
-    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload
+    work = work or Workspace(archive_table.sparkSession, "warc")
+    schema = "record_id string, kind string, page_id long, refers_id string, digest string, payload_bytes long, payload binary"
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
         for batch in batches:
             rows = []
-            for kind, page_id, refers_to, digest, stated, block in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            for own, kind, page_id, refers, digest, stated, block in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
                 payload, size = None, stated
                 if kind == "response":
                     head, _, body = block.partition(b"\r\n\r\n")
@@ -204,12 +237,18 @@ def read_pages(archive_table: DataFrame, with_payload: bool = False) -> DataFram
                     size = len(payload)
                     if size != stated or hashlib.sha1(payload).hexdigest() != digest:
                         raise ValueError(f"the payload of page {page_id} differs from its record")
-                rows.append((page_id, size, digest, kind, refers_to, payload)[: 5 + with_payload])
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())[: 5 + with_payload]
+                rows.append((own, kind, page_id, refers, digest, size, payload if with_payload else None))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
 
-    return reassembled(archive_table).select("kind", "page_id", "refers_to", "digest", "payload_bytes", "block").mapInArrow(decode, schema)
+    found = work.write(reassembled(archive_table).select("record_id", *_HEAD, "block").mapInArrow(decode, schema), "pages")
+    # Each named record once, however many pages name it.
+    named = found.where("kind = 'revisit'").select(F.col("refers_id").alias("record_id"), "digest", "payload_bytes").distinct()
+    sound = found.where("kind = 'response'").select("record_id", "digest", "payload_bytes")
+    if lost := named.join(sound, ["record_id", "digest", "payload_bytes"], "left_anti").take(1):
+        raise ValueError(f"a revisit refers to {lost[0]['record_id']}, which is missing or differs")
+    refers_to = F.regexp_extract("refers_id", r"^<urn:page:(-?\d+):", 1).try_cast("long")
+    return found.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), refers_to.alias("refers_to"), *(["payload"] if with_payload else []))
 
 
 def export_archives(archive_table: DataFrame, folder: str) -> int:
