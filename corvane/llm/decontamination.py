@@ -8,12 +8,15 @@ without passing an occurrence; where the shift is zero, the bucket of the
 position's suffix hash gives the test strings, and direct comparison of all
 words confirms them.  All positions of a batch advance side by side in arrays.
 
-The benchmark is cut into blocks of at most ``max_windows`` test strings, and the
-documents pass through one searcher after the other, so what is broadcast at a
-time is bounded; hits are carried along in the rows.
-
-Defined cases: null and empty texts have no words and no hits; an item without
-words has no windows; items with equal windows are all counted; repeated rows and
+Items are cut into pieces on the executors (``window`` - 1 words are in two
+neighbours) and the pieces fall into blocks of about ``max_windows`` test strings.
+One block at a time is on the driver and is broadcast.  If there is one block, hits
+are found where the documents are read; of several, each leaves a table of its hits by document, which
+are brought together by document at the end.
+
+Defined cases: null and empty texts have no words and no hits; a very long text is searched whole, in
+stretches; an item without words has no windows; an item without an id counts as one (all such together) but has no name in the
+digest; items with equal windows are all counted; repeated rows and
 ids are searched row by row; an empty benchmark leaves every document clean;
 other columns are kept or ignored as asked, whatever their names.
 """
@@ -21,6 +24,7 @@ other columns are kept or ignored as asked, whatever their names.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import PLAIN_WORDS, free_names, map_batches, sequential_segments, steps, text_bytes, word_stream
+from corvane import ship
+from corvane.llm.common import PLAIN_WORDS, Workspace, free_names, map_batches, sequential_segments, steps, text_bytes, word_stream
 
 WINDOW = 10
 #: Test strings of one searcher: with 10 words of 40 bytes each, below 64 MB.
@@ -145,55 +150,106 @@ class Searcher:
         return np.cumsum(change[:-1]) > 0, items
 
 
-def item_blocks(benchmark: DataFrame, window: int, max_windows: int) -> list[list[tuple[object, list[str]]]]:
-    """Items with their words, in blocks of about max_windows windows; a block is all that the driver sends out at a time."""
-    blocks: list[list[tuple[object, list[str]]]] = []
-    held = max_windows
-    for row in benchmark.select("item_id", "text").where("text is not null").toLocalIterator():
-        if not (words := plain_words(row["text"])):
-            continue
-        n = max(1, len(words) - window + 1)
-        if held + n > max_windows and not (blocks and not blocks[-1]):
-            blocks.append([])
-            held = 0
-        blocks[-1].append((row["item_id"], words))
-        held += n
-    return blocks
-
-
-def find_overlap(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS, name: str = HITS) -> DataFrame:
-    """docs with a struct of that name: n_words, spans (word intervals, joined), items (item_ids as sorted strings)."""
-    spark = docs.sparkSession
-    kind = T._parse_datatype_string("struct<n_words: long, spans: array<struct<first: long, last: long>>, items: array<string>>")
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, kind)])
-    arrow = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), ("items", pa.list_(pa.string()))])
-    out, blocks = docs, item_blocks(benchmark, window, max_windows) or [[]]
-    for k, block in enumerate(blocks):
-        searcher = spark.sparkContext.broadcast(Searcher(block, window))
-
-        def search(batch: pa.RecordBatch, searcher=searcher, k=k) -> pa.RecordBatch:
-            texts = text_bytes(batch.column("text"))
-            old = batch.column(batch.num_columns - 1).to_pylist() if k else None
-            found = []
-            for a, b in steps([len(x) for x in texts]):
-                flat, offsets = word_stream([x.translate(PLAIN_WORDS) for x in texts[a:b]])
-                hit, items = searcher.value.search(flat, offsets)
-                for i in range(b - a):
-                    n, spans, names = int(offsets[i + 1] - offsets[i]), [], items.get(i, ())
-                    if names:
-                        own = hit[offsets[i] : offsets[i + 1]].astype(np.int8)
-                        edge = np.flatnonzero(np.diff(np.concatenate(([0], own, [0]))))
-                        spans = list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
-                    names = {str(x) for x in names}
-                    if old and old[a + i]["items"]:
-                        names |= set(old[a + i]["items"])
-                        spans = join_spans(spans + [(s["first"], s["last"]) for s in old[a + i]["spans"]])
-                    found.append({"n_words": n, "spans": [{"first": x, "last": y} for x, y in spans], "items": sorted(names)})
-            columns = [batch.column(i) for i in range(batch.num_columns - bool(k))]
-            return pa.RecordBatch.from_arrays([*columns, pa.array(found, arrow)], names=[f.name for f in schema.fields])
-
-        out = map_batches(out, search, schema)
-    return out
+#: Words of a piece of an item.
+PIECE_WORDS = 2_000
+
+
+def item_pieces(benchmark: DataFrame, window: int) -> DataFrame:
+    """item_id (as a string), words and windows of pieces of all items that have a word."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = plain_words(text)
+                for i in range(0, max(1, len(words) - window + 1) if words else 0, PIECE_WORDS):
+                    own = words[i : i + PIECE_WORDS + window - 1]
+                    rows.append((item, own, max(1, len(own) - window + 1)))
+            if rows:
+                kinds = (pa.string(), pa.list_(pa.string()), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["item_id", "words", "windows"])
+
+    ship(benchmark.sparkSession)
+    own = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null")
+    return own.mapInArrow(cut, "item_id string, words array<string>, windows long")
+
+
+def searchers(benchmark: DataFrame, window: int, max_windows: int, work: Workspace) -> tuple[int, Iterator[Searcher]]:
+    """The number of blocks, and their searchers one after another."""
+    pieces = work.write(item_pieces(benchmark, window), "pieces")
+    total = pieces.agg(F.sum("windows")).first()[0] or 0
+    n = max(1, -(-total // max_windows))
+    block = F.pmod(F.xxhash64("item_id", "words"), F.lit(n))
+
+    def each() -> Iterator[Searcher]:
+        for k in range(n):
+            # About max_windows test strings.
+            yield Searcher([(r["item_id"], r["words"]) for r in pieces.where(block == k).collect()], window)
+
+    return n, each()
+
+
+_HIT = "struct<n_words: long, spans: array<struct<first: long, last: long>>, items: array<string>>"
+_HIT_ARROW = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), ("items", pa.list_(pa.string()))])
+
+
+def _search(docs: DataFrame, searcher, name: str, hits_only: bool) -> DataFrame:
+    """docs with the hits of one searcher (a broadcast), or only the rows that have any."""
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T._parse_datatype_string(_HIT))])
+
+    def search(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts, found = text_bytes(batch.column("text")), []
+        for a, b in steps([len(x) for x in texts]):
+            flat, offsets = word_stream([x.translate(PLAIN_WORDS) for x in texts[a:b]])
+            hit, items = searcher.value.search(flat, offsets)
+            for i in range(b - a):
+                spans, names = [], items.get(i, ())
+                if names:
+                    own = hit[offsets[i] : offsets[i + 1]].astype(np.int8)
+                    edge = np.flatnonzero(np.diff(np.concatenate(([0], own, [0]))))
+                    spans = list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
+                found.append({"n_words": int(offsets[i + 1] - offsets[i]), "spans": [{"first": x, "last": y} for x, y in spans], "items": sorted(names, key=lambda x: (x is not None, x))})
+        out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, _HIT_ARROW)], names=schema.names)
+        return out.filter(pa.array([bool(x["items"]) for x in found])) if hits_only else out
+
+    return map_batches(docs, search, schema)
+
+
+def find_overlap(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS, name: str = HITS, work: Workspace | None = None) -> DataFrame:
+    """docs with a struct of that name: n_words, spans (word intervals, joined), items (item_ids as sorted strings, null for those without one)."""
+    context = docs.sparkSession.sparkContext
+    work = work or Workspace(docs.sparkSession, "decontamination")
+    n, each = searchers(benchmark, window, max_windows, work)
+    if n == 1:
+        return _search(docs, context.broadcast(next(each)), name, False)
+    key = F.xxhash64(F.coalesce("text", F.lit(""))).alias("key")
+    tables = []
+    for k, searcher in enumerate(each):
+        sent = context.broadcast(searcher)
+        found = _search(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), sent, HITS, True).select("id", key, f"{HITS}.spans", f"{HITS}.items")
+        # Rows that repeat id and text have the same hits.
+        tables.append(work.write(found.dropDuplicates(["id", "key"]), f"hits-{k}"))
+        sent.destroy()
+    hits = tables[0]
+    for t in tables[1:]:
+        hits = hits.unionByName(t)
+    # A document's hits: at most one row a block.
+    every = hits.groupBy("id", "key").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    own, doc_key, spans, items = free_names(docs, "_doc", "_key", "_spans", "_items")
+    right = every.select(F.col("id").alias(own), F.col("key").alias(doc_key), F.col("spans").alias(spans), F.col("items").alias(items))
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col(own)) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col(doc_key))
+    held = docs.join(right, same, "left").select(*[docs[c] for c in docs.columns], spans, items)
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T._parse_datatype_string(_HIT))])
+
+    def bring(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = []
+        texts = text_bytes(batch.column("text"))
+        for text, parts, names in zip(texts, batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+            joined = join_spans([(x["first"], x["last"]) for x in parts or ()])
+            found.append({"n_words": len(text.translate(PLAIN_WORDS).split()), "spans": [{"first": x, "last": y} for x, y in joined], "items": sorted(names or (), key=lambda x: (x is not None, x))})
+        return pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(found, _HIT_ARROW)], names=schema.names)
+
+    return map_batches(held, bring, schema)
 
 
 def join_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
