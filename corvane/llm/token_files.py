@@ -12,10 +12,13 @@ all little-endian::
 
 An Elias-Fano sequence of n values up to u takes about n * (2 + log2(u / n))
 bits: the low bits are packed, the high bits are a unary bit vector with a
-sampled select directory, so an offset is found without a 64-bit table.
+sampled select directory, so an offset is found without a 64-bit table.  Reading a
+document, or all of them, goes through the directory: from the sampled set bit before a
+value only the bits up to the next sampled one are looked at.
 
 Defined cases: null text is empty (its ids are the end id alone); documents are
-in ascending doc_id order, null ids first, ties in order of the text; repeated
+in ascending doc_id order, null ids first, ties in order of the text's hash, then of the text, so that
+rows of one id are dealt out to several tasks; a very long text is a segment of its own; repeated
 rows stay; an empty table gives an empty file set; other columns are ignored.
 """
 
@@ -35,8 +38,10 @@ from corvane.llm.encoders import encoder
 MAGIC, VERSION = b"CVTI", 1
 #: One of so many set bits is in the select directory.
 SELECT_STEP = 256
-#: A segment is closed at so many ids; a longer document has one of its own.
-SEGMENT_IDS = 1 << 20
+#: A segment is closed at so many ids or documents; a longer document has one of its own.
+SEGMENT_IDS, SEGMENT_DOCUMENTS = 1 << 20, 1 << 16
+#: Numbers whose bits are unpacked at a time; a multiple of 8.
+BITS_STEP = 1 << 13
 SEGMENT_SCHEMA = "part int, seq int, documents long, ids long, base long, segment binary"
 _HEADER = struct.Struct("<4sHBBQQQq")
 _EF = struct.Struct("<QQB7x")
@@ -46,15 +51,9 @@ def _bits(values: np.ndarray, width: int) -> bytes:
     """Values of ``width`` bits each, packed."""
     if not width or not len(values):
         return b""
-    bits = (values[:, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)
-    return np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes()
-
-
-def _unbits(raw: memoryview, n: int, width: int) -> np.ndarray:
-    if not width or not n:
-        return np.zeros(n, np.int64)
-    bits = np.unpackbits(np.frombuffer(raw, np.uint8), count=n * width, bitorder="little").reshape(n, width)
-    return bits.astype(np.int64) @ (np.int64(1) << np.arange(width, dtype=np.int64))
+    places = np.arange(width, dtype=np.uint64)
+    parts = (values[i : i + BITS_STEP] for i in range(0, len(values), BITS_STEP))
+    return b"".join(np.packbits((x[:, None] >> places & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little").tobytes() for x in parts)
 
 
 class EliasFano:
@@ -105,10 +104,36 @@ class EliasFano:
         chunk = int.from_bytes(self.low[first >> 3 : (first + self.low_bits + 7) >> 3], "little")
         return (one - i) << self.low_bits | (chunk >> (first & 7)) & ((1 << self.low_bits) - 1)
 
-    def values(self) -> np.ndarray:
-        """All values; the same select over every set bit at once."""
-        ones = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))[: self.n]
-        return (ones - np.arange(self.n)) << self.low_bits | _unbits(self.low, self.n, self.low_bits)
+    def select_many(self, places: np.ndarray) -> np.ndarray:
+        """The values at these places (ascending); each block of the directory is unpacked once."""
+        places = np.asarray(places, np.int64)
+        if not len(places):
+            return np.zeros(0, np.int64)
+        if places[0] < 0 or places[-1] >= self.n:
+            raise IndexError(int(places[-1]))
+        ones = np.empty(len(places), np.int64)
+        block = places // SELECT_STEP
+        first = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(places)], strict=True):
+            k = int(block[a])
+            begin = int(self.samples[k]) >> 3
+            end = (int(self.samples[k + 1]) >> 3) + 1 if k + 1 < len(self.samples) else len(self.high)
+            found = np.flatnonzero(np.unpackbits(np.frombuffer(self.high[begin:end], np.uint8), bitorder="little")) + 8 * begin
+            found = found[np.searchsorted(found, int(self.samples[k])) :]
+            ones[a:b] = found[places[a:b] - k * SELECT_STEP]
+        return (ones - places) << self.low_bits | self._low(places)
+
+    def _low(self, places: np.ndarray) -> np.ndarray:
+        """The low bits of the values at these places."""
+        width, out = self.low_bits, np.zeros(len(places), np.int64)
+        if not width:
+            return out
+        low = np.frombuffer(self.low, np.uint8)
+        for i in range(0, len(places), BITS_STEP):
+            at = places[i : i + BITS_STEP, None] * width + np.arange(width)
+            bits = low[at >> 3] >> (at & 7).astype(np.uint8) & 1
+            out[i : i + BITS_STEP] = bits.astype(np.int64) @ (np.int64(1) << np.arange(width, dtype=np.int64))
+        return out
 
 
 def encode_segment(doc_ids: list[int | None], parts: list[bytes], dtype: np.dtype) -> bytes:
@@ -130,11 +155,11 @@ def decode_segment(raw: bytes) -> tuple[list[int | None], EliasFano, np.ndarray]
     known, rest = EliasFano.decode(rest)
     if ends.n != documents or known.n != documents - nulls:
         raise ValueError("the segment's counts differ")
-    doc_ids = [None] * nulls + (known.values().astype(np.uint64) + np.uint64(least & (2**64 - 1))).astype(np.int64).tolist()
+    doc_ids = [None] * nulls + (known.select_many(np.arange(known.n)).astype(np.uint64) + np.uint64(least & (2**64 - 1))).astype(np.int64).tolist()
     return doc_ids, ends, np.frombuffer(rest, f"<u{width}", ids)
 
 
-def token_segments(docs: DataFrame, vocabulary: str, end_id: int, segment_ids: int = SEGMENT_IDS) -> DataFrame:
+def token_segments(docs: DataFrame, vocabulary: str, end_id: int, segment_ids: int = SEGMENT_IDS, segment_documents: int = SEGMENT_DOCUMENTS) -> DataFrame:
     """Segments of all documents: ``part`` in doc_id order, ``seq`` within it, ``base`` ids before the segment in its part."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +180,7 @@ def token_segments(docs: DataFrame, vocabulary: str, end_id: int, segment_ids: i
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = enc.encode(text) + end
                 n = len(ids) // enc.dtype.itemsize
-                if parts and held + n > segment_ids:
+                if parts and (held + n > segment_ids or len(parts) >= segment_documents):
                     yield close()
                     base, seq, held, doc_ids, parts = base + held, seq + 1, 0, [], []
                 doc_ids.append(doc_id)
@@ -164,7 +189,10 @@ def token_segments(docs: DataFrame, vocabulary: str, end_id: int, segment_ids: i
         if parts:
             yield close()
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # Rows of one id, or without one, may be a third of all: their texts' hashes and the parts that they come from tell them apart.
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_hash"), F.spark_partition_id().alias("_part"))
+    order = F.col("doc_id").asc_nulls_first()
+    ordered = own.repartitionByRange(order, "_hash", "_part").sortWithinPartitions(order, "_hash", "text").select("doc_id", "text")
     return ordered.mapInArrow(pack, SEGMENT_SCHEMA)
 
 
@@ -179,7 +207,7 @@ def read_documents(segments: DataFrame) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 doc_ids, boundaries, ids = decode_segment(batch.column(1)[i].as_py())
-                ends = boundaries.values()
+                ends = boundaries.select_many(np.arange(boundaries.n))
                 starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
                 crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc_ids, pa.int64()), "start": pa.array(starts + batch.column(0)[i].as_py()), "n_tokens": pa.array(ends - starts), "ids_crc32": pa.array(crc, pa.int64())})
