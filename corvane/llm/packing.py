@@ -3,14 +3,16 @@
 Tokens are cut into pieces of at most ``capacity``; only the number of pieces of
 each length (at most ``capacity`` counts) reaches the driver.  There the plan is
 made on counts alone: for each length, from the longest, the gap that it leaves
-is looked up among single lengths, sums of two and sums of three, and exact
-combinations are consumed as often as the counts allow at once; what remains is
+is looked up in indexes of single lengths, sums of two and sums of three, and exact
+combinations are consumed as often as the counts allow at once; none is refused
+while the counts hold one.  What remains is
 filled best-fit.  Each step uses up a length, so the plan has a few thousand
 patterns whatever the corpus holds.  A piece then finds its place from its rank
 among pieces of its length, which is counted per part and never in one task.
 
 Defined cases: null text is empty (its ids are the end id alone); a document of
-exactly the capacity is one piece; repeated rows are packed as often as they
+exactly the capacity is one piece; a very long one is cut as it is encoded; of lengths that fill a
+gap alike those that are left most often come first, then the shorter; repeated rows are packed as often as they
 occur; an empty table gives no rows; other columns are ignored.
 """
 
@@ -59,21 +61,31 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int =
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECE_SCHEMA)
 
 
+#: Thirds that are looked at before the indexes are made anew.
+REINDEX = 64
+
+
 class _Counts:
-    """Pieces left of each length, with the sums of two lengths that were possible at first (counts only fall, so it is checked on use)."""
+    """Pieces left of each length, with indexes of the sums of two and of three lengths.
+
+    Counts only fall, so an index may name a sum that is spent but never lacks
+    one that can be had; it is made anew when a search under it ends in vain.
+    """
 
     def __init__(self, counts: dict[int, int], capacity: int):
         self.left = np.zeros(capacity + 1, np.int64)
         for length, n in counts.items():
             self.left[length] = n
         self.capacity = capacity
-        self._index_pairs()
+        self._index()
 
-    def _index_pairs(self) -> None:
-        have = (self.left > 0).astype(np.float64)
+    def _index(self) -> None:
+        self.indexed = self.left > 0
         size = 1 << (2 * self.capacity + 1).bit_length()
-        spectrum = np.fft.rfft(have, size)
-        self.pairs = np.fft.irfft(spectrum * spectrum, size)[: self.capacity + 1] > 0.5
+        one = np.fft.rfft(self.indexed, size)
+        self.pairs = np.fft.irfft(one * one, size)[: self.capacity + 1] > 0.5
+        # Sums of three are those of a pair that is within the capacity and a third.
+        self.triples = np.fft.irfft(np.fft.rfft(self.pairs, size) * one, size)[: self.capacity + 1] > 0.5
 
     def times(self, lengths: tuple[int, ...]) -> int:
         return min(int(self.left[x]) // lengths.count(x) for x in lengths)
@@ -90,20 +102,21 @@ class _Counts:
         return None
 
     def exact(self, gap: int, held: tuple[int, ...]) -> tuple[int, ...] | None:
-        """One, two or three lengths that fill the gap exactly."""
+        """One, two or three lengths that fill the gap exactly; None only if the counts hold no such lengths beside the held ones."""
         if self.left[gap] and self.times((*held, gap)):
             return (gap,)
         if self.pairs[gap] and (found := self.pair(gap, held)):
             return found
-        thirds = np.flatnonzero(self.left[1 : gap - 1]) + 1 if gap > 2 else np.zeros(0, np.int64)
-        thirds = thirds[self.pairs[gap - thirds]][::-1]
+        if not self.triples[gap]:
+            return None
+        thirds = (np.flatnonzero(self.left[1 : gap - 1]) + 1)[::-1]
         for i, c in enumerate(thirds.tolist()):
-            if i == 64:  # the sums are out of date: with new ones nearly every third has a pair
-                self._index_pairs()
-            if self.pairs[gap - c] and (found := self.pair(gap - c, (*held, c))):
+            if i == REINDEX and not np.array_equal(self.indexed, self.left > 0):
+                self._index()
+            if self.pairs[gap - c] and self.times((*held, c)) and (found := self.pair(gap - c, (*held, c))):
                 return (c, *found)
-        if len(thirds):
-            self._index_pairs()
+        if not np.array_equal(self.indexed, self.left > 0):
+            self._index()
         return None
 
     def use(self, lengths: tuple[int, ...]) -> int:
@@ -171,7 +184,7 @@ def place_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         return pd.DataFrame({"sequence_id": table[i, 2] + rank.to_numpy() - table[i, 1], "offset": table[i, 3]})
 
     ranked = pieces.join(before, ["part", "length"]).withColumn("rank", F.col("before") + F.col("nth"))
-    return ranked.withColumn("at", place("length", "rank")).select("doc_id", "piece", "start", "length", "ids_crc32", "at.sequence_id", "at.offset")
+    return ranked.withColumn("at", place("length", "rank")).select("doc_id", "piece", "start", "length", "ids_crc32", "at.sequence_id", "at.offset", "part", "nth")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = CAPACITY, work: Workspace | None = None) -> tuple[DataFrame, DataFrame]:
@@ -183,9 +196,8 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, capacity: int
 
 def sequences(pieces: DataFrame, placed: DataFrame) -> DataFrame:
     """The packed ids of each sequence; a sequence has at most ``capacity`` ids."""
-    keys = ["doc_id", "piece", "ids_crc32"]
-    own = placed.dropDuplicates([*keys, "sequence_id", "offset"]).select(*keys, "sequence_id", "offset")
-    ids = pieces.dropDuplicates(keys).select(*[F.col(k).alias(f"_{k}") for k in keys], "ids")
-    same = [own[k].eqNullSafe(ids[f"_{k}"]) for k in keys]
-    joined = own.join(ids, same).groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("x"))
-    return joined.select("sequence_id", F.expr("aggregate(x.ids, x'', (a, b) -> concat(a, b))").alias("ids"))
+    # A piece is known by its part and its number among the part's pieces of its length.
+    key = ["part", "length", "nth"]
+    joined = placed.select(*key, "sequence_id", "offset").join(pieces.select(*key, "ids"), key)
+    whole = joined.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("x"))
+    return whole.select("sequence_id", F.expr("aggregate(x.ids, x'', (a, b) -> concat(a, b))").alias("ids"))
