@@ -1,17 +1,21 @@
 """Quality rules with line labelling by a linear-chain conditional random field.
 
 Each text is a sequence of lines; the field marks every line as content or
-boilerplate by Viterbi decoding, and a document stays if the content lines hold
-at least ``CONTENT_SHARE`` of its word characters and no base rule fails.
+boilerplate by Viterbi decoding, and a document stays if no base rule fails and the content lines hold
+at least the field's share of its word characters.
 
 The field is trained here, on a bounded sample (at most ``TRAIN_DOCS`` labelled
 documents, those with the smallest hash of doc_id among the ones of at most ``TRAIN_CHARS``
-characters, and ``TRAIN_LINES`` lines of each, spread evenly over the text; all three are parameters).  The table labels documents, not lines: a line of a document labelled
-good counts as content, a line of one labelled bad as boilerplate.  Nothing else
+characters, and ``TRAIN_LINES`` lines of each, spread evenly over the text; all three are parameters).
+The table labels documents, not lines, so the lines' labels are latent: they begin as
+their document's, lines that look like the other kind are given to it, and the field is
+trained on the lines' labels, in turns.  Runs of boilerplate lines spliced into good
+documents, and of content lines into bad ones, show it the changes of label.  The share that decides is the one that
+tells the sample's good and bad documents apart best.  Nothing else
 is sampled: every line of every text is decoded.
 
 Defined cases: null and empty texts have no words, fail the base rule and go;
-lines without a word take no part in decoding; without labels of both kinds no
+lines without a word take no part in decoding; a very long text is decoded whole, in time in proportion to its lines; without labels of both kinds no
 field is trained and the base rules alone decide; repeated rows are decided row
 by row; an empty table gives no rows; other columns are ignored, or kept by
 ``keep_good`` whatever their names.
@@ -30,7 +34,10 @@ from pyspark.sql import functions as F
 from corvane.llm.common import map_batches
 
 TRAIN_DOCS, TRAIN_CHARS, TRAIN_LINES = 600, 20_000, 100
+#: The share of content that decides if the sample has no say.
 CONTENT_SHARE = 0.5
+#: Turns of labelling the lines and training, and lines of a spliced run at most.
+TURNS, RUN = 2, 5
 MIN_WORDS, REPEAT_WINDOW, MAX_REPEAT_PERCENT = 10, 5, 20
 STATES = 2  # 0 boilerplate, 1 content
 _SYMBOL = re.compile(r"[#*$%&|<>]")
@@ -116,8 +123,8 @@ def line_features(lines: list[str]) -> np.ndarray:
 class LineField:
     """Linear-chain conditional random field with two states."""
 
-    def __init__(self, emit: np.ndarray, step: np.ndarray):
-        self.emit, self.step = emit, step  # (STATES, FEATURES), (STATES, STATES)
+    def __init__(self, emit: np.ndarray, step: np.ndarray, share: float = CONTENT_SHARE):
+        self.emit, self.step, self.share = emit, step, share  # (STATES, FEATURES), (STATES, STATES), content share that decides
 
     def viterbi(self, features: np.ndarray) -> np.ndarray:
         """The most probable states."""
@@ -140,46 +147,114 @@ class LineField:
         return out
 
     @staticmethod
-    def train(sequences: list[np.ndarray], labels: list[int], rounds: int = 150, rate: float = 0.2, ridge: float = 1e-3) -> LineField:
-        """Gradient ascent (Adam) on the mean log likelihood a line; each sequence has one label for all its lines."""
+    def train(sequences: list[np.ndarray], marks: list[np.ndarray], rounds: int = 80, rate: float = 0.3, ridge: float = 1e-4) -> LineField:
+        """Gradient ascent (Adam) on the mean log likelihood a line; marks: the lines' labels of each sequence."""
         length = np.array([len(x) for x in sequences])
         top = int(length.max())
         n = len(sequences)
-        x = np.zeros((n, top, FEATURES))
-        for i, s in enumerate(sequences):
-            x[i, : len(s)] = s
-        live = np.arange(top)[None, :] < length[:, None]
-        gold = np.array(labels)
-        # Both kinds of document weigh the same in total.
-        weight = np.where(gold == 1, 0.5 / max(1, length[gold == 1].sum()), 0.5 / max(1, length[gold == 0].sum()))
+        x, gold = np.zeros((top, n, FEATURES)), np.zeros((top, n), np.int64)
+        for i, (s, m) in enumerate(zip(sequences, marks, strict=True)):
+            x[: len(s), i], gold[: len(s), i] = s, m
+        live = np.arange(top)[:, None] < length[None, :]
+        # Both kinds of line weigh the same in total.
+        ones = max(1, int((gold == 1)[live].sum()))
+        zeros = max(1, int((gold == 0)[live].sum()))
+        share = np.array([m.mean() for m in marks])
+        weight = 0.5 * (share / ones + (1 - share) / zeros)
         emit, step = np.zeros((STATES, FEATURES)), np.zeros((STATES, STATES))
         moments = [np.zeros_like(emit), np.zeros_like(emit), np.zeros_like(step), np.zeros_like(step)]
-        onehot = np.eye(STATES)[gold]
-        gold_emit = np.einsum("n,ns,ntf->sf", weight, onehot, x * live[:, :, None])
-        gold_step = np.einsum("n,na,nb->ab", weight * np.maximum(0, length - 1), onehot, onehot)
+        onehot = np.eye(STATES)[gold] * live[:, :, None]
+        gold_emit = np.einsum("n,tns,tnf->sf", weight, onehot, x, optimize=True)
+        gold_step = np.einsum("n,tna,tnb->ab", weight, onehot[:-1], onehot[1:], optimize=True)
         for r in range(1, rounds + 1):
             scores = x @ emit.T
-            forward = np.zeros((n, top, STATES))
-            forward[:, 0] = scores[:, 0]
+            # Scaled forward and backward sums.
+            local = np.exp(scores - scores.max(axis=2, keepdims=True))
+            trans = np.exp(step)
+            forward = np.empty((top, n, STATES))
+            backward = np.ones((top, n, STATES))
+            forward[0] = local[0] / local[0].sum(axis=1, keepdims=True)
             for t in range(1, top):
-                new = np.logaddexp.reduce(forward[:, t - 1, :, None] + step, axis=1) + scores[:, t]
-                forward[:, t] = np.where(live[:, t, None], new, forward[:, t - 1])
-            backward = np.zeros((n, top, STATES))
+                new = forward[t - 1] @ trans * local[t]
+                forward[t] = np.where(live[t, :, None], new / new.sum(axis=1, keepdims=True), forward[t - 1])
             for t in range(top - 2, -1, -1):
-                new = np.logaddexp.reduce(step + (scores[:, t + 1] + backward[:, t + 1])[:, None, :], axis=2)
-                backward[:, t] = np.where(live[:, t + 1, None], new, 0)
-            z = np.logaddexp.reduce(forward[:, -1], axis=1)
-            one = np.exp(forward + backward - z[:, None, None]) * live[:, :, None] * weight[:, None, None]
-            both = forward[:, :-1, :, None] + step + (scores[:, 1:] + backward[:, 1:])[:, :, None, :] - z[:, None, None, None]
-            two = np.exp(np.where(live[:, 1:, None, None], both, -np.inf)) * weight[:, None, None, None]
-            slopes = (gold_emit - np.einsum("nts,ntf->sf", one, x) - ridge * emit, gold_step - two.sum(axis=(0, 1)) - ridge * step)
+                new = (local[t + 1] * backward[t + 1]) @ trans.T
+                backward[t] = np.where(live[t + 1, :, None], new / new.sum(axis=1, keepdims=True), 1.0)
+            one = forward * backward
+            one *= (live * weight)[:, :, None] / one.sum(axis=2, keepdims=True)
+            both = forward[:-1, :, :, None] * trans * (local[1:] * backward[1:])[:, :, None, :]
+            both *= ((live[1:] * weight) / both.sum(axis=(2, 3)))[:, :, None, None]
+            slopes = (gold_emit - np.einsum("tns,tnf->sf", one, x, optimize=True) - ridge * emit, gold_step - both.sum(axis=(0, 1)) - ridge * step)
             for k, (value, slope) in enumerate(zip((emit, step), slopes, strict=True)):
                 moments[2 * k] = 0.9 * moments[2 * k] + 0.1 * slope
-                moments[2 * k + 1] = 0.999 * moments[2 * k + 1] + 0.001 * slope**2
-                value += rate * (moments[2 * k] / (1 - 0.9**r)) / (np.sqrt(moments[2 * k + 1] / (1 - 0.999**r)) + 1e-8)
+                moments[2 * k + 1] = 0.99 * moments[2 * k + 1] + 0.01 * slope**2
+                value += rate * (moments[2 * k] / (1 - 0.9**r)) / (np.sqrt(moments[2 * k + 1] / (1 - 0.99**r)) + 1e-8)
         return LineField(emit, step)
 
 
+def line_scores(sequences: list[np.ndarray], labels: list[int], rounds: int = 25) -> np.ndarray:
+    """Weights of a logistic regression of lines on their documents' labels, both kinds weighing the same; by Newton's method."""
+    x, y = np.concatenate(sequences), np.repeat(labels, [len(s) for s in sequences])
+    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+    w = np.zeros(FEATURES)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (weight * (y - p)) - 1e-4 * w
+        curve = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(FEATURES)
+        w += np.linalg.solve(curve, slope)
+    return w
+
+
+def latent_marks(found: np.ndarray, label: int) -> np.ndarray:
+    """Marks of a document's lines; a document without a line of its own kind keeps its label on all."""
+    return found if (found == label).any() else np.full(len(found), label)
+
+
+def spliced(sequences: list[np.ndarray], marks: list[np.ndarray], labels: list[int], seed: int = 1) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Each document once more with a run of lines of the other kind from another document."""
+    rng = np.random.default_rng(seed)
+    runs = {kind: [s[m == kind] for s, m, label in zip(sequences, marks, labels, strict=True) if label == kind] for kind in (0, 1)}
+    out, out_marks = [], []
+    for s, m, label in zip(sequences, marks, labels, strict=True):
+        other = runs[1 - label]
+        if other:
+            lines = other[rng.integers(len(other))]
+            first = rng.integers(len(lines))
+            run = lines[first : first + rng.integers(1, RUN + 1)]
+            at = rng.integers(len(s) + 1)
+            out.append(np.concatenate((s[:at], run, s[at:])))
+            out_marks.append(np.concatenate((m[:at], np.full(len(run), 1 - label), m[at:])))
+    return out, out_marks
+
+
+def deciding_share(shares: np.ndarray, labels: np.ndarray) -> float:
+    """The share that tells good from bad documents with the fewest errors (both kinds weigh the same), in the middle of the widest range of such shares."""
+    edges = np.unique(np.concatenate(([0.0, 1.0], shares)))
+    middles = (edges[1:] + edges[:-1]) / 2
+    errors = np.array([(shares[labels == 1] < c).mean() + (shares[labels == 0] >= c).mean() for c in middles])
+    best = np.flatnonzero(errors <= errors.min() + 1e-12)
+    return float(middles[best[np.argmax((edges[1:] - edges[:-1])[best])]])
+
+
+def fit_field(sequences: list[np.ndarray], chars: list[np.ndarray], labels: list[int]) -> LineField:
+    """The field and its share from documents' line features, the lines' word characters, and the documents' labels."""
+    weights = line_scores(sequences, labels)
+    marks = [latent_marks((s @ weights > 0).astype(np.int64), label) for s, label in zip(sequences, labels, strict=True)]
+    for turn in range(TURNS):
+        more, more_marks = spliced(sequences, marks, labels, turn)
+        field = LineField.train([*sequences, *more], [*marks, *more_marks])
+        decoded = [field.viterbi(s).astype(np.int64) for s in sequences]
+        marks = [latent_marks(m, label) for m, label in zip(decoded, labels, strict=True)]
+    shares = np.array([(c * m).sum() / c.sum() for c, m in zip(chars, decoded, strict=True)])
+    field.share = deciding_share(shares, np.array(labels))
+    return field
+
+
+def word_chars(lines: list[str]) -> np.ndarray:
+    """Word characters of each line."""
+    return np.array([sum(map(len, _WORDS.findall(x))) for x in lines], np.int64)
+
+
 def spread_lines(features: np.ndarray, most: int) -> np.ndarray:
     """At most this many lines, spread evenly from the first to the last."""
     return features if len(features) <= most else features[np.linspace(0, len(features) - 1, most).round().astype(np.int64)]
@@ -197,12 +272,13 @@ def train_field(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS
     ids = docs.sparkSession.createDataFrame([(r["doc_id"], r["quality"]) for r in taken], "_id long, _quality int")
     # At most train_docs ids; the distinct keeps a repeated row from being collected over and over.
     rows = short.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).groupBy("doc_id").agg(F.min("text").alias("text"), F.first("_quality").alias("quality")).orderBy("doc_id").collect()
-    sequences, gold = [], []
+    sequences, chars, gold = [], [], []
     for row in rows:
         if lines := text_stats(row["text"])[1]:
             sequences.append(spread_lines(line_features(lines), train_lines))
+            chars.append(spread_lines(word_chars(lines), train_lines))
             gold.append(row["quality"])
-    return LineField.train(sequences, gold) if len(set(gold)) == 2 else None
+    return fit_field(sequences, chars, gold) if len(set(gold)) == 2 else None
 
 
 def judge_text(text: str | None, field: LineField | None) -> tuple[TextStats, bool, float, str]:
@@ -214,9 +290,9 @@ def judge_text(text: str | None, field: LineField | None) -> tuple[TextStats, bo
         marks = np.ones(len(lines), np.int8)
     else:
         marks = field.viterbi(line_features(lines))
-    chars = np.array([len(x) for x in lines])
+    chars = word_chars(lines) if marks.any() and not marks.all() else np.ones(len(lines))
     share = float((chars * marks).sum() / chars.sum())
-    return stats, not stats.base_failed and share >= CONTENT_SHARE, share, "".join(map(str, marks.tolist()))
+    return stats, not stats.base_failed and share >= (field.share if field else CONTENT_SHARE), share, "".join(map(str, marks.tolist()))
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS, train_lines: int = TRAIN_LINES) -> DataFrame:
