@@ -18,18 +18,21 @@ that differs is escaped one level further and tried again, until identical:
 
 The parser reads "&lt;" as "<", "&#91;" as "[", "&#93;" as "]" and then "&amp;" as "&".
 A whole conversation is parsed by splitting at "</s>", which no rendered text
-holds, so it is linear in its length; it is compared with its source once more.
+holds, so it is linear in its length; it is compared with its source once more, by hashes of the turns.
+
+The loss mask is code-point spans: for each turn where its segment and its text begin and
+end in the formatted conversation, and whether the text is under the loss.
 
 Defined cases: null role and null text are empty; a null conv_id is a conversation
 of its own; turns are ordered by turn, nulls first, ties by role and text; repeated
 rows are repeated turns; an empty table gives no rows; other columns are ignored.
-Rows of a long conversation are rendered and checked turn by turn; only the
-conversation's own formatted text is brought together, as it is one value.
+Rows of a long conversation are rendered and checked turn by turn, and its turns are put in order
+by a sort that spills; only its own formatted text is brought together, as it is one value.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BEGIN, END = "<s>", "</s>"
@@ -91,46 +94,47 @@ def _recovers(rendered: Column, role: Column, text: Column, level: int) -> Colum
 
 
 def format_turns(conversations: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text, level and segment of every row."""
+    """conv_id, turn, role, text, level, segment and the place of the text in it (head, size) of every row."""
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     role, text = F.col("role"), F.col("text")
     rows = rows.select("*", *[render_turn(role, text, k).alias(f"r{k}") for k in range(3)])
     level = F.when(_recovers(F.col("r0"), role, text, 0), 0).when(_recovers(F.col("r1"), role, text, 1), 1).when(_recovers(F.col("r2"), role, text, 2), 2)
     rows = rows.withColumn("level", level)
     kept = F.when(F.col("level") == 0, F.col("r0")).when(F.col("level") == 1, F.col("r1")).when(F.col("level") == 2, F.col("r2"))
-    return rows.select("conv_id", "turn", "role", "text", "level", F.coalesce(kept, F.raise_error(F.lit("a turn can't be recovered"))).alias("segment"))
+    segment = F.coalesce(kept, F.raise_error(F.lit("a turn can't be recovered")))
+    rows = rows.select("conv_id", "turn", "role", "text", "level", segment.alias("segment"))
+    close = F.when(role == "user", len(USER_CLOSE + END)).otherwise(len(END))
+    # A role's own marks are escaped, so the header ends at the first mark of its kind.
+    head = F.when(role == "user", len(BEGIN + USER_OPEN)).otherwise(F.instr("segment", "] ") + 1)
+    return rows.select("*", head.alias("head"), (F.length("segment") - head - close).alias("size"))
 
 
 def format_conversations(conversations: DataFrame, loss_role: str = "assistant") -> DataFrame:
-    """conv_id, formatted, levels, and loss_turns: for each turn whether its text is under the loss mask."""
-    turns = format_turns(conversations).select("conv_id", F.struct("turn", "role", "text", "level", "segment").alias("t"))
-    gathered = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("t"), _by_turn).alias("t"))
-    out = gathered.select(
-        "conv_id",
-        F.concat_ws("", F.col("t.segment")).alias("formatted"),
-        F.col("t.level").alias("levels"),
-        F.transform("t.role", lambda r: r == loss_role).alias("loss_turns"),
-        F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("source"),
-    )
-    same = F.coalesce(parse_conversation(F.col("formatted")) == F.col("source"), F.lit(False))
+    """conv_id, formatted, levels, and spans: of each turn where its segment begins, where its text begins and ends, and whether it is under the loss."""
+    rows = format_turns(conversations)
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    begin = F.coalesce(F.sum(F.length("segment").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    placed = rows.select("conv_id", F.row_number().over(order).alias("nth"), "role", "level", "segment", "head", "size", begin.alias("begin"), F.xxhash64("role", "text").alias("source"))
+    start = F.col("begin") + F.col("head")
+    span = F.struct("begin", start.alias("start"), (start + F.col("size")).alias("end"), (F.col("role") == loss_role).alias("loss"))
+    turn = F.struct("nth", "segment", "level", "source", span.alias("span"))
+    # The rows of a conversation are dealt out and in order by now; its formatted text is one value.
+    gathered = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("t"))
+    out = gathered.select("conv_id", F.concat_ws("", F.col("t.segment")).alias("formatted"), F.col("t.level").alias("levels"), F.col("t.span").alias("spans"), F.col("t.source").alias("source"))
+    read = F.transform(parse_conversation(F.col("formatted")), lambda x: F.xxhash64(x["role"], x["text"]))
+    same = F.coalesce(read == F.col("source"), F.lit(False))
     checked = F.when(same, F.col("formatted")).otherwise(F.raise_error(F.lit("a conversation differs after its round trip")))
-    return out.select("conv_id", checked.alias("formatted"), "levels", "loss_turns")
-
-
-def _by_turn(a: Column, b: Column) -> Column:
-    """Order by turn with nulls first, then role, then text."""
-
-    def three(x: Column, y: Column) -> Column:
-        return F.when(x < y, -1).when(x > y, 1).otherwise(0)
-
-    nulls = F.when(a["turn"].isNull() & b["turn"].isNotNull(), -1).when(a["turn"].isNotNull() & b["turn"].isNull(), 1).otherwise(0)
-    first = F.when(nulls != 0, nulls).otherwise(F.coalesce(three(a["turn"], b["turn"]), F.lit(0)))
-    second = three(a["role"], b["role"])
-    return F.when(first != 0, first).when(second != 0, second).otherwise(three(a["text"], b["text"]))
+    return out.select("conv_id", checked.alias("formatted"), "levels", "spans")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """conv_id, turns (role, text) and the loss texts, read from the formatted text and its mask."""
+    """conv_id, turns (role, text) and the loss texts, read from the formatted text and its spans."""
     parsed = formatted.withColumn("turns", parse_conversation(F.col("formatted")))
-    masked = F.filter(F.arrays_zip("turns", "loss_turns"), lambda x: x["loss_turns"])
-    return parsed.select("conv_id", "turns", "formatted", F.transform(masked, lambda x: x["turns"]["text"]).alias("loss_texts"))
+    pieces = F.split("formatted", END)
+    masked = F.filter(F.arrays_zip(F.slice(pieces, 1, F.size(pieces) - 1).alias("piece"), F.col("spans").alias("span")), lambda x: x["span"]["loss"])
+
+    def covered(x: Column) -> Column:
+        at = x["span"]
+        return unescape(F.substr(x["piece"], (at["start"] - at["begin"] + 1).cast("int"), (at["end"] - at["start"]).cast("int")))
+
+    return parsed.select("conv_id", "turns", "formatted", F.transform(masked, covered).alias("loss_texts"))
