@@ -9,12 +9,13 @@ as the check of the rest allows.  An atom larger
 than an even share (a large group of copies) can't be split; it comes first in the
 order and has a shard of its own, and the rest is divided among the other shards.
 
-Slots are counted from sizes of sub-blocks (atom range and a salt from the
-document id), so neither a shard nor a group of copies is ranked in one task.
+Slots are counted from sizes of sub-blocks (atom range and a salt for each
+row), so neither a shard nor a group of copies is ranked in one task.
 
 Defined cases: null text has no bytes and groups with the empty text; ties in a
-block are ordered by doc_id; repeated rows stay and have slots of their own; an
-empty table gives no rows; other columns are ignored.
+block are ordered by doc_id; repeated rows stay and have slots of their own; a very long text counts
+with all its bytes and is never read again; an
+empty table gives no rows; other columns are ignored, or kept by ``write_shards``.
 """
 
 from __future__ import annotations
@@ -97,6 +98,12 @@ def plan_shards(atoms: np.ndarray, sizes: np.ndarray, shards: int) -> tuple[dict
 
 def assign_shards(docs: DataFrame, shards: int = SHARDS, row_bytes: int = ROW_BYTES, work: Workspace | None = None) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of every document."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return _assigned(own, shards, row_bytes, work, []).drop("row")
+
+
+def _assigned(docs: DataFrame, shards: int, row_bytes: int, work: Workspace | None, kept: list[str]) -> DataFrame:
+    """The shard and slot of every row; row is a struct of the columns to keep."""
     work = work or Workspace(docs.sparkSession, "sharding")
     text = F.coalesce(F.col("text"), F.lit(""))
     sized = docs.select(
@@ -104,6 +111,9 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, row_bytes: int = ROW_BY
         (F.octet_length(text).cast("long") + row_bytes).alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
         F.xxhash64(text).alias("key"),
+        # Rows without an id, or of one id, may be a third of all.  What is written stays as it is.
+        F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int").alias("salt"),
+        (F.struct(*kept) if kept else F.lit(None).cast("int")).alias("row"),
     )
     sized = work.write(sized.withColumn("atom", F.shiftrightunsigned("key", 64 - ATOM_BITS).cast("int")), "sized")
     # At most 2^ATOM_BITS rows of 12 bytes.
@@ -114,8 +124,7 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, row_bytes: int = ROW_BY
         shard = shard + (F.col("atom") > end).cast("int")
     for atom, own in single.items():
         shard = F.when(F.col("atom") == atom, F.lit(own)).otherwise(shard)
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
-    rows = sized.select("doc_id", "size", "text_crc32", "key", shard.cast("int").alias("shard"), F.shiftright("atom", ATOM_BITS - BLOCK_BITS).alias("block"), salt.alias("salt"))
+    rows = sized.select("doc_id", "size", "text_crc32", "key", shard.cast("int").alias("shard"), F.shiftright("atom", ATOM_BITS - BLOCK_BITS).alias("block"), "salt", "row")
     block = ["shard", "block", "salt"]
     # At most 2^BLOCK_BITS * SALTS rows, and one more a cut: a few MB.
     counts = rows.groupBy(*block).agg(F.count(F.lit(1)).alias("n"))
@@ -123,12 +132,11 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, row_bytes: int = ROW_BY
     before = counts.select(*block, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     within = F.row_number().over(Window.partitionBy(*block).orderBy("key", "doc_id", "text_crc32")) - 1
     ranked = rows.withColumn("nth", within).join(F.broadcast(before), block)
-    return ranked.select("doc_id", "size", "text_crc32", "shard", (F.col("before") + F.col("nth")).cast("long").alias("slot"))
+    return ranked.select("doc_id", "size", "text_crc32", "shard", (F.col("before") + F.col("nth")).cast("long").alias("slot"), "row")
 
 
-def write_shards(docs: DataFrame, assigned: DataFrame, path: str) -> None:
-    """The documents' rows under shard=... folders, in slot order within each file."""
-    keyed = docs.withColumn("_crc", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
-    places = assigned.dropDuplicates(["doc_id", "text_crc32"]).select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_sum"), "shard", "slot")
-    joined = keyed.join(places, keyed["doc_id"].eqNullSafe(places["_id"]) & (keyed["_crc"] == places["_sum"])).drop("_id", "_sum", "_crc")
-    joined.sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, row_bytes: int = ROW_BYTES, work: Workspace | None = None) -> None:
+    """The documents' rows under shard=... folders, in slot order within each file; a column named shard or slot gives way to ours."""
+    kept = [c for c in docs.columns if c.lower() not in {"shard", "slot"}]
+    placed = _assigned(docs, shards, row_bytes, work, kept).select("row.*", "shard", "slot")
+    placed.sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
