@@ -82,7 +82,7 @@ def spa_framework(html: Column) -> Column:
         test = contains_any(html, marks)
         out = F.when(test, name) if out is None else out.when(test, name)
     body = spa_body(html)
-    return out.when(F.contains(html, F.lit('<div id="root">')) & body, "React").when(F.contains(html, F.lit('<div id="app">')) & body, "Vue").when(body & F.contains(html, F.lit('<div id="')), "GenericSpa")
+    return out.when(F.contains(html, F.lit('<div id="root">')) & body, "React").when(F.contains(html, F.lit('<div id="app">')) & body, "Vue").when(body & F.contains(html, F.lit("<div id=")), "GenericSpa")
 
 
 def paywall_score(body_lower: Column) -> Column:

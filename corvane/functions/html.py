@@ -7,9 +7,9 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
-from corvane.functions.text import collapse_space, trim_space
+from corvane.functions.text import collapse_space, let, trim_space
 from corvane.functions.urls import title_from_url
 
 #: What html mode drops.
@@ -132,24 +132,35 @@ def metadata_mode(x: Column) -> Column:
     return F.when(F.size(found) == 0, F.lit(NO_METADATA)).otherwise(F.array_join(F.transform(found, lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "\n"))
 
 
+def _no_constant(name: str):
+    raise ValueError(f"{name} isn't JSON")
+
+
+def _pretty(raw: str | None) -> str | None:
+    if raw is None:
+        return None
+    try:
+        return json.dumps(json.loads(raw, parse_constant=_no_constant), indent=2, sort_keys=True, ensure_ascii=False)
+    except (ValueError, RecursionError):
+        return raw
+
+
 @F.pandas_udf(StringType())
 def pretty_json(x: pd.Series) -> pd.Series:
     """Two-space JSON with sorted keys; what isn't JSON is unchanged."""
 
-    def one(raw: str | None) -> str | None:
-        if raw is None:
-            return None
-        try:
-            return json.dumps(json.loads(raw), indent=2, sort_keys=True, ensure_ascii=False)
-        except (ValueError, RecursionError):
-            return raw
+    return x.map(_pretty)
+
 
-    return x.map(one)
+@F.pandas_udf(ArrayType(StringType()))
+def pretty_json_each(x: pd.Series) -> pd.Series:
+    """pretty_json of each text of an array."""
+    return x.map(lambda each: None if each is None else [_pretty(raw) for raw in each])
 
 
 def jsonld_blocks(x: Column) -> Column:
-    """Trimmed bodies of JSON-LD scripts."""
-    return F.transform(F.regexp_extract_all(x, F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1)), trim_space)
+    """Bodies of JSON-LD scripts: as two-space JSON, trimmed where they aren't JSON."""
+    return pretty_json_each(F.transform(F.regexp_extract_all(x, F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1)), trim_space))
 
 
 def numbered(blocks: Column, name: str) -> Column:
@@ -162,8 +173,8 @@ def table_bodies(x: Column) -> Column:
     return F.regexp_extract_all(x, F.lit(r"(?is)<table[^>]*>(.*?)</table>"), F.lit(1))
 
 
-def table_rows(body: Column) -> Column:
-    """Array of rows, each an array of (is_header, text); a row's plain cells before its last header cell are skipped."""
+def every_row(body: Column) -> Column:
+    """Array of all rows, each an array of (is_header, text); a row's plain cells before its last header cell are skipped."""
 
     def cells(row: Column) -> Column:
         kinds = F.regexp_extract_all(row, F.lit(r"(?is)<(t[hd])[^>]*>.*?</t[hd]>"), F.lit(1))
@@ -172,8 +183,12 @@ def table_rows(body: Column) -> Column:
         last = F.size(kinds) - F.coalesce(F.array_position(F.reverse(F.transform(kinds, F.lower)), "th"), F.lit(0)) + F.when(F.array_contains(F.transform(kinds, F.lower), "th"), 0).otherwise(-F.size(kinds) - 1)
         return F.filter(every, lambda c, i: c["is_header"] | (i > last))
 
-    rows = F.transform(F.regexp_extract_all(body, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1)), cells)
-    return F.filter(rows, lambda r: F.size(r) > 0)
+    return F.transform(F.regexp_extract_all(body, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1)), cells)
+
+
+def table_rows(body: Column) -> Column:
+    """The rows that have a cell."""
+    return F.filter(every_row(body), lambda r: F.size(r) > 0)
 
 
 def _markdown_row(cells: Column) -> Column:
@@ -181,12 +196,16 @@ def _markdown_row(cells: Column) -> Column:
 
 
 def table_markdown(body: Column) -> Column:
-    """A table's Markdown, or null without rows.  The first row is the header; it is data too unless all its cells are header cells."""
-    rows = table_rows(body)
-    first = F.try_element_at(rows, F.lit(1))
-    rule = F.concat(F.lit("| "), F.array_join(F.transform(first, lambda c: F.lit("---")), " | "), F.lit(" |"))
-    data = F.when(F.forall(first, lambda c: c["is_header"]), F.slice(rows, 2, F.greatest(F.size(rows), F.lit(1)))).otherwise(rows)
-    return F.when(F.size(rows) > 0, F.array_join(F.concat(F.array(_markdown_row(first), rule), F.transform(data, _markdown_row)), "\n"))
+    """A table's Markdown, or null without cells.  The header is the first row that has a cell; data are the rows after the very first one, so a header behind an empty row is data too."""
+
+    def shown(every: Column) -> Column:
+        rows = F.filter(every, lambda r: F.size(r) > 0)
+        first = F.try_element_at(rows, F.lit(1))
+        rule = F.concat(F.lit("| "), F.array_join(F.transform(first, lambda c: F.lit("---")), " | "), F.lit(" |"))
+        data = F.filter(every, lambda r, i: (i > 0) & (F.size(r) > 0))
+        return F.when(F.size(rows) > 0, F.array_join(F.concat(F.array(_markdown_row(first), rule), F.transform(data, _markdown_row)), "\n"))
+
+    return let(every_row(body), shown)
 
 
 def tables_mode(x: Column) -> Column:

@@ -38,12 +38,17 @@ def bytes_of(x: Column) -> Column:
 
 def byte_prefix(x: Column, n: Column | int) -> Column:
     """The longest prefix of whole characters of at most n bytes."""
-    n = F.lit(n) if isinstance(n, int) else n
-    raw = F.substr(F.encode(x, "UTF-8"), F.lit(1), n.cast("int"))
-    digits = F.hex(raw)
-    # Up to three trailing bytes belong to a character that was cut.
-    whole = F.regexp_replace(digits, "^((?:..)*?)(?:[CD].|E.(?:[89AB].)?|F.(?:[89AB].){0,2})$", "$1")
-    return F.when(F.octet_length(x) <= n, x).otherwise(F.decode(F.unhex(whole), "UTF-8"))
+    n = (F.lit(n) if isinstance(n, int) else n).cast("int")
+    raw = F.encode(x, "UTF-8")
+    # A cut is between characters unless a continuation byte follows it; a character has at most three of them.
+    inside = lambda k: F.hex(F.substr(raw, k, F.lit(1))).substr(1, 1).isin("8", "9", "A", "B")
+    cut = F.when(~inside(n + 1), n).when(~inside(n), n - 1).when(~inside(n - 1), n - 2).otherwise(n - 3)
+    return F.when(F.octet_length(x) <= n, x).otherwise(F.decode(F.substr(raw, F.lit(1), cut), "UTF-8"))
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once a row however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def contains_any(x: Column, needles: tuple[str, ...]) -> Column:

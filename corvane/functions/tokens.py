@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corvane.functions.text import SPACE, byte_prefix, bytes_of, lines, trim_space
+from corvane.functions.text import SPACE, byte_prefix, bytes_of, let, lines
 
 #: Marks of cut texts.
 BUDGET_MARK = "\n\n[... truncated to fit token budget]"
@@ -50,40 +50,74 @@ def truncate_sections(x: Column, budget: Column) -> Column:
     """Sections in order as long as they fit, skipping those that don't; with a mark if any is missing."""
     limit, mark = budget * 4, len(SECTION_MARK)
     usable = F.greatest(limit - mark, F.lit(0))
-    sections = split_sections(x)
     start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(0).cast("long").alias("held"))
 
     def take(state: Column, s: Column) -> Column:
         need = state["held"] + bytes_of(s) + F.when(F.size(state["kept"]) == 0, 0).otherwise(2)
         return F.when(need <= usable, F.struct(F.array_append(state["kept"], s).alias("kept"), need.alias("held"))).otherwise(state)
 
-    joined = F.array_join(F.aggregate(sections, start, take)["kept"], "\n\n")
     single = F.concat(F.regexp_replace(byte_prefix(x, usable), f"{SPACE}+\\z", ""), F.lit(SECTION_MARK))
-    several = F.when(bytes_of(joined) < bytes_of(x), F.concat(joined, F.lit(SECTION_MARK))).otherwise(joined)
-    return F.when(bytes_of(x) <= limit, x).when(F.size(sections) <= 1, single).otherwise(several)
+
+    def several(sections: Column) -> Column:
+        marked = lambda joined: F.when(bytes_of(joined) < bytes_of(x), F.concat(joined, F.lit(SECTION_MARK))).otherwise(joined)
+        # What is kept is bounded by the budget, so the fold is linear in the text.
+        return F.when(F.size(sections) <= 1, single).otherwise(let(F.array_join(F.aggregate(sections, start, take)["kept"], "\n\n"), marked))
+
+    return F.when(bytes_of(x) <= limit, x).otherwise(let(split_sections(x), several))
 
 
 def truncate_smart(x: Column, budget: Column) -> Column:
-    """(text, truncated): whole lines up to the first heading past the budget, under a list of all headings."""
+    """(text, truncated): whole lines up to the first heading past the budget, under a list of all headings.
+
+    Lines are looked at once; the fold that finds the cut runs over their sizes alone.
+    """
     limit = (budget * 4).cast("long")
-    all_lines = lines(x)
-    is_heading = lambda line: F.startswith(trim_space(line), F.lit("#"))
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("held"), F.lit(0).cast("long").alias("broke"), F.lit(False).alias("done"))
+    zero = F.lit(0).cast("long")
+    start = F.struct(zero.alias("n"), zero.alias("held"), zero.alias("broke"), F.lit(False).alias("done"))
 
     def step(s: Column, line: Column) -> Column:
-        stop = s["done"] | ((s["held"] + bytes_of(line) + 1 > limit) & is_heading(line) & (s["held"] > 0))
-        held = s["held"] + bytes_of(line) + F.when(s["held"] > 0, 1).otherwise(0)
-        grown = F.struct((s["n"] + 1).alias("n"), held.alias("held"), F.when(is_heading(line), held).otherwise(s["broke"]).alias("broke"), F.lit(False).alias("done"))
+        stop = s["done"] | ((s["held"] + line["size"] + 1 > limit) & line["head"] & (s["held"] > 0))
+        held = s["held"] + line["size"] + F.when(s["held"] > 0, 1).otherwise(0)
+        grown = F.struct((s["n"] + 1).alias("n"), held.alias("held"), F.when(line["head"], held).otherwise(s["broke"]).alias("broke"), F.lit(False).alias("done"))
         return F.when(stop, F.struct(s["n"].alias("n"), s["held"].alias("held"), s["broke"].alias("broke"), F.lit(True).alias("done"))).otherwise(grown)
 
-    end = F.aggregate(all_lines, start, step)
-    # Leading empty lines are lost, as nothing is held yet.
-    taken = F.regexp_replace(F.array_join(F.slice(all_lines, F.lit(1), F.greatest(end["n"], F.lit(0)).cast("int")), "\n"), "^\n+", "")
-    body = F.when((bytes_of(taken) > limit * 2) & (end["broke"] > 0), byte_prefix(taken, end["broke"])).otherwise(taken)
-    headings = F.transform(F.filter(all_lines, is_heading), lambda h: F.concat(F.lit("- "), trim_space(F.regexp_replace(trim_space(h), "^#+", ""))))
-    listed = F.when(F.size(headings) > 0, F.concat(F.lit(f"{TOC_TITLE}\n"), F.array_join(headings, "\n"), F.lit("\n\n"), body)).otherwise(body)
+    def cut(both: Column) -> Column:
+        end, all_lines = both["end"], both["lines"]
+        # Leading empty lines are lost, as nothing is held yet.
+        taken = F.regexp_replace(F.array_join(F.slice(all_lines, F.lit(1), end["n"].cast("int")), "\n"), "^\n+", "")
+        body = let(taken, lambda t: F.when((bytes_of(t) > limit * 2) & (end["broke"] > 0), byte_prefix(t, end["broke"])).otherwise(t))
+        headings = F.transform(F.filter(all_lines, _is_heading), lambda h: F.concat(F.lit("- "), F.regexp_replace(h, f"^{SPACE}*#*{SPACE}*|{SPACE}+\\z", "")))
+        return F.when(F.size(headings) > 0, F.concat(F.lit(f"{TOC_TITLE}\n"), F.array_join(headings, "\n"), F.lit("\n\n"), body)).otherwise(body)
+
+    def folded(all_lines: Column) -> Column:
+        sized = F.transform(all_lines, lambda line: F.struct(bytes_of(line).alias("size"), _is_heading(line).alias("head")))
+        return F.struct(all_lines.alias("lines"), F.aggregate(sized, start, step).alias("end"))
+
     fits = bytes_of(x) <= limit
-    return F.struct(F.when(fits, x).otherwise(listed).alias("text"), (~fits).alias("truncated"))
+    return F.struct(F.when(fits, x).otherwise(let(let(lines(x), folded), cut)).alias("text"), (~fits).alias("truncated"))
+
+
+def _is_heading(line: Column) -> Column:
+    return F.rlike(line, F.lit(f"^{SPACE}*#"))
+
+
+def diagnostics(strategy: Column, cache_hit: Column, spa: Column, js_rendered: Column, text: Column, mode: Column, latency_ms: Column, budget: Column, block: Column) -> Column:
+    """The diagnostics of a fetch as one struct."""
+    return F.struct(
+        strategy.alias("strategy_used"),
+        cache_hit.alias("cache_hit"),
+        spa.alias("spa_detected"),
+        js_rendered.alias("js_rendered"),
+        F.lit(0).alias("redirect_count"),
+        bytes_of(text).alias("content_length"),
+        F.size(lines(text)).cast("long").alias("line_count"),
+        estimate(text).alias("token_count"),
+        budget.cast("long").alias("token_budget"),
+        F.when(cache_hit, "high").when(js_rendered, "medium").otherwise("high").alias("confidence"),
+        mode.alias("extraction_mode"),
+        latency_ms.cast("long").alias("fetch_latency_ms"),
+        block.alias("block_detected"),
+    )
 
 
 def diagnostics_line(strategy: Column, latency_ms: Column, cache_hit: Column, mode: Column, n_bytes: Column, spa: Column, block: Column) -> Column:

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.functions.text import bytes_of, lines, trim_space
+from corvane.functions.text import bytes_of, let, lines, trim_space
 
 MAX_BLOCK_BYTES = 2000
 LEAST_COUNT = 3
 
 
-def exploded(docs: DataFrame, domain: str, key: str, text: str) -> DataFrame:
-    """domain, key, pos, line, block_hash (null where a line can't be a block)."""
-    rows = docs.select(domain, key, F.posexplode(lines(F.col(text))).alias("pos", "line")).withColumn("block", trim_space(F.col("line")))
+def exploded(docs: DataFrame, domain: str, key: str, text: str, *more: str) -> DataFrame:
+    """domain, key, pos, line, block_hash (null where a line can't be a block), and more columns."""
+    rows = docs.select(domain, key, *more, F.posexplode(lines(F.col(text))).alias("pos", "line")).withColumn("block", trim_space(F.col("line")))
     counts = (F.col("block") != "") & (bytes_of(F.col("block")) <= MAX_BLOCK_BYTES)
     return rows.withColumn("block_hash", F.when(counts, F.sha2("block", 256))).drop("block")
 
@@ -27,13 +27,27 @@ def boilerplate(counts: DataFrame, least: int = LEAST_COUNT) -> DataFrame:
     return counts.where(F.col("n") >= least)
 
 
-def strip(rows: DataFrame, blocks: DataFrame, domain: str, key: str) -> DataFrame:
-    """domain, key, text without boilerplate lines; blank lines stay, a text of nothing else is empty."""
-    marks = blocks.select(domain, "block_hash", F.lit(True).alias("_drop"))
-    marked = rows.join(marks, [domain, "block_hash"], "left")
-    # Every document keeps its row; dropped lines leave nulls that the list skips.
-    kept = F.array_sort(F.collect_list(F.when(F.col("_drop").isNull(), F.struct("pos", "line"))))
-    return marked.groupBy(domain, key).agg(F.array_join(F.transform(kept, lambda x: x["line"]), "\n").alias("text"))
+def strip(docs: DataFrame, blocks: DataFrame, domain: str, key: str, text: str) -> DataFrame:
+    """domain, key, text without boilerplate lines; blank lines stay, a text of nothing else is empty; a text without lines has no row.
+
+    Only places and hashes of lines that can be blocks are shuffled to find the
+    ones to drop; the texts move once, to meet their documents' lists.
+    """
+    marks = blocks.select(domain, "block_hash")
+    hashed = docs.where(F.col(text) != "").select(domain, key, F.xxhash64(text).alias("_text"), text)
+    rows = exploded(hashed, domain, key, text, "_text").where("block_hash is not null").select(domain, key, "_text", "pos", "block_hash")
+    gone = rows.join(marks, [domain, "block_hash"], "left_semi").groupBy(domain, key, "_text").agg(F.collect_set("pos").alias("_gone"))
+    right = gone.select(F.col(domain).alias("_domain"), F.col(key).alias("_key"), F.col("_text").alias("_hash"), "_gone")
+    same = hashed[domain].eqNullSafe(F.col("_domain")) & hashed[key].eqNullSafe(F.col("_key")) & (hashed["_text"] == F.col("_hash"))
+
+    def without(all_lines: Column) -> Column:
+        # The difference of sets of places is linear, unlike a search for each place.
+        kept = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("_gone"))
+        return F.array_join(F.transform(F.array_sort(kept), lambda i: F.get(all_lines, i)), "\n")
+
+    left = let(lines(F.col(text)), without)
+    every = F.array_join(lines(F.col(text)), "\n")
+    return hashed.join(right, same, "left").select(domain, key, F.when(F.col("_gone").isNull(), every).otherwise(left).alias("text"))
 
 
 def domain_counts(counts: DataFrame, domain: str) -> DataFrame:

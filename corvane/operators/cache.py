@@ -14,6 +14,8 @@ from corvane.functions.classify import quality_reason
 from corvane.functions.text import bytes_of
 
 MAX_ENTRY_BYTES = 102_400
+#: Characters of a url that tell entries of one instant apart: the scheme and two of the host.
+URL_HEAD = 10
 SEARCH_DEFAULT, SEARCH_MOST = 20, 100
 KEY = ["url", "strategy", "extraction_mode"]
 
@@ -96,20 +98,25 @@ def evict_lru(cache: DataFrame, max_bytes: int, buckets: int = 1024) -> DataFram
     """Entries that stay after the least recently read went until the rest fits.
 
     The running total needs no global sort in one task: sizes are summed by ranges
-    of last_accessed_at, the ranges' totals are accumulated (at most ``buckets``
-    rows), and only within a range is there a window.
+    of last_accessed_at and, for entries of one instant, by the beginning of their url;
+    the ranges' totals are accumulated (``buckets`` times the few beginnings), and only within a range
+    is there a window.  Nothing runs before the result is read.
     """
-    span = cache.agg(F.min(F.unix_micros(F.to_timestamp("last_accessed_at"))).alias("a"), F.max(F.unix_micros(F.to_timestamp("last_accessed_at"))).alias("b"), F.sum("original_size").alias("t")).first()
-    if span["t"] is None or span["t"] <= max_bytes:
-        return cache
-    width = max(1, (span["b"] - span["a"]) // buckets + 1)
-    keyed = cache.withColumn("_r", F.floor((F.unix_micros(F.to_timestamp("last_accessed_at")) - F.lit(span["a"])) / F.lit(width)).cast("int"))
-    totals = keyed.groupBy("_r").agg(F.sum("original_size").alias("_n"))
-    before = totals.select("_r", (F.sum("_n").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
-    order = Window.partitionBy("_r").orderBy("last_accessed_at", *KEY[:2]).rowsBetween(Window.unboundedPreceding, 0)
+    micros = F.unix_micros(F.to_timestamp("last_accessed_at"))
+    first, last = cache.agg(F.min(micros)).scalar(), cache.agg(F.max(micros)).scalar()
+    total = cache.agg(F.coalesce(F.sum("original_size"), F.lit(0))).scalar()
+    width = F.greatest(F.lit(1), F.call_function("div", last - first, F.lit(buckets)) + 1)
+    ranges = ["_r", "_u"]
+    keyed = cache.withColumn("_r", F.call_function("div", micros - first, width)).withColumn("_u", F.left("url", F.lit(URL_HEAD)))
+    # Within a range entries are in order of time first, so beginnings of urls split only ranges of one instant.
+    spans = keyed.groupBy("_r").agg((F.min("last_accessed_at") == F.max("last_accessed_at")).alias("_one"))
+    keyed = keyed.join(F.broadcast(spans), "_r").withColumn("_u", F.when(F.col("_one"), F.col("_u")).otherwise(""))
+    totals = keyed.groupBy(*ranges).agg(F.sum("original_size").alias("_n"))
+    before = totals.select(*ranges, (F.sum("_n").over(Window.orderBy(*ranges).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
+    order = Window.partitionBy(*ranges).orderBy("last_accessed_at", *KEY[:2]).rowsBetween(Window.unboundedPreceding, 0)
     freed = F.col("_before") + F.sum("original_size").over(order) - F.col("original_size")
-    rows = keyed.join(F.broadcast(before), "_r").withColumn("_freed", freed)
-    return rows.where(F.col("_freed") >= span["t"] - max_bytes).select(*cache.columns)
+    rows = keyed.join(F.broadcast(before), ranges).withColumn("_freed", freed)
+    return rows.where(F.col("_freed") >= total - max_bytes).select(*cache.columns)
 
 
 def stats(cache: DataFrame) -> DataFrame:

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import bisect
+import re
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from corvane.functions.text import bytes_of, trim_space
+from corvane.functions.text import bytes_of
 
-MAX_CITATIONS = 50
+#: Most citations of a page, and bytes of context around a link's opening bracket.
+MAX_CITATIONS, CONTEXT_BEFORE, CONTEXT_AFTER = 50, 40, 60
+_BRACKET, _PAREN = re.compile(r"[\[\]]"), re.compile(r"\)")
 
 
 def content_hash(x: Column) -> Column:
@@ -18,13 +25,61 @@ def iso(epoch_seconds: Column) -> Column:
     return F.date_format(F.timestamp_seconds(epoch_seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
-def citations(x: Column) -> Column:
-    """Array of (text, source_url): Markdown links to http(s) without inner brackets, the first of each target, at most 50."""
-    pattern = F.lit(r"\[([^\[\]]*)\]\(([^)]*)\)")
-    pairs = F.arrays_zip(F.transform(F.regexp_extract_all(x, pattern, F.lit(1)), trim_space).alias("text"), F.transform(F.regexp_extract_all(x, pattern, F.lit(2)), trim_space).alias("source_url"))
-    kept = F.filter(pairs, lambda c: (c["text"] != "") & F.rlike(c["source_url"], F.lit("^https?://")))
-    targets = F.transform(kept, lambda c: c["source_url"])
-    return F.slice(F.filter(kept, lambda c, i: F.array_position(targets, c["source_url"]) == i + 1), 1, MAX_CITATIONS)
+def link_matches(text: str) -> list[tuple[int, str, str]]:
+    """(place, text, target) of Markdown links, in order of their opening brackets; brackets in the text are balanced.  Linear in the text."""
+    opened: list[int] = []
+    closed: dict[int, int] = {}
+    for m in _BRACKET.finditer(text):
+        if m.group() == "[":
+            opened.append(m.start())
+        elif opened:
+            closed[opened.pop()] = m.start()
+    ends = [m.start() for m in _PAREN.finditer(text)]
+    out = []
+    for start in sorted(closed):
+        end = closed[start]
+        if text[end + 1 : end + 2] == "(":
+            at = bisect.bisect_left(ends, end + 2)
+            if at < len(ends):
+                out.append((start, text[start + 1 : end].strip(), text[end + 2 : ends[at]].strip()))
+    return out
+
+
+def _context(raw: bytes, at: int) -> str:
+    """The first line of a window of bytes around a place, of whole characters."""
+    a, b = max(0, at - CONTEXT_BEFORE), min(len(raw), at + CONTEXT_AFTER)
+    while a < at and raw[a] & 0xC0 == 0x80:
+        a += 1
+    window = raw[a:b].decode(errors="ignore")
+    return window.split("\n", 1)[0].strip()
+
+
+
+_CITATION = T.StructType([T.StructField(x, T.StringType()) for x in ("text", "source_url", "context")])
+
+
+@F.pandas_udf(T.ArrayType(_CITATION))
+def citations(x: pd.Series) -> pd.Series:
+    """Array of (text, source_url, context): Markdown links to http(s), the first of each target, at most 50.
+
+    Brackets inside a link's text may nest, which no regular expression follows.
+    """
+
+    def one(text: str | None) -> list[dict] | None:
+        if text is None:
+            return None
+        out, seen, raw, byte, last = [], set(), None, 0, 0
+        for at, label, target in link_matches(text):
+            if label and target.startswith(("http://", "https://")) and target not in seen:
+                raw = text.encode() if raw is None else raw
+                byte, last = byte + len(text[last:at].encode()), at
+                seen.add(target)
+                out.append({"text": label, "source_url": target, "context": _context(raw, byte)})
+                if len(out) == MAX_CITATIONS:
+                    break
+        return out
+
+    return x.map(one)
 
 
 def bundle(content: Column, url: Column, strategy: Column, retrieved_at: Column, blocked: Column) -> Column:
@@ -41,3 +96,17 @@ def latest(evidence: DataFrame) -> DataFrame:
     """The newest evidence of each url, by id."""
     columns = [c for c in evidence.columns if c != "url"]
     return evidence.groupBy("url").agg(F.max_by(F.struct(*columns), "id").alias("e")).select("url", "e.*")
+
+
+def append(evidence: DataFrame, new: DataFrame) -> DataFrame:
+    """The evidence (with ids) and after it new rows, numbered on in order of retrieval and url.
+
+    Numbers are given out by ranges of retrieval times: only ranges' counts are summed up in one place.
+    """
+    top = evidence.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).scalar()
+    days = new.withColumn("_day", F.substring("retrieved_at", 1, 10))
+    counts = days.groupBy("_day").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_day", F.coalesce(F.sum("_n").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_day").orderBy("retrieved_at", "url", "content_hash"))
+    numbered = days.join(F.broadcast(before), "_day").withColumn("id", (top + F.col("_before") + within).cast("long"))
+    return evidence.unionByName(numbered.select(*evidence.columns))

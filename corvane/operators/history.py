@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from corvane.functions.text import lines
+from corvane.functions.text import let
 
 KEPT_VERSIONS = 10
 
@@ -16,23 +18,46 @@ def newest(history: DataFrame, n: int = KEPT_VERSIONS) -> DataFrame:
     return history.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
+def split_lines(x: str) -> list[str]:
+    """As corvane.functions.text.lines."""
+    parts = x.replace("\r\n", "\n").split("\n")
+    return parts[:-1] if parts[-1] == "" else parts
+
+
+_LINES = T.ArrayType(T.StringType())
+_COMPARED = T.StructType([T.StructField(*x) for x in (("added_lines", T.LongType()), ("removed_lines", T.LongType()), ("unchanged_lines", T.LongType()), ("added", _LINES), ("removed", _LINES), ("most", T.LongType()))])
+
+
+@F.pandas_udf(_COMPARED)
+def _compared(new: pd.Series, old: pd.Series) -> pd.DataFrame:
+    """Lines of each side that the other side lacks; by sets, which no built-in function over arrays does with repeats kept."""
+    rows = []
+    for a, b in zip(new, old, strict=True):
+        if a is None or b is None:
+            rows.append((0, 0, 0, [], [], 0))
+            continue
+        x, y = split_lines(a), split_lines(b)
+        in_x, in_y = set(x), set(y)
+        added, removed = [v for v in x if v not in in_y], [v for v in y if v not in in_x]
+        rows.append((len(added), len(removed), len(x) - len(added), added, removed, max(len(x), len(y))))
+    return pd.DataFrame(rows, columns=["added_lines", "removed_lines", "unchanged_lines", "added", "removed", "most"])
+
+
 def diff(new: Column, old: Column) -> Column:
     """Line difference by membership; a null old body is a first snapshot without differences."""
-    a, b = lines(new), lines(old)
-    added, removed = F.filter(a, lambda x: ~F.array_contains(b, x)), F.filter(b, lambda x: ~F.array_contains(a, x))
-    same = F.size(a) - F.size(added)
-    total = F.greatest(F.size(a), F.size(b))
-    similarity = F.when(total == 0, 100.0).otherwise(F.round(same / total * 100, 2))
-    text = F.concat(F.array_join(F.transform(added, lambda x: F.concat(F.lit("+ "), x, F.lit("\n"))), ""), F.array_join(F.transform(removed, lambda x: F.concat(F.lit("- "), x, F.lit("\n"))), ""))
-    first = old.isNull()
-    number = lambda x: F.when(first, 0).otherwise(x).cast("long")
-    return F.struct(
-        number(F.size(added)).alias("added_lines"),
-        number(F.size(removed)).alias("removed_lines"),
-        number(same).alias("unchanged_lines"),
-        F.when(first, 100.0).otherwise(similarity).alias("similarity_percent"),
-        F.when(first, "").otherwise(text).alias("diff_text"),
-    )
+
+    def shown(c: Column) -> Column:
+        similarity = F.when(c["most"] == 0, 100.0).otherwise(F.round(c["unchanged_lines"] / c["most"] * 100, 2))
+        marked = lambda each, mark: F.array_join(F.transform(each, lambda x: F.concat(F.lit(mark), x, F.lit("\n"))), "")
+        return F.struct(
+            c["added_lines"].alias("added_lines"),
+            c["removed_lines"].alias("removed_lines"),
+            c["unchanged_lines"].alias("unchanged_lines"),
+            similarity.alias("similarity_percent"),
+            F.concat(marked(c["added"], "+ "), marked(c["removed"], "- ")).alias("diff_text"),
+        )
+
+    return let(_compared(new, old), shown)
 
 
 def diffs(history: DataFrame) -> DataFrame:

@@ -66,4 +66,4 @@ def decide(pages: DataFrame, robots: DataFrame, agent: str, domain: str = "domai
 
 def fresh(robots: DataFrame, now: Column) -> DataFrame:
     """Robots files that were fetched within the last hour."""
-    return robots.where(F.unix_timestamp(now) - F.unix_timestamp("fetched_at") < TTL_SECONDS)
+    return robots.where(F.unix_timestamp(now) - F.unix_timestamp("fetched_at") <= TTL_SECONDS)

@@ -25,7 +25,7 @@ def fallback_rank(strategy: Column) -> Column:
 def floor_mean(latencies: Column, start_mean: Column | None = None, start_n: Column | None = None) -> Column:
     """Running mean that is floored at each step, so its value depends on the order."""
     start = F.struct((start_mean if start_mean is not None else F.lit(0)).cast("long").alias("avg"), (start_n if start_n is not None else F.lit(0)).cast("long").alias("n"))
-    step = lambda s, x: F.struct(F.floor((s["avg"] * s["n"] + x) / (s["n"] + 1)).cast("long").alias("avg"), (s["n"] + 1).alias("n"))
+    step = lambda s, x: F.struct(F.call_function("div", s["avg"] * s["n"] + x, s["n"] + 1).cast("long").alias("avg"), (s["n"] + 1).alias("n"))
     return F.aggregate(latencies, start, step, lambda s: s["avg"])
 
 
@@ -163,14 +163,15 @@ def replay(requests: DataFrame, outcomes: DataFrame, max_attempts: int = MAX_ATT
         visited = F.when(going, F.array_append("visited", F.col("current"))).otherwise(F.col("visited"))
         error = F.when(F.col("_url").isNull(), F.lit("Transient")).otherwise(F.col("error_class"))
         following = F.when(error.isNotNull(), F.when(error == "RateLimited", F.lit(None).cast("string")).otherwise(next_strategy(F.col("current"), visited, error, F.lit(k), max_attempts))).when(
-            F.col("is_spa") & ~F.array_contains(visited, "Headless") & (F.lit(k) < max_attempts), F.lit("Headless")
+            F.col("is_spa") & ~F.array_contains(visited, "Headless"), F.lit("Headless")
         ).otherwise(next_strategy(F.col("current"), visited, F.lit("Transient"), F.lit(k), max_attempts))
         good = error.isNull() & F.col("valuable")
         stopped = F.when(error.isin("NotFound", "RateLimited"), F.concat(F.lit("error:"), error)).when(error.isNull(), "low-quality").otherwise("exhausted")
         result = F.when(~going, F.col("result")).when(good, "ok").when(following.isNull(), stopped)
         step = joined.select("url", "current", visited.alias("visited"), F.when(going, k).otherwise(F.col("attempts")).alias("attempts"), result.alias("result"), following.alias("_next"))
         rows = step.select("url", F.when(F.col("result").isNull(), F.col("_next")).otherwise(F.col("current")).alias("current"), "visited", "attempts", "result")
-    return rows.select("url", F.col("current").alias("strategy"), "attempts", F.coalesce("result", F.lit("exhausted")).alias("result"), F.array_join("visited", ",").alias("visited"))
+    # After the last attempt a script page may have a strategy that wasn't tried any more.
+    return rows.select("url", F.element_at("visited", -1).alias("strategy"), "attempts", F.coalesce("result", F.lit("exhausted")).alias("result"), F.array_join("visited", ",").alias("visited"))
 
 
 def remove(stats: DataFrame, domain: str, strategy: str | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions.text import SPACE, bytes_of, lines
+from corvane.functions.text import SPACE, bytes_of, let, lines
 
 STRUCTURAL_SHARE = 0.5
 
@@ -17,25 +17,31 @@ def keywords(focus: Column) -> Column:
 
 
 def parse_sections(x: Column) -> Column:
-    """Array of (heading, content, level), folded over the lines without a shuffle."""
-    section = "struct<heading:string,content:string,level:tinyint>"
-    start = F.struct(F.array().cast(f"array<{section}>").alias("done"), F.lit("").alias("heading"), F.lit("").alias("content"), F.lit(0).cast("tinyint").alias("level"))
+    """Array of (heading, content, level): lines are looked at once, then cut between headings, so work is linear in the text."""
 
-    def closed(s: Column) -> Column:
-        now = F.struct(s["heading"].alias("heading"), s["content"].alias("content"), s["level"].alias("level"))
-        return F.when((s["heading"] != "") | (s["content"] != ""), F.array_append(s["done"], now)).otherwise(s["done"])
+    def level(line: Column) -> Column:
+        return F.length(F.regexp_extract(line, f"^{SPACE}*(#*)", 1))
 
-    def step(s: Column, line: Column) -> Column:
-        left = F.regexp_replace(line, f"^{SPACE}+", "")
-        marks = F.length(F.regexp_extract(left, "^(#*)", 1))
-        heading = F.regexp_replace(F.regexp_replace(left, "^#+", ""), f"^{SPACE}+|{SPACE}+\\z", "")
-        opened = F.struct(closed(s).alias("done"), heading.alias("heading"), F.lit("").alias("content"), marks.cast("tinyint").alias("level"))
-        # A line break is only set once the body has text, so a body's leading blank lines vanish.
-        more = F.when(s["content"] == "", line).otherwise(F.concat(s["content"], F.lit("\n"), line))
-        grown = F.struct(s["done"].alias("done"), s["heading"].alias("heading"), more.alias("content"), s["level"].alias("level"))
-        return F.when(marks.between(1, 6), opened).otherwise(grown)
+    def cut(both: Column) -> Column:
+        all_lines, heads = both["lines"], both["heads"]
 
-    return F.aggregate(lines(x), start, step, closed)
+        def section(k: Column) -> Column:
+            start = F.coalesce(F.get(heads, k - 1), F.lit(-1))
+            end = F.coalesce(F.get(heads, k), F.size(all_lines))
+            line = F.get(all_lines, start)
+            heading = F.regexp_replace(F.coalesce(line, F.lit("")), f"^{SPACE}*#*{SPACE}*|{SPACE}+\\z", "")
+            # A body's leading blank lines vanish.
+            content = F.regexp_replace(F.array_join(F.slice(all_lines, start + 2, end - start - 1), "\n"), "^\n+", "")
+            return F.struct(heading.alias("heading"), content.alias("content"), F.when(k == 0, 0).otherwise(level(line)).cast("tinyint").alias("level"))
+
+        every = F.transform(F.sequence(F.lit(0), F.size(heads)), section)
+        return F.filter(every, lambda s: (s["heading"] != "") | (s["content"] != ""))
+
+    def with_heads(all_lines: Column) -> Column:
+        numbered = F.transform(all_lines, lambda line, i: F.when(level(line).between(1, 6), i))
+        return F.struct(all_lines.alias("lines"), F.filter(numbered, lambda i: i.isNotNull()).alias("heads"))
+
+    return let(let(lines(x), with_heads), cut)
 
 
 def explode_sections(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -65,9 +71,12 @@ def focused_text(x: Column, focus: str) -> Column:
     """The text's sections with a positive score, best first; the whole text if there is none."""
     words = keywords(F.lit(focus))
     scored = F.transform(parse_sections(x), lambda s, i: F.struct((-relevance(s["heading"], s["content"], words)).alias("order"), i.alias("i"), s["heading"].alias("heading"), s["content"].alias("content")))
-    kept = F.array_sort(F.filter(scored, lambda s: s["order"] < 0))
-    shown = F.transform(kept, lambda s: F.when(s["heading"] == "", s["content"]).otherwise(F.concat(s["heading"], F.lit("\n"), s["content"])))
-    return F.when(F.size(kept) == 0, x).otherwise(F.array_join(shown, "\n\n"))
+
+    def shown(kept: Column) -> Column:
+        each = F.transform(kept, lambda s: F.when(s["heading"] == "", s["content"]).otherwise(F.concat(s["heading"], F.lit("\n"), s["content"])))
+        return F.when(F.size(kept) == 0, x).otherwise(F.array_join(each, "\n\n"))
+
+    return let(F.array_sort(F.filter(scored, lambda s: s["order"] < 0)), shown)
 
 
 def domain_profile(sections: DataFrame, domain: str, page: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -86,7 +95,7 @@ def adjust_scores(sections: DataFrame, structural: DataFrame, domain: str) -> Da
     """Scores lowered by the ratio of structural headings; it may exceed 1 and turn a score negative."""
     marks = structural.select(F.col(domain).alias("_domain"), F.col("heading").alias("_heading"), "ratio")
     same = (F.col(domain) == F.col("_domain")) & (F.lower("heading") == F.col("_heading"))
-    return sections.join(marks, same, "left").withColumn("adjusted", F.col("score") * (1 - F.coalesce("ratio", F.lit(0.0)))).drop("_domain", "_heading", "ratio")
+    return sections.join(marks, same, "left").withColumn("adjusted", F.col("score") * (1 - F.coalesce("ratio", F.lit(0.0))) + F.lit(0.0)).drop("_domain", "_heading", "ratio")
 
 
 def dominant_level(levels: DataFrame, domain: str) -> DataFrame:

@@ -43,3 +43,13 @@ def sql_lines(x: str) -> str:
 
 def sql_domain(x: str) -> str:
     return f"nullif(regexp_extract({x}, '^https?://([^/:]*)', 1), '')"
+
+
+def sql_prefix(x: str, n: str) -> str:
+    """The longest prefix of whole characters of at most n bytes."""
+
+    def inside(k: str) -> str:
+        return f"substr(hex({x}), (2 * ({k}) - 1)::BIGINT, 1) IN ('8', '9', 'A', 'B')"
+
+    cut = f"CASE WHEN NOT {inside(f'{n} + 1')} THEN {n} WHEN NOT {inside(n)} THEN {n} - 1 WHEN NOT {inside(f'{n} - 1')} THEN {n} - 2 ELSE {n} - 3 END"
+    return f"(CASE WHEN strlen({x}) <= {n} THEN {x} ELSE decode(unhex(left(hex({x}), (2 * ({cut}))::BIGINT))) END)"

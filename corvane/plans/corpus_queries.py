@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from corvane.functions import adapters, markdown, tokens
 from corvane.functions.text import bytes_of
 from corvane.operators import boilerplate, evidence, robots, search, sections
-from corvane.plans.base import WS, Catalog, sql_lines, sql_trim
-from corvane.sources.tables import pages, table
+from corvane.plans.base import WS, Catalog, sql_lines, sql_prefix, sql_trim
+from corvane.sources.tables import now, pages, table
 
 catalog = Catalog()
 
@@ -44,30 +44,73 @@ def token_estimate(spark, sf_dir):
     return markdown_docs(spark, sf_dir).select("doc_id", tokens.estimate(F.col("md")).alias("tokens"))
 
 
-_ASCII = "a AS (SELECT doc_id, regexp_replace(md, '[^\\x00-\\x7F]', '', 'g') AS t, (doc_id % 5 * 50)::INT AS b FROM m)"
+_BUDGETED = "a AS (SELECT doc_id, md AS t, (doc_id % 50 * 7)::INT AS b FROM m)"
 
 
-def _ascii(spark, sf_dir):
-    return markdown_docs(spark, sf_dir).select("doc_id", F.regexp_replace("md", r"[^\x00-\x7F]", "").alias("t"), (F.col("doc_id") % 5 * 50).cast("int").alias("b"))
+def _budgeted(spark, sf_dir):
+    """Budgets that cut inside characters, too."""
+    return markdown_docs(spark, sf_dir).select("doc_id", F.col("md").alias("t"), (F.col("doc_id") % 50 * 7).cast("int").alias("b"))
 
 
-@catalog.add(_MD + ", " + _ASCII + " SELECT doc_id, CASE WHEN b = 0 OR strlen(t) <= 4 * b THEN t ELSE left(t, 4 * b) || chr(10) || chr(10) || '[... truncated to fit token budget]' END AS text, CASE WHEN strlen(t) > 90 THEN left(t, 90) || ' [...]' ELSE t END AS preview FROM a")
+@catalog.add(_MD + ", " + _BUDGETED + f"""
+SELECT doc_id, CASE WHEN b = 0 OR strlen(t) <= 4 * b THEN t ELSE {sql_prefix('t', '(4 * b)')} || chr(10) || chr(10) || '[... truncated to fit token budget]' END AS text,
+  CASE WHEN strlen(t) > 91 THEN {sql_prefix('t', '91')} || ' [...]' ELSE t END AS preview FROM a
+""")
 def token_budget(spark, sf_dir):
-    return _ascii(spark, sf_dir).select("doc_id", tokens.apply_budget(F.col("t"), F.col("b")).alias("text"), tokens.preview(F.col("t"), 90).alias("preview"))
+    return _budgeted(spark, sf_dir).select("doc_id", tokens.apply_budget(F.col("t"), F.col("b")).alias("text"), tokens.preview(F.col("t"), 91).alias("preview"))
 
 
-@catalog.add(_MD + ", " + _ASCII + r""", h AS (SELECT doc_id, t, b, left(t, 4 * b) AS h FROM a)
-SELECT doc_id, strlen(t) > 4 * b AS truncated, CASE WHEN strlen(t) <= 4 * b THEN t WHEN contains(h, chr(10) || chr(10)) THEN regexp_extract(h, '(?s)^(.*)\n\n', 1) WHEN contains(h, '. ') THEN regexp_extract(h, '(?s)^(.*\.) ', 1) WHEN contains(h, ' ') THEN regexp_extract(h, '(?s)^(.*) ', 1) ELSE h END AS text FROM h""")
+@catalog.add(_MD + ", " + _BUDGETED + rf""", h AS (SELECT doc_id, t, b, {sql_prefix('t', '(4 * b)')} AS h FROM a)
+SELECT doc_id, strlen(t) > 4 * b AS truncated, CASE WHEN strlen(t) <= 4 * b THEN t WHEN contains(h, chr(10) || chr(10)) THEN regexp_extract(h, '(?s)^(.*)\n\n', 1)
+  WHEN contains(h, '. ') THEN regexp_extract(h, '(?s)^(.*\.) ', 1) WHEN contains(h, ' ') THEN regexp_extract(h, '(?s)^(.*) ', 1) ELSE h END AS text FROM h
+""")
 def truncate_boundary(spark, sf_dir):
-    return _ascii(spark, sf_dir).select("doc_id", tokens.truncate_to_budget(F.col("t"), F.col("b")).alias("r")).select("doc_id", "r.truncated", "r.text")
+    return _budgeted(spark, sf_dir).select("doc_id", tokens.truncate_to_budget(F.col("t"), F.col("b")).alias("r")).select("doc_id", "r.truncated", "r.text")
 
 
-@catalog.add()
-def truncate_sections(spark, sf_dir):
-    return markdown_docs(spark, sf_dir).select("doc_id", tokens.truncate_sections(F.col("md"), F.lit(120)).alias("text"))
+_SECTION_LIMIT = 480
+_USABLE = _SECTION_LIMIT - len(tokens.SECTION_MARK)
+_SECTION_MARK = "chr(10) || chr(10) || '[... truncated ...]'"
 
 
-@catalog.add()
+@catalog.add(rf"""
+WITH RECURSIVE m AS ({MARKDOWN_SQL}), s AS (
+  SELECT doc_id, md, CASE WHEN contains(md, chr(10) || '## ') THEN list_filter(string_split(replace(md, chr(10) || '## ', chr(1) || '## '), chr(1)), lambda x: x <> '') ELSE string_split(md, chr(10) || chr(10)) END AS parts FROM m
+), loop AS (
+  SELECT doc_id, 0 AS i, 0::BIGINT AS held, []::VARCHAR[] AS kept FROM s
+  UNION ALL
+  SELECT doc_id, i + 1, CASE WHEN need <= {_USABLE} THEN need ELSE held END, CASE WHEN need <= {_USABLE} THEN list_append(kept, part) ELSE kept END FROM (
+    SELECT loop.doc_id, i, held, kept, parts[i + 1] AS part, held + strlen(parts[i + 1]) + CASE WHEN len(kept) = 0 THEN 0 ELSE 2 END AS need FROM loop JOIN s ON loop.doc_id = s.doc_id WHERE i < len(parts))
+), done AS (
+  SELECT s.doc_id, md, parts, array_to_string(kept, chr(10) || chr(10)) AS joined FROM loop JOIN s ON loop.doc_id = s.doc_id AND i = len(parts)
+)
+SELECT doc_id, CASE WHEN strlen(md) <= {_SECTION_LIMIT} THEN md WHEN len(parts) <= 1 THEN regexp_replace({sql_prefix('md', str(_USABLE))}, '{WS}+\z', '') || {_SECTION_MARK}
+  WHEN strlen(joined) < strlen(md) THEN joined || {_SECTION_MARK} ELSE joined END AS text FROM done
+""")
+def truncate_sections(spark, sf_dir):
+    return markdown_docs(spark, sf_dir).select("doc_id", tokens.truncate_sections(F.col("md"), F.lit(_SECTION_LIMIT // 4)).alias("text"))
+
+
+@catalog.add(_MD + rf""", l AS (
+  SELECT doc_id, md, unnest({sql_lines('md')}) AS line, generate_subscripts({sql_lines('md')}, 1) AS pos FROM m
+), f AS (
+  SELECT *, regexp_matches(line, '^{WS}*#') AS head, sum(strlen(line)) OVER w AS total, min(CASE WHEN line <> '' THEN pos END) OVER (PARTITION BY doc_id) AS first_text FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
+), h AS (
+  SELECT *, CASE WHEN pos < first_text THEN 0 ELSE total + pos - first_text END AS held FROM f
+), p AS (
+  SELECT *, coalesce(lag(held) OVER (PARTITION BY doc_id ORDER BY pos), 0) AS before FROM h
+), c AS (
+  SELECT doc_id, coalesce(min(CASE WHEN head AND before > 0 AND before + strlen(line) + 1 > 480 THEN pos END) - 1, max(pos)) AS n FROM p GROUP BY doc_id
+), g AS (
+  SELECT p.doc_id, any_value(md) AS md, coalesce(string_agg('- ' || {sql_trim("regexp_replace(" + sql_trim('line') + ", '^#+', '')")}, chr(10) ORDER BY pos) FILTER (WHERE head), '') AS toc,
+    regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE pos <= n), ''), '^
++', '') AS taken, coalesce(max(CASE WHEN head AND pos <= n THEN held END), 0) AS broke
+  FROM p JOIN c ON p.doc_id = c.doc_id GROUP BY p.doc_id
+), b AS (
+  SELECT *, CASE WHEN strlen(taken) > 960 AND broke > 0 THEN {sql_prefix('taken', 'broke')} ELSE taken END AS body FROM g
+)
+SELECT doc_id, strlen(md) > 480 AS truncated, CASE WHEN strlen(md) <= 480 THEN md WHEN toc <> '' THEN '{tokens.TOC_TITLE}' || chr(10) || toc || chr(10) || chr(10) || body ELSE body END AS text FROM b
+""")
 def truncate_smart(spark, sf_dir):
     return markdown_docs(spark, sf_dir).select("doc_id", tokens.truncate_smart(F.col("md"), F.lit(120)).alias("r")).select("doc_id", "r.truncated", "r.text")
 
@@ -102,7 +145,13 @@ def focus_rank(spark, sf_dir):
     return ranked.select("doc_id", "section_idx", "hits", F.round("score", 6).alias("score"), "rank")
 
 
-@catalog.add()
+@catalog.add(_SECTIONS + f""", k AS (SELECT *, lower(heading || ' ' || content) AS both_texts, lower(heading) AS head FROM sections),
+r AS (
+  SELECT doc_id, section_idx, CASE WHEN heading = '' THEN content ELSE heading || chr(10) || content END AS shown,
+    len(list_filter({_WORDS!r}, lambda w: contains(both_texts, w))) / 4 + 0.5 * len(list_filter({_WORDS!r}, lambda w: contains(head, w))) / 4 + CASE WHEN strlen(content) > 0 THEN greatest(log2(strlen(content)), 0) / 10 ELSE 0 END AS score FROM k
+)
+SELECT m.doc_id, coalesce(string_agg(shown, chr(10) || chr(10) ORDER BY round(score, 9) DESC, section_idx) FILTER (WHERE score > 0), any_value(md)) AS text FROM m LEFT JOIN r ON m.doc_id = r.doc_id GROUP BY m.doc_id
+""")
 def focus_text(spark, sf_dir):
     return markdown_docs(spark, sf_dir).select("doc_id", sections.focused_text(F.col("md"), FOCUS).alias("text"))
 
@@ -127,7 +176,7 @@ def heading_counts(spark, sf_dir):
     return headings.where("n > 1").join(pages_, "source").select("source", "heading", "n", "pages")
 
 
-@catalog.add(_SECTIONS + ", n AS (SELECT source, lower(heading) AS heading, count(*) AS n FROM sections WHERE heading <> '' GROUP BY 1, 2), p AS (SELECT source, count(DISTINCT doc_id) AS pages FROM sections GROUP BY source) SELECT doc_id, section_idx, round(strlen(content) * (1 - CASE WHEN n.n / p.pages >= 0.5 THEN n.n / p.pages ELSE 0 END), 6) AS adjusted FROM sections s JOIN p ON s.source = p.source LEFT JOIN n ON s.source = n.source AND lower(s.heading) = n.heading")
+@catalog.add(_SECTIONS + ", n AS (SELECT source, lower(heading) AS heading, count(*) AS n FROM sections WHERE heading <> '' GROUP BY 1, 2), p AS (SELECT source, count(DISTINCT doc_id) AS pages FROM sections GROUP BY source) SELECT doc_id, section_idx, round(strlen(content) * (1 - CASE WHEN n.n / p.pages >= 0.5 THEN n.n / p.pages ELSE 0 END) + 0.0, 6) AS adjusted FROM sections s JOIN p ON s.source = p.source LEFT JOIN n ON s.source = n.source AND lower(s.heading) = n.heading")
 def structural_adjust(spark, sf_dir):
     rows = _sections(spark, sf_dir).withColumn("score", bytes_of(F.col("content")).cast("double"))
     pages_, headings, _ = sections.domain_profile(rows, "source", "doc_id")
@@ -148,7 +197,7 @@ n AS (SELECT source, block_hash, count(*) AS n FROM h WHERE block_hash IS NOT NU
 def _blocks(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").where("text is not null")
     rows = boilerplate.exploded(docs, "source", "doc_id", "text")
-    return rows, boilerplate.boilerplate(boilerplate.block_counts(rows, "source"))
+    return docs, boilerplate.boilerplate(boilerplate.block_counts(rows, "source"))
 
 
 @catalog.add(_BLOCKS + "SELECT source, block_hash, n FROM n WHERE n >= 3")
@@ -158,8 +207,8 @@ def boilerplate_blocks(spark, sf_dir):
 
 @catalog.add(_BLOCKS + "SELECT h.source, doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE n.n IS NULL OR n.n < 3), '') AS text FROM h LEFT JOIN n ON h.source = n.source AND h.block_hash = n.block_hash GROUP BY h.source, doc_id")
 def boilerplate_strip(spark, sf_dir):
-    rows, marks = _blocks(spark, sf_dir)
-    return boilerplate.strip(rows, marks, "source", "doc_id")
+    docs, marks = _blocks(spark, sf_dir)
+    return boilerplate.strip(docs, marks, "source", "doc_id", "text")
 
 
 @catalog.add(_BLOCKS + "SELECT source, count(*) AS blocks FROM n WHERE n >= 3 AND source <> 'src0' GROUP BY source")
@@ -174,6 +223,33 @@ def citations(spark, sf_dir):
     return rows.select("doc_id", F.size("c").alias("n"), F.explode("c").alias("x")).select("doc_id", "n", "x.text", "x.source_url")
 
 
+_CITING = "'Intro ' || c_name || ' [see [' || k || '] here](https://x.example/' || k || ') and' || chr(10) || '[b](/rel) [c]( http://y.example/' || k || ' ) [[open [d](https://x.example/' || k || ') [ ](https://z.example) [e](https://v.example/' || c_custkey::VARCHAR || ')'"
+
+
+@catalog.add(f"""
+WITH t AS (SELECT c_custkey, k, {_CITING} AS x, position('[see' IN {_CITING}) - 1 AS a, position('[c]' IN {_CITING}) - 1 AS b, position('[e]' IN {_CITING}) - 1 AS e FROM (SELECT *, (c_custkey % 7)::VARCHAR AS k FROM customer)),
+c AS (
+  SELECT c_custkey, 0 AS pos, 'see [' || k || '] here' AS text, 'https://x.example/' || k AS source_url, a AS place, x FROM t
+  UNION ALL SELECT c_custkey, 1, 'c', 'http://y.example/' || k, b, x FROM t
+  UNION ALL SELECT c_custkey, 2, 'e', 'https://v.example/' || c_custkey::VARCHAR, e, x FROM t
+)
+SELECT c_custkey, pos, text, source_url, {sql_trim("string_split(substr(x, (greatest(0, place - 40) + 1)::BIGINT, (least(strlen(x), place + 60) - greatest(0, place - 40))::BIGINT), chr(10))[1]")} AS context FROM c
+""")
+def citation_context(spark, sf_dir):
+    """Nested and unbalanced brackets, relative, empty and repeated targets, each with its context."""
+    k = (F.col("c_custkey") % 7).cast("string")
+    x = F.concat(F.lit("Intro "), "c_name", F.lit(" [see ["), k, F.lit("] here](https://x.example/"), k, F.lit(") and\n[b](/rel) [c]( http://y.example/"), k, F.lit(" ) [[open [d](https://x.example/"), k, F.lit(") [ ](https://z.example) [e](https://v.example/"), F.col("c_custkey").cast("string"), F.lit(")"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.posexplode(evidence.citations(x)).alias("pos", "c"))
+    return rows.select("c_custkey", "pos", "c.text", "c.source_url", "c.context")
+
+
+@catalog.add("SELECT 'd' || c_custkey::VARCHAR AS domain FROM customer WHERE c_custkey * 97 % 7200 <= 3600")
+def robots_fresh(spark, sf_dir):
+    age = F.make_dt_interval(secs=(F.col("c_custkey") * 97 % 7200).cast("decimal(18,6)"))
+    files = table(spark, sf_dir, "customer").select(F.concat(F.lit("d"), F.col("c_custkey").cast("string")).alias("domain"), F.lit("User-agent: *").alias("robots_text"), (now() - age).alias("fetched_at"))
+    return robots.fresh(files, now()).select("domain")
+
+
 _ROBOTS = ("User-agent: *\nDisallow: /w\nAllow: /wh\n\nUser-agent: other\nDisallow: /\n", "User-agent: Engine\nDisallow: /*s*e\nUser-agent: *\nDisallow: /\n", "User-agent: engine\nUser-agent: x\nDisallow: /\n", "# none\nDisallow: /\n", "User-agent: *\nDisallow: \nDisallow: /f\nAllow: /f\n")
 
 

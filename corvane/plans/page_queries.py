@@ -120,26 +120,42 @@ def metadata_entries(spark, sf_dir):
 
 
 def _table_page():
-    k, n = F.col("n_nationkey"), F.col("n_name")
-    headed = F.concat(F.lit("<table class=x><tr><th>Name</th><th>Key</th></tr><tr><td> <b>"), n, F.lit("</b> </td><td>"), k.cast("string"), F.lit("</td></tr></table>"))
-    bare = F.concat(F.lit("<p>then</p><TABLE><tr></tr><tr><td>"), n, F.lit("</td><td>x</td></tr></TABLE><table></table>"))
-    return F.when(k % 3 == 0, headed).when(k % 3 == 1, F.concat(headed, bare)).otherwise(F.lit("<p>none</p>"))
+    """By key: a headed table; that and one whose first row is empty; none; one without header cells; header cells behind an empty row."""
+    k, n = F.col("n_nationkey").cast("string"), F.col("n_name")
+    headed = F.concat(F.lit("<table class=x><tr><th>Name</th><th>Key</th></tr><tr><td> <b>"), n, F.lit("</b> </td><td>"), k, F.lit("</td></tr></table>"))
+    late = F.concat(F.lit("<p>then</p><TABLE><tr></tr><tr><td>"), n, F.lit("</td><td>x</td></tr></TABLE><table></table>"))
+    bare = F.concat(F.lit("<table><tr><td>"), n, F.lit("</td></tr><tr><td>"), k, F.lit("</td></tr></table>"))
+    behind = F.concat(F.lit("<table><tr></tr><tr><th>"), n, F.lit("</th></tr><tr><td>"), k, F.lit("</td></tr></table>"))
+    kind = F.col("n_nationkey") % 5
+    return F.when(kind == 0, headed).when(kind == 1, F.concat(headed, late)).when(kind == 3, bare).when(kind == 4, behind).otherwise(F.lit("<p>none</p>"))
 
 
 @catalog.add(f"""
-WITH t AS (SELECT n_nationkey, n_nationkey % 3 AS k, '| Name | Key |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || n_name || ' | ' || n_nationkey::VARCHAR || ' |' AS a,
-  '| ' || n_name || ' | x |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || n_name || ' | x |' AS b FROM nation)
-SELECT n_nationkey, CASE k WHEN 0 THEN a WHEN 1 THEN '### Table 1' || chr(10) || a || chr(10) || chr(10) || '### Table 2' || chr(10) || b ELSE '{html.NO_TABLES}' END AS text FROM t
+WITH t AS (
+  SELECT n_nationkey, n_nationkey % 5 AS k,
+    '| Name | Key |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || n_name || ' | ' || n_nationkey::VARCHAR || ' |' AS headed,
+    '| ' || n_name || ' | x |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || n_name || ' | x |' AS late,
+    '| ' || n_name || ' |' || chr(10) || '| --- |' || chr(10) AS one, '| ' || n_name || ' |' || chr(10) AS again, '| ' || n_nationkey::VARCHAR || ' |' AS data
+  FROM nation
+)
+SELECT n_nationkey, CASE k WHEN 0 THEN headed
+  WHEN 1 THEN '### Table 1' || chr(10) || headed || chr(10) || chr(10) || '### Table 2' || chr(10) || late
+  WHEN 3 THEN one || data WHEN 4 THEN one || again || data ELSE '{html.NO_TABLES}' END AS text FROM t
 """)
 def html_tables(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", html.tables_mode(_table_page()).alias("text"))
 
 
 @catalog.add("""
-WITH t AS (SELECT n_nationkey, n_name FROM nation WHERE n_nationkey % 3 < 2)
-SELECT n_nationkey, 0 AS table_idx, 0 AS row_idx, 0 AS cell_idx, true AS is_header, 'Name' AS text FROM t
-UNION ALL SELECT n_nationkey, 0, 0, 1, true, 'Key' FROM t UNION ALL SELECT n_nationkey, 0, 1, 0, false, n_name FROM t UNION ALL SELECT n_nationkey, 0, 1, 1, false, n_nationkey::VARCHAR FROM t
-UNION ALL SELECT n_nationkey, 1, 0, 0, false, n_name FROM t WHERE n_nationkey % 3 = 1 UNION ALL SELECT n_nationkey, 1, 0, 1, false, 'x' FROM t WHERE n_nationkey % 3 = 1
+WITH t AS (SELECT n_nationkey, n_name, n_nationkey::VARCHAR AS shown, n_nationkey % 5 AS k FROM nation)
+SELECT n_nationkey, 0 AS table_idx, 0 AS row_idx, 0 AS cell_idx, true AS is_header, 'Name' AS text FROM t WHERE k < 2
+UNION ALL SELECT n_nationkey, 0, 0, 1, true, 'Key' FROM t WHERE k < 2
+UNION ALL SELECT n_nationkey, 0, 1, 0, false, n_name FROM t WHERE k < 2
+UNION ALL SELECT n_nationkey, 0, 1, 1, false, shown FROM t WHERE k < 2
+UNION ALL SELECT n_nationkey, 1, 0, 0, false, n_name FROM t WHERE k = 1
+UNION ALL SELECT n_nationkey, 1, 0, 1, false, 'x' FROM t WHERE k = 1
+UNION ALL SELECT n_nationkey, 0, 0, 0, k = 4, n_name FROM t WHERE k IN (3, 4)
+UNION ALL SELECT n_nationkey, 0, 1, 0, false, shown FROM t WHERE k IN (3, 4)
 """)
 def table_cells(spark, sf_dir):
     t = table(spark, sf_dir, "nation").select("n_nationkey", F.posexplode(html.table_bodies(_table_page())).alias("table_idx", "body"))
@@ -147,11 +163,24 @@ def table_cells(spark, sf_dir):
     return r.select("n_nationkey", "table_idx", "row_idx", F.posexplode("row").alias("cell_idx", "c")).select("n_nationkey", "table_idx", "row_idx", "cell_idx", "c.is_header", "c.text")
 
 
+@catalog.add("""
+SELECT s_suppkey, 0 AS cell_idx, true AS is_header, s_name AS text FROM supplier
+UNION ALL SELECT s_suppkey, 1, false, s_suppkey::VARCHAR FROM supplier
+UNION ALL SELECT s_suppkey, 2, false, 'last' FROM supplier WHERE s_suppkey % 2 = 0
+""")
+def header_cells_first(spark, sf_dir):
+    """Plain cells before a row's last header cell are skipped."""
+    last = F.when(F.col("s_suppkey") % 2 == 0, "<td>last</td>").otherwise("")
+    row = F.concat(F.lit("<tr><td>skipped</td><td>too</td><TH>"), "s_name", F.lit("</TH><td> "), F.col("s_suppkey").cast("string"), F.lit("</td>"), last, F.lit("</tr>"))
+    cells = table(spark, sf_dir, "supplier").select("s_suppkey", F.posexplode(html.table_rows(row)[0]).alias("cell_idx", "c"))
+    return cells.select("s_suppkey", "cell_idx", "c.is_header", "c.text")
+
+
 @catalog.add(f"""
-SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN '### Structured Data Block 1' || chr(10) || '{{"a":1,"n":"' || n_name || '"}}' || chr(10) || chr(10) || '### Structured Data Block 2' || chr(10) || 'not json' ELSE '{html.NO_JSONLD}' END AS text FROM nation
+SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN '### Structured Data Block 1' || chr(10) || '{{' || chr(10) || '  "a": ' || n_nationkey::VARCHAR || ',' || chr(10) || '  "n": "' || n_name || '"' || chr(10) || '}}' || chr(10) || chr(10) || '### Structured Data Block 2' || chr(10) || 'not json' ELSE '{html.NO_JSONLD}' END AS text FROM nation
 """)
 def jsonld_blocks(spark, sf_dir):
-    page = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit('<script>x</script><script type="application/ld+json"> {"a":1,"n":"'), "n_name", F.lit('"} </script><SCRIPT id=q type=application/ld+json>not json</SCRIPT>'))).otherwise("<p>x</p>")
+    page = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit('<script>x</script><script type="application/ld+json"> {"n":"'), "n_name", F.lit('","a":'), F.col("n_nationkey").cast("string"), F.lit('} </script><SCRIPT id=q type=application/ld+json>not json</SCRIPT>'))).otherwise("<p>x</p>")
     return table(spark, sf_dir, "nation").select("n_nationkey", extraction.extract(page, F.lit(""), "json-ld").alias("text"))
 
 
@@ -206,14 +235,17 @@ _SHELLS = (
     ("React", '<body class="a">\n<div id="root">\n<script src=x></script>\n</body>'),
     ("Vue", '<body><div id="app"></div>\n<!-- c --></body>'),
     ("GenericSpa", '<body>\n\n<div id="main"></div></body>'),
+    ("GenericSpa", "<body><div id='x'></div>\n</body>"),
+    ("GenericSpa", "<body><div id=x></div><script>1</script></body>"),
+    (None, "<body><div class=x></div></body>"),
     (None, '<body><div id="root">\n<p>text</p></div></body>'),
     (None, '<div id="root"></div>'),
 )
 
 
-@catalog.add("SELECT n_nationkey, " + repr([a for a, _ in _SHELLS]).replace("None", "NULL") + "[(n_nationkey % 11 + 1)::INT] AS framework FROM nation")
+@catalog.add("SELECT n_nationkey, " + repr([a for a, _ in _SHELLS]).replace("None", "NULL") + f"[(n_nationkey % {len(_SHELLS)} + 1)::INT] AS framework FROM nation")
 def spa_detect(spark, sf_dir):
-    page = F.get(F.array(*[F.lit(f"<html>{b}</html>") for _, b in _SHELLS]), (F.col("n_nationkey") % 11).cast("int"))
+    page = F.get(F.array(*[F.lit(f"<html>{b}</html>") for _, b in _SHELLS]), (F.col("n_nationkey") % len(_SHELLS)).cast("int"))
     return table(spark, sf_dir, "nation").select("n_nationkey", classify.spa_framework(page).alias("framework"))
 
 
@@ -292,3 +324,18 @@ SELECT page_id % 25 AS batch, string_agg(page_id::VARCHAR || ' ' || coalesce({_T
 def batch_combine(spark, sf_dir):
     p = pages(spark, sf_dir).select((F.col("page_id") % 25).alias("batch"), F.col("page_id").alias("pos"), F.concat(F.col("page_id").cast("string"), F.lit(" "), F.coalesce(html.title(F.col("html")), F.lit(""))).alias("text"))
     return extraction.combine(p)
+
+
+@catalog.add(f"""
+SELECT page_id, ['HttpSimple','Headless'][(page_id % 2 + 1)::INT] AS strategy_used, page_id % 3 = 0 AS cache_hit, page_id % 5 = 0 AS spa_detected, page_id % 2 = 1 AS js_rendered, 0 AS redirect_count,
+  strlen(t)::BIGINT AS content_length, len({sql_lines('t')})::BIGINT AS line_count, strlen(t) // 4 AS token_count, CASE WHEN page_id % 4 = 0 THEN 100 END::BIGINT AS token_budget,
+  CASE WHEN page_id % 3 = 0 THEN 'high' WHEN page_id % 2 = 1 THEN 'medium' ELSE 'high' END AS confidence, 'text' AS extraction_mode, page_id::BIGINT AS fetch_latency_ms, CASE WHEN page_id % 7 = 0 THEN 'Cloudflare' END AS block_detected
+FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN coalesce({_TEXT}, '') ELSE html END AS t FROM pages)
+""")
+def diagnostics_rows(spark, sf_dir):
+    i = F.col("page_id")
+    text = F.when(i % 2 == 0, F.coalesce(html.text_mode(F.col("html")), F.lit(""))).otherwise(F.col("html"))
+    strategy = F.when(i % 2 == 0, "HttpSimple").otherwise("Headless")
+    rows = pages(spark, sf_dir).select("page_id", text.alias("t"))
+    d = tokens.diagnostics(strategy, i % 3 == 0, i % 5 == 0, i % 2 == 1, F.col("t"), F.lit("text"), i, F.when(i % 4 == 0, F.lit(100)), F.when(i % 7 == 0, F.lit("Cloudflare")))
+    return rows.select("page_id", d.alias("d")).select("page_id", "d.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvane.functions import classify, urls
-from corvane.operators import cache, history, routes
+from corvane.operators import cache, evidence, history, routes
 from corvane.plans.base import Catalog, sql_domain, sql_lines
 from corvane.plans.page_queries import sql_reason
 from corvane.sources import route_files, seeds
@@ -163,11 +163,11 @@ _OUTCOMES = f"""WITH RECURSIVE outcomes AS (
   SELECT p_partkey AS url, {_ORDER}[(p_partkey % 3 + 1)::INT] AS current, []::VARCHAR[] AS visited, 0 AS attempts, NULL::VARCHAR AS result FROM part
   UNION ALL
   SELECT url, CASE WHEN result IS NULL THEN following ELSE current END, visited, attempts, result FROM (
-    SELECT url, current, visited, attempts, following, CASE WHEN error IS NULL AND good THEN 'ok' WHEN following IS NULL THEN CASE WHEN error IN ('NotFound', 'RateLimited') THEN 'error:' || error WHEN error IS NULL THEN 'low-quality' ELSE 'exhausted' END END AS result FROM (
-      SELECT *, CASE WHEN error IN ('NotFound', 'RateLimited') OR attempts >= 3 THEN NULL WHEN error IS NULL AND spa AND NOT list_contains(visited, 'Headless') THEN 'Headless' ELSE list_filter({_ORDER}[r + 2:6], lambda x: NOT list_contains(visited, x))[1] END AS following FROM (
+    SELECT url, current, visited, attempts, following, CASE WHEN error IS NULL AND good THEN 'ok' WHEN following IS NULL THEN CASE WHEN error IN ('NotFound', 'RateLimited') THEN 'error:' || error WHEN error IS NULL THEN 'low-quality' ELSE 'exhausted' END WHEN attempts >= 3 THEN 'exhausted' END AS result FROM (
+      SELECT *, CASE WHEN error IN ('NotFound', 'RateLimited') THEN NULL WHEN error IS NULL AND spa AND NOT list_contains(visited, 'Headless') THEN 'Headless' WHEN attempts >= 3 THEN NULL ELSE list_filter({_ORDER}[r + 2:6], lambda x: NOT list_contains(visited, x))[1] END AS following FROM (
         SELECT loop.url, current, list_append(visited, current) AS visited, attempts + 1 AS attempts, error, spa, good, r FROM loop JOIN o ON loop.url = o.url AND loop.current = o.strategy WHERE result IS NULL)))
 )
-SELECT url, current AS strategy, attempts, result, array_to_string(visited, ',') AS visited FROM loop WHERE result IS NOT NULL
+SELECT url, visited[len(visited)] AS strategy, attempts, result, array_to_string(visited, ',') AS visited FROM loop WHERE result IS NOT NULL
 """
 
 
@@ -203,6 +203,28 @@ def route_import_merge(spark, sf_dir):
     return routes.merge_outcomes(stats, route_files.as_outcomes(stats, now())).select("domain", "strategy", "avg_latency_ms", "total_requests")
 
 
+@catalog.add(_LOG + _STATS + "SELECT domain, strategy, avg_latency_ms, round(success_rate, 6) AS success_rate, total_requests FROM stats")
+def route_export(spark, sf_dir):
+    """Routes as one JSON array, read back."""
+    text = route_files.export_text(_stats(spark, sf_dir))
+    entries = text.select(F.explode(F.from_json("json", f"array<struct<{', '.join(x.replace(' ', ':', 1) for x in route_files.ENTRY.split(', '))}>>")).alias("e")).select("e.*")
+    return _round(entries, "success_rate")
+
+
+@catalog.add("""
+SELECT 'n' || n_nationkey::VARCHAR || '.example' AS domain, ['HttpSimple','TlsChrome','Headless'][(n_nationkey % 3 + 1)::INT] AS strategy, 0::BIGINT AS avg_latency_ms, 1.0::DOUBLE AS success_rate,
+  CASE WHEN n_nationkey % 4 = 0 THEN 2 ELSE 1 END AS total_requests FROM nation
+""")
+def route_pack(spark, sf_dir):
+    """Packs of a region each; some nations are in a second pack, too."""
+    k = F.col("n_nationkey")
+    entry = F.struct(F.concat(F.lit("n"), k.cast("string"), F.lit(".example")).alias("domain"), F.get(F.array(*map(F.lit, ("HttpSimple", "TlsChrome", "Headless"))), (k % 3).cast("int")).alias("strategy"))
+    nations = table(spark, sf_dir, "nation")
+    packs = nations.groupBy("n_regionkey").agg(F.collect_list(entry).alias("domains")).select("domains")
+    more = nations.where(k % 4 == 0).select(F.array(entry).alias("domains"))
+    return routes.route_stats(route_files.pack_outcomes(packs.unionByName(more), now())).select("domain", "strategy", "avg_latency_ms", "success_rate", "total_requests")
+
+
 # --- content cache ---
 
 _CACHE = f"WITH cache AS ({URL_CACHE_SQL}) "
@@ -216,6 +238,29 @@ def cache_upsert(spark, sf_dir):
     return cache.put(c, later, 3600).select("url", "strategy", "content_hash", "created_at", "expires_at")
 
 
+@catalog.add(_CACHE + """
+SELECT url, strategy, CASE WHEN doc_id % 5 = 0 AND strlen(content) + 6 <= 102400 THEN 'links' ELSE extraction_mode END AS extraction_mode,
+  CASE WHEN doc_id % 5 = 0 AND strlen(content) + 6 <= 102400 THEN sha256(content || ' links') ELSE content_hash END AS content_hash FROM cache
+""")
+def cache_upsert_strict(spark, sf_dir):
+    """Without the mode in the key an entry of another mode takes the place of the first."""
+    c = url_cache(spark, sf_dir)
+    later = c.where(F.substring_index("url", "/", -1).cast("long") % 5 == 0).select("url", "strategy", F.lit("links").alias("extraction_mode"), F.concat("content", F.lit(" links")).alias("content"), "content_type", F.lit("2024-06-01").cast("timestamp_ntz").alias("created_at"))
+    return cache.put(c, later, 3600, strict_parity=True).select("url", "strategy", "extraction_mode", "content_hash")
+
+
+@catalog.add(_CACHE + "SELECT count(*) FILTER (WHERE false) AS entry_count, 0::BIGINT AS total_size_bytes FROM cache")
+def cache_clear(spark, sf_dir):
+    return cache.stats(cache.clear(url_cache(spark, sf_dir)))
+
+
+@catalog.add(_CACHE + "SELECT url, content_hash, true AS smaller FROM cache WHERE original_size > 2000")
+def cache_gzip(spark, sf_dir):
+    """Contents compressed and read back."""
+    c = url_cache(spark, sf_dir).where("original_size > 2000").select("url", "original_size", route_files.gzip_bytes("content").alias("z"))
+    return c.select("url", F.sha2(route_files.gunzip_text("z"), 256).alias("content_hash"), (F.octet_length("z") < F.col("original_size")).alias("smaller"))
+
+
 @catalog.add(_CACHE + f"SELECT url, strategy, content_hash, epoch(TIMESTAMP '{NOW}' - created_at)::BIGINT AS age_seconds FROM cache WHERE doc_id % 2 = 0 AND expires_at > TIMESTAMP '{NOW}'")
 def cache_get(spark, sf_dir):
     c = url_cache(spark, sf_dir)
@@ -333,3 +378,30 @@ SELECT url, id, old_hash, new_hash, CASE WHEN o IS NULL THEN 0 ELSE len(a) END A
   CASE WHEN o IS NULL THEN '' ELSE array_to_string(list_concat(list_transform(a, lambda x: '+ ' || x || chr(10)), list_transform(r, lambda x: '- ' || x || chr(10))), '') END AS diff_text FROM d""")
 def page_diff(spark, sf_dir):
     return history.diffs(page_history(spark, sf_dir))
+
+
+_ISO = "strftime(fetched_at, '%Y-%m-%dT%H:%M:%SZ')"
+
+
+def _evidence(spark, sf_dir):
+    h = page_history(spark, sf_dir)
+    rows = h.select("id", evidence.bundle(F.col("content_body"), F.col("url"), F.lit("HttpSimple"), F.date_format("fetched_at", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(False)).alias("e"))
+    rows = rows.select("id", "e.*")
+    old = rows.where("id % 2 = 0")
+    return evidence.append(old, rows.where("id % 2 = 1").drop("id"))
+
+
+_EVIDENCE = _HISTORY + f""", e AS (
+  SELECT id, url, content_hash FROM history WHERE id % 2 = 0
+  UNION ALL SELECT (SELECT max(id) FROM history WHERE id % 2 = 0) + row_number() OVER (ORDER BY {_ISO}, url, content_hash), url, content_hash FROM history WHERE id % 2 = 1
+) """
+
+
+@catalog.add(_EVIDENCE + "SELECT id, url, content_hash FROM e")
+def evidence_append(spark, sf_dir):
+    return _evidence(spark, sf_dir).select("id", "url", "content_hash")
+
+
+@catalog.add(_EVIDENCE + "SELECT url, id, content_hash FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY id DESC) AS k FROM e) WHERE k = 1")
+def evidence_latest(spark, sf_dir):
+    return evidence.latest(_evidence(spark, sf_dir)).select("url", "id", "content_hash")

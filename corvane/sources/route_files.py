@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
 EXPORTED = ("domain", "strategy", "avg_latency_ms", "success_rate", "total_requests")
-_ENTRY = "domain string, strategy string, avg_latency_ms bigint, success_rate double, total_requests int"
+#: The folder of a store that lists its whole versions.
+MANIFEST = "manifest"
+ENTRY = "domain string, strategy string, avg_latency_ms bigint, success_rate double, total_requests int"
 _PACK = "name string, version string, domains array<struct<domain:string,strategy:string>>"
 
 
@@ -27,7 +29,7 @@ def export_text(stats: DataFrame) -> DataFrame:
 
 def read_entries(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Entries of a JSON array, or of one object a line as export_json writes them."""
-    return spark.read.schema(_ENTRY).option("multiLine", not lines).json(path)
+    return spark.read.schema(ENTRY).option("multiLine", not lines).json(path)
 
 
 def as_outcomes(entries: DataFrame, ts: Column) -> DataFrame:
@@ -43,20 +45,29 @@ def replace_stats(stats: DataFrame, entries: DataFrame, ts: Column) -> DataFrame
 
 def read_pack(spark: SparkSession, path: str, ts: Column) -> DataFrame:
     """A route pack's domains as successful outcomes without latency."""
-    rows = spark.read.schema(_PACK).option("multiLine", True).json(path).select(F.explode("domains").alias("d")).select("d.*")
+    return pack_outcomes(spark.read.schema(_PACK).option("multiLine", True).json(path), ts)
+
+
+def pack_outcomes(packs: DataFrame, ts: Column) -> DataFrame:
+    """As read_pack, of packs that have been read (domains: array of domain and strategy)."""
+    rows = packs.select(F.explode("domains").alias("d")).select("d.*")
     return rows.select(F.xxhash64("domain", "strategy").alias("event_id"), ts.alias("ts"), "domain", "strategy", F.lit(0).cast("long").alias("latency_ms"), F.lit(True).alias("success"))
 
 
 def save_store(tables: dict[str, DataFrame], folder: str, version: int) -> None:
-    """Each table as Parquet under folder/table/version=n; readers take the newest whole version."""
+    """Each table as Parquet under folder/table/version=n, and last the manifest that makes the version known."""
     for name, df in tables.items():
         df.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/{name}/version={version}")
+    spark = next(iter(tables.values())).sparkSession
+    listed = spark.createDataFrame([(name,) for name in tables], "table string")
+    listed.coalesce(1).write.mode("overwrite").parquet(f"{folder}/{MANIFEST}/version={version}")
 
 
 def load_store(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    rows = spark.read.parquet(f"{folder}/{name}")
-    newest = rows.agg(F.max("version").alias("v")).first()["v"]
-    return rows.where(F.col("version") == newest).drop("version")
+    """A table of the newest version whose manifest has been written and names it."""
+    whole = spark.read.parquet(f"{folder}/{MANIFEST}").where(F.col("table") == name)
+    newest = whole.agg(F.max("version").alias("v")).first()["v"]
+    return spark.read.parquet(f"{folder}/{name}/version={newest}")
 
 
 @F.pandas_udf(BinaryType())

@@ -8,22 +8,70 @@ from pyspark.sql import functions as F
 from corvane.operators import routes
 
 LATENCY_MS = 500
-#: Domain names by strategy.
-SEEDS = {
-    "TlsChrome": "cloudflare.com discord.com figma.com linear.app medium.com notion.so shopify.com stripe.com vercel.com wix.com zendesk.com",
-    "PublicApi": "hackernews.com news.ycombinator.com old.reddit.com reddit.com",
-    "YouTube": "m.youtube.com www.youtube.com youtu.be youtube.com",
-    "Headless": "bloomberg.com nytimes.com",
-    "HttpSimple": (
-        "apnews.com arstechnica.com askubuntu.com bbc.com bitbucket.org codeberg.org crates.io developer.mozilla.org doc.rust-lang.org docs.ansible.com docs.oracle.com "
-        "docs.python.org docs.rs gitee.com github.com gitlab.com go.dev hub.docker.com javadoc.io kubernetes.io learn.microsoft.com npmjs.com npr.org pkg.go.dev pypi.org "
-        "reuters.com rubygems.org serverfault.com sourcehut.org stackexchange.com stackoverflow.com superuser.com techcrunch.com theguardian.com theverge.com wired.com"
-    ),
-}
+#: Domains and their strategies.
+SEEDS = (
+    ("medium.com", "TlsChrome"),
+    ("discord.com", "TlsChrome"),
+    ("reddit.com", "PublicApi"),
+    ("old.reddit.com", "PublicApi"),
+    ("notion.so", "TlsChrome"),
+    ("vercel.com", "TlsChrome"),
+    ("linear.app", "TlsChrome"),
+    ("figma.com", "TlsChrome"),
+    ("shopify.com", "TlsChrome"),
+    ("zendesk.com", "TlsChrome"),
+    ("wix.com", "TlsChrome"),
+    ("stripe.com", "TlsChrome"),
+    ("cloudflare.com", "TlsChrome"),
+    ("docs.rs", "HttpSimple"),
+    ("developer.mozilla.org", "HttpSimple"),
+    ("docs.python.org", "HttpSimple"),
+    ("doc.rust-lang.org", "HttpSimple"),
+    ("go.dev", "HttpSimple"),
+    ("pkg.go.dev", "HttpSimple"),
+    ("docs.oracle.com", "HttpSimple"),
+    ("learn.microsoft.com", "HttpSimple"),
+    ("kubernetes.io", "HttpSimple"),
+    ("docs.ansible.com", "HttpSimple"),
+    ("javadoc.io", "HttpSimple"),
+    ("bbc.com", "HttpSimple"),
+    ("reuters.com", "HttpSimple"),
+    ("apnews.com", "HttpSimple"),
+    ("npr.org", "HttpSimple"),
+    ("theguardian.com", "HttpSimple"),
+    ("arstechnica.com", "HttpSimple"),
+    ("techcrunch.com", "HttpSimple"),
+    ("wired.com", "HttpSimple"),
+    ("theverge.com", "HttpSimple"),
+    ("bloomberg.com", "Headless"),
+    ("nytimes.com", "Headless"),
+    ("github.com", "HttpSimple"),
+    ("gitlab.com", "HttpSimple"),
+    ("bitbucket.org", "HttpSimple"),
+    ("codeberg.org", "HttpSimple"),
+    ("sourcehut.org", "HttpSimple"),
+    ("gitee.com", "HttpSimple"),
+    ("stackoverflow.com", "HttpSimple"),
+    ("stackexchange.com", "HttpSimple"),
+    ("superuser.com", "HttpSimple"),
+    ("askubuntu.com", "HttpSimple"),
+    ("serverfault.com", "HttpSimple"),
+    ("hackernews.com", "PublicApi"),
+    ("news.ycombinator.com", "PublicApi"),
+    ("youtube.com", "YouTube"),
+    ("www.youtube.com", "YouTube"),
+    ("youtu.be", "YouTube"),
+    ("m.youtube.com", "YouTube"),
+    ("crates.io", "HttpSimple"),
+    ("npmjs.com", "HttpSimple"),
+    ("pypi.org", "HttpSimple"),
+    ("hub.docker.com", "HttpSimple"),
+    ("rubygems.org", "HttpSimple"),
+)
 
 
 def seed_rows() -> list[tuple[str, str]]:
-    return [(d, s) for s, names in SEEDS.items() for d in names.split()]
+    return list(SEEDS)
 
 
 def seed_log(spark: SparkSession) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import math
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -60,3 +62,18 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "url" not in plan.split("ReadSchema")[1]
     plan = catalog.queries()["document_quality_gate"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "IsNotNull(text)" in plan and "Exchange" not in plan
+
+
+@pytest.mark.parametrize("module", ["xxhash", "corvane.llm", "corpus_pipeline"])
+def test_the_rest_works_without_the_optional_parts(module):
+    """A missing library or folder takes away the corpus operators only."""
+    code = f"""
+import sys
+sys.modules[{module!r}] = None
+import __spark_entry__ as entry
+from corvane.plans import catalog
+assert set(catalog.queries()) <= set(entry.queries()) and set(catalog.oracle_sql()) <= set(entry.oracle_sql())
+assert "pipeline" not in entry.queries() and ({module!r} == "corpus_pipeline" or not any(k.startswith("op1_") for k in entry.queries()))
+"""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
