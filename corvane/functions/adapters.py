@@ -159,7 +159,9 @@ def search_results(html: Column, most: int) -> Column:
     pieces = F.split(html, mark, -1)
 
     def result(after: Column, i: Column) -> Column:
-        before = F.array_join(F.slice(pieces, F.lit(1), i + 1), mark)
+        # The nearest link is nearly always between this mark and the one before.
+        near_piece = F.get(pieces, i)
+        before = F.when(F.contains(near_piece, F.lit('href="')), near_piece).otherwise(F.array_join(F.slice(pieces, F.lit(1), i + 1), mark))
         inner = F.regexp_extract(after, r"(?s)^[^>]*>([^<]*)", 1)
         plain = inner
         for old, new in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"')):

@@ -30,12 +30,20 @@ _MD = f"WITH m AS ({MARKDOWN_SQL}) "
 
 
 @catalog.add(rf"""
-WITH t AS (SELECT c_custkey, chr(92) || '-a ' || chr(92) || '* b' || chr(92) || chr(10) || '##Head ' || c_name || chr(10) || '####### seven' || chr(10) || '# ok' || repeat(chr(10), 6) || '[gone]() [kept](u) [x' || chr(10) AS x FROM customer),
+WITH t AS (
+  SELECT c_custkey, chr(92) || ['-','.','!','*','_','#','`','[',' '][(c_custkey % 9 + 1)::INT] || 'a ' || chr(92) || '* b' || chr(92) || chr(10) || repeat('#', (c_custkey % 8)::INT) || 'Head ' || c_name || chr(10)
+    || '####### seven' || chr(10) || '# ok' || repeat(chr(10), (c_custkey % 6 + 1)::INT) || '[gone ' || c_name || ']() [kept](u) [x' || repeat(chr(10), (c_custkey % 3)::INT) AS x FROM customer
+),
 a AS (SELECT c_custkey, regexp_replace(x, '\\([^*_#\[\]\\`~\s])', '\1', 'g') AS x FROM t), b AS (SELECT c_custkey, regexp_replace(x, '(?m)^(#{{1,6}})([^ \n#])', '\1 \2', 'g') AS x FROM a),
 c AS (SELECT c_custkey, regexp_replace(regexp_replace(x, '\[([^\]]*)\]\(\)', '\1', 'g'), '\n{{4,}}', chr(10) || chr(10) || chr(10), 'g') AS x FROM b) SELECT c_custkey, {sql_trim('x')} AS md FROM c
 """)
 def markdown_clean(spark, sf_dir):
-    x = F.concat(F.lit("\\-a \\* b\\\n##Head "), "c_name", F.lit("\n####### seven\n# ok\n\n\n\n\n\n[gone]() [kept](u) [x\n"))
+    k = F.col("c_custkey")
+    mark = F.get(F.array(*map(F.lit, "-.!*_#`[ ")), (k % 9).cast("int"))
+    x = F.concat(
+        F.lit("\\"), mark, F.lit("a \\* b\\\n"), F.repeat(F.lit("#"), (k % 8).cast("int")), F.lit("Head "), "c_name", F.lit("\n####### seven\n# ok"), F.repeat(F.lit("\n"), (k % 6 + 1).cast("int")),
+        F.lit("[gone "), "c_name", F.lit("]() [kept](u) [x"), F.repeat(F.lit("\n"), (k % 3).cast("int")),
+    )
     return table(spark, sf_dir, "customer").select("c_custkey", markdown.clean(x).alias("md"))
 
 
@@ -293,68 +301,134 @@ def site_urls(spark, sf_dir):
     return rows.select("n_nationkey", "url", adapters.site(x).alias("site"), adapters.api_url(x).alias("api"), adapters.video_id(x).alias("video_id"), adapters.is_video_page(x).alias("is_video"))
 
 
-@catalog.add("SELECT n_nationkey, '# ' || n_name || chr(10) || chr(10) || '**r/s** · u/[deleted] · ⬆ 5' || chr(10) || chr(10) || 'self' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## Top Comments' || chr(10) || chr(10) || (SELECT string_agg('**u/a' || i::VARCHAR || '** (⬆ ' || i::VARCHAR || ')' || chr(10) || chr(10) || 'b' || chr(10) || chr(10) || '---' || chr(10) || chr(10), '' ORDER BY i) FROM range(5) t(i)) AS md FROM nation")
+def _customers(spark, sf_dir):
+    return table(spark, sf_dir, "customer")
+
+
+def _key():
+    return F.col("c_custkey")
+
+
+_NL = "chr(10) || chr(10)"
+
+
+@catalog.add(f"""
+SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN '(no content returned from Reddit API)' || chr(10) ELSE
+  '# ' || CASE WHEN c_custkey % 5 = 0 THEN '(untitled)' ELSE c_name END || {_NL} || '**r/s' || (c_custkey % 3)::VARCHAR || '** · u/' || CASE WHEN c_custkey % 2 = 0 THEN '[deleted]' ELSE 'me' END || ' · ⬆ ' || (c_custkey % 90)::VARCHAR || {_NL}
+  || CASE WHEN c_custkey % 4 = 0 THEN '' ELSE 'self' || {_NL} END || '---' || {_NL} || '## Top Comments' || {_NL}
+  || coalesce((SELECT string_agg('**u/a' || i::VARCHAR || '** (⬆ ' || i::VARCHAR || ')' || {_NL} || 'b' || {_NL} || '---' || {_NL}, '' ORDER BY i) FROM range(5) t(i) WHERE i < c_custkey % 8), '') END AS md
+FROM customer
+""")
 def reddit_md(spark, sf_dir):
-    comments = ",".join(f'{{"data":{{"author":"a{i}","score":{i},"body":"b"}}}}' for i in range(7))
-    doc = F.concat(F.lit('[{"data":{"children":[{"data":{"title":"'), "n_name", F.lit('","subreddit":"s","score":5,"selftext":"self"}}]}},{"data":{"children":[' + comments + "]}}]"))
-    return table(spark, sf_dir, "nation").select("n_nationkey", adapters.site_markdown(F.lit("https://reddit.com/r"), doc).alias("md"))
+    comments = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.when(i < _key() % 8, F.format_string('{"data":{"author":"a%d","score":%d,"body":"b"}}', i, i))), ",")
+    title = F.when(_key() % 5 == 0, F.lit("")).otherwise(F.concat(F.lit('"title":"'), "c_name", F.lit('",')))
+    author = F.when(_key() % 2 == 0, F.lit("")).otherwise(F.lit('"author":"me",'))
+    says = F.when(_key() % 4 == 0, F.lit("")).otherwise(F.lit("self"))
+    post = F.concat(F.lit('{"data":{'), title, author, F.lit('"subreddit":"s'), (_key() % 3).cast("string"), F.lit('","score":'), (_key() % 90).cast("string"), F.lit(',"selftext":"'), says, F.lit('"}}'))
+    doc = F.concat(F.lit('[{"data":{"children":['), post, F.lit(']}},{"data":{"children":['), comments, F.lit("]}}]"))
+    return _customers(spark, sf_dir).select("c_custkey", adapters.site_markdown(F.lit("https://reddit.com/r"), F.when(_key() % 11 == 0, "[]").otherwise(doc)).alias("md"))
 
 
-@catalog.add("SELECT n_nationkey, '# ' || n_name || chr(10) || chr(10) || '**Hacker News** · by [unknown] · ⬆ 7 · 💬 0' || chr(10) || chr(10) || CASE WHEN n_nationkey % 2 = 0 THEN 'body' || chr(10) || chr(10) ELSE '' END || '**Link:** [https://x.example](https://x.example)' || chr(10) AS md FROM nation")
+@catalog.add(f"""
+SELECT c_custkey, '# ' || CASE WHEN c_custkey % 6 = 0 THEN '(untitled)' ELSE c_name END || {_NL} || '**Hacker News** · by ' || CASE WHEN c_custkey % 3 = 0 THEN 'me' ELSE '[unknown]' END || ' · ⬆ ' || (c_custkey % 100)::VARCHAR || ' · 💬 '
+  || CASE WHEN c_custkey % 4 = 0 THEN c_custkey::VARCHAR ELSE '0' END || {_NL} || CASE WHEN c_custkey % 2 = 0 THEN 'body é' || {_NL} ELSE '' END
+  || CASE WHEN c_custkey % 5 = 0 THEN '' ELSE '**Link:** [https://x.example/' || c_custkey::VARCHAR || '](https://x.example/' || c_custkey::VARCHAR || ')' || chr(10) END AS md FROM customer
+""")
 def hn_md(spark, sf_dir):
-    doc = F.concat(F.lit('{"title":"'), "n_name", F.lit('","score":7,"url":"https://x.example"'), F.when(F.col("n_nationkey") % 2 == 0, ',"text":"body"').otherwise(""), F.lit("}"))
-    return table(spark, sf_dir, "nation").select("n_nationkey", adapters.site_markdown(F.lit("https://news.ycombinator.com/item?id=1"), doc).alias("md"))
+    optional = lambda when, *parts: F.when(when, F.concat(*[x if not isinstance(x, str) else F.lit(x) for x in parts])).otherwise("")
+    doc = F.concat(
+        F.lit('{"score":'), (_key() % 100).cast("string"), optional(_key() % 6 != 0, ',"title":"', F.col("c_name"), '"'), optional(_key() % 3 == 0, ',"by":"me"'), optional(_key() % 4 == 0, ',"descendants":', _key().cast("string")),
+        optional(_key() % 2 == 0, ',"text":"body é"'), optional(_key() % 5 != 0, ',"url":"https://x.example/', _key().cast("string"), '"'), F.lit("}"),
+    )
+    return _customers(spark, sf_dir).select("c_custkey", adapters.site_markdown(F.lit("https://news.ycombinator.com/item?id=1"), doc).alias("md"))
 
 
-@catalog.add("SELECT n_nationkey, '# ' || n_name || chr(10) || chr(10) || '**Channel:** c' || chr(10) || chr(10) || CASE WHEN n_nationkey % 2 = 0 THEN '![thumbnail](t)' || chr(10) || chr(10) ELSE '⚠ _bad_' || chr(10) END AS md FROM nation")
+@catalog.add(f"""
+SELECT c_custkey, '# ' || CASE WHEN c_custkey % 7 = 0 THEN '(untitled)' ELSE c_name END || {_NL} || '**Channel:** ' || CASE WHEN c_custkey % 5 = 0 THEN '[unknown]' ELSE 'c' || c_custkey::VARCHAR END || {_NL}
+  || CASE c_custkey % 3 WHEN 0 THEN '![thumbnail](t' || c_custkey::VARCHAR || ')' || {_NL} WHEN 1 THEN '⚠ _bad_' || chr(10) ELSE '' END AS md FROM customer
+""")
 def oembed_md(spark, sf_dir):
-    doc = F.concat(F.lit('{"title":"'), "n_name", F.lit('","author_name":"c",'), F.when(F.col("n_nationkey") % 2 == 0, '"thumbnail_url":"t"}').otherwise('"error":"bad"}'))
-    return table(spark, sf_dir, "nation").select("n_nationkey", adapters.site_markdown(F.lit("https://youtu.be/x"), doc).alias("md"))
+    title = F.when(_key() % 7 == 0, F.lit("")).otherwise(F.concat(F.lit('"title":"'), "c_name", F.lit('",')))
+    author = F.when(_key() % 5 == 0, F.lit("")).otherwise(F.concat(F.lit('"author_name":"c'), _key().cast("string"), F.lit('",')))
+    rest = F.when(_key() % 3 == 0, F.concat(F.lit('"thumbnail_url":"t'), _key().cast("string"), F.lit('"}'))).when(_key() % 3 == 1, F.lit('"error":"bad"}')).otherwise('"thumbnail_url":""}')
+    return _customers(spark, sf_dir).select("c_custkey", adapters.site_markdown(F.lit("https://youtu.be/x"), F.concat(F.lit("{"), title, author, rest)).alias("md"))
 
 
-_VTT = "WEBVTT\nKind: captions\n\n00:00:01.000 --> 00:00:02.000\n<c>Hello</c> {n}\nmore\n\n01:02:03.500 --> x\n00:05:06.1 --> y\nlast <b>line"
+_LEAD = "lpad((c_custkey % 60)::VARCHAR, 2, '0')"
 
 
 def _vtt():
-    a, b = _VTT.split("{n}")
-    return F.concat(F.lit(a), "n_name", F.lit(b))
+    """A cue with tags and two lines, one without text, one of hours by key, and text behind no time."""
+    minute = F.lpad((_key() % 60).cast("string"), 2, "0")
+    late = F.when(_key() % 4 == 0, F.concat(F.lit("\n0"), (_key() % 9 + 1).cast("string"), F.lit(":"), minute, F.lit(":07.000 --> z\nlate é\n"))).otherwise("")
+    return F.concat(F.lit("WEBVTT\nKind: captions\nLanguage: en\n\n00:"), minute, F.lit(":01.000 --> 00:59:02.000\n<c>Hello</c> "), "c_name", F.lit("\nmore\n\n01:02:03.500 --> x\n"), late, F.lit("00:05:06.1 --> y\nlast <b>line"))
+
 
+_CUES = f"""
+SELECT c_custkey, 0 AS pos, '00:' || {_LEAD} || ':01.000' AS ts, 'Hello ' || c_name || ' more' AS text, '[' || (c_custkey % 60)::VARCHAR || ':01]' AS shown FROM customer
+UNION ALL SELECT c_custkey, 1, '0' || (c_custkey % 9 + 1)::VARCHAR || ':' || {_LEAD} || ':07.000', 'late é', '[' || (c_custkey % 9 + 1)::VARCHAR || ':' || {_LEAD} || ':07]' FROM customer WHERE c_custkey % 4 = 0
+UNION ALL SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 2 ELSE 1 END, '00:05:06.1', 'last line', '[5:06]' FROM customer
+"""
 
-@catalog.add("SELECT n_nationkey, 0 AS pos, '00:00:01.000' AS ts, 'Hello ' || n_name || ' more' AS text, '[0:01]' AS shown FROM nation UNION ALL SELECT n_nationkey, 1, '00:05:06.1', 'last line', '[5:06]' FROM nation")
+
+@catalog.add(_CUES)
 def vtt_cues(spark, sf_dir):
-    rows = table(spark, sf_dir, "nation").select("n_nationkey", F.posexplode(adapters.vtt_cues(_vtt())).alias("pos", "c"))
-    return rows.select("n_nationkey", "pos", "c.ts", "c.text", adapters.format_timestamp(F.col("c.ts")).alias("shown"))
+    rows = _customers(spark, sf_dir).select("c_custkey", F.posexplode(adapters.vtt_cues(_vtt())).alias("pos", "c"))
+    return rows.select("c_custkey", "pos", "c.ts", "c.text", adapters.format_timestamp(F.col("c.ts")).alias("shown"))
 
 
-@catalog.add("SELECT n_nationkey, '01:00:00,5' AS ts, n_name || ' x' AS text, '[1:00:00,5]' AS shown FROM nation UNION ALL SELECT n_nationkey, '01:00:00,5', ' ', '[1:00:00,5]' FROM nation")
+@catalog.add(f"""
+SELECT c_custkey, '0' || (c_custkey % 3)::VARCHAR || ':' || {_LEAD} || ':00,5' AS ts, c_name || ' x' AS text,
+  CASE WHEN c_custkey % 3 = 0 THEN '[' || (c_custkey % 60)::VARCHAR || ':00,5]' ELSE '[' || (c_custkey % 3)::VARCHAR || ':' || {_LEAD} || ':00,5]' END AS shown FROM customer
+UNION ALL SELECT c_custkey, '01:00:00,5', ' ', '[1:00:00,5]' FROM customer WHERE c_custkey % 2 = 0
+""")
 def srt_cues(spark, sf_dir):
-    doc = F.concat(F.lit("1\n01:00:00,5 --> 01:00:01\n<i>"), "n_name", F.lit("</i>\n\nx\n\n2\nonly two\n\n1\n01:00:00,5 --> z\n<i> </i>\n"))
-    doc = F.replace(doc, F.lit("</i>\n\nx"), F.lit("</i>\nx"))
-    rows = table(spark, sf_dir, "nation").select("n_nationkey", F.explode(adapters.srt_cues(doc)).alias("c"))
-    return rows.select("n_nationkey", "c.ts", "c.text", adapters.format_timestamp(F.col("c.ts")).alias("shown"))
+    first = F.concat(F.lit("1\n0"), (_key() % 3).cast("string"), F.lit(":"), F.lpad((_key() % 60).cast("string"), 2, "0"), F.lit(":00,5 --> 01:00:01\n<i>"), "c_name", F.lit("</i>\nx\n\n2\nonly two\n\n"))
+    doc = F.concat(first, F.when(_key() % 2 == 0, "1\n01:00:00,5 --> z\n<i> </i>\n").otherwise("3\n01:00:00,5 --> z\n<i></i>\n"))
+    rows = _customers(spark, sf_dir).select("c_custkey", F.explode(adapters.srt_cues(doc)).alias("c"))
+    return rows.select("c_custkey", "c.ts", "c.text", adapters.format_timestamp(F.col("c.ts")).alias("shown"))
 
 
-@catalog.add("SELECT n_nationkey, '# ' || n_name || chr(10) || chr(10) || '**Duration:** 1:05' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || CASE WHEN n_nationkey % 2 = 0 THEN '## Transcript' || chr(10) || chr(10) || '**[0:01]** Hello ' || n_name || ' more' || chr(10) || chr(10) || '**[5:06]** last line' || chr(10) || chr(10) ELSE '*No subtitles available.*' || chr(10) || chr(10) || '## Description' || chr(10) || chr(10) || 'd' || chr(10) END AS md FROM nation")
+@catalog.add(f"""
+WITH cues AS ({_CUES}), said AS (SELECT c_custkey, string_agg('**' || shown || '** ' || text || {_NL}, '' ORDER BY pos) AS lines FROM cues GROUP BY c_custkey)
+SELECT c.c_custkey, '# ' || c_name || {_NL} || CASE WHEN c.c_custkey % 5 = 0 THEN '' ELSE '**Duration:** ' || (c.c_custkey % 4000 // 60)::VARCHAR || ':' || lpad((c.c_custkey % 4000 % 60)::VARCHAR, 2, '0') || {_NL} END || '---' || {_NL}
+  || CASE WHEN c.c_custkey % 2 = 0 THEN '## Transcript' || {_NL} || lines ELSE '*No subtitles available.*' || {_NL} || CASE WHEN c.c_custkey % 3 = 0 THEN '' ELSE '## Description' || {_NL} || 'd' || c.c_custkey::VARCHAR || chr(10) END END AS md
+FROM customer c JOIN said ON c.c_custkey = said.c_custkey
+""")
 def transcript_md(spark, sf_dir):
-    cues = F.when(F.col("n_nationkey") % 2 == 0, adapters.vtt_cues(_vtt())).otherwise(adapters.vtt_cues(F.lit("")))
-    return table(spark, sf_dir, "nation").select("n_nationkey", adapters.transcript_markdown(F.col("n_name"), F.lit(65), F.lit("d"), cues).alias("md"))
+    cues = F.when(_key() % 2 == 0, adapters.vtt_cues(_vtt())).otherwise(adapters.vtt_cues(F.lit("")))
+    seconds = F.when(_key() % 5 != 0, _key() % 4000)
+    about = F.when(_key() % 3 != 0, F.concat(F.lit("d"), _key().cast("string")))
+    return _customers(spark, sf_dir).select("c_custkey", adapters.transcript_markdown(F.col("c_name"), seconds, about, cues).alias("md"))
 
 
-@catalog.add("SELECT n_nationkey, 0 AS pos, n_name || ' & <1>' AS title, 'https://a.example/?q=' || n_nationkey::VARCHAR || '&x' AS url FROM nation UNION ALL SELECT n_nationkey, 1, 'Two', 'https://b.example' FROM nation")
+@catalog.add("""
+SELECT c_custkey, 0 AS pos, c_name || ' & <1> "' || (c_custkey % 4)::VARCHAR || '"' AS title, 'https://a.example/?q=' || c_custkey::VARCHAR || '&x' AS url FROM customer WHERE c_custkey % 3 <> 0
+UNION ALL SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE 1 END, 'Two', 'https://b.example/' || c_custkey::VARCHAR FROM customer
+UNION ALL SELECT c_custkey, 1, 'Three', 'https://c.example' FROM customer WHERE c_custkey % 3 = 0
+""")
 def serp_parse(spark, sf_dir):
-    page = F.concat(
-        F.lit('<a rel="x" href="//d.example/l/?uddg=https%3A%2F%2Fa.example%2F%3Fq%3D'), F.col("n_nationkey").cast("string"), F.lit('%26x&amp;rut=1" class="result__a"> '), "n_name", F.lit(' &amp; &lt;1&gt; </a>'),
-        F.lit('<a href="/local" class="result__a">No</a><a href="//b.example" class="result__a">Two</a><a href="//c.example" class="result__a">Three</a>'),
+    key = _key().cast("string")
+    first = F.concat(
+        F.lit('<a rel="x" href="//d.example/l/?uddg=https%3A%2F%2Fa.example%2F%3Fq%3D'), key, F.lit('%26x&amp;rut=1" class="result__a"> '), "c_name", F.lit(" &amp; &lt;1&gt; &quot;"), (_key() % 4).cast("string"), F.lit("&quot; </a>"),
     )
-    rows = table(spark, sf_dir, "nation").select("n_nationkey", F.posexplode(adapters.search_results(page, 2)).alias("pos", "r"))
-    return rows.select("n_nationkey", "pos", "r.title", "r.url")
+    page = F.concat(F.when(_key() % 3 != 0, first).otherwise("<p>none</p>"), F.lit('<a href="/local" class="result__a">No</a><a href="//b.example/'), key, F.lit('" class="result__a">Two</a><a href="//c.example" class="result__a">Three</a>'))
+    rows = _customers(spark, sf_dir).select("c_custkey", F.posexplode(adapters.search_results(page, 2)).alias("pos", "r"))
+    return rows.select("c_custkey", "pos", "r.title", "r.url")
 
 
-@catalog.add("SELECT n_nationkey, 0 AS pos, n_name AS title, 'u' AS url, 'c' AS content FROM nation")
+@catalog.add("""
+SELECT c_custkey, 0 AS pos, c_name AS title, 'u' || c_custkey::VARCHAR AS url, '' AS content FROM customer WHERE c_custkey % 4 <> 0
+UNION ALL SELECT c_custkey, 1, '2 é', 'v', 'c' FROM customer WHERE c_custkey % 4 IN (1, 2)
+""")
 def search_json(spark, sf_dir):
-    doc = F.concat(F.lit('{"results":[{"title":"'), "n_name", F.lit('","url":"u","content":"c"},{"title":"2","url":"v","content":""}],"unresponsive_engines":[]}'))
-    rows = table(spark, sf_dir, "nation").select("n_nationkey", F.posexplode(adapters.json_results(doc, 1)).alias("pos", "r"))
-    return rows.select("n_nationkey", "pos", "r.title", "r.url", "r.content")
+    """By key: a missing field makes the whole list unreadable; two of three; two; one."""
+    one = F.concat(F.lit('{"title":"'), "c_name", F.lit('","url":"u'), _key().cast("string"), F.lit('","content":""}'))
+    two, three = F.lit(',{"title":"2 é","url":"v","content":"c"}'), F.lit(',{"title":"3","url":"w","content":"d"}')
+    more = F.when(_key() % 4 == 0, ',{"title":"no url","content":""}').when(_key() % 4 == 1, F.concat(two, three)).when(_key() % 4 == 2, two).otherwise("")
+    doc = F.concat(F.lit('{"results":['), one, more, F.lit('],"unresponsive_engines":[]}'))
+    rows = _customers(spark, sf_dir).select("c_custkey", F.posexplode(adapters.json_results(doc, 2)).alias("pos", "r"))
+    return rows.select("c_custkey", "pos", "r.title", "r.url", "r.content")
 
 
 @catalog.add("SELECT page_id, len(regexp_extract_all(html, '(?is)<a[ \\t]([^>]*)>(.*?)</a>', 1)) > 0 AS has_links, strlen(html) // 4 AS tokens FROM pages")

@@ -102,21 +102,26 @@ def page_metadata(spark, sf_dir):
 
 
 def _head_page():
-    """A page with every kind of metadata, from the nations."""
-    n = F.col("n_name")
+    """Pages whose heads have other parts by key."""
+    k, n = F.col("c_custkey"), F.col("c_name")
+    part = lambda when, *parts: F.when(when, F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])).otherwise("")
     return F.concat(
-        F.lit("<html><head><title> "), n, F.lit(" </title><meta name=\"description\" content=\"About "), n, F.lit("\"><meta content='nobody' name='author'><META NAME=\"keywords\" CONTENT=\"a, b\">"),
-        F.lit("<meta property=\"og:type\" content=\"x\"><meta property=\"og:type\" content=\"second\"><meta property='og:title' content='"), n, F.lit("'><meta property=\"other\" content=\"no\">"),
-        F.lit("<link rel=\"icon\" href=\"/i\"><link rel=\"canonical\" href=\"https://e.example/"), F.col("n_nationkey").cast("string"), F.lit("\"></head><body><time datetime=\"2024\"> then </time><time> </time><time>now</time></body></html>"),
+        F.lit("<html><head>"), part(k % 9 != 0, "<title> ", n, " </title>"), part(k % 2 == 0, '<meta name="description" content="About ', n, '">'), part(k % 3 == 0, "<meta content='nobody' name='author'>"),
+        part(k % 5 != 0, '<META NAME="keywords" CONTENT="a, ', k.cast("string"), '">'), F.lit('<meta name="keywords2" content="no">'),
+        part(k % 4 != 0, '<meta property="og:type" content="x"><meta property="og:type" content="second">'), part(k % 4 < 2, "<meta property='og:title' content='", n, "'><meta property=\"other\" content=\"no\">"),
+        part(k % 7 != 0, '<link rel="icon" href="/i"><link rel="canonical" href="https://e.example/', k.cast("string"), '">'), F.lit("</head><body>"),
+        part(k % 6 == 0, '<time datetime="2024"> then </time><time> </time><time>now</time>'), F.lit("</body></html>"),
     )
 
 
-@catalog.add("""
-SELECT n_nationkey, 'title: ' || n_name || chr(10) || 'description: About ' || n_name || chr(10) || 'author: nobody' || chr(10) || 'keywords: a, b' || chr(10) || 'og:type: x' || chr(10) || 'og:title: ' || n_name || chr(10)
-  || 'canonical: https://e.example/' || n_nationkey::VARCHAR || chr(10) || 'time: then' || chr(10) || 'time: now' AS text FROM nation
+@catalog.add(f"""
+SELECT c_custkey, coalesce(nullif(array_to_string(list_filter([
+  CASE WHEN c_custkey % 9 <> 0 THEN 'title: ' || c_name END, CASE WHEN c_custkey % 2 = 0 THEN 'description: About ' || c_name END, CASE WHEN c_custkey % 3 = 0 THEN 'author: nobody' END,
+  CASE WHEN c_custkey % 5 <> 0 THEN 'keywords: a, ' || c_custkey::VARCHAR END, CASE WHEN c_custkey % 4 <> 0 THEN 'og:type: x' END, CASE WHEN c_custkey % 4 < 2 THEN 'og:title: ' || c_name END,
+  CASE WHEN c_custkey % 7 <> 0 THEN 'canonical: https://e.example/' || c_custkey::VARCHAR END, CASE WHEN c_custkey % 6 = 0 THEN 'time: then' || chr(10) || 'time: now' END], lambda x: x IS NOT NULL), chr(10)), ''), '{html.NO_METADATA}') AS text FROM customer
 """)
 def metadata_entries(spark, sf_dir):
-    return table(spark, sf_dir, "nation").select("n_nationkey", html.metadata_mode(_head_page()).alias("text"))
+    return table(spark, sf_dir, "customer").select("c_custkey", html.metadata_mode(_head_page()).alias("text"))
 
 
 def _table_page():
@@ -185,10 +190,14 @@ def jsonld_blocks(spark, sf_dir):
 
 
 @catalog.add("""
-SELECT n_nationkey, '{' || chr(10) || '  "a": [' || chr(10) || '    1' || chr(10) || '  ],' || chr(10) || '  "n": "' || n_name || '"' || chr(10) || '}' AS pretty, 'not ' || n_name AS raw FROM nation
+SELECT c_custkey, '{' || chr(10) || '  "a": [' || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE chr(10) || '    ' || c_custkey::VARCHAR || ',' || chr(10) || '    {' || chr(10) || '      "z": null' || chr(10) || '    }' || chr(10) || '  ' END || '],' || chr(10)
+  || '  "n": "' || c_name || ' é' || CASE WHEN c_custkey % 2 = 0 THEN chr(92) || '"' ELSE '' END || '"' || chr(10) || '}' AS pretty, '{"n": not ' || c_name AS raw FROM customer
 """)
 def json_pretty(spark, sf_dir):
-    return table(spark, sf_dir, "nation").select("n_nationkey", html.pretty_json(F.concat(F.lit('{"n":"'), "n_name", F.lit('","a":[1]}'))).alias("pretty"), html.pretty_json(F.concat(F.lit("not "), "n_name")).alias("raw"))
+    k = F.col("c_custkey")
+    each = F.when(k % 3 == 0, F.lit("")).otherwise(F.concat(k.cast("string"), F.lit(',{"z":null}')))
+    doc = F.concat(F.lit('{"n":"'), "c_name", F.lit(" \\u00e9"), F.when(k % 2 == 0, '\\"').otherwise(""), F.lit('","a":['), each, F.lit("]}"))
+    return table(spark, sf_dir, "customer").select("c_custkey", html.pretty_json(doc).alias("pretty"), html.pretty_json(F.concat(F.lit('{"n": not '), "c_name")).alias("raw"))
 
 
 _TYPES = ("application/json; charset=utf-8", "Text/Plain", "application/pdf", "IMAGE/png", "text/html", "text/markdown", "application/octet-stream")
