@@ -126,7 +126,11 @@ def raw_text(node: Node) -> str:
     return "".join(c if isinstance(c, str) else raw_text(c) for c in node.children)
 
 
-def blocks(node: Node, out: list[str]) -> None:
+#: Marks of nested quotes; deeper quotes are shown at this depth, so a page's text grows with the page.
+QUOTE_LEVELS = 8
+
+
+def blocks(node: Node, out: list[str], depth: int = 0) -> None:
     run: list = []
 
     def flush() -> None:
@@ -166,24 +170,31 @@ def blocks(node: Node, out: list[str]) -> None:
                 out.append("\n".join([shown[0], f"| {' | '.join('---' for _ in rows[0])} |", *shown[1:]]))
         elif child.tag == "blockquote":
             inner: list[str] = []
-            blocks(child, inner)
-            out.append("\n".join(f"> {x}" for x in "\n\n".join(inner).split("\n")))
+            blocks(child, inner, depth + 1)
+            if depth < QUOTE_LEVELS:
+                out.append("\n".join(f"> {x}" for x in "\n\n".join(inner).split("\n")))
+            else:
+                out += inner
         else:
-            blocks(child, out)
+            blocks(child, out, depth)
     flush()
 
 
 def readable(html: str | None) -> tuple[str, str]:
-    """(title, Markdown) of a page; both empty if there is no text."""
+    """(title, Markdown) of a page; both empty if there is no text.  A page nested too deep for a walk of its tree gives its bare text."""
     if not html or not html.strip():
         return "", ""
     tree = Tree()
     tree.feed(html)
     tree.close()
-    measure(tree.root)
+    title = re.sub(r"\s+", " ", "".join(tree.title)).strip()
     out: list[str] = []
-    blocks(find_main(tree.root), out)
-    return re.sub(r"\s+", " ", "".join(tree.title)).strip(), "\n\n".join(out).strip()
+    try:
+        measure(tree.root)
+        blocks(find_main(tree.root), out)
+    except RecursionError:
+        out = [re.sub(r"\s+", " ", re.sub(r"(?is)<(script|style|title).*?</\1>|<[^>]*>", " ", html))]
+    return title, "\n\n".join(out).strip()
 
 
 def main_content(pages: DataFrame, column: str = "html", when: str | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corvane.operators import history
@@ -56,17 +57,31 @@ def sessions(log: DataFrame, gap: str = "5 minutes", late: str = "10 minutes") -
     return timed.groupBy(F.session_window("ts", gap).alias("w"), "domain").agg(F.count(F.lit(1)).alias("n")).select("domain", F.col("w.start").alias("started_at"), F.col("w.end").alias("ended_at"), "n")
 
 
+#: Parts of the store of newest versions, by url.
+STORE_BUCKETS = 256
+
+
 def store_diffs(versions: DataFrame, current_path: str, diffs_path: str):
-    """A foreachBatch writer: each batch's versions are compared with the stored newest ones, which they then replace.
+    """A foreachBatch writer: each batch's versions are compared with the newest ones stored before.
 
-    The store is written under the batch's number, so a repeated batch gives the same files.
+    A batch adds its own newest versions under batch=n and bucket=k and rewrites nothing;
+    it reads the buckets of its urls alone.  A repeated batch gives the same files.
     """
+    bucket = F.pmod(F.xxhash64("url"), F.lit(STORE_BUCKETS)).cast("int")
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        known = batch.limit(0) if number == 0 else spark.read.schema(batch.schema).parquet(f"{current_path}/{number - 1}")
+        batch = batch.persist()
+        # At most STORE_BUCKETS rows.
+        touched = [r["bucket"] for r in batch.select(bucket.alias("bucket")).distinct().collect()]
+        known = batch.limit(0)
+        if number and touched:
+            stored = spark.read.schema(T.StructType([*batch.schema.fields, T.StructField("batch", T.LongType()), T.StructField("bucket", T.IntegerType())])).parquet(current_path)
+            earlier = stored.where((F.col("batch") < number) & F.col("bucket").isin(touched)).select(*batch.columns)
+            known = history.newest(earlier.join(batch.select("url").distinct(), "url", "left_semi").select(*batch.columns), 1).drop("rank")
         found = history.diffs(known.unionByName(batch)).join(batch.select("url", "id"), ["url", "id"], "left_semi")
         found.write.mode("overwrite").parquet(f"{diffs_path}/batch={number}")
-        history.newest(known.unionByName(batch), 1).drop("rank").write.mode("overwrite").parquet(f"{current_path}/{number}")
+        history.newest(batch, 1).drop("rank").withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{current_path}/batch={number}")
+        batch.unpersist()
 
     return versions.writeStream.foreachBatch(apply)

@@ -265,6 +265,9 @@ def test_readability():
     for part in ("Home", "menu", "Buy now", "Nice post", "Copyright"):
         assert part not in body
     assert readability.readable(PAGE) == (title, body) and readability.readable("") == ("", "")
+    nested = "<article>" + "".join(f"<blockquote><p>said {i} " for i in range(800)) + "</article>"
+    assert len(readability.readable(nested)[1]) < 5 * len(nested)
+    assert "deep inside" in readability.readable("<div>" * 20_000 + "deep inside")[1]
 
 
 def test_dispatch(spark):

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.operators import routes
+from corvane.operators import history, routes
 from corvane.sources.tables import fetch_log, page_history
 from corvane.streaming import streams
 
@@ -57,3 +57,20 @@ def test_diffs(spark, tmp_path):
     query = writer.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert query.exception() is None and spark.read.parquet(str(tmp_path / "diffs")).count() == 40
+
+
+def test_diffs_over_several_batches(spark, tmp_path):
+    """As in one batch, with only the touched parts of the store read."""
+    path = tmp_path / "versions"
+    rows = page_history(spark, SF).limit(60).orderBy("id").collect()
+    schema = page_history(spark, SF).schema
+    writer = streams.store_diffs(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(path)), str(tmp_path / "now"), str(tmp_path / "diffs"))
+    for k in range(3):
+        spark.createDataFrame(rows[20 * k : 20 * k + 20], schema).coalesce(1).write.mode("append").parquet(str(path))
+        query = writer.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        assert query.exception() is None
+    columns = ["url", "id", "old_hash", "new_hash", "added_lines", "removed_lines"]
+    got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "diffs")).select(*columns).collect()}
+    want = {tuple(r) for r in history.diffs(spark.createDataFrame(rows, schema)).select(*columns).collect()}
+    assert got == want and len(got) == 60
