@@ -31,11 +31,15 @@ _MD = f"WITH m AS ({MARKDOWN_SQL}) "
 
 @catalog.add(rf"""
 WITH t AS (
-  SELECT c_custkey, chr(92) || ['-','.','!','*','_','#','`','[',' '][(c_custkey % 9 + 1)::INT] || 'a ' || chr(92) || '* b' || chr(92) || chr(10) || repeat('#', (c_custkey % 8)::INT) || 'Head ' || c_name || chr(10)
-    || '####### seven' || chr(10) || '# ok' || repeat(chr(10), (c_custkey % 6 + 1)::INT) || '[gone ' || c_name || ']() [kept](u) [x' || repeat(chr(10), (c_custkey % 3)::INT) AS x FROM customer
+  SELECT c_custkey, chr(92) || ['-','.','!','*','_','#','`','[',' '][(c_custkey % 9 + 1)::INT] || 'a ' || chr(92) || '* b' || chr(92) || chr(10) ||
+    repeat('#', (c_custkey % 8)::INT) || 'Head ' || c_name || chr(10)
+    || '####### seven' || chr(10) || '# ok' || repeat(chr(10), (c_custkey % 6 + 1)::INT) || '[gone ' || c_name || ']() [kept](u) [x' ||
+      repeat(chr(10), (c_custkey % 3)::INT) AS x FROM customer
 ),
-a AS (SELECT c_custkey, regexp_replace(x, '\\([^*_#\[\]\\`~\s])', '\1', 'g') AS x FROM t), b AS (SELECT c_custkey, regexp_replace(x, '(?m)^(#{{1,6}})([^ \n#])', '\1 \2', 'g') AS x FROM a),
-c AS (SELECT c_custkey, regexp_replace(regexp_replace(x, '\[([^\]]*)\]\(\)', '\1', 'g'), '\n{{4,}}', chr(10) || chr(10) || chr(10), 'g') AS x FROM b) SELECT c_custkey, {sql_trim('x')} AS md FROM c
+a AS (SELECT c_custkey, regexp_replace(x, '\\([^*_#\[\]\\`~\s])', '\1', 'g') AS x FROM t), b AS (SELECT c_custkey, regexp_replace(x,
+  '(?m)^(#{{1,6}})([^ \n#])', '\1 \2', 'g') AS x FROM a),
+c AS (SELECT c_custkey, regexp_replace(regexp_replace(x, '\[([^\]]*)\]\(\)', '\1', 'g'), '\n{{4,}}', chr(10) || chr(10) || chr(10), 'g') AS x FROM b)
+  SELECT c_custkey, {sql_trim('x')} AS md FROM c
 """)
 def markdown_clean(spark, sf_dir):
     k = F.col("c_custkey")
@@ -83,16 +87,19 @@ _SECTION_MARK = "chr(10) || chr(10) || '[... truncated ...]'"
 
 @catalog.add(rf"""
 WITH RECURSIVE m AS ({MARKDOWN_SQL}), s AS (
-  SELECT doc_id, md, CASE WHEN contains(md, chr(10) || '## ') THEN list_filter(string_split(replace(md, chr(10) || '## ', chr(1) || '## '), chr(1)), lambda x: x <> '') ELSE string_split(md, chr(10) || chr(10)) END AS parts FROM m
+  SELECT doc_id, md, CASE WHEN contains(md, chr(10) || '## ') THEN list_filter(string_split(replace(md, chr(10) || '## ', chr(1) || '## '), chr(1)),
+    lambda x: x <> '') ELSE string_split(md, chr(10) || chr(10)) END AS parts FROM m
 ), loop AS (
   SELECT doc_id, 0 AS i, 0::BIGINT AS held, []::VARCHAR[] AS kept FROM s
   UNION ALL
   SELECT doc_id, i + 1, CASE WHEN need <= {_USABLE} THEN need ELSE held END, CASE WHEN need <= {_USABLE} THEN list_append(kept, part) ELSE kept END FROM (
-    SELECT loop.doc_id, i, held, kept, parts[i + 1] AS part, held + strlen(parts[i + 1]) + CASE WHEN len(kept) = 0 THEN 0 ELSE 2 END AS need FROM loop JOIN s ON loop.doc_id = s.doc_id WHERE i < len(parts))
+    SELECT loop.doc_id, i, held, kept, parts[i + 1] AS part, held + strlen(parts[i + 1]) + CASE WHEN len(kept) = 0 THEN 0 ELSE 2 END AS need FROM
+      loop JOIN s ON loop.doc_id = s.doc_id WHERE i < len(parts))
 ), done AS (
   SELECT s.doc_id, md, parts, array_to_string(kept, chr(10) || chr(10)) AS joined FROM loop JOIN s ON loop.doc_id = s.doc_id AND i = len(parts)
 )
-SELECT doc_id, CASE WHEN strlen(md) <= {_SECTION_LIMIT} THEN md WHEN len(parts) <= 1 THEN regexp_replace({sql_prefix('md', str(_USABLE))}, '{WS}+\z', '') || {_SECTION_MARK}
+SELECT doc_id, CASE WHEN strlen(md) <= {_SECTION_LIMIT} THEN md WHEN len(parts) <= 1 THEN regexp_replace({sql_prefix('md', str(_USABLE))}, '{WS}+\z',
+  '') || {_SECTION_MARK}
   WHEN strlen(joined) < strlen(md) THEN joined || {_SECTION_MARK} ELSE joined END AS text FROM done
 """)
 def truncate_sections(spark, sf_dir):
@@ -102,7 +109,8 @@ def truncate_sections(spark, sf_dir):
 @catalog.add(_MD + rf""", l AS (
   SELECT doc_id, md, unnest({sql_lines('md')}) AS line, generate_subscripts({sql_lines('md')}, 1) AS pos FROM m
 ), f AS (
-  SELECT *, regexp_matches(line, '^{WS}*#') AS head, sum(strlen(line)) OVER w AS total, min(CASE WHEN line <> '' THEN pos END) OVER (PARTITION BY doc_id) AS first_text FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
+  SELECT *, regexp_matches(line, '^{WS}*#') AS head, sum(strlen(line)) OVER w AS total, min(CASE WHEN line <> '' THEN pos END) OVER (PARTITION BY
+    doc_id) AS first_text FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
 ), h AS (
   SELECT *, CASE WHEN pos < first_text THEN 0 ELSE total + pos - first_text END AS held FROM f
 ), p AS (
@@ -110,14 +118,16 @@ def truncate_sections(spark, sf_dir):
 ), c AS (
   SELECT doc_id, coalesce(min(CASE WHEN head AND before > 0 AND before + strlen(line) + 1 > 480 THEN pos END) - 1, max(pos)) AS n FROM p GROUP BY doc_id
 ), g AS (
-  SELECT p.doc_id, any_value(md) AS md, coalesce(string_agg('- ' || {sql_trim("regexp_replace(" + sql_trim('line') + ", '^#+', '')")}, chr(10) ORDER BY pos) FILTER (WHERE head), '') AS toc,
+  SELECT p.doc_id, any_value(md) AS md, coalesce(string_agg('- ' || {sql_trim("regexp_replace(" + sql_trim('line') + ", '^#+', '')")}, chr(10) ORDER
+    BY pos) FILTER (WHERE head), '') AS toc,
     regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE pos <= n), ''), '^
 +', '') AS taken, coalesce(max(CASE WHEN head AND pos <= n THEN held END), 0) AS broke
   FROM p JOIN c ON p.doc_id = c.doc_id GROUP BY p.doc_id
 ), b AS (
   SELECT *, CASE WHEN strlen(taken) > 960 AND broke > 0 THEN {sql_prefix('taken', 'broke')} ELSE taken END AS body FROM g
 )
-SELECT doc_id, strlen(md) > 480 AS truncated, CASE WHEN strlen(md) <= 480 THEN md WHEN toc <> '' THEN '{tokens.TOC_TITLE}' || chr(10) || toc || chr(10) || chr(10) || body ELSE body END AS text FROM b
+SELECT doc_id, strlen(md) > 480 AS truncated, CASE WHEN strlen(md) <= 480 THEN md WHEN toc <> '' THEN '{tokens.TOC_TITLE}' || chr(10) || toc ||
+  chr(10) || chr(10) || body ELSE body END AS text FROM b
 """)
 def truncate_smart(spark, sf_dir):
     return markdown_docs(spark, sf_dir).select("doc_id", tokens.truncate_smart(F.col("md"), F.lit(120)).alias("r")).select("doc_id", "r.truncated", "r.text")
@@ -126,8 +136,10 @@ def truncate_smart(spark, sf_dir):
 _SECTIONS = _MD + rf""", l AS (SELECT doc_id, source, unnest({sql_lines('md')}) AS line, generate_subscripts({sql_lines('md')}, 1) AS pos FROM m),
 h AS (SELECT *, regexp_replace(line, '^{WS}+', '') AS left_line, len(regexp_extract(regexp_replace(line, '^{WS}+', ''), '^(#*)', 1)) AS marks FROM l),
 g AS (SELECT *, sum((marks BETWEEN 1 AND 6)::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS sec FROM h),
-s AS (SELECT doc_id, source, sec, coalesce(max(CASE WHEN marks BETWEEN 1 AND 6 THEN marks END), 0)::INT AS level, coalesce(max(CASE WHEN marks BETWEEN 1 AND 6 THEN {sql_trim("regexp_replace(left_line, '^#+', '')")} END), '') AS heading,
-  coalesce(regexp_replace(string_agg(CASE WHEN marks BETWEEN 1 AND 6 THEN NULL ELSE line END, chr(10) ORDER BY pos), '^\n+', ''), '') AS content FROM g GROUP BY doc_id, source, sec),
+s AS (SELECT doc_id, source, sec, coalesce(max(CASE WHEN marks BETWEEN 1 AND 6 THEN marks END), 0)::INT AS level, coalesce(max(CASE WHEN marks
+  BETWEEN 1 AND 6 THEN {sql_trim("regexp_replace(left_line, '^#+', '')")} END), '') AS heading,
+  coalesce(regexp_replace(string_agg(CASE WHEN marks BETWEEN 1 AND 6 THEN NULL ELSE line END, chr(10) ORDER BY pos), '^\n+', ''), '') AS content FROM
+    g GROUP BY doc_id, source, sec),
 sections AS (SELECT doc_id, source, (row_number() OVER (PARTITION BY doc_id ORDER BY sec) - 1)::INT AS section_idx, level, heading, content FROM s WHERE heading <> '' OR content <> '') """
 
 
@@ -146,7 +158,9 @@ _WORDS = ["the", "doc", "an", "über"]
 
 
 @catalog.add(_SECTIONS + f""", k AS (SELECT *, lower(heading || ' ' || content) AS both_texts, lower(heading) AS head FROM sections),
-r AS (SELECT doc_id, section_idx, len(list_filter({_WORDS!r}, lambda w: contains(both_texts, w))) AS hits, len(list_filter({_WORDS!r}, lambda w: contains(both_texts, w))) / 4 + 0.5 * len(list_filter({_WORDS!r}, lambda w: contains(head, w))) / 4 + CASE WHEN strlen(content) > 0 THEN greatest(log2(strlen(content)), 0) / 10 ELSE 0 END AS score FROM k)
+r AS (SELECT doc_id, section_idx, len(list_filter({_WORDS!r}, lambda w: contains(both_texts, w))) AS hits, len(list_filter({_WORDS!r}, lambda w:
+  contains(both_texts, w))) / 4 + 0.5 * len(list_filter({_WORDS!r}, lambda w: contains(head, w))) / 4 + CASE WHEN strlen(content) > 0 THEN
+  greatest(log2(strlen(content)), 0) / 10 ELSE 0 END AS score FROM k)
 SELECT doc_id, section_idx, hits::INT AS hits, round(score, 6) AS score, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, section_idx)::INT AS rank FROM r""")
 def focus_rank(spark, sf_dir):
     ranked = sections.rank_sections(_sections(spark, sf_dir), "doc_id", FOCUS)
@@ -156,9 +170,11 @@ def focus_rank(spark, sf_dir):
 @catalog.add(_SECTIONS + f""", k AS (SELECT *, lower(heading || ' ' || content) AS both_texts, lower(heading) AS head FROM sections),
 r AS (
   SELECT doc_id, section_idx, CASE WHEN heading = '' THEN content ELSE heading || chr(10) || content END AS shown,
-    len(list_filter({_WORDS!r}, lambda w: contains(both_texts, w))) / 4 + 0.5 * len(list_filter({_WORDS!r}, lambda w: contains(head, w))) / 4 + CASE WHEN strlen(content) > 0 THEN greatest(log2(strlen(content)), 0) / 10 ELSE 0 END AS score FROM k
+    len(list_filter({_WORDS!r}, lambda w: contains(both_texts, w))) / 4 + 0.5 * len(list_filter({_WORDS!r}, lambda w: contains(head, w))) / 4 + CASE
+      WHEN strlen(content) > 0 THEN greatest(log2(strlen(content)), 0) / 10 ELSE 0 END AS score FROM k
 )
-SELECT m.doc_id, coalesce(string_agg(shown, chr(10) || chr(10) ORDER BY round(score, 9) DESC, section_idx) FILTER (WHERE score > 0), any_value(md)) AS text FROM m LEFT JOIN r ON m.doc_id = r.doc_id GROUP BY m.doc_id
+SELECT m.doc_id, coalesce(string_agg(shown, chr(10) || chr(10) ORDER BY round(score, 9) DESC, section_idx) FILTER (WHERE score > 0), any_value(md))
+  AS text FROM m LEFT JOIN r ON m.doc_id = r.doc_id GROUP BY m.doc_id
 """)
 def focus_text(spark, sf_dir):
     return markdown_docs(spark, sf_dir).select("doc_id", sections.focused_text(F.col("md"), FOCUS).alias("text"))
@@ -178,13 +194,21 @@ def structural_headings(spark, sf_dir):
     return sections.structural_headings(pages_, headings, "source").select("source", "heading", "n", F.round("ratio", 6).alias("ratio"))
 
 
-@catalog.add(_SECTIONS + ", p AS (SELECT source, count(DISTINCT doc_id) AS pages FROM sections GROUP BY source), n AS (SELECT source, lower(heading) AS heading, count(*) AS n FROM sections WHERE heading <> '' GROUP BY 1, 2) SELECT source, heading, n, pages FROM n JOIN p USING (source) WHERE n > 1")
+@catalog.add(_SECTIONS +
+    ", p AS (SELECT source, count(DISTINCT doc_id) AS pages FROM sections GROUP BY source), n AS (SELECT source, lower(heading) AS heading, count(*) AS n "
+    "FROM sections WHERE heading <> '' GROUP BY 1, 2) SELECT source, heading, n, pages FROM n JOIN p USING (source) WHERE n > 1"
+)
 def heading_counts(spark, sf_dir):
     pages_, headings, _ = _profile(spark, sf_dir)
     return headings.where("n > 1").join(pages_, "source").select("source", "heading", "n", "pages")
 
 
-@catalog.add(_SECTIONS + ", n AS (SELECT source, lower(heading) AS heading, count(*) AS n FROM sections WHERE heading <> '' GROUP BY 1, 2), p AS (SELECT source, count(DISTINCT doc_id) AS pages FROM sections GROUP BY source) SELECT doc_id, section_idx, round(strlen(content) * (1 - CASE WHEN n.n / p.pages >= 0.5 THEN n.n / p.pages ELSE 0 END) + 0.0, 6) AS adjusted FROM sections s JOIN p ON s.source = p.source LEFT JOIN n ON s.source = n.source AND lower(s.heading) = n.heading")
+@catalog.add(_SECTIONS +
+    ", n AS (SELECT source, lower(heading) AS heading, count(*) AS n FROM sections WHERE heading <> '' GROUP BY 1, 2), p AS (SELECT source, count(DISTINCT "
+    "doc_id) AS pages FROM sections GROUP BY source) SELECT doc_id, section_idx, round(strlen(content) * (1 - CASE WHEN n.n / p.pages >= 0.5 THEN n.n / "
+    "p.pages ELSE 0 END) + 0.0, 6) AS adjusted FROM sections s JOIN p ON s.source = p.source LEFT JOIN n ON s.source = n.source AND lower(s.heading) = "
+    "n.heading"
+)
 def structural_adjust(spark, sf_dir):
     rows = _sections(spark, sf_dir).withColumn("score", bytes_of(F.col("content")).cast("double"))
     pages_, headings, _ = sections.domain_profile(rows, "source", "doc_id")
@@ -192,7 +216,10 @@ def structural_adjust(spark, sf_dir):
     return adjusted.select("doc_id", "section_idx", F.round("adjusted", 6).alias("adjusted"))
 
 
-@catalog.add(_SECTIONS + ", c AS (SELECT source, level, count(*) AS n FROM sections WHERE heading <> '' GROUP BY 1, 2) SELECT source, level FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, level) AS k FROM c) WHERE k = 1")
+@catalog.add(_SECTIONS +
+    ", c AS (SELECT source, level, count(*) AS n FROM sections WHERE heading <> '' GROUP BY 1, 2) SELECT source, level FROM (SELECT *, row_number() OVER "
+    "(PARTITION BY source ORDER BY n DESC, level) AS k FROM c) WHERE k = 1"
+)
 def dominant_level(spark, sf_dir):
     return sections.dominant_level(_profile(spark, sf_dir)[2], "source")
 
@@ -213,7 +240,10 @@ def boilerplate_blocks(spark, sf_dir):
     return _blocks(spark, sf_dir)[1]
 
 
-@catalog.add(_BLOCKS + "SELECT h.source, doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE n.n IS NULL OR n.n < 3), '') AS text FROM h LEFT JOIN n ON h.source = n.source AND h.block_hash = n.block_hash GROUP BY h.source, doc_id")
+@catalog.add(_BLOCKS +
+    "SELECT h.source, doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE n.n IS NULL OR n.n < 3), '') AS text FROM h LEFT JOIN n ON "
+    "h.source = n.source AND h.block_hash = n.block_hash GROUP BY h.source, doc_id"
+)
 def boilerplate_strip(spark, sf_dir):
     docs, marks = _blocks(spark, sf_dir)
     return boilerplate.strip(docs, marks, "source", "doc_id", "text")
@@ -235,13 +265,16 @@ _CITING = "'Intro ' || c_name || ' [see [' || k || '] here](https://x.example/'
 
 
 @catalog.add(f"""
-WITH t AS (SELECT c_custkey, k, {_CITING} AS x, position('[see' IN {_CITING}) - 1 AS a, position('[c]' IN {_CITING}) - 1 AS b, position('[e]' IN {_CITING}) - 1 AS e FROM (SELECT *, (c_custkey % 7)::VARCHAR AS k FROM customer)),
+WITH t AS (SELECT c_custkey, k, {_CITING} AS x, position('[see' IN {_CITING}) - 1 AS a, position('[c]' IN {_CITING}) - 1 AS b, position('[e]' IN
+  {_CITING}) - 1 AS e FROM (SELECT *, (c_custkey % 7)::VARCHAR AS k FROM customer)),
 c AS (
   SELECT c_custkey, 0 AS pos, 'see [' || k || '] here' AS text, 'https://x.example/' || k AS source_url, a AS place, x FROM t
   UNION ALL SELECT c_custkey, 1, 'c', 'http://y.example/' || k, b, x FROM t
   UNION ALL SELECT c_custkey, 2, 'e', 'https://v.example/' || c_custkey::VARCHAR, e, x FROM t
 )
-SELECT c_custkey, pos, text, source_url, {sql_trim("string_split(substr(x, (greatest(0, place - 40) + 1)::BIGINT, (least(strlen(x), place + 60) - greatest(0, place - 40))::BIGINT), chr(10))[1]")} AS context FROM c
+SELECT c_custkey, pos, text, source_url,
+  {sql_trim("string_split(substr(x, (greatest(0, place - 40) + 1)::BIGINT, (least(strlen(x), place + 60) - greatest(0, place - 40))::BIGINT), chr(10))[1]")}
+  AS context FROM c
 """)
 def citation_context(spark, sf_dir):
     """Nested and unbalanced brackets, relative, empty and repeated targets, each with its context."""
@@ -262,8 +295,10 @@ _ROBOTS = ("User-agent: *\nDisallow: /w\nAllow: /wh\n\nUser-agent: other\nDisall
 
 
 @catalog.add(r"""
-WITH t AS (SELECT o_orderkey, o_orderkey % 6 AS k, '/' || lower(o_orderpriority) || '/' || ['what','we','fe','sane'][(o_orderkey % 4 + 1)::INT] AS path FROM orders), p AS (SELECT *, '/' || split_part(path, '/', 3) AS q FROM t)
-SELECT o_orderkey, q AS path, CASE k WHEN 0 THEN starts_with(q, '/wh') OR NOT starts_with(q, '/w') WHEN 1 THEN NOT regexp_matches(q, '/.*s.*e') WHEN 4 THEN true ELSE true END AS allowed FROM p
+WITH t AS (SELECT o_orderkey, o_orderkey % 6 AS k, '/' || lower(o_orderpriority) || '/' || ['what','we','fe','sane'][(o_orderkey % 4 + 1)::INT] AS
+  path FROM orders), p AS (SELECT *, '/' || split_part(path, '/', 3) AS q FROM t)
+SELECT o_orderkey, q AS path, CASE k WHEN 0 THEN starts_with(q, '/wh') OR NOT starts_with(q, '/w') WHEN 1 THEN NOT regexp_matches(q, '/.*s.*e') WHEN
+  4 THEN true ELSE true END AS allowed FROM p
 """)
 def robots_allowed(spark, sf_dir):
     k = F.col("o_orderkey")
@@ -314,9 +349,11 @@ _NL = "chr(10) || chr(10)"
 
 @catalog.add(f"""
 SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN '(no content returned from Reddit API)' || chr(10) ELSE
-  '# ' || CASE WHEN c_custkey % 5 = 0 THEN '(untitled)' ELSE c_name END || {_NL} || '**r/s' || (c_custkey % 3)::VARCHAR || '** · u/' || CASE WHEN c_custkey % 2 = 0 THEN '[deleted]' ELSE 'me' END || ' · ⬆ ' || (c_custkey % 90)::VARCHAR || {_NL}
+  '# ' || CASE WHEN c_custkey % 5 = 0 THEN '(untitled)' ELSE c_name END || {_NL} || '**r/s' || (c_custkey % 3)::VARCHAR || '** · u/' || CASE WHEN
+    c_custkey % 2 = 0 THEN '[deleted]' ELSE 'me' END || ' · ⬆ ' || (c_custkey % 90)::VARCHAR || {_NL}
   || CASE WHEN c_custkey % 4 = 0 THEN '' ELSE 'self' || {_NL} END || '---' || {_NL} || '## Top Comments' || {_NL}
-  || coalesce((SELECT string_agg('**u/a' || i::VARCHAR || '** (⬆ ' || i::VARCHAR || ')' || {_NL} || 'b' || {_NL} || '---' || {_NL}, '' ORDER BY i) FROM range(5) t(i) WHERE i < c_custkey % 8), '') END AS md
+  || coalesce((SELECT string_agg('**u/a' || i::VARCHAR || '** (⬆ ' || i::VARCHAR || ')' || {_NL} || 'b' || {_NL} || '---' || {_NL}, '' ORDER BY i)
+    FROM range(5) t(i) WHERE i < c_custkey % 8), '') END AS md
 FROM customer
 """)
 def reddit_md(spark, sf_dir):
@@ -330,9 +367,11 @@ def reddit_md(spark, sf_dir):
 
 
 @catalog.add(f"""
-SELECT c_custkey, '# ' || CASE WHEN c_custkey % 6 = 0 THEN '(untitled)' ELSE c_name END || {_NL} || '**Hacker News** · by ' || CASE WHEN c_custkey % 3 = 0 THEN 'me' ELSE '[unknown]' END || ' · ⬆ ' || (c_custkey % 100)::VARCHAR || ' · 💬 '
+SELECT c_custkey, '# ' || CASE WHEN c_custkey % 6 = 0 THEN '(untitled)' ELSE c_name END || {_NL} || '**Hacker News** · by ' || CASE WHEN c_custkey %
+  3 = 0 THEN 'me' ELSE '[unknown]' END || ' · ⬆ ' || (c_custkey % 100)::VARCHAR || ' · 💬 '
   || CASE WHEN c_custkey % 4 = 0 THEN c_custkey::VARCHAR ELSE '0' END || {_NL} || CASE WHEN c_custkey % 2 = 0 THEN 'body é' || {_NL} ELSE '' END
-  || CASE WHEN c_custkey % 5 = 0 THEN '' ELSE '**Link:** [https://x.example/' || c_custkey::VARCHAR || '](https://x.example/' || c_custkey::VARCHAR || ')' || chr(10) END AS md FROM customer
+  || CASE WHEN c_custkey % 5 = 0 THEN '' ELSE '**Link:** [https://x.example/' || c_custkey::VARCHAR || '](https://x.example/' || c_custkey::VARCHAR
+    || ')' || chr(10) END AS md FROM customer
 """)
 def hn_md(spark, sf_dir):
     optional = lambda when, *parts: F.when(when, F.concat(*[x if not isinstance(x, str) else F.lit(x) for x in parts])).otherwise("")
@@ -344,7 +383,8 @@ def hn_md(spark, sf_dir):
 
 
 @catalog.add(f"""
-SELECT c_custkey, '# ' || CASE WHEN c_custkey % 7 = 0 THEN '(untitled)' ELSE c_name END || {_NL} || '**Channel:** ' || CASE WHEN c_custkey % 5 = 0 THEN '[unknown]' ELSE 'c' || c_custkey::VARCHAR END || {_NL}
+SELECT c_custkey, '# ' || CASE WHEN c_custkey % 7 = 0 THEN '(untitled)' ELSE c_name END || {_NL} || '**Channel:** ' || CASE WHEN c_custkey % 5 = 0
+  THEN '[unknown]' ELSE 'c' || c_custkey::VARCHAR END || {_NL}
   || CASE c_custkey % 3 WHEN 0 THEN '![thumbnail](t' || c_custkey::VARCHAR || ')' || {_NL} WHEN 1 THEN '⚠ _bad_' || chr(10) ELSE '' END AS md FROM customer
 """)
 def oembed_md(spark, sf_dir):
@@ -366,7 +406,8 @@ def _vtt():
 
 _CUES = f"""
 SELECT c_custkey, 0 AS pos, '00:' || {_LEAD} || ':01.000' AS ts, 'Hello ' || c_name || ' more' AS text, '[' || (c_custkey % 60)::VARCHAR || ':01]' AS shown FROM customer
-UNION ALL SELECT c_custkey, 1, '0' || (c_custkey % 9 + 1)::VARCHAR || ':' || {_LEAD} || ':07.000', 'late é', '[' || (c_custkey % 9 + 1)::VARCHAR || ':' || {_LEAD} || ':07]' FROM customer WHERE c_custkey % 4 = 0
+UNION ALL SELECT c_custkey, 1, '0' || (c_custkey % 9 + 1)::VARCHAR || ':' || {_LEAD} || ':07.000', 'late é', '[' || (c_custkey % 9 + 1)::VARCHAR ||
+  ':' || {_LEAD} || ':07]' FROM customer WHERE c_custkey % 4 = 0
 UNION ALL SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 2 ELSE 1 END, '00:05:06.1', 'last line', '[5:06]' FROM customer
 """
 
@@ -379,7 +420,8 @@ def vtt_cues(spark, sf_dir):
 
 @catalog.add(f"""
 SELECT c_custkey, '0' || (c_custkey % 3)::VARCHAR || ':' || {_LEAD} || ':00,5' AS ts, c_name || ' x' AS text,
-  CASE WHEN c_custkey % 3 = 0 THEN '[' || (c_custkey % 60)::VARCHAR || ':00,5]' ELSE '[' || (c_custkey % 3)::VARCHAR || ':' || {_LEAD} || ':00,5]' END AS shown FROM customer
+  CASE WHEN c_custkey % 3 = 0 THEN '[' || (c_custkey % 60)::VARCHAR || ':00,5]' ELSE '[' || (c_custkey % 3)::VARCHAR || ':' || {_LEAD} || ':00,5]'
+    END AS shown FROM customer
 UNION ALL SELECT c_custkey, '01:00:00,5', ' ', '[1:00:00,5]' FROM customer WHERE c_custkey % 2 = 0
 """)
 def srt_cues(spark, sf_dir):
@@ -391,8 +433,10 @@ def srt_cues(spark, sf_dir):
 
 @catalog.add(f"""
 WITH cues AS ({_CUES}), said AS (SELECT c_custkey, string_agg('**' || shown || '** ' || text || {_NL}, '' ORDER BY pos) AS lines FROM cues GROUP BY c_custkey)
-SELECT c.c_custkey, '# ' || c_name || {_NL} || CASE WHEN c.c_custkey % 5 = 0 THEN '' ELSE '**Duration:** ' || (c.c_custkey % 4000 // 60)::VARCHAR || ':' || lpad((c.c_custkey % 4000 % 60)::VARCHAR, 2, '0') || {_NL} END || '---' || {_NL}
-  || CASE WHEN c.c_custkey % 2 = 0 THEN '## Transcript' || {_NL} || lines ELSE '*No subtitles available.*' || {_NL} || CASE WHEN c.c_custkey % 3 = 0 THEN '' ELSE '## Description' || {_NL} || 'd' || c.c_custkey::VARCHAR || chr(10) END END AS md
+SELECT c.c_custkey, '# ' || c_name || {_NL} || CASE WHEN c.c_custkey % 5 = 0 THEN '' ELSE '**Duration:** ' || (c.c_custkey % 4000 // 60)::VARCHAR ||
+  ':' || lpad((c.c_custkey % 4000 % 60)::VARCHAR, 2, '0') || {_NL} END || '---' || {_NL}
+  || CASE WHEN c.c_custkey % 2 = 0 THEN '## Transcript' || {_NL} || lines ELSE '*No subtitles available.*' || {_NL} || CASE WHEN c.c_custkey % 3 = 0
+    THEN '' ELSE '## Description' || {_NL} || 'd' || c.c_custkey::VARCHAR || chr(10) END END AS md
 FROM customer c JOIN said ON c.c_custkey = said.c_custkey
 """)
 def transcript_md(spark, sf_dir):
@@ -403,7 +447,8 @@ def transcript_md(spark, sf_dir):
 
 
 @catalog.add("""
-SELECT c_custkey, 0 AS pos, c_name || ' & <1> "' || (c_custkey % 4)::VARCHAR || '"' AS title, 'https://a.example/?q=' || c_custkey::VARCHAR || '&x' AS url FROM customer WHERE c_custkey % 3 <> 0
+SELECT c_custkey, 0 AS pos, c_name || ' & <1> "' || (c_custkey % 4)::VARCHAR || '"' AS title, 'https://a.example/?q=' || c_custkey::VARCHAR || '&x'
+  AS url FROM customer WHERE c_custkey % 3 <> 0
 UNION ALL SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE 1 END, 'Two', 'https://b.example/' || c_custkey::VARCHAR FROM customer
 UNION ALL SELECT c_custkey, 1, 'Three', 'https://c.example' FROM customer WHERE c_custkey % 3 = 0
 """)
@@ -438,8 +483,11 @@ def page_profile(spark, sf_dir):
 
 
 @catalog.add("""
-WITH r AS (SELECT n_regionkey AS query, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1) AS pos, n_name AS title, 'https://n.example/' || n_nationkey::VARCHAR AS url FROM nation)
-SELECT query, string_agg(CASE WHEN pos < 3 THEN '## ' || (pos + 1)::VARCHAR || '. ' || title || chr(10) || url || chr(10) || chr(10) || repeat('z', 2000) || ' [...]' || chr(10) || chr(10) ELSE (pos + 1)::VARCHAR || '. ' || title || ' — ' || url || chr(10) END, '' ORDER BY pos) AS report FROM r WHERE pos < 4 GROUP BY query
+WITH r AS (SELECT n_regionkey AS query, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1) AS pos, n_name AS title,
+  'https://n.example/' || n_nationkey::VARCHAR AS url FROM nation)
+SELECT query, string_agg(CASE WHEN pos < 3 THEN '## ' || (pos + 1)::VARCHAR || '. ' || title || chr(10) || url || chr(10) || chr(10) || repeat('z',
+  2000) || ' [...]' || chr(10) || chr(10) ELSE (pos + 1)::VARCHAR || '. ' || title || ' — ' || url || chr(10) END, '' ORDER BY pos) AS report FROM r
+  WHERE pos < 4 GROUP BY query
 """)
 def search_report(spark, sf_dir):
     order = Window.partitionBy("n_regionkey").orderBy("n_nationkey")

@@ -45,7 +45,8 @@ _PATH = r"CASE WHEN regexp_extract(regexp_replace(url, '^(https://|http://)', ''
 
 @catalog.add(rf"""
 SELECT page_id, {sql_domain('url')} AS domain, lower(regexp_extract(regexp_replace(url, '^(https://|http://)', ''), '^([^/:]*)', 1)) AS host, {_PATH} AS path,
-  CASE WHEN contains({_PATH}, '?') THEN regexp_extract({_PATH}, '(?s)^[^?]*\?(.*)$', 1) END AS query, split_part(regexp_replace(url, '^(https://)*(http://)*', ''), '?', 1) AS title
+  CASE WHEN contains({_PATH}, '?') THEN regexp_extract({_PATH}, '(?s)^[^?]*\?(.*)$', 1) END AS query, split_part(regexp_replace(url,
+    '^(https://)*(http://)*', ''), '?', 1) AS title
 FROM pages
 """)
 def url_parts(spark, sf_dir):
@@ -53,7 +54,10 @@ def url_parts(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", urls.domain(u).alias("domain"), urls.host(u).alias("host"), urls.path(u).alias("path"), urls.query(u).alias("query"), urls.title_from_url(u).alias("title"))
 
 
-@catalog.add("SELECT p_partkey, replace(replace(replace(url_encode(p_name || ' ~*/ü'), '%20', '+'), '%7E', '~'), '*', '%2A') AS form, replace(replace(url_encode(p_name || ' ~*/ü'), '%7E', '~'), '*', '%2A') AS strict, p_name || ' ~*/ü' AS back FROM part")
+@catalog.add(
+    "SELECT p_partkey, replace(replace(replace(url_encode(p_name || ' ~*/ü'), '%20', '+'), '%7E', '~'), '*', '%2A') AS form, "
+    "replace(replace(url_encode(p_name || ' ~*/ü'), '%7E', '~'), '*', '%2A') AS strict, p_name || ' ~*/ü' AS back FROM part"
+)
 def url_encoding(spark, sf_dir):
     x = F.concat("p_name", F.lit(" ~*/ü"))
     return table(spark, sf_dir, "part").select("p_partkey", urls.encode_form(x).alias("form"), urls.encode_strict(x).alias("strict"), urls.decode(urls.encode_form(x)).alias("back"))
@@ -80,9 +84,11 @@ WITH a AS (
   SELECT page_id, unnest(range(len(t))) AS i, unnest(t) AS tag, unnest(b) AS body
   FROM (SELECT page_id, regexp_extract_all(html, '{_ANCHOR}', 1) AS t, regexp_extract_all(html, '{_ANCHOR}', 2) AS b FROM pages)
 ), l AS (
-  SELECT page_id, i, CASE WHEN regexp_matches(tag, '(?is)href="([^"]*)"') THEN regexp_extract(tag, '(?is)href="([^"]*)"', 1) WHEN regexp_matches(tag, '(?is)href=''([^'']*)''') THEN regexp_extract(tag, '(?is)href=''([^'']*)''', 1) END AS href,
+  SELECT page_id, i, CASE WHEN regexp_matches(tag, '(?is)href="([^"]*)"') THEN regexp_extract(tag, '(?is)href="([^"]*)"', 1) WHEN regexp_matches(tag,
+    '(?is)href=''([^'']*)''') THEN regexp_extract(tag, '(?is)href=''([^'']*)''', 1) END AS href,
     {sql_trim("replace(regexp_replace(body, '<[^>]*(>|" + chr(92) + "z)', '', 'g'), '>', '')")} AS text FROM a
-), k AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS pos, CASE WHEN text = '' THEN href ELSE text END AS text, href FROM l WHERE href IS NOT NULL AND href <> '' AND NOT starts_with(href, '#'))
+), k AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS pos, CASE WHEN text = '' THEN href ELSE text END AS text, href
+  FROM l WHERE href IS NOT NULL AND href <> '' AND NOT starts_with(href, '#'))
 """
 
 
@@ -91,7 +97,10 @@ def page_links(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", F.posexplode(html.anchors(F.col("html"))).alias("pos", "a")).select("page_id", "pos", "a.text", "a.href")
 
 
-@catalog.add(_LINKS + f"SELECT p.page_id, coalesce(string_agg('- [' || text || '](' || href || ')', chr(10) ORDER BY pos), '{html.NO_LINKS}') AS text FROM pages p LEFT JOIN k ON p.page_id = k.page_id GROUP BY p.page_id")
+@catalog.add(_LINKS +
+    f"SELECT p.page_id, coalesce(string_agg('- [' || text || '](' || href || ')', chr(10) ORDER BY pos), '{html.NO_LINKS}') AS text FROM pages p LEFT JOIN "
+    f"k ON p.page_id = k.page_id GROUP BY p.page_id"
+)
 def page_links_text(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", extraction.extract(F.col("html"), F.col("url"), "links").alias("text"))
 
@@ -116,9 +125,12 @@ def _head_page():
 
 @catalog.add(f"""
 SELECT c_custkey, coalesce(nullif(array_to_string(list_filter([
-  CASE WHEN c_custkey % 9 <> 0 THEN 'title: ' || c_name END, CASE WHEN c_custkey % 2 = 0 THEN 'description: About ' || c_name END, CASE WHEN c_custkey % 3 = 0 THEN 'author: nobody' END,
-  CASE WHEN c_custkey % 5 <> 0 THEN 'keywords: a, ' || c_custkey::VARCHAR END, CASE WHEN c_custkey % 4 <> 0 THEN 'og:type: x' END, CASE WHEN c_custkey % 4 < 2 THEN 'og:title: ' || c_name END,
-  CASE WHEN c_custkey % 7 <> 0 THEN 'canonical: https://e.example/' || c_custkey::VARCHAR END, CASE WHEN c_custkey % 6 = 0 THEN 'time: then' || chr(10) || 'time: now' END], lambda x: x IS NOT NULL), chr(10)), ''), '{html.NO_METADATA}') AS text FROM customer
+  CASE WHEN c_custkey % 9 <> 0 THEN 'title: ' || c_name END, CASE WHEN c_custkey % 2 = 0 THEN 'description: About ' || c_name END, CASE WHEN
+    c_custkey % 3 = 0 THEN 'author: nobody' END,
+  CASE WHEN c_custkey % 5 <> 0 THEN 'keywords: a, ' || c_custkey::VARCHAR END, CASE WHEN c_custkey % 4 <> 0 THEN 'og:type: x' END, CASE WHEN
+    c_custkey % 4 < 2 THEN 'og:title: ' || c_name END,
+  CASE WHEN c_custkey % 7 <> 0 THEN 'canonical: https://e.example/' || c_custkey::VARCHAR END, CASE WHEN c_custkey % 6 = 0 THEN 'time: then' ||
+    chr(10) || 'time: now' END], lambda x: x IS NOT NULL), chr(10)), ''), '{html.NO_METADATA}') AS text FROM customer
 """)
 def metadata_entries(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", html.metadata_mode(_head_page()).alias("text"))
@@ -182,7 +194,9 @@ def header_cells_first(spark, sf_dir):
 
 
 @catalog.add(f"""
-SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN '### Structured Data Block 1' || chr(10) || '{{' || chr(10) || '  "a": ' || n_nationkey::VARCHAR || ',' || chr(10) || '  "n": "' || n_name || '"' || chr(10) || '}}' || chr(10) || chr(10) || '### Structured Data Block 2' || chr(10) || 'not json' ELSE '{html.NO_JSONLD}' END AS text FROM nation
+SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN '### Structured Data Block 1' || chr(10) || '{{' || chr(10) || '  "a": ' ||
+  n_nationkey::VARCHAR || ',' || chr(10) || '  "n": "' || n_name || '"' || chr(10) || '}}' || chr(10) || chr(10) || '### Structured Data Block 2' ||
+  chr(10) || 'not json' ELSE '{html.NO_JSONLD}' END AS text FROM nation
 """)
 def jsonld_blocks(spark, sf_dir):
     page = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit('<script>x</script><script type="application/ld+json"> {"n":"'), "n_name", F.lit('","a":'), F.col("n_nationkey").cast("string"), F.lit('} </script><SCRIPT id=q type=application/ld+json>not json</SCRIPT>'))).otherwise("<p>x</p>")
@@ -190,8 +204,10 @@ def jsonld_blocks(spark, sf_dir):
 
 
 @catalog.add("""
-SELECT c_custkey, '{' || chr(10) || '  "a": [' || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE chr(10) || '    ' || c_custkey::VARCHAR || ',' || chr(10) || '    {' || chr(10) || '      "z": null' || chr(10) || '    }' || chr(10) || '  ' END || '],' || chr(10)
-  || '  "n": "' || c_name || ' é' || CASE WHEN c_custkey % 2 = 0 THEN chr(92) || '"' ELSE '' END || '"' || chr(10) || '}' AS pretty, '{"n": not ' || c_name AS raw FROM customer
+SELECT c_custkey, '{' || chr(10) || '  "a": [' || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE chr(10) || '    ' || c_custkey::VARCHAR || ',' || chr(10)
+  || '    {' || chr(10) || '      "z": null' || chr(10) || '    }' || chr(10) || '  ' END || '],' || chr(10)
+  || '  "n": "' || c_name || ' é' || CASE WHEN c_custkey % 2 = 0 THEN chr(92) || '"' ELSE '' END || '"' || chr(10) || '}' AS pretty, '{"n": not ' ||
+    c_name AS raw FROM customer
 """)
 def json_pretty(spark, sf_dir):
     k = F.col("c_custkey")
@@ -206,8 +222,10 @@ _TYPES = ("application/json; charset=utf-8", "Text/Plain", "application/pdf", "I
 @catalog.add(f"""
 WITH t AS (SELECT page_id, {list(_TYPES)!r}[(page_id % 7 + 1)::INT] AS content_type, html FROM pages),
 k AS (SELECT *, CASE WHEN contains(lower(content_type), 'application/json') THEN 'json' WHEN contains(lower(content_type), 'text/plain') THEN 'plain'
-  WHEN contains(lower(content_type), 'application/pdf') OR contains(lower(content_type), 'application/octet-stream') OR contains(lower(content_type), 'image/') OR contains(lower(content_type), 'video/') OR contains(lower(content_type), 'audio/') THEN 'binary' ELSE 'html' END AS kind FROM t)
-SELECT page_id, kind, CASE kind WHEN 'binary' THEN '[Unsupported content type: ' || content_type || '. Binary content cannot be extracted.]' WHEN 'html' THEN NULL ELSE html END AS text, CASE kind WHEN 'binary' THEN 0 WHEN 'html' THEN NULL ELSE strlen(html) END::BIGINT AS length FROM k
+  WHEN contains(lower(content_type), 'application/pdf') OR contains(lower(content_type), 'application/octet-stream') OR contains(lower(content_type),
+    'image/') OR contains(lower(content_type), 'video/') OR contains(lower(content_type), 'audio/') THEN 'binary' ELSE 'html' END AS kind FROM t)
+SELECT page_id, kind, CASE kind WHEN 'binary' THEN '[Unsupported content type: ' || content_type || '. Binary content cannot be extracted.]' WHEN
+  'html' THEN NULL ELSE html END AS text, CASE kind WHEN 'binary' THEN 0 WHEN 'html' THEN NULL ELSE strlen(html) END::BIGINT AS length FROM k
 """)
 def content_dispatch(spark, sf_dir):
     kinds = F.get(F.array(*map(F.lit, _TYPES)), (F.col("page_id") % 7).cast("int"))
@@ -222,13 +240,19 @@ def readability_text(spark, sf_dir):
     return out.select("page_id", F.col("main_title").alias("title"), markdown.clean(F.col("main_text")).alias("text"))
 
 
-@catalog.add(f"SELECT page_id, {sql_reason('t')} IS NULL AS is_valuable, strlen(t)::BIGINT AS char_count, {sql_non_blank('t')}::BIGINT AS line_count, {sql_reason('t')} AS reason FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN coalesce(nullif({_TEXT}, ''), '') ELSE html END AS t FROM pages)")
+@catalog.add(
+    f"SELECT page_id, {sql_reason('t')} IS NULL AS is_valuable, strlen(t)::BIGINT AS char_count, {sql_non_blank('t')}::BIGINT AS line_count, "
+    f"{sql_reason('t')} AS reason FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN coalesce(nullif({_TEXT}, ''), '') ELSE html END AS t FROM pages)"
+)
 def quality_gate(spark, sf_dir):
     t = F.when(F.col("page_id") % 2 == 0, F.coalesce(html.text_mode(F.col("html")), F.lit(""))).otherwise(F.col("html"))
     return pages(spark, sf_dir).select("page_id", t.alias("t")).select("page_id", classify.quality(F.col("t")).alias("q")).select("page_id", "q.*")
 
 
-@catalog.add(f"SELECT doc_id, {sql_reason('text')} IS NULL AS is_valuable, {sql_reason('text')} AS reason, {sql_non_blank('text')}::BIGINT AS line_count FROM documents WHERE text IS NOT NULL")
+@catalog.add(
+    f"SELECT doc_id, {sql_reason('text')} IS NULL AS is_valuable, {sql_reason('text')} AS reason, {sql_non_blank('text')}::BIGINT AS line_count FROM "
+    f"documents WHERE text IS NOT NULL"
+)
 def document_quality_gate(spark, sf_dir):
     x = F.col("text")
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", classify.quality_reason(x).isNull().alias("is_valuable"), classify.quality_reason(x).alias("reason"), non_blank_lines(x).cast("long").alias("line_count"))
@@ -258,7 +282,10 @@ def spa_detect(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", classify.spa_framework(page).alias("framework"))
 
 
-@catalog.add("SELECT page_id, NULL::VARCHAR AS framework, len(list_filter(string_split(split_part(regexp_extract(html, '(?s)<body[^>]*>(.*)$', 1), '</body>', 1), chr(10)), lambda x: NOT regexp_matches(trim(x), '^(<script|</script|<!--|<div|$)'))) = 0 AS shell FROM pages")
+@catalog.add(
+    "SELECT page_id, NULL::VARCHAR AS framework, len(list_filter(string_split(split_part(regexp_extract(html, '(?s)<body[^>]*>(.*)$', 1), '</body>', 1), "
+    "chr(10)), lambda x: NOT regexp_matches(trim(x), '^(<script|</script|<!--|<div|$)'))) = 0 AS shell FROM pages"
+)
 def page_spa_detect(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", classify.spa_framework(F.col("html")).alias("framework"), classify.spa_body(F.col("html")).alias("shell"))
 
@@ -274,7 +301,8 @@ _RESPONSES = (
 
 @catalog.add(
     "WITH r(k, status, block_type) AS (VALUES " + ", ".join(f"({i}, {s}, {'NULL' if b is None else repr(b)})" for i, (s, _, _, b) in enumerate(_RESPONSES)) + """)
-SELECT page_id, status, block_type, CASE WHEN block_type IS NULL THEN NULL WHEN block_type = 'RateLimit' THEN 'RateLimited' WHEN block_type = 'AuthWall' THEN 'NotFound' ELSE 'Blocked:' || block_type END AS response_class FROM pages JOIN r ON page_id % 20 = k
+SELECT page_id, status, block_type, CASE WHEN block_type IS NULL THEN NULL WHEN block_type = 'RateLimit' THEN 'RateLimited' WHEN block_type =
+  'AuthWall' THEN 'NotFound' ELSE 'Blocked:' || block_type END AS response_class FROM pages JOIN r ON page_id % 20 = k
 """
 )
 def block_classify(spark, sf_dir):
@@ -303,9 +331,12 @@ def private_ip(spark, sf_dir):
 
 
 @catalog.add("""
-SELECT page_id, strlen(html)::BIGINT AS n, CASE WHEN strlen(html) > 500 AND page_id % 3 <> 0 THEN 'high' WHEN strlen(html) > 500 THEN 'medium' WHEN strlen(html) > 100 THEN 'medium' ELSE 'low' END AS confidence,
+SELECT page_id, strlen(html)::BIGINT AS n, CASE WHEN strlen(html) > 500 AND page_id % 3 <> 0 THEN 'high' WHEN strlen(html) > 500 THEN 'medium' WHEN
+  strlen(html) > 100 THEN 'medium' ELSE 'low' END AS confidence,
   CASE WHEN page_id % 2 = 0 THEN 'high' WHEN page_id % 5 = 0 THEN 'medium' ELSE 'high' END AS fetch_confidence,
-  'HttpSimple, ' || page_id::VARCHAR || 'ms, ' || CASE WHEN page_id % 2 = 0 THEN 'cache HIT' ELSE 'cache MISS' END || ', markdown, ' || strlen(html)::VARCHAR || ' chars' || CASE WHEN page_id % 5 = 0 THEN ', SPA detected' ELSE '' END || CASE WHEN page_id % 3 = 0 THEN ', blocked:Paywall' ELSE '' END AS line
+  'HttpSimple, ' || page_id::VARCHAR || 'ms, ' || CASE WHEN page_id % 2 = 0 THEN 'cache HIT' ELSE 'cache MISS' END || ', markdown, ' ||
+    strlen(html)::VARCHAR || ' chars' || CASE WHEN page_id % 5 = 0 THEN ', SPA detected' ELSE '' END || CASE WHEN page_id % 3 = 0 THEN
+    ', blocked:Paywall' ELSE '' END AS line
 FROM pages
 """)
 def fetch_diagnostics(spark, sf_dir):
@@ -318,7 +349,8 @@ def fetch_diagnostics(spark, sf_dir):
 
 
 @catalog.add(f"""
-SELECT page_id, '📎 Evidence: sha256:' || left(sha256(t), 16) || '… | fetched 2024-03-01T00:00:00Z | confidence: ' || CASE WHEN strlen(t) > 500 THEN 'high' WHEN strlen(t) > 100 THEN 'medium' ELSE 'low' END || ' | 0 citations' AS line, sha256(t) AS content_hash
+SELECT page_id, '📎 Evidence: sha256:' || left(sha256(t), 16) || '… | fetched 2024-03-01T00:00:00Z | confidence: ' || CASE WHEN strlen(t) > 500 THEN
+  'high' WHEN strlen(t) > 100 THEN 'medium' ELSE 'low' END || ' | 0 citations' AS line, sha256(t) AS content_hash
 FROM (SELECT page_id, coalesce({_TEXT}, '') AS t FROM pages)
 """)
 def evidence_lines(spark, sf_dir):
@@ -328,7 +360,8 @@ def evidence_lines(spark, sf_dir):
 
 
 @catalog.add(f"""
-SELECT page_id % 25 AS batch, string_agg(page_id::VARCHAR || ' ' || coalesce({_TITLE}, ''), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY page_id) AS combined FROM pages GROUP BY page_id % 25
+SELECT page_id % 25 AS batch, string_agg(page_id::VARCHAR || ' ' || coalesce({_TITLE}, ''), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER
+  BY page_id) AS combined FROM pages GROUP BY page_id % 25
 """)
 def batch_combine(spark, sf_dir):
     p = pages(spark, sf_dir).select((F.col("page_id") % 25).alias("batch"), F.col("page_id").alias("pos"), F.concat(F.col("page_id").cast("string"), F.lit(" "), F.coalesce(html.title(F.col("html")), F.lit(""))).alias("text"))
@@ -336,9 +369,12 @@ def batch_combine(spark, sf_dir):
 
 
 @catalog.add(f"""
-SELECT page_id, ['HttpSimple','Headless'][(page_id % 2 + 1)::INT] AS strategy_used, page_id % 3 = 0 AS cache_hit, page_id % 5 = 0 AS spa_detected, page_id % 2 = 1 AS js_rendered, 0 AS redirect_count,
-  strlen(t)::BIGINT AS content_length, len({sql_lines('t')})::BIGINT AS line_count, strlen(t) // 4 AS token_count, CASE WHEN page_id % 4 = 0 THEN 100 END::BIGINT AS token_budget,
-  CASE WHEN page_id % 3 = 0 THEN 'high' WHEN page_id % 2 = 1 THEN 'medium' ELSE 'high' END AS confidence, 'text' AS extraction_mode, page_id::BIGINT AS fetch_latency_ms, CASE WHEN page_id % 7 = 0 THEN 'Cloudflare' END AS block_detected
+SELECT page_id, ['HttpSimple','Headless'][(page_id % 2 + 1)::INT] AS strategy_used, page_id % 3 = 0 AS cache_hit, page_id % 5 = 0 AS spa_detected,
+  page_id % 2 = 1 AS js_rendered, 0 AS redirect_count,
+  strlen(t)::BIGINT AS content_length, len({sql_lines('t')})::BIGINT AS line_count, strlen(t) // 4 AS token_count, CASE WHEN page_id % 4 = 0 THEN 100
+    END::BIGINT AS token_budget,
+  CASE WHEN page_id % 3 = 0 THEN 'high' WHEN page_id % 2 = 1 THEN 'medium' ELSE 'high' END AS confidence, 'text' AS extraction_mode, page_id::BIGINT
+    AS fetch_latency_ms, CASE WHEN page_id % 7 = 0 THEN 'Cloudflare' END AS block_detected
 FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN coalesce({_TEXT}, '') ELSE html END AS t FROM pages)
 """)
 def diagnostics_rows(spark, sf_dir):

@@ -16,7 +16,8 @@ _LOG = f"WITH log AS ({FETCH_LOG_SQL}), "
 _FOLD = "CASE WHEN len(l) = 1 THEN l[1] ELSE list_reduce(l, lambda a, x, i: (a * (i - 1) + x) // i) END"
 _STATS = f"""stats AS (
   SELECT domain, strategy, {_FOLD} AS avg_latency_ms, success_rate, total_requests, last_success_at, last_check_at FROM (
-    SELECT domain, strategy, list(latency_ms ORDER BY ts, event_id) AS l, avg(success::INT) AS success_rate, count(*)::INT AS total_requests, max(CASE WHEN success THEN ts END) AS last_success_at, max(ts) AS last_check_at
+    SELECT domain, strategy, list(latency_ms ORDER BY ts, event_id) AS l, avg(success::INT) AS success_rate, count(*)::INT AS total_requests,
+      max(CASE WHEN success THEN ts END) AS last_success_at, max(ts) AS last_check_at
     FROM log GROUP BY domain, strategy)
 ), scored AS (SELECT *, success_rate * (1 / greatest(avg_latency_ms / 1000.0, 0.001)) AS score FROM stats),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY score DESC, strategy) AS rank FROM scored),
@@ -36,7 +37,10 @@ def route_stats_exact(spark, sf_dir):
     return _round(_stats(spark, sf_dir), "success_rate")
 
 
-@catalog.add(_LOG + "x AS (SELECT 1) SELECT domain, strategy, floor(avg(latency_ms))::BIGINT AS avg_latency_ms, count(*)::INT AS total_requests FROM log GROUP BY domain, strategy")
+@catalog.add(_LOG +
+    "x AS (SELECT 1) SELECT domain, strategy, floor(avg(latency_ms))::BIGINT AS avg_latency_ms, count(*)::INT AS total_requests FROM log GROUP BY domain, "
+    "strategy"
+)
 def route_stats_mean(spark, sf_dir):
     return routes.route_stats_mean(fetch_log(spark, sf_dir)).select("domain", "strategy", "avg_latency_ms", "total_requests")
 
@@ -67,14 +71,18 @@ def _targets(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", urls.domain(u).alias("domain"))
 
 
-@catalog.add(_LOG + _STATS + ", " + _TARGETS + f"SELECT o_orderkey, u.domain, b.strategy IS NOT NULL AS known, coalesce(b.strategy, 'HttpSimple') AS strategy, round(b.score, 6) AS score FROM (SELECT o_orderkey, {sql_domain('url')} AS domain FROM urls) u LEFT JOIN best b ON u.domain = b.domain")
+@catalog.add(_LOG + _STATS + ", " + _TARGETS +
+    f"SELECT o_orderkey, u.domain, b.strategy IS NOT NULL AS known, coalesce(b.strategy, 'HttpSimple') AS strategy, round(b.score, 6) AS score FROM (SELECT "
+    f"o_orderkey, {sql_domain('url')} AS domain FROM urls) u LEFT JOIN best b ON u.domain = b.domain"
+)
 def route_resolve(spark, sf_dir):
     return _round(routes.resolve(_targets(spark, sf_dir), _stats(spark, sf_dir)), "score")
 
 
 _PROBES = "probes AS (SELECT 'd' || (event_id % 40)::VARCHAR || '.example.com' AS domain, strategy, CASE WHEN success THEN status END AS status, latency_ms FROM log) "
 _WINNER = f"""winner AS (
-  SELECT d.domain, coalesce(w.strategy, 'HttpSimple') AS strategy, coalesce(w.latency_ms, 5000) AS latency_ms, w.strategy IS NOT NULL AS success FROM (SELECT DISTINCT domain FROM probes) d LEFT JOIN (
+  SELECT d.domain, coalesce(w.strategy, 'HttpSimple') AS strategy, coalesce(w.latency_ms, 5000) AS latency_ms, w.strategy IS NOT NULL AS success FROM
+    (SELECT DISTINCT domain FROM probes) d LEFT JOIN (
     SELECT domain, strategy, latency_ms, row_number() OVER (PARTITION BY domain ORDER BY latency_ms, list_position({list(routes.PROBED)!r}, strategy)) AS k FROM probes
     WHERE strategy IN ('HttpSimple', 'TlsChrome', 'TlsMobile', 'Headless') AND status NOT IN (403, 503)) w ON d.domain = w.domain AND k = 1) """
 
@@ -91,8 +99,10 @@ def probe_winner(spark, sf_dir):
 
 @catalog.add(_LOG + _STATS + ", " + _PROBES + ", " + _WINNER + ", " + _TARGETS + f"""
 , t AS (SELECT o_orderkey, {sql_domain('url')} AS domain, CASE WHEN o_orderkey % 7 = 0 THEN 'TlsMobile' END AS explicit FROM urls)
-SELECT o_orderkey, explicit IS NOT NULL OR b.strategy IS NOT NULL OR w.strategy IS NOT NULL AS known, coalesce(explicit, b.strategy, w.strategy, 'HttpSimple') AS strategy,
-  round(CASE WHEN explicit IS NOT NULL THEN 1.0 WHEN b.strategy IS NOT NULL THEN b.score WHEN w.strategy IS NOT NULL THEN 0.5 END, 6) AS score FROM t LEFT JOIN best b ON t.domain = b.domain LEFT JOIN winner w ON t.domain = w.domain
+SELECT o_orderkey, explicit IS NOT NULL OR b.strategy IS NOT NULL OR w.strategy IS NOT NULL AS known, coalesce(explicit, b.strategy, w.strategy,
+  'HttpSimple') AS strategy,
+  round(CASE WHEN explicit IS NOT NULL THEN 1.0 WHEN b.strategy IS NOT NULL THEN b.score WHEN w.strategy IS NOT NULL THEN 0.5 END, 6) AS score FROM t
+    LEFT JOIN best b ON t.domain = b.domain LEFT JOIN winner w ON t.domain = w.domain
 """)
 def route_resolve_probing(spark, sf_dir):
     t = _targets(spark, sf_dir).withColumn("explicit", F.when(F.col("o_orderkey") % 7 == 0, F.lit("TlsMobile")))
@@ -100,7 +110,10 @@ def route_resolve_probing(spark, sf_dir):
     return _round(out, "score").select("o_orderkey", "known", "strategy", "score")
 
 
-@catalog.add(_LOG + _STATS + f"SELECT domain, strategy, total_requests FROM stats WHERE NOT (total_requests >= 80 AND success_rate < 0.75 AND last_check_at < TIMESTAMP '{NOW}' - INTERVAL 30 DAY)")
+@catalog.add(_LOG + _STATS +
+    f"SELECT domain, strategy, total_requests FROM stats WHERE NOT (total_requests >= 80 AND success_rate < 0.75 AND last_check_at < TIMESTAMP '{NOW}' - "
+    f"INTERVAL 30 DAY)"
+)
 def route_evict_stale(spark, sf_dir):
     return routes.evict_stale(_stats(spark, sf_dir), 80, 0.75, 30, now()).select("domain", "strategy", "total_requests")
 
@@ -110,13 +123,19 @@ def route_capacity(spark, sf_dir):
     return routes.evict_over_capacity(_stats(spark, sf_dir), 50).select("domain", "strategy", "last_check_at")
 
 
-@catalog.add(_LOG + "x AS (SELECT *, event_type = 'view' AS is_spa FROM log) SELECT domain, strategy, count(*) AS n, sum((status < 400)::INT)::BIGINT AS ok FROM x WHERE NOT (is_spa AND strategy <> 'Headless') GROUP BY domain, strategy")
+@catalog.add(_LOG +
+    "x AS (SELECT *, event_type = 'view' AS is_spa FROM log) SELECT domain, strategy, count(*) AS n, sum((status < 400)::INT)::BIGINT AS ok FROM x WHERE "
+    "NOT (is_spa AND strategy <> 'Headless') GROUP BY domain, strategy"
+)
 def route_recorded(spark, sf_dir):
     rows = routes.recordable(fetch_log(spark, sf_dir).withColumn("is_spa", F.col("event_type") == "view"))
     return rows.groupBy("domain", "strategy").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("success").cast("long")).alias("ok"))
 
 
-@catalog.add(_LOG + "x AS (SELECT 1) SELECT count(DISTINCT domain) AS domains, count(DISTINCT domain || ' ' || strategy) AS routes FROM log WHERE domain <> 'd3.example.com'")
+@catalog.add(_LOG +
+    "x AS (SELECT 1) SELECT count(DISTINCT domain) AS domains, count(DISTINCT domain || ' ' || strategy) AS routes FROM log WHERE domain <> "
+    "'d3.example.com'"
+)
 def route_counts(spark, sf_dir):
     kept = routes.remove(fetch_log(spark, sf_dir), "d3.example.com")
     return kept.agg(F.countDistinct("domain").alias("domains"), F.countDistinct("domain", "strategy").alias("routes"))
@@ -131,7 +150,9 @@ def error_class(spark, sf_dir):
 
 
 @catalog.add("""
-SELECT c_custkey, [200, 206, 301, 302, 307, 308, 403, 503, 404, 500][(c_custkey % 10 + 1)::INT] AS status, ['Accessible','Accessible','Redirect','Redirect','Redirect','Redirect','Blocked','Blocked','Accessible','Accessible'][(c_custkey % 10 + 1)::INT] AS kind,
+SELECT c_custkey, [200, 206, 301, 302, 307, 308, 403, 503, 404, 500][(c_custkey % 10 + 1)::INT] AS status,
+  ['Accessible','Accessible','Redirect','Redirect','Redirect','Redirect','Blocked','Blocked','Accessible','Accessible'][(c_custkey % 10 + 1)::INT] AS
+  kind,
   CASE WHEN c_custkey % 10 BETWEEN 2 AND 5 THEN CASE WHEN c_custkey % 3 = 0 THEN '' ELSE '/to' END END AS location FROM customer
 """)
 def probe_class(spark, sf_dir):
@@ -145,8 +166,11 @@ _ORDER = "['HttpSimple','TlsChrome','TlsMobile','Headless','PublicApi','YouTube'
 
 
 @catalog.add(f"""
-WITH t AS (SELECT c_custkey, (c_custkey % 6)::INT AS r, {_ORDER}[(c_custkey % 6 + 1)::INT] AS current, [{_ORDER}[(c_custkey % 6 + 1)::INT], {_ORDER}[(c_custkey * 7 % 5 + 1)::INT]] AS visited, (c_custkey % 4)::INT AS attempts, CASE WHEN c_custkey % 11 = 0 THEN 'NotFound' ELSE 'Blocking' END AS class FROM customer)
-SELECT c_custkey, CASE WHEN attempts >= 3 OR class = 'NotFound' THEN NULL ELSE list_filter({_ORDER}[r + 2:6], lambda x: NOT list_contains(visited, x))[1] END AS next FROM t
+WITH t AS (SELECT c_custkey, (c_custkey % 6)::INT AS r, {_ORDER}[(c_custkey % 6 + 1)::INT] AS current, [{_ORDER}[(c_custkey % 6 + 1)::INT],
+  {_ORDER}[(c_custkey * 7 % 5 + 1)::INT]] AS visited, (c_custkey % 4)::INT AS attempts, CASE WHEN c_custkey % 11 = 0 THEN 'NotFound' ELSE 'Blocking'
+  END AS class FROM customer)
+SELECT c_custkey, CASE WHEN attempts >= 3 OR class = 'NotFound' THEN NULL ELSE list_filter({_ORDER}[r + 2:6], lambda x: NOT list_contains(visited,
+  x))[1] END AS next FROM t
 """)
 def fallback_next(spark, sf_dir):
     i, names = F.col("c_custkey"), F.array(*map(F.lit, routes.STRATEGIES))
@@ -158,14 +182,20 @@ def fallback_next(spark, sf_dir):
 _OUTCOMES = f"""WITH RECURSIVE outcomes AS (
   SELECT p_partkey AS url, unnest({_ORDER}) AS strategy, unnest(range(6)) AS r FROM part
 ), o AS (
-  SELECT url, strategy, r, CASE (url * 31 + r * 17) % 7 WHEN 0 THEN 'Transient' WHEN 1 THEN 'Blocking' WHEN 2 THEN 'NotFound' WHEN 3 THEN 'RateLimited' END AS error, (url + r) % 5 = 0 AS spa, (url * 13 + r * 5) % 4 < 2 AS good FROM outcomes
+  SELECT url, strategy, r, CASE (url * 31 + r * 17) % 7 WHEN 0 THEN 'Transient' WHEN 1 THEN 'Blocking' WHEN 2 THEN 'NotFound' WHEN 3 THEN
+    'RateLimited' END AS error, (url + r) % 5 = 0 AS spa, (url * 13 + r * 5) % 4 < 2 AS good FROM outcomes
 ), loop AS (
   SELECT p_partkey AS url, {_ORDER}[(p_partkey % 3 + 1)::INT] AS current, []::VARCHAR[] AS visited, 0 AS attempts, NULL::VARCHAR AS result FROM part
   UNION ALL
   SELECT url, CASE WHEN result IS NULL THEN following ELSE current END, visited, attempts, result FROM (
-    SELECT url, current, visited, attempts, following, CASE WHEN error IS NULL AND good THEN 'ok' WHEN following IS NULL THEN CASE WHEN error IN ('NotFound', 'RateLimited') THEN 'error:' || error WHEN error IS NULL THEN 'low-quality' ELSE 'exhausted' END WHEN attempts >= 3 THEN 'exhausted' END AS result FROM (
-      SELECT *, CASE WHEN error IN ('NotFound', 'RateLimited') THEN NULL WHEN error IS NULL AND spa AND NOT list_contains(visited, 'Headless') THEN 'Headless' WHEN attempts >= 3 THEN NULL ELSE list_filter({_ORDER}[r + 2:6], lambda x: NOT list_contains(visited, x))[1] END AS following FROM (
-        SELECT loop.url, current, list_append(visited, current) AS visited, attempts + 1 AS attempts, error, spa, good, r FROM loop JOIN o ON loop.url = o.url AND loop.current = o.strategy WHERE result IS NULL)))
+    SELECT url, current, visited, attempts, following, CASE WHEN error IS NULL AND good THEN 'ok' WHEN following IS NULL THEN CASE WHEN error IN
+      ('NotFound', 'RateLimited') THEN 'error:' || error WHEN error IS NULL THEN 'low-quality' ELSE 'exhausted' END WHEN attempts >= 3 THEN
+      'exhausted' END AS result FROM (
+      SELECT *, CASE WHEN error IN ('NotFound', 'RateLimited') THEN NULL WHEN error IS NULL AND spa AND NOT list_contains(visited, 'Headless') THEN
+        'Headless' WHEN attempts >= 3 THEN NULL ELSE list_filter({_ORDER}[r + 2:6], lambda x: NOT list_contains(visited, x))[1] END AS following FROM
+        (
+        SELECT loop.url, current, list_append(visited, current) AS visited, attempts + 1 AS attempts, error, spa, good, r FROM loop JOIN o ON
+          loop.url = o.url AND loop.current = o.strategy WHERE result IS NULL)))
 )
 SELECT url, visited[len(visited)] AS strategy, attempts, result, array_to_string(visited, ',') AS visited FROM loop WHERE result IS NOT NULL
 """
@@ -188,7 +218,8 @@ def route_seeds(spark, sf_dir):
 
 
 @catalog.add(_LOG + _STATS + """, e AS (SELECT * FROM stats WHERE strategy IN ('Headless', 'YouTube'))
-SELECT domain, strategy, avg_latency_ms, total_requests FROM stats WHERE strategy NOT IN ('Headless', 'YouTube') UNION ALL SELECT domain, strategy, avg_latency_ms + 1, total_requests FROM e
+SELECT domain, strategy, avg_latency_ms, total_requests FROM stats WHERE strategy NOT IN ('Headless', 'YouTube') UNION ALL SELECT domain, strategy,
+  avg_latency_ms + 1, total_requests FROM e
 UNION ALL SELECT 'new.example.com', 'TlsChrome', 10, 1""")
 def route_import_replace(spark, sf_dir):
     stats = _stats(spark, sf_dir)
@@ -197,7 +228,10 @@ def route_import_replace(spark, sf_dir):
     return route_files.replace_stats(stats, changed.unionByName(new), now()).select("domain", "strategy", "avg_latency_ms", "total_requests")
 
 
-@catalog.add(_LOG + _STATS + ", e AS (SELECT * FROM stats) SELECT e.domain, e.strategy, (s.avg_latency_ms * s.total_requests + e.avg_latency_ms) // (s.total_requests + 1) AS avg_latency_ms, s.total_requests + 1 AS total_requests FROM e JOIN stats s ON e.domain = s.domain AND e.strategy = s.strategy")
+@catalog.add(_LOG + _STATS +
+    ", e AS (SELECT * FROM stats) SELECT e.domain, e.strategy, (s.avg_latency_ms * s.total_requests + e.avg_latency_ms) // (s.total_requests + 1) AS "
+    "avg_latency_ms, s.total_requests + 1 AS total_requests FROM e JOIN stats s ON e.domain = s.domain AND e.strategy = s.strategy"
+)
 def route_import_merge(spark, sf_dir):
     stats = _stats(spark, sf_dir)
     return routes.merge_outcomes(stats, route_files.as_outcomes(stats, now())).select("domain", "strategy", "avg_latency_ms", "total_requests")
@@ -212,7 +246,8 @@ def route_export(spark, sf_dir):
 
 
 @catalog.add("""
-SELECT 'n' || n_nationkey::VARCHAR || '.example' AS domain, ['HttpSimple','TlsChrome','Headless'][(n_nationkey % 3 + 1)::INT] AS strategy, 0::BIGINT AS avg_latency_ms, 1.0::DOUBLE AS success_rate,
+SELECT 'n' || n_nationkey::VARCHAR || '.example' AS domain, ['HttpSimple','TlsChrome','Headless'][(n_nationkey % 3 + 1)::INT] AS strategy, 0::BIGINT
+  AS avg_latency_ms, 1.0::DOUBLE AS success_rate,
   CASE WHEN n_nationkey % 4 = 0 THEN 2 ELSE 1 END AS total_requests FROM nation
 """)
 def route_pack(spark, sf_dir):
@@ -261,7 +296,10 @@ def cache_gzip(spark, sf_dir):
     return c.select("url", F.sha2(route_files.gunzip_text("z"), 256).alias("content_hash"), (F.octet_length("z") < F.col("original_size")).alias("smaller"))
 
 
-@catalog.add(_CACHE + f"SELECT url, strategy, content_hash, epoch(TIMESTAMP '{NOW}' - created_at)::BIGINT AS age_seconds FROM cache WHERE doc_id % 2 = 0 AND expires_at > TIMESTAMP '{NOW}'")
+@catalog.add(_CACHE +
+    f"SELECT url, strategy, content_hash, epoch(TIMESTAMP '{NOW}' - created_at)::BIGINT AS age_seconds FROM cache WHERE doc_id % 2 = 0 AND expires_at > "
+    f"TIMESTAMP '{NOW}'"
+)
 def cache_get(spark, sf_dir):
     c = url_cache(spark, sf_dir)
     keys = c.where(F.substring_index("url", "/", -1).cast("long") % 2 == 0).select("url", "strategy")
@@ -277,7 +315,10 @@ def _by_source(spark, sf_dir):
     return c.withColumn("url", F.concat(F.lit("https://"), F.split_part("url", F.lit("/"), F.lit(3)), F.lit("/"), page))
 
 
-@catalog.add(_CACHE + _BY_SOURCE + f"SELECT url, strategy, content_hash FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY created_at DESC, strategy DESC) AS k FROM s) WHERE k = 1 AND expires_at > TIMESTAMP '{NOW}'")
+@catalog.add(_CACHE + _BY_SOURCE +
+    f"SELECT url, strategy, content_hash FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY created_at DESC, strategy DESC) AS k FROM s) WHERE k "
+    f"= 1 AND expires_at > TIMESTAMP '{NOW}'"
+)
 def cache_get_any(spark, sf_dir):
     return cache.get_any(_by_source(spark, sf_dir), now()).select("url", "strategy", "content_hash")
 
@@ -287,7 +328,10 @@ def cache_validated(spark, sf_dir):
     return cache.validated(url_cache(spark, sf_dir)).select("url", "strategy")
 
 
-@catalog.add(_CACHE + ", t AS (SELECT greatest(last_accessed_at, TIMESTAMP '2024-02-01 00:00:00') AS a FROM cache) SELECT min(a) AS first_at, max(a) AS last_at, count(*) AS n FROM t")
+@catalog.add(_CACHE +
+    ", t AS (SELECT greatest(last_accessed_at, TIMESTAMP '2024-02-01 00:00:00') AS a FROM cache) SELECT min(a) AS first_at, max(a) AS last_at, count(*) AS "
+    "n FROM t"
+)
 def cache_touch(spark, sf_dir):
     c = url_cache(spark, sf_dir)
     reads = c.select("url", "strategy", F.lit("2024-02-01").cast("timestamp_ntz").alias("access_ts"))
@@ -320,7 +364,10 @@ def cache_stats(spark, sf_dir):
     return cache.stats(url_cache(spark, sf_dir))
 
 
-@catalog.add(_CACHE + "SELECT count(*) AS entry_count, coalesce(sum(original_size), 0)::BIGINT AS total_size_bytes, min(created_at) AS oldest_at, max(created_at) AS newest_at FROM cache")
+@catalog.add(_CACHE +
+    "SELECT count(*) AS entry_count, coalesce(sum(original_size), 0)::BIGINT AS total_size_bytes, min(created_at) AS oldest_at, max(created_at) AS "
+    "newest_at FROM cache"
+)
 def cache_detailed(spark, sf_dir):
     return cache.detailed_stats(url_cache(spark, sf_dir))
 
@@ -335,7 +382,10 @@ def cache_search(spark, sf_dir):
     return cache.search(url_cache(spark, sf_dir), "P/1", 500).select("url", "strategy", "created_at")
 
 
-@catalog.add(_CACHE + "SELECT content_hash, url, strategy FROM (SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY last_accessed_at DESC, url, strategy) AS k FROM cache) WHERE k = 1")
+@catalog.add(_CACHE +
+    "SELECT content_hash, url, strategy FROM (SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY last_accessed_at DESC, url, strategy) AS k "
+    "FROM cache) WHERE k = 1"
+)
 def cache_dedup(spark, sf_dir):
     return cache.dedup(url_cache(spark, sf_dir)).select("content_hash", "url", "strategy")
 
@@ -347,14 +397,21 @@ def cache_unchanged(spark, sf_dir):
     return cache.unchanged(c, c.select("url", "strategy", again.alias("content"))).select("url", "strategy", "unchanged", "old_hash")
 
 
-@catalog.add(_CACHE + ", k AS (SELECT url, strategy FROM cache UNION ALL SELECT 'https://none.example', 'HttpSimple') SELECT k.url, k.strategy, '\"' || left(content_hash, 8) || '\"' AS etag, CASE WHEN doc_id % 2 = 0 THEN 'Mon, 01 Jan 2024 00:00:00 GMT' END AS last_modified FROM k LEFT JOIN cache c ON k.url = c.url AND k.strategy = c.strategy")
+@catalog.add(_CACHE +
+    ", k AS (SELECT url, strategy FROM cache UNION ALL SELECT 'https://none.example', 'HttpSimple') SELECT k.url, k.strategy, '\"' || left(content_hash, "
+    "8) || '\"' AS etag, CASE WHEN doc_id % 2 = 0 THEN 'Mon, 01 Jan 2024 00:00:00 GMT' END AS last_modified FROM k LEFT JOIN cache c ON k.url = c.url AND "
+    "k.strategy = c.strategy"
+)
 def cache_conditional_headers(spark, sf_dir):
     c = url_cache(spark, sf_dir)
     keys = c.select("url", "strategy").unionByName(spark.createDataFrame([("https://none.example", "HttpSimple")], "url string, strategy string"))
     return cache.conditional_headers(c, keys)
 
 
-@catalog.add(_CACHE + "SELECT 'Route cache: 7 entries' || chr(10) || 'Content cache: ' || count(DISTINCT url)::VARCHAR || ' entries (' || sum(original_size)::BIGINT::VARCHAR || ' bytes)' AS text FROM cache")
+@catalog.add(_CACHE +
+    "SELECT 'Route cache: 7 entries' || chr(10) || 'Content cache: ' || count(DISTINCT url)::VARCHAR || ' entries (' || "
+    "sum(original_size)::BIGINT::VARCHAR || ' bytes)' AS text FROM cache"
+)
 def cache_status(spark, sf_dir):
     s = cache.stats(url_cache(spark, sf_dir))
     return s.select(cache.status_text(F.lit(7), F.col("entry_count"), F.col("total_size_bytes")).alias("text"))
@@ -365,7 +422,10 @@ def cache_status(spark, sf_dir):
 _HISTORY = f"WITH history AS ({PAGE_HISTORY_SQL}) "
 
 
-@catalog.add(_HISTORY + "SELECT url, id, rank::INT AS rank FROM (SELECT url, id, row_number() OVER (PARTITION BY url ORDER BY fetched_at DESC, id DESC) AS rank FROM history) WHERE rank <= 10")
+@catalog.add(_HISTORY +
+    "SELECT url, id, rank::INT AS rank FROM (SELECT url, id, row_number() OVER (PARTITION BY url ORDER BY fetched_at DESC, id DESC) AS rank FROM history) "
+    "WHERE rank <= 10"
+)
 def history_prune(spark, sf_dir):
     return history.newest(page_history(spark, sf_dir)).select("url", "id", "rank")
 
@@ -373,7 +433,8 @@ def history_prune(spark, sf_dir):
 @catalog.add(_HISTORY + f""", v AS (SELECT url, id, content_hash AS new_hash, lag(content_hash) OVER w AS old_hash, content_body AS b, lag(content_body) OVER w AS o FROM history WINDOW w AS (PARTITION BY url ORDER BY fetched_at, id)),
 l AS (SELECT *, {sql_lines('b')} AS n, CASE WHEN o IS NULL THEN NULL ELSE {sql_lines('o')} END AS p FROM v),
 d AS (SELECT *, list_filter(n, lambda x: NOT list_contains(p, x)) AS a, list_filter(p, lambda x: NOT list_contains(n, x)) AS r FROM l)
-SELECT url, id, old_hash, new_hash, CASE WHEN o IS NULL THEN 0 ELSE len(a) END AS added_lines, CASE WHEN o IS NULL THEN 0 ELSE len(r) END AS removed_lines, CASE WHEN o IS NULL THEN 0 ELSE len(n) - len(a) END AS unchanged_lines,
+SELECT url, id, old_hash, new_hash, CASE WHEN o IS NULL THEN 0 ELSE len(a) END AS added_lines, CASE WHEN o IS NULL THEN 0 ELSE len(r) END AS
+  removed_lines, CASE WHEN o IS NULL THEN 0 ELSE len(n) - len(a) END AS unchanged_lines,
   CASE WHEN o IS NULL OR greatest(len(n), len(p)) = 0 THEN 100.0 ELSE round((len(n) - len(a)) / greatest(len(n), len(p)) * 100, 2) END AS similarity_percent,
   CASE WHEN o IS NULL THEN '' ELSE array_to_string(list_concat(list_transform(a, lambda x: '+ ' || x || chr(10)), list_transform(r, lambda x: '- ' || x || chr(10))), '') END AS diff_text FROM d""")
 def page_diff(spark, sf_dir):
@@ -393,7 +454,8 @@ def _evidence(spark, sf_dir):
 
 _EVIDENCE = _HISTORY + f""", e AS (
   SELECT id, url, content_hash FROM history WHERE id % 2 = 0
-  UNION ALL SELECT (SELECT max(id) FROM history WHERE id % 2 = 0) + row_number() OVER (ORDER BY {_ISO}, url, content_hash), url, content_hash FROM history WHERE id % 2 = 1
+  UNION ALL SELECT (SELECT max(id) FROM history WHERE id % 2 = 0) + row_number() OVER (ORDER BY {_ISO}, url, content_hash), url, content_hash FROM
+    history WHERE id % 2 = 1
 ) """
 
 
