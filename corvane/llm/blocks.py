@@ -20,8 +20,8 @@ from corvane.llm.common import sequential_segments
 
 SCHEMA = "cell int, block binary"
 CELLS = 4
-#: Blocks that go to the JVM at a time.
-BATCH_BYTES = 2 << 20
+#: Bytes of blocks that go to the JVM at a time, and rows of a block.
+BATCH_BYTES, BLOCK_ROWS = 2 << 20, 2048
 _ARRAY = struct.Struct("<cB6xQ")
 
 
@@ -77,13 +77,14 @@ def deal(cell: np.ndarray, pick: Callable[[np.ndarray], list[np.ndarray]]) -> It
     own = cell[order]
     first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
     at, held, size = [], [], 0
-    for a, b in zip(first, [*first[1:], len(own)], strict=True):
-        at.append(int(own[a]))
-        held.append(pack(pick(order[a:b])))
-        size += len(held[-1])
-        if size >= BATCH_BYTES:
-            yield batch(at, held)
-            at, held, size = [], [], 0
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(own)], strict=True):
+        for i in range(a, b, BLOCK_ROWS):
+            at.append(int(own[a]))
+            held.append(pack(pick(order[i : min(b, i + BLOCK_ROWS)])))
+            size += len(held[-1])
+            if size >= BATCH_BYTES:
+                yield batch(at, held)
+                at, held, size = [], [], 0
     if held:
         yield batch(at, held)
 
@@ -103,5 +104,6 @@ def by_cell(dealt: DataFrame, fn: Callable[[list[list[np.ndarray]]], Iterator[pa
                 held.append(unpack(block.as_buffer().to_pybytes()))
         if held:
             yield from fn(held)
+        pa.default_memory_pool().release_unused()
 
     return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, schema)

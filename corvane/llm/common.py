@@ -16,11 +16,13 @@ from pyspark.sql import types as T
 from corvane import ship
 
 #: Bytes of text that one step of a Python operator holds in numpy arrays at a time.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 #: Spark's own switch: shuffle files go when the statement that made them has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Rows of a batch that goes to Python while a work table is written.
-BATCH_ROWS, MOST_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+#: Bytes of rows that a function of one batch is given at a time.
+BATCH_BYTES = 8 << 20
+#: Rows and bytes of a batch that goes to Python while a work table is written.
+BATCH_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,8 +53,8 @@ class Workspace:
         return f"{self.base}/{table}"
 
     def write(self, df: DataFrame, table: str, codec: str = "zstd") -> DataFrame:
-        # What is read from now on is the table; documents go to Python in batches that fit a worker several times.
-        wanted = {CLEANUP: "true", BATCH_ROWS: str(min(MOST_ROWS, int(self.spark.conf.get(BATCH_ROWS))))}
+        # What is read from now on is the table; rows go to Python in batches that fit a worker many times.
+        wanted = {CLEANUP: "true"} | {k: str(v) for k, v in BATCH_LIMITS.items()}
         before = {k: self.spark.conf.get(k) for k in wanted}
         try:
             for k, v in wanted.items():
@@ -115,13 +117,15 @@ def text_steps(column: pa.Array, limit: int = STEP_BYTES) -> Iterator[tuple[int,
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | T.StructType) -> DataFrame:
-    """mapInArrow with a function of one batch."""
+    """mapInArrow with a function of one batch, of about ``BATCH_BYTES`` at most (or one row)."""
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := fn(batch)) is not None:
-                yield out
+            rows = max(1, batch.num_rows * BATCH_BYTES // max(BATCH_BYTES, batch.nbytes))
+            for i in range(0, batch.num_rows, rows):
+                if (out := fn(batch.slice(i, rows))) is not None:
+                    yield out
 
     return df.mapInArrow(run, schema)
 
@@ -179,6 +183,10 @@ class Bloom:
         self.words[found.column("word").to_numpy()] = found.column("bits").to_numpy()
         self.words = self.words.view(np.uint64)
 
+    def used(self) -> int:
+        """Bits that are set: about the number of distinct values while that is far below the filter's size."""
+        return int(np.bitwise_count(self.words).sum())
+
     def has(self, values: np.ndarray) -> np.ndarray:
         """values: signed longs."""
         at = hash_longs(values)

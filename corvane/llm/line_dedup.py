@@ -57,6 +57,8 @@ SIMILARITY = 0.8
 COUNTER_BITS, BLOCK_BITS, HEAVY_BITS = 22, 16, 16
 #: Sets of more words have the wider parity map.
 LARGE = 96
+#: Documents whose ids are sent out to pick their texts, at most (as a Bloom filter of them counts).
+FEW_DOCUMENTS = 4096
 
 
 @dataclass(frozen=True)
@@ -277,12 +279,13 @@ def line_classes(docs: DataFrame, counters, similarity: float, work: Workspace,
                     yield from flush(held)
                     held, n = [], 0
         yield from flush(held)
+        pa.default_memory_pool().release_unused()
 
     def fold(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         own = Classes.merged(held)
         order = own.first_places()
-        for i in range(0, len(order), limits.fold):
-            yield blocks.batch([0], [blocks.pack(own.take(order[i : i + limits.fold]))])
+        for i in range(0, len(order), blocks.BLOCK_ROWS):
+            yield blocks.batch([0], [blocks.pack(own.take(order[i : i + blocks.BLOCK_ROWS]))])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return work.write(blocks.by_cell(own.mapInArrow(read, blocks.SCHEMA), fold, blocks.SCHEMA), "classes", "none")
@@ -580,6 +583,10 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
                 )
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if owners.value.used() <= FEW_DOCUMENTS:
+        # So few that their ids can be sent out; other texts don't leave the scan.
+        few = ends.select(F.col("doc").alias("_doc")).distinct()
+        own = own.join(F.broadcast(few), F.coalesce("doc_id", F.lit(0).cast("long")) == few["_doc"], "left_semi")
     found = own.mapInArrow(words, "doc long, line int, id long, words array<long>")
     # Rows that repeat an id may hold a line again.
     one = found.groupBy("doc", "line", "id").agg(F.first("words").alias("words"))
@@ -635,14 +642,55 @@ def kept_lines(docs: DataFrame, similarity: float = SIMILARITY, work: Workspace
         more = verified(pairs.where("a_id is not null"), docs, similarity)
         gone = work.write(gone.unionByName(more).distinct(), f"gone-{turn}", "lz4")
 
+    kept = work.write(_kept_by_document(classes, gone), "kept", "lz4")
+    work.drop("classes", "pairs", "gone", *(f"{name}-{turn}" for name in ("open", "pairs", "gone") for turn in range(2)))
+    return kept
+
+
+def _kept_by_document(classes: DataFrame, gone: DataFrame) -> DataFrame:
+    """doc_id, text_key and the numbers of the first places of classes that aren't gone.
+
+    Classes that a Bloom filter of the gone ones doesn't know go straight to their
+    documents; the others are held against the gone ones themselves.
+    """
+    spark = classes.sparkSession
+    n_cells = np.uint64(blocks.cells(spark))
+    doubtful = spark.sparkContext.broadcast(Bloom(gone, "b_id"))
+
+    def dealt(doc: np.ndarray, known: np.ndarray, key: np.ndarray, line: np.ndarray) -> Iterator[pa.RecordBatch]:
+        columns = [known.astype(np.uint8), doc, key, line.astype(np.uint64)]
+        yield from blocks.deal((key.view(np.uint64) % n_cells).astype(np.int32), lambda rows: [x[rows] for x in columns])
+
+    def sure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block in b.column(1):
+                own = Classes(blocks.unpack(block.as_buffer().to_pybytes()))
+                at = ~doubtful.value.has(own.id.view(np.int64))
+                yield from dealt(own.doc[at], own.known[at], own.key[at], own.line[at])
+
     def places(own: Classes) -> pa.RecordBatch:
-        known = own.known.astype(bool)
-        return pa.RecordBatch.from_arrays([pa.array(own.doc, mask=~known), pa.array(own.line.astype(np.int32)), pa.array(own.id.view(np.int64)), pa.array(own.key)], names=["b_doc", "b_line", "b_id", "text_key"])
+        at = doubtful.value.has(own.id.view(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(own.doc[at], mask=own.known[at] == 0), pa.array(own.line[at].astype(np.int32)), pa.array(own.id[at].view(np.int64)), pa.array(own.key[at])], names=[*B, "text_key"])
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            doc = pc.fill_null(b.column(0), 0).to_numpy(zero_copy_only=False)
+            yield from dealt(doc, pc.is_valid(b.column(0)).to_numpy(zero_copy_only=False), b.column(3).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False))
 
-    first = from_classes(classes, places, "b_doc long, b_line int, b_id long, text_key long")
-    stay = first.join(gone, _same(first, gone), "left_anti")
-    # A document's lines: bounded by its text.
-    return stay.groupBy(F.col("b_doc").alias("doc_id"), "text_key").agg(F.collect_set("b_line").alias("kept"))
+    def gather(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        known, doc, key, line = blocks.joined(held)
+        order = np.lexsort((line, doc, known, key))
+        known, doc, key, line = known[order], doc[order], key[order], line[order].astype(np.int32)
+        new = np.ones(len(order), bool)
+        new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (known[1:] != known[:-1])
+        first = np.flatnonzero(new)
+        offsets = np.append(first, len(order)).astype(np.int32)
+        # A document's lines: bounded by its text.
+        yield pa.RecordBatch.from_arrays([pa.array(doc[first], mask=known[first] == 0), pa.array(key[first]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(line))], names=["doc_id", "text_key", "kept"])
+
+    held = from_classes(classes, places, "b_doc long, b_line int, b_id long, text_key long")
+    rest = held.join(gone, _same(held, gone), "left_anti").mapInArrow(again, blocks.SCHEMA)
+    return blocks.by_cell(classes.mapInArrow(sure, blocks.SCHEMA).unionByName(rest), gather, "doc_id long, text_key long, kept array<int>")
 
 
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, work: Workspace | None = None, counts: bool = False, limits: Limits = Limits()) -> DataFrame:
