@@ -10,18 +10,19 @@ them and its mask keeps only bits on which the pair agrees: every pair within th
 radius shares a bucket in one of the 2^(radius+1) - 1 tables.
 
 Only distinct fingerprints take part (copies share one, with its smallest
-doc_id).  In each bucket all members are first linked to the bucket's smallest
-member where that is within the radius; these linear many links are contracted
+doc_id).  In each bucket all members are first linked to a leader where that is within the
+radius, in ``ROUNDS`` rounds with another leader each; these linear many links are contracted
 to components.  Then only pairs of different components in a bucket are compared.
-Buckets of over ``SPLIT`` members are dealt out again by a second family of
-covering masks over the bits that the first mask leaves free, which keeps the
-guarantee and leaves no bucket with more than 2^16 possible fingerprints.
+Buckets of over ``SPLIT`` members are dealt out again by a second, and if need be a third, family of
+covering masks, whose bits are added to the first's.  That keeps the
+guarantee; the three together leave few bits free, so a bucket holds a few hundred fingerprints at most.
 
 Components are found by contraction rounds on tables in the shared folder; no
 links or fingerprints reach the driver.
 
 Defined cases: null and empty texts, and texts of white space, have fingerprint
 zero and link like any other; fewer words than a shingle form one shingle;
+a very long text is hashed whole, its bits counted in steps; equal ids and fingerprints are one point;
 repeated rows share a component; null doc_ids are passed over (a component
 of null ids alone has a null component_id); an empty table gives no rows; other
 columns are ignored, or kept by ``keep_first``.
@@ -41,6 +42,10 @@ from corvane.llm.common import Workspace, free_names, hex64, map_batches, text_b
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Members of a bucket from which on it is dealt out again by the second masks.
 SPLIT = 128
+#: Rounds in which a bucket's members meet one leader only.
+ROUNDS = 2
+#: Orders in which the families give vectors to the 64 bits, as factors.
+ORDERS = (1, 37, 23)
 #: Shingles whose bits are unpacked at a time.
 STEP = 1 << 16
 
@@ -121,35 +126,54 @@ def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
     return labels
 
 
+def mask_family(turn: int, radius: int) -> list[int]:
+    """Covering masks of the 64 bits, with another vector for each bit in each family."""
+    return covering_masks([i * ORDERS[turn] % 64 for i in range(64)], radius)
+
+
 def link_fingerprints(points: DataFrame, work: Workspace, radius: int = RADIUS) -> DataFrame:
     """(fp, comp) of the distinct fingerprints ``points.fp`` (written) that have links; comp is the smallest fp, as a signed number."""
-    masks = covering_masks(list(range(64)), radius)
-    tables = points.select("fp", F.explode(_array(masks)).alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
     bucket = ["mask", "key"]
-    leaders = tables.groupBy(*bucket).agg(F.min("fp").alias("fp_b"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = work.write(tables.join(leaders, bucket), "buckets")
-    near_lead = shared.where((F.col("fp") != F.col("fp_b")) & _near(radius))
-    first = components(near_lead.select(F.col("fp").alias("a"), F.col("fp_b").alias("b")), work, "star").withColumnRenamed("node", "fp")
-
-    labelled = work.write(shared.drop("fp_b").join(first, "fp", "left").select("fp", *bucket, "n", F.coalesce("comp", "fp").alias("comp")), "labelled", "lz4")
-    mixed = labelled.groupBy(*bucket).agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select(*bucket)
-    held = work.write(labelled.join(mixed, bucket), "mixed", "lz4")
-    again = F.lit(None).cast("array<long>")
-    for mask in masks:
-        free = [i for i in range(64) if not mask >> i & 1]
-        again = F.when(F.col("mask") == F.lit(_signed(mask)), _array(covering_masks(free, radius))).otherwise(again)
-    small = held.where(F.col("n") <= SPLIT).select("fp", "comp", "mask", F.lit(0).cast("long").alias("mask2"), "key")
-    large = held.where(F.col("n") > SPLIT).withColumn("mask2", F.explode(again))
-    large = large.select("fp", "comp", "mask", "mask2", F.col("fp").bitwiseAND(F.col("mask").bitwiseOR(F.col("mask2"))).alias("key"))
-    rows = small.unionByName(large)
-    other = rows.select(F.col("fp").alias("fp_b"), F.col("comp").alias("comp_b"), "mask", "mask2", "key")
-    pairs = rows.join(other, ["mask", "mask2", "key"]).where((F.col("comp") < F.col("comp_b")) & _near(radius))
-    between = pairs.select(F.col("comp").alias("a"), F.col("comp_b").alias("b")).distinct()
-    second = components(between, work, "rest")
-    out = first.join(second.select(F.col("node").alias("comp"), F.col("comp").alias("root")), "comp", "left").select("fp", F.coalesce("root", "comp").alias("comp"))
-    alone = second.withColumnRenamed("node", "fp").join(first, "fp", "left_anti")
-    out = work.write(out.unionByName(alone), "linked", "lz4")
-    work.drop("buckets", "labelled", "mixed")
+    tables = points.select("fp", F.explode(_array(mask_family(0, radius))).alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
+    many = tables.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = work.write(tables.join(many, bucket), "buckets")
+    labels = work.write(shared.select("fp").distinct().withColumn("comp", F.col("fp")), "labels-0", "lz4")
+    held = shared.withColumn("comp", F.col("fp"))
+    for k in range(ROUNDS):
+        lead = held.groupBy(*bucket).agg(F.min(F.struct((F.col("fp") if k == 0 else F.xxhash64(F.lit(k), "fp")).alias("h"), "fp", "comp")).alias("lead"))
+        lead = lead.select(*bucket, F.col("lead.fp").alias("fp_b"), F.col("lead.comp").alias("comp_b"))
+        near = held.join(lead, bucket).where((F.col("comp") != F.col("comp_b")) & _near(radius))
+        labels = _contracted(labels, near, work, f"star-{k}", k)
+        # Buckets whose members are in one component by now need nothing more.
+        labelled = held.drop("comp").join(labels, "fp")
+        mixed = labelled.groupBy(*bucket).agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select(*bucket)
+        held = work.write(labelled.join(mixed, bucket), f"held-{k}", "lz4")
+    # What is left in different components is compared pair by pair, large buckets in finer ones.
+    rows, parts = held, []
+    for turn in range(1, len(ORDERS)):
+        # n counts a bucket's members, so it is never too small.
+        parts.append(rows.where(F.col("n") <= SPLIT).select("fp", "comp", *bucket))
+        finer = rows.where(F.col("n") > SPLIT).select("fp", "comp", F.col("mask").alias("first"), F.explode(_array(mask_family(turn, radius))).alias("more"))
+        finer = finer.select("fp", "comp", F.col("first").bitwiseOR(F.col("more")).alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask"))).distinct()
+        sizes = finer.groupBy(*bucket).agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y").select(*bucket, "n")
+        rows = work.write(finer.join(sizes, bucket), f"rows-{turn}", "lz4")
+    parts.append(rows.select("fp", "comp", *bucket))
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    other = every.select(F.col("fp").alias("fp_b"), F.col("comp").alias("comp_b"), *bucket)
+    pairs = every.join(other, bucket).where((F.col("comp") < F.col("comp_b")) & _near(radius))
+    labels = _contracted(labels, pairs, work, "rest", ROUNDS)
+    work.drop("buckets", *(f"held-{k}" for k in range(ROUNDS)), *(f"rows-{k}" for k in range(1, len(ORDERS))))
+    return labels
+
+
+def _contracted(labels: DataFrame, pairs: DataFrame, work: Workspace, name: str, turn: int) -> DataFrame:
+    """Labels (fp, comp) after the components comp and comp_b of the pairs have become one; written."""
+    merged = components(pairs.select(F.col("comp").alias("a"), F.col("comp_b").alias("b")).distinct(), work, name)
+    moved = labels.join(merged.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("fp", F.coalesce("to", "comp").alias("comp"))
+    out = work.write(moved, f"labels-{turn + 1}", "lz4")
+    work.drop(f"labels-{turn}")
     return out
 
 
