@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.common import Workspace
-from corvane.llm.encoders import encoder
+from corvane.llm.encoders import encoded, encoder
 
 CAPACITY = 4096
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, part int, nth long"
@@ -45,8 +45,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int =
         step = capacity * enc.dtype.itemsize
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = enc.encode(text) + end
+            for doc_id, ids in encoded(batch, enc, end):
                 for piece, at in enumerate(range(0, len(ids), step)):
                     own = ids[at : at + step]
                     n = len(own) // enc.dtype.itemsize

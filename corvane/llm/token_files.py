@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.encoders import encoder
+from corvane.llm.encoders import encoded, encoder
 
 MAGIC, VERSION = b"CVTI", 1
 #: One of so many set bits is in the select directory.
@@ -177,8 +177,7 @@ def token_segments(docs: DataFrame, vocabulary: str, end_id: int, segment_ids: i
             )
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = enc.encode(text) + end
+            for doc_id, ids in encoded(batch, enc, end):
                 n = len(ids) // enc.dtype.itemsize
                 if parts and (held + n > segment_ids or len(parts) >= segment_documents):
                     yield close()
