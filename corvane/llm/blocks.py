@@ -2,8 +2,8 @@
 
 Rows of fixed-width numbers (and ragged lists of them) are dealt out to cells as
 packed binary blocks, so the JVM moves a block instead of some thousand rows.  A
-cell's blocks meet in one task, cell by cell; there are ``CELLS`` cells for each
-shuffle partition, so a cell is a fraction of a partition at every size.
+cell's blocks meet in one task, cell by cell.  Up to ``MANY`` cells there are ``CELLS`` of them for each
+shuffle partition, so that little is in a worker at a time; beyond, one, so that blocks don't get too small.
 """
 
 from __future__ import annotations
@@ -16,13 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from corvane import ship
-from corvane.llm.common import sequential_segments
+from corvane.llm.common import give_back, sequential_segments
 
 SCHEMA = "cell int, block binary"
-CELLS = 4
+CELLS, MANY = 4, 4096
 #: Bytes of blocks that go to the JVM at a time, and rows of a block.
 BATCH_BYTES, BLOCK_ROWS = 2 << 20, 2048
-_ARRAY = struct.Struct("<cB6xQ")
+_ARRAY = struct.Struct("<BI")
+_KINDS = tuple(np.dtype(f"<{kind}{width}") for kind in "ui" for width in (1, 2, 4, 8))
 
 
 def narrow(x: np.ndarray) -> np.ndarray:
@@ -35,17 +36,17 @@ def narrow(x: np.ndarray) -> np.ndarray:
 def pack(columns: list[np.ndarray]) -> bytes:
     parts = []
     for x in map(narrow, columns):
-        parts += [_ARRAY.pack(x.dtype.kind.encode(), x.itemsize, len(x)), np.ascontiguousarray(x).tobytes()]
+        parts += [_ARRAY.pack(_KINDS.index(x.dtype), len(x)), x.tobytes()]
     return b"".join(parts)
 
 
 def unpack(raw: bytes) -> list[np.ndarray]:
     out, at = [], 0
     while at < len(raw):
-        kind, width, n = _ARRAY.unpack_from(raw, at)
+        kind, n = _ARRAY.unpack_from(raw, at)
         at += _ARRAY.size
-        out.append(np.frombuffer(raw, f"<{kind.decode()}{width}", n, at))
-        at += n * width
+        out.append(np.frombuffer(raw, _KINDS[kind], n, at))
+        at += n * _KINDS[kind].itemsize
     return out
 
 
@@ -62,7 +63,8 @@ def joined(blocks: list[list[np.ndarray]]) -> list[np.ndarray]:
 
 
 def cells(spark: SparkSession) -> int:
-    return CELLS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(partitions, min(CELLS * partitions, MANY))
 
 
 def batch(cell: list[int], block: list[bytes]) -> pa.RecordBatch:
@@ -104,6 +106,6 @@ def by_cell(dealt: DataFrame, fn: Callable[[list[list[np.ndarray]]], Iterator[pa
                 held.append(unpack(block.as_buffer().to_pybytes()))
         if held:
             yield from fn(held)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, schema)

@@ -51,7 +51,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.llm import blocks
-from corvane.llm.common import Bloom, Workspace, free_names, map_batches, sequential_segments, text_steps, word_stream
+from corvane.llm.common import Bloom, Workspace, free_names, give_back, map_batches, sequential_segments, text_steps, word_stream
 
 SIMILARITY = 0.8
 COUNTER_BITS, BLOCK_BITS, HEAVY_BITS = 22, 16, 16
@@ -279,7 +279,7 @@ def line_classes(docs: DataFrame, counters, similarity: float, work: Workspace,
                     yield from flush(held)
                     held, n = [], 0
         yield from flush(held)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     def fold(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         own = Classes.merged(held)
@@ -545,6 +545,7 @@ def deal_by_word(classes: DataFrame, wanted=None, opened=None, heavy=None, limit
                     held, n = [], 0
         if held:
             yield from one(Classes.merged(held))
+        give_back()
 
     return classes.mapInArrow(run, blocks.SCHEMA)
 

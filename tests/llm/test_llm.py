@@ -14,8 +14,9 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from corvane.llm import blocks, chat, decontamination, licenses, line_dedup, near_copies, packing, quality, sharding, simhash, token_files, warc
+from corvane.llm import blocks, chat, common, decontamination, licenses, line_dedup, near_copies, packing, quality, sharding, simhash, token_files, warc
 from corvane.llm.common import Workspace, hash_longs
 from corvane.llm.encoders import encoder, vocabulary
 
@@ -536,12 +537,13 @@ def test_covering_masks():
     for _ in range(5000):
         bits = sum(1 << b for b in rng.sample(range(64), 4))
         assert any(not bits & m for m in masks)
-    for mask in masks:
-        free = [i for i in range(64) if not mask >> i & 1]
-        again = simhash.covering_masks(free)
-        for _ in range(50):
-            bits = sum(1 << b for b in rng.sample(free, 4))
-            assert any(not bits & m for m in again)
+    families = [simhash.mask_family(turn, 4) for turn in range(len(simhash.ORDERS))]
+    for _ in range(2000):
+        bits = sum(1 << b for b in rng.sample(range(64), 4))
+        assert all(any(not bits & m for m in family) for family in families)
+    # All three together leave few bits free.
+    free = [64 - (a | b | c).bit_count() for a in families[0] for b in families[1] for c in families[2]]
+    assert sum(free) / len(free) < 9
 
 
 def test_simhash(spark, docs, none):
@@ -844,6 +846,28 @@ def test_line_dedup_of_a_document_of_many_lines(spark):
     assert not {*range(70)} & set(row["removed_lines"])
 
 
+def test_a_cluster_has_to_name_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    def session(master, folder):
+        given = {"spark.checkpoint.dir": folder, "spark.sql.warehouse.dir": "file:/w/"}
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, default=None: given.get(k) or default), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None))
+
+    assert common.shared_dir(session("yarn", "s3://x/")) == "s3://x"
+    assert common.shared_dir(session("local[2]", None)) == "file:/w/_work"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(session("spark://host:7077", None))
+
+
+def test_work_tables_leave_the_settings_as_they_were(spark):
+    before = {k: spark.conf.get(k) for k in (common.CLEANUP, *common.BATCH_LIMITS)}
+    work = Workspace(spark, "test-settings")
+    assert work.write(spark.range(5), "a").count() == 5
+    with pytest.raises(Exception, match="no"):
+        work.write(spark.range(5).select(F.raise_error(F.lit("no"))), "b")
+    assert {k: spark.conf.get(k) for k in before} == before
+
+
 def test_blocks_hold_what_they_were_given():
     columns = [np.array([1, 300, 2**40], np.uint64), np.array([-1, 5]), np.zeros(0, np.uint16), np.array([True, False]).astype(np.uint8)]
     for given, got in zip(columns, blocks.unpack(blocks.pack(columns)), strict=True):
