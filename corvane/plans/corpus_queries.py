@@ -295,45 +295,47 @@ _ROBOTS = ("User-agent: *\nDisallow: /w\nAllow: /wh\n\nUser-agent: other\nDisall
 
 
 @catalog.add(r"""
-WITH t AS (SELECT o_orderkey, o_orderkey % 6 AS k, '/' || lower(o_orderpriority) || '/' || ['what','we','fe','sane'][(o_orderkey % 4 + 1)::INT] AS
-  path FROM orders), p AS (SELECT *, '/' || split_part(path, '/', 3) AS q FROM t)
+WITH p AS (
+  SELECT o_orderkey, o_orderkey % 6 AS k, '/' || CASE WHEN o_orderkey % 5 = 0 THEN 'dir/' ELSE '' END || ['what','we','fe','sane'][(o_orderkey % 4 + 1)::INT] || CASE WHEN o_orderkey % 3 = 0 THEN (o_orderkey % 97)::VARCHAR ELSE '' END AS q FROM orders
+)
 SELECT o_orderkey, q AS path, CASE k WHEN 0 THEN starts_with(q, '/wh') OR NOT starts_with(q, '/w') WHEN 1 THEN NOT regexp_matches(q, '/.*s.*e') WHEN
   4 THEN true ELSE true END AS allowed FROM p
 """)
 def robots_allowed(spark, sf_dir):
     k = F.col("o_orderkey")
     word = F.get(F.array(*map(F.lit, ("what", "we", "fe", "sane"))), (k % 4).cast("int"))
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("d"), (k % 6).cast("string")).alias("domain"), F.concat(F.lit("/"), word).alias("path"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("d"), (k % 6).cast("string")).alias("domain"), F.concat(F.when(k % 5 == 0, "/dir/").otherwise("/"), word, F.when(k % 3 == 0, (k % 97).cast("string")).otherwise("")).alias("path"))
     files = spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(_ROBOTS)], "domain string, robots_text string")
     return robots.decide(rows, files, "Engine").select("o_orderkey", "path", "allowed")
 
 
-_URLS = (
-    "https://www.reddit.com/r/a/comments/1/?sort=top", "http://old.reddit.com/x.json", "https://news.ycombinator.com/item?a=1&id=42", "https://hackernews.com/item", "https://youtu.be/abcdefghijk?t=1", "https://www.YouTube.com/watch?x=1&v=ABC_defg-12345",
-    "https://m.youtube.com/embed/abcdefghijkl?x", "https://youtube.com/watch?v=short", "https://example.com/watch?v=abcdefghijk", "https://youtube.com/channel/abcdefghijk",
-)
-_SITES = ("reddit", "reddit", "hn", "hn", "video", "video", "video", "video", None, "video")
-_APIS = (
-    "https://www.reddit.com/r/a/comments/1.json?sort=top", "https://www.reddit.com/x.json", "https://hacker-news.firebaseio.com/v0/item/42.json", None, "https://noembed.com/embed?url=https%3A%2F%2Fyoutu.be%2Fabcdefghijk%3Ft%3D1",
-    "https://noembed.com/embed?url=https%3A%2F%2Fwww.YouTube.com%2Fwatch%3Fx%3D1%26v%3DABC_defg-12345", "https://noembed.com/embed?url=https%3A%2F%2Fm.youtube.com%2Fembed%2Fabcdefghijkl%3Fx", "https://noembed.com/embed?url=https%3A%2F%2Fyoutube.com%2Fwatch%3Fv%3Dshort", None,
-    "https://noembed.com/embed?url=https%3A%2F%2Fyoutube.com%2Fchannel%2Fabcdefghijk",
-)
-_IDS = (None, None, None, None, "abcdefghijk", "ABC_defg-12", "abcdefghijk", None, "abcdefghijk", None)
-_VIDEO = (False, False, False, False, True, True, True, True, False, False)
-
-
-def _lit(x):
-    return "NULL" if x is None else str(x).lower() if isinstance(x, bool) else "'" + str(x).replace("'", "''") + "'"
+_STRICT = "replace(replace(url_encode(url), '%7E', '~'), '*', '%2A')"
 
 
-@catalog.add(
-    "WITH r(k, url, site, api, video_id, is_video) AS (VALUES " + ", ".join(f"({i}, {', '.join(map(_lit, v))})" for i, v in enumerate(zip(_URLS, _SITES, _APIS, _IDS, _VIDEO, strict=True))) + ") SELECT n_nationkey, url, site, api, video_id, is_video FROM nation JOIN r ON n_nationkey % 10 = k"
+@catalog.add(f"""
+WITH t AS (SELECT c_custkey, c_custkey % 11 AS k, c_custkey::VARCHAR AS n, lpad((c_custkey % 1000)::VARCHAR, 3, '0') AS three FROM customer),
+u AS (
+  SELECT *, CASE k WHEN 0 THEN 'https://www.reddit.com/r/a/comments/' || n || '/?sort=top' WHEN 1 THEN 'http://old.reddit.com/x' || n || '.json' WHEN 2 THEN 'https://news.ycombinator.com/item?a=1&id=' || n
+    WHEN 3 THEN 'https://hackernews.com/item' || n WHEN 4 THEN 'https://youtu.be/abcdefgh' || three || '?t=1' WHEN 5 THEN 'https://www.YouTube.com/watch?x=1&v=ABC_d-' || three || 'fg12345'
+    WHEN 6 THEN 'https://m.youtube.com/embed/abcdefgh' || three || 'l?x' WHEN 7 THEN 'https://youtube.com/watch?v=short' || three WHEN 8 THEN 'https://example.com/watch?v=abcdefgh' || three
+    WHEN 9 THEN 'https://youtube.com/channel/abcdefgh' || three ELSE 'https://reddit.com' END AS url FROM t
 )
+SELECT c_custkey, url, CASE WHEN k IN (0, 1, 10) THEN 'reddit' WHEN k IN (2, 3) THEN 'hn' WHEN k IN (4, 5, 6, 7, 9) THEN 'video' END AS site,
+  CASE k WHEN 0 THEN 'https://www.reddit.com/r/a/comments/' || n || '.json?sort=top' WHEN 1 THEN 'https://www.reddit.com/x' || n || '.json' WHEN 2 THEN 'https://hacker-news.firebaseio.com/v0/item/' || n || '.json'
+    WHEN 3 THEN NULL WHEN 8 THEN NULL WHEN 10 THEN 'https://www.reddit.com.json' ELSE 'https://noembed.com/embed?url=' || {_STRICT} END AS api,
+  CASE k WHEN 4 THEN 'abcdefgh' || three WHEN 5 THEN 'ABC_d-' || three || 'fg' WHEN 6 THEN 'abcdefgh' || three WHEN 8 THEN 'abcdefgh' || three END AS video_id, k IN (4, 5, 6, 7) AS is_video FROM u
+""")
 def site_urls(spark, sf_dir):
-    u = F.get(F.array(*map(F.lit, _URLS)), (F.col("n_nationkey") % 10).cast("int"))
-    rows = table(spark, sf_dir, "nation").select("n_nationkey", u.alias("url"))
+    n, three = _key().cast("string"), F.lpad((_key() % 1000).cast("string"), 3, "0")
+    shapes = (
+        ("https://www.reddit.com/r/a/comments/", n, "/?sort=top"), ("http://old.reddit.com/x", n, ".json"), ("https://news.ycombinator.com/item?a=1&id=", n), ("https://hackernews.com/item", n),
+        ("https://youtu.be/abcdefgh", three, "?t=1"), ("https://www.YouTube.com/watch?x=1&v=ABC_d-", three, "fg12345"), ("https://m.youtube.com/embed/abcdefgh", three, "l?x"),
+        ("https://youtube.com/watch?v=short", three), ("https://example.com/watch?v=abcdefgh", three), ("https://youtube.com/channel/abcdefgh", three), ("https://reddit.com",),
+    )
+    urls = F.array(*[F.concat(*[F.lit(x) if isinstance(x, str) else x for x in shape]) for shape in shapes])
+    rows = _customers(spark, sf_dir).select("c_custkey", F.get(urls, (_key() % len(shapes)).cast("int")).alias("url"))
     x = F.col("url")
-    return rows.select("n_nationkey", "url", adapters.site(x).alias("site"), adapters.api_url(x).alias("api"), adapters.video_id(x).alias("video_id"), adapters.is_video_page(x).alias("is_video"))
+    return rows.select("c_custkey", "url", adapters.site(x).alias("site"), adapters.api_url(x).alias("api"), adapters.video_id(x).alias("video_id"), adapters.is_video_page(x).alias("is_video"))
 
 
 def _customers(spark, sf_dir):

@@ -220,18 +220,19 @@ _TYPES = ("application/json; charset=utf-8", "Text/Plain", "application/pdf", "I
 
 
 @catalog.add(f"""
-WITH t AS (SELECT page_id, {list(_TYPES)!r}[(page_id % 7 + 1)::INT] AS content_type, html FROM pages),
+WITH t AS (SELECT page_id, {list(_TYPES)!r}[(page_id % 7 + 1)::INT] AS content_type, html, url FROM pages),
 k AS (SELECT *, CASE WHEN contains(lower(content_type), 'application/json') THEN 'json' WHEN contains(lower(content_type), 'text/plain') THEN 'plain'
   WHEN contains(lower(content_type), 'application/pdf') OR contains(lower(content_type), 'application/octet-stream') OR contains(lower(content_type),
     'image/') OR contains(lower(content_type), 'video/') OR contains(lower(content_type), 'audio/') THEN 'binary' ELSE 'html' END AS kind FROM t)
-SELECT page_id, kind, CASE kind WHEN 'binary' THEN '[Unsupported content type: ' || content_type || '. Binary content cannot be extracted.]' WHEN
+SELECT page_id, kind, CASE kind WHEN 'binary' THEN '' WHEN 'html' THEN replace(replace(replace(coalesce({_TITLE}, ''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') ELSE split_part(regexp_replace(url, '^(https://)*(http://)*', ''), '?', 1) END AS title, true AS has_text,
+  CASE kind WHEN 'binary' THEN '[Unsupported content type: ' || content_type || '. Binary content cannot be extracted.]' WHEN
   'html' THEN NULL ELSE html END AS text, CASE kind WHEN 'binary' THEN 0 WHEN 'html' THEN NULL ELSE strlen(html) END::BIGINT AS length FROM k
 """)
 def content_dispatch(spark, sf_dir):
     kinds = F.get(F.array(*map(F.lit, _TYPES)), (F.col("page_id") % 7).cast("int"))
     out = extraction.dispatch(pages(spark, sf_dir).withColumn("content_type", kinds))
     not_html = F.col("kind") != "html"
-    return out.select("page_id", "kind", F.when(not_html, F.col("text_content")).alias("text"), F.when(not_html, F.col("length")).alias("length"))
+    return out.select("page_id", "kind", "title", F.col("text_content").isNotNull().alias("has_text"), F.when(not_html, F.col("text_content")).alias("text"), F.when(not_html, F.col("length")).alias("length"))
 
 
 @catalog.add()
@@ -310,24 +311,44 @@ def block_classify(spark, sf_dir):
         return F.get(F.array(*values), (F.col("page_id") % len(_RESPONSES)).cast("int"))
 
     headers = [F.create_map(*[F.lit(x) for kv in h.items() for x in kv]).cast("map<string,string>") if h else F.create_map().cast("map<string,string>") for _, _, h, _ in _RESPONSES]
-    rows = pages(spark, sf_dir).select("page_id", pick([F.lit(s) for s, *_ in _RESPONSES]).alias("status"), pick([F.lit(b) for _, b, *_ in _RESPONSES]).alias("body"), pick(headers).alias("headers"))
+    rows = pages(spark, sf_dir).select("page_id", pick([F.lit(s) for s, *_ in _RESPONSES]).alias("status"), F.concat(F.lit("<p>"), F.col("page_id").cast("string"), F.lit("</p> "), pick([F.lit(b) for _, b, *_ in _RESPONSES])).alias("body"), pick(headers).alias("headers"))
     rows = rows.withColumn("block_type", classify.block_type(F.col("status"), F.col("body"), F.col("headers")))
     return rows.select("page_id", "status", "block_type", classify.response_class(F.col("block_type")).alias("response_class"))
 
 
-_HOSTS = ("10.1.2.3", "172.16.0.1", "172.32.0.1", "192.168.9.9", "127.0.0.1", "169.254.1.1", "0.0.0.0", "8.8.8.8", "255.255.255.255", "example.com", "256.1.1.1", "::1", "fe80::1", "2001:db8::1", "::ffff:10.0.0.1", "fd00::5")
-_PRIVATE = (True, True, False, True, True, True, True, False, True, None, None, True, True, False, True, True)
-
-
-@catalog.add(
-    "WITH h(k, host, v4, every) AS (VALUES "
-    + ", ".join(f"({i}, '{h}', {'NULL' if ':' in h or p is None else str(p)}::BOOLEAN, {'NULL' if p is None else str(p)}::BOOLEAN)" for i, (h, p) in enumerate(zip(_HOSTS, _PRIVATE, strict=True)))
-    + ") SELECT page_id, host, v4, every FROM pages JOIN h ON page_id % 16 = k"
+@catalog.add("""
+WITH t AS (SELECT c_custkey, c_custkey % 9 AS k, c_custkey // 9 AS n FROM customer),
+h AS (
+  SELECT c_custkey, k, n, CASE k WHEN 0 THEN '10.' || (n % 256)::VARCHAR || '.2.3' WHEN 1 THEN '172.' || (n % 256)::VARCHAR || '.0.1' WHEN 2 THEN '192.' || (160 + n % 16)::VARCHAR || '.9.9'
+    WHEN 3 THEN '169.' || (250 + n % 6)::VARCHAR || '.1.1' WHEN 4 THEN (n % 130)::VARCHAR || '.0.0.1' WHEN 5 THEN 'example' || n::VARCHAR || '.com' WHEN 6 THEN '255.255.255.' || (250 + n % 8)::VARCHAR
+    WHEN 7 THEN ['fe80::','fd00::','2001:db8::','::ffff:10.0.0.','::ffff:9.0.0.','fec0::'][(n % 6 + 1)::INT] || (1 + n % 9)::VARCHAR ELSE ['::1','127.0.0.1','256.1.1.1','1.2.3','0.0.0.0'][(n % 5 + 1)::INT] END AS host FROM t
 )
+SELECT c_custkey, host,
+  CASE k WHEN 0 THEN true WHEN 1 THEN n % 256 BETWEEN 16 AND 31 WHEN 2 THEN n % 16 = 8 WHEN 3 THEN n % 6 = 4 WHEN 4 THEN n % 130 IN (0, 10, 127) WHEN 6 THEN CASE WHEN n % 8 < 6 THEN n % 8 = 5 END
+    WHEN 8 THEN [NULL, true, NULL, NULL, true][(n % 5 + 1)::INT] END AS v4,
+  CASE k WHEN 0 THEN true WHEN 1 THEN n % 256 BETWEEN 16 AND 31 WHEN 2 THEN n % 16 = 8 WHEN 3 THEN n % 6 = 4 WHEN 4 THEN n % 130 IN (0, 10, 127) WHEN 6 THEN CASE WHEN n % 8 < 6 THEN n % 8 = 5 END
+    WHEN 7 THEN n % 6 IN (0, 1, 3) WHEN 8 THEN [true, true, NULL, NULL, true][(n % 5 + 1)::INT] END AS every
+FROM h
+""")
 def private_ip(spark, sf_dir):
-    host = F.get(F.array(*map(F.lit, _HOSTS)), (F.col("page_id") % len(_HOSTS)).cast("int"))
-    rows = pages(spark, sf_dir).select("page_id", host.alias("host"))
-    return rows.select("page_id", "host", classify.private_ipv4(F.col("host")).alias("v4"), classify.private_address(F.col("host")).alias("every"))
+    """Addresses on both sides of each private range, names, and what only looks like an address."""
+    key = F.col("c_custkey")
+    k, n = key % 9, F.call_function("div", key, F.lit(9))
+    number = lambda x: x.cast("string")
+    pick = lambda values, i: F.get(F.array(*map(F.lit, values)), i.cast("int"))
+    host = (
+        F.when(k == 0, F.concat(F.lit("10."), number(n % 256), F.lit(".2.3")))
+        .when(k == 1, F.concat(F.lit("172."), number(n % 256), F.lit(".0.1")))
+        .when(k == 2, F.concat(F.lit("192."), number(160 + n % 16), F.lit(".9.9")))
+        .when(k == 3, F.concat(F.lit("169."), number(250 + n % 6), F.lit(".1.1")))
+        .when(k == 4, F.concat(number(n % 130), F.lit(".0.0.1")))
+        .when(k == 5, F.concat(F.lit("example"), number(n), F.lit(".com")))
+        .when(k == 6, F.concat(F.lit("255.255.255."), number(250 + n % 8)))
+        .when(k == 7, F.concat(pick(("fe80::", "fd00::", "2001:db8::", "::ffff:10.0.0.", "::ffff:9.0.0.", "fec0::"), n % 6), number(1 + n % 9)))
+        .otherwise(pick(("::1", "127.0.0.1", "256.1.1.1", "1.2.3", "0.0.0.0"), n % 5))
+    )
+    rows = table(spark, sf_dir, "customer").select("c_custkey", host.alias("host"))
+    return rows.select("c_custkey", "host", classify.private_ipv4(F.col("host")).alias("v4"), classify.private_address(F.col("host")).alias("every"))
 
 
 @catalog.add("""
@@ -349,13 +370,18 @@ def fetch_diagnostics(spark, sf_dir):
 
 
 @catalog.add(f"""
-SELECT page_id, '📎 Evidence: sha256:' || left(sha256(t), 16) || '… | fetched 2024-03-01T00:00:00Z | confidence: ' || CASE WHEN strlen(t) > 500 THEN
-  'high' WHEN strlen(t) > 100 THEN 'medium' ELSE 'low' END || ' | 0 citations' AS line, sha256(t) AS content_hash
-FROM (SELECT page_id, coalesce({_TEXT}, '') AS t FROM pages)
+SELECT page_id, '📎 Evidence: sha256:' || left(sha256(t), 16) || '… | fetched ' || strftime(TIMESTAMP '1970-01-01' + to_seconds(page_id * 86399 * 1009), '%Y-%m-%dT%H:%M:%SZ') || ' | confidence: '
+  || CASE WHEN strlen(t) > 500 THEN 'high' WHEN strlen(t) > 100 THEN 'medium' ELSE 'low' END || ' | ' || (page_id % 3)::VARCHAR || ' citations' AS line, sha256(t) AS content_hash
+FROM (
+  SELECT page_id, left(coalesce({_TEXT}, ''), (page_id % 9 * 90)::BIGINT) || repeat(' [a](https://a.example)', (page_id % 3 > 0)::INT) || repeat(' [[b]](http://b.example)', (page_id % 3 > 1)::INT) AS t FROM pages
+)
 """)
 def evidence_lines(spark, sf_dir):
-    t = pages(spark, sf_dir).select("page_id", "url", F.coalesce(html.text_mode(F.col("html")), F.lit("")).alias("t"))
-    e = evidence.bundle(F.col("t"), F.col("url"), F.lit("HttpSimple"), evidence.iso(F.lit(1709251200)), F.lit(False))
+    k = F.col("page_id")
+    text = F.left(F.coalesce(html.text_mode(F.col("html")), F.lit("")), (k % 9 * 90).cast("int"))
+    links = F.concat(F.when(k % 3 > 0, " [a](https://a.example)").otherwise(""), F.when(k % 3 > 1, " [[b]](http://b.example)").otherwise(""))
+    t = pages(spark, sf_dir).select("page_id", "url", F.concat(text, links).alias("t"))
+    e = evidence.bundle(F.col("t"), F.col("url"), F.lit("HttpSimple"), evidence.iso(k * 86399 * 1009), F.lit(False))
     return t.select("page_id", e.alias("e")).select("page_id", evidence.evidence_line(F.col("e")).alias("line"), "e.content_hash")
 
 

@@ -62,6 +62,7 @@ def test_diffs(spark, tmp_path):
 def test_diffs_over_several_batches(spark, tmp_path):
     """As in one batch, with only the touched parts of the store read."""
     path = tmp_path / "versions"
+    path.mkdir()
     rows = page_history(spark, SF).limit(60).orderBy("id").collect()
     schema = page_history(spark, SF).schema
     writer = streams.store_diffs(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(path)), str(tmp_path / "now"), str(tmp_path / "diffs"))
