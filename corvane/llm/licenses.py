@@ -178,5 +178,6 @@ def license_scan(docs: DataFrame, notices: tuple = NOTICES) -> DataFrame:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), span)
         return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=names)
 
-    schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<first: long, last: long, label: string, edits: int, score: double>>"
+    schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
+    schema += ", spans array<struct<first: long, last: long, label: string, edits: int, score: double>>"
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, schema)

@@ -530,7 +530,8 @@ def deal_by_word(classes: DataFrame, wanted=None, opened=None, heavy=None, limit
             k = owner[rows]
             large = rank_large[k[own.size[k] > LARGE]]
             small = own.small[blocks.ragged_index(own.size, k)] if wanted is not None else own.small[:0]
-            return [high[rows].astype(np.uint32), own.size[k].astype(np.uint64), pos[rows].astype(np.uint64), map_a[k], map_b[k], own.known[k], own.doc[k].view(np.uint64), own.line[k], own.id[k], role[rows], map_c[large], map_d[large], small]
+            place = [own.known[k], own.doc[k].view(np.uint64), own.line[k], own.id[k]]
+            return [high[rows].astype(np.uint32), own.size[k].astype(np.uint64), pos[rows].astype(np.uint64), map_a[k], map_b[k], *place, role[rows], map_c[large], map_d[large], small]
 
         yield from blocks.deal(cell.astype(np.int32), pick)
 
@@ -578,10 +579,9 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
                 sets = LineSets([lines[k] for k in mine.tolist()])
                 at = mine[sets.line]
                 offsets = np.concatenate(([0], np.cumsum(sets.size))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(near[i:j][owner[at]])), pa.array(number[at].astype(np.int32)), pa.array(sets.id.view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(sets.words(np.arange(len(sets.word))).view(np.int64)))],
-                    names=["doc", "line", "id", "words"],
-                )
+                found = pa.ListArray.from_arrays(pa.array(offsets), pa.array(sets.words(np.arange(len(sets.word))).view(np.int64)))
+                place = [b.column(0).take(pa.array(near[i:j][owner[at]])), pa.array(number[at].astype(np.int32)), pa.array(sets.id.view(np.int64))]
+                yield pa.RecordBatch.from_arrays([*place, found], names=["doc", "line", "id", "words"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if owners.value.used() <= FEW_DOCUMENTS:

@@ -172,9 +172,8 @@ def token_segments(docs: DataFrame, vocabulary: str, end_id: int, segment_ids: i
         held = base = seq = 0
 
         def close() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict(
-                {"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "documents": [len(parts)], "ids": [held], "base": [base], "segment": pa.array([encode_segment(doc_ids, parts, enc.dtype)], pa.binary())}
-            )
+            segment = pa.array([encode_segment(doc_ids, parts, enc.dtype)], pa.binary())
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "documents": [len(parts)], "ids": [held], "base": [base], "segment": segment})
 
         for batch in batches:
             for doc_id, ids in encoded(batch, enc, end):
@@ -209,6 +208,7 @@ def read_documents(segments: DataFrame) -> DataFrame:
                 ends = boundaries.select_many(np.arange(boundaries.n))
                 starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
                 crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc_ids, pa.int64()), "start": pa.array(starts + batch.column(0)[i].as_py()), "n_tokens": pa.array(ends - starts), "ids_crc32": pa.array(crc, pa.int64())})
+                first = batch.column(0)[i].as_py()
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc_ids, pa.int64()), "start": pa.array(starts + first), "n_tokens": pa.array(ends - starts), "ids_crc32": pa.array(crc, pa.int64())})
 
     return placed.mapInArrow(unpack, "doc_id long, start long, n_tokens long, ids_crc32 long")

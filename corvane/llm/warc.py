@@ -124,7 +124,8 @@ def page_records(copy: str, page_id: int | None, url: str, payload: bytes, diges
     yield record([*kind, ("WARC-Segment-Number", "1")], parts[0])
     for k, part in enumerate(parts[1:], 2):
         last = [("WARC-Segment-Total-Length", str(len(block)))] if k == len(parts) else []
-        yield record([("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:segment:{own[10:-1]}:{copy}:{k}>"), ("WARC-Date", DATE), ("X-Copy", copy), ("WARC-Segment-Origin-ID", own), ("WARC-Segment-Number", str(k)), *last], part)
+        named = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:segment:{own[10:-1]}:{copy}:{k}>"), ("WARC-Date", DATE), ("X-Copy", copy)]
+        yield record([*named, ("WARC-Segment-Origin-ID", own), ("WARC-Segment-Number", str(k)), *last], part)
 
 
 def archives(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES, segment_bytes: int = SEGMENT_BYTES, member_bytes: int = MEMBER_BYTES) -> DataFrame:
@@ -192,7 +193,9 @@ def parsed_records(archive_table: DataFrame) -> DataFrame:
                 for h, block in records(raw.as_py()):
                     kind, total = h["warc-type"], h.get("warc-segment-total-length")
                     page, refers = h.get("x-page-id"), h.get("warc-refers-to")
-                    rows.append((h["warc-segment-origin-id"] if kind == "continuation" else h["warc-record-id"], h.get("x-copy", ""), kind, int(page) if page else None, refers, h.get("warc-payload-digest", "")[5:], int(h.get("x-payload-length", -1)), int(h.get("warc-segment-number", 0)), int(total) if total else None, block))
+                    own = h["warc-segment-origin-id" if kind == "continuation" else "warc-record-id"]
+                    head = own, h.get("x-copy", ""), kind, int(page) if page else None, refers, h.get("warc-payload-digest", "")[5:], int(h.get("x-payload-length", -1))
+                    rows.append((*head, int(h.get("warc-segment-number", 0)), int(total) if total else None, block))
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     return archive_table.select("warc").mapInArrow(parse, _RECORD)
