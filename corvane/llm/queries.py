@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane import ship
-from corvane.llm import chat, decontamination, licenses, line_dedup, packing, quality, sharding, simhash, token_files, warc
+from corvane.llm import chat, decontamination, importance, licenses, line_dedup, packing, prefix_trie, quality, sharding, simhash, token_files, url_filter, warc
 from corvane.llm.common import Workspace
 from corvane.llm.encoders import vocabulary
 
+#: Rules of the URL query: verdict, host and path.
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 BYTE_VOCABULARY, WORD_VOCABULARY = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
@@ -77,8 +79,22 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = url_filter.train(url_filter.labelled_urls(spark))
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES, model)
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = importance.importance_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return importance.draw(scores, Workspace(spark, "op12")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), Workspace(spark, "op13"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_chat_format, op2_token_files, op3_warc_archives, op4_line_dedup, op5_best_fit_packing, op6_sharding, op7_license_scan, op8_quality_rules, op9_simhash, op10_decontamination)
+    own = (op1_chat_format, op2_token_files, op3_warc_archives, op4_line_dedup, op5_best_fit_packing, op6_sharding, op7_license_scan, op8_quality_rules, op9_simhash, op10_decontamination, op11_url_filters, op12_importance_resampling, op13_prefix_trie)
     return {f.__name__: f for f in own}
 
 
@@ -142,5 +158,83 @@ FROM doc LEFT JOIN hit ON doc.doc_id = hit.doc_id LEFT JOIN named ON doc.doc_id
 """
 
 
+# CRC-32 of bytes, by its table: DuckDB has no such function.
+_CRC_TABLE = "(SELECT list(list_reduce(list_prepend(k, range(8)), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY k) AS steps FROM range(256) AS r(k))"
+
+
+def _crc32(data: str) -> str:
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {data}), lambda c, b: xor(c >> 8, steps[xor(c & 255, b) + 1])), 4294967295)"
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_HEX_BYTES = "list_transform(range(strlen(w)), lambda i: ('0x' || substr(hex(w), 2 * i + 1, 2))::BIGINT)"
+
+OP12_SQL = f"""
+WITH crc AS {_CRC_TABLE}, doc AS (
+  SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS ws FROM documents
+), item AS (
+  SELECT {_WORDS} AS ws FROM benchmark
+), doc_words AS (
+  SELECT r, w, count(*) AS n FROM (SELECT r, unnest(ws) AS w FROM doc) GROUP BY r, w
+), item_words AS (
+  SELECT w, count(*) AS n FROM (SELECT unnest(ws) AS w FROM item) GROUP BY w
+), vocabulary AS (
+  SELECT w, {_crc32(_HEX_BYTES)} % 10000 AS b FROM (SELECT w FROM doc_words UNION SELECT w FROM item_words), crc
+), s AS (
+  SELECT b, sum(n)::DOUBLE AS s FROM doc_words JOIN vocabulary USING (w) GROUP BY b
+), t AS (
+  SELECT b, sum(n)::DOUBLE AS t FROM item_words JOIN vocabulary USING (w) GROUP BY b
+), gains AS (
+  SELECT b, floor(1000 * ln((coalesce(t, 0) + 1) * (coalesce((SELECT sum(s) FROM s), 0) + 10000) / ((coalesce(s, 0) + 1) * (coalesce((SELECT sum(t) FROM t), 0) + 10000))))::BIGINT AS gain
+  FROM range(10000) AS r(b) LEFT JOIN s USING (b) LEFT JOIN t USING (b)
+), weights AS (
+  SELECT r, floor(sum(n * gain)::DOUBLE / sum(n)::DOUBLE)::BIGINT AS weight FROM doc_words JOIN vocabulary USING (w) JOIN gains USING (b) GROUP BY r
+), scored AS (
+  SELECT r, doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM doc LEFT JOIN weights USING (r)
+), placed AS (
+  SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS place FROM scored WHERE n_features >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= (SELECT 10 * count(*) // 100 FROM placed) THEN place END AS rank
+FROM scored LEFT JOIN placed USING (r)
+"""
+
+OP13_SQL = f"""
+WITH crc AS {_CRC_TABLE}, placed AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS p,
+    {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS t
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT c, list(t ORDER BY p) AS own FROM placed GROUP BY c
+), led AS (
+  SELECT a.c, a.own, coalesce(b.own, []) AS source,
+    (SELECT {_crc32("list_transform(string_split(a.c::VARCHAR, ''), lambda x: ord(x)::BIGINT)")} % 6 FROM crc) AS h
+  FROM convs AS a LEFT JOIN convs AS b ON b.c = a.c - a.c % 100
+), rebuilt AS (
+  SELECT c, list_concat(source[1:h], own[h + 1:]) AS ts FROM led
+), prefixes AS (
+  SELECT c, d, md5(to_json(ts[1:d])::VARCHAR) AS k, d = len(ts) AS last, coalesce(length(ts[d].text), 0) AS chars,
+    CASE WHEN d > 0 THEN md5(to_json(ts[1:d - 1])::VARCHAR) END AS above
+  FROM rebuilt, unnest(range(len(ts) + 1)) AS u(d)
+), nodes AS (
+  SELECT d, k, min(c) AS c, any_value(above) AS above, any_value(chars) AS chars, count(*) AS n, count(*) FILTER (last) AS n_last,
+    sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (last), '')) AS ends
+  FROM prefixes GROUP BY d, k
+), below AS (
+  SELECT DISTINCT a.d, a.k, b.d AS d2, b.k AS k2 FROM prefixes AS a JOIN prefixes AS b ON a.c = b.c AND b.d >= a.d
+), sums AS (
+  SELECT below.d, below.k, count(*) FILTER (n = n_last) AS n_leaves, sum((n - 1) * chars)::BIGINT AS saved
+  FROM below JOIN nodes ON nodes.d = d2 AND nodes.k = k2 GROUP BY below.d, below.k
+), children AS (
+  SELECT d - 1 AS d, above AS k, count(*) AS n FROM nodes WHERE d > 0 GROUP BY d, above
+)
+SELECT nodes.c AS conv_id, nodes.d AS depth, up.c AS parent_conv_id, nodes.n AS n_convs, coalesce(children.n, 0) AS n_children, n_leaves, saved AS saved_tokens, nodes.ends AS ends_sha256
+FROM nodes JOIN sums ON nodes.d = sums.d AND nodes.k = sums.k
+LEFT JOIN nodes AS up ON up.d = nodes.d - 1 AND up.k = nodes.above
+LEFT JOIN children ON children.d = nodes.d AND children.k = nodes.k
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL, "op3_warc_archives": OP3_SQL, "op10_decontamination": OP10_SQL}
+    return {"op1_chat_format": OP1_SQL, "op3_warc_archives": OP3_SQL, "op10_decontamination": OP10_SQL, "op12_importance_resampling": OP12_SQL, "op13_prefix_trie": OP13_SQL}
