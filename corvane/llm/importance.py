@@ -23,54 +23,62 @@ rows; other columns are ignored by ``importance_scores`` and kept by ``resample`
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.functions.text import let
 from corvane.llm.common import Workspace, free_names
 
 BUCKETS, MAX_WORDS, SEED, SHARE, MIN_WORDS = 10_000, 1, 2024, 10, 20
-#: Fixed value: what words are made of.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Fixed value: the ASCII characters that no word has.
+SEPARATORS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def words(text: Column) -> Column:
     """Array of a text's words, A-Z lower-cased; null has none."""
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+    spaced = F.translate(F.coalesce(text, F.lit("")), UPPER + SEPARATORS, LOWER + " " * len(SEPARATORS))
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def feature_buckets(given: Column, buckets: int = BUCKETS, max_words: int = MAX_WORDS) -> Column:
     """Array of the buckets of all features of an array of words."""
 
     def bucket(feature: Column) -> Column:
-        return (F.crc32(F.encode(feature, "UTF-8")) % buckets).cast("int")
+        return (F.crc32(feature.cast("binary")) % buckets).cast("int")
+
+    def runs(w: Column, n: int) -> Column:
+        starts = F.slice(w, F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(0)))
+        return F.transform(starts, lambda _, i: bucket(F.concat_ws(" ", *[F.get(w, i + k) for k in range(n)])))
 
-    def runs(n: int) -> Column:
-        if n == 1:
-            return F.transform(given, bucket)
-        starts = F.slice(given, F.lit(1), F.greatest(F.size(given) - (n - 1), F.lit(0)))
-        return F.transform(starts, lambda _, i: bucket(F.array_join(F.slice(given, i + 1, n), " ")))
+    if max_words == 1:
+        return F.transform(given, bucket)
+    return let(given, lambda w: F.concat(*[runs(w, n) for n in range(1, max_words + 1)]))
 
-    return F.concat(*map(runs, range(1, max_words + 1)))
 
+def bucket_table(texts: DataFrame, buckets: int = BUCKETS, max_words: int = MAX_WORDS) -> DataFrame:
+    """doc_id (null without one), n_words and b, the array of buckets, of every row."""
+    doc_id = F.col("doc_id") if "doc_id" in texts.columns else F.lit(None).cast("long").alias("doc_id")
+    split = texts.select(doc_id, words(F.col("text")).alias("w"))
+    return split.select("doc_id", F.size("w").cast("long").alias("n_words"), feature_buckets(F.col("w"), buckets, max_words).alias("b"))
 
-def bucket_counts(texts: DataFrame, buckets: int = BUCKETS, max_words: int = MAX_WORDS) -> DataFrame:
-    """bucket, n: counts over all texts, combined before the shuffle."""
-    return texts.select(F.explode(feature_buckets(words(F.col("text")), buckets, max_words)).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
 
+def bucket_counts(table: DataFrame) -> DataFrame:
+    """bucket, n: counts over all rows of a bucket table, combined before the shuffle."""
+    return table.select(F.explode("b").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
 
-def gain_array(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, max_words: int = MAX_WORDS) -> list[int]:
-    """The gain of each bucket; ``buckets`` rows are all that comes to the driver."""
-    s = bucket_counts(docs, buckets, max_words).select("bucket", F.col("n").alias("s"))
-    t = bucket_counts(target, buckets, max_words).select("bucket", F.col("n").alias("t"))
-    sums = s.join(t, "bucket", "full").select("bucket", F.coalesce("s", F.lit(0)).cast("double").alias("s"), F.coalesce("t", F.lit(0)).cast("double").alias("t")).toArrow()
+
+def gain_array(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> list[int]:
+    """The gain of each bucket, of two bucket tables; ``buckets`` rows are all that comes to the driver."""
+    s = bucket_counts(docs).select("bucket", F.col("n").alias("s"))
+    t = bucket_counts(target).select("bucket", F.col("n").alias("t"))
+    sums = s.join(t, "bucket", "full").select("bucket", F.coalesce("s", F.lit(0)).alias("s"), F.coalesce("t", F.lit(0)).alias("t")).toArrow()
     found = {b: (x, y) for b, x, y in zip(*(sums.column(c).to_pylist() for c in ("bucket", "s", "t")))}
-    rows = docs.sparkSession.createDataFrame([(b, *found.get(b, (0.0, 0.0))) for b in range(buckets)], "bucket int, s double, t double")
-    of_docs, of_target = (F.lit(sum(x[k] for x in found.values()) + buckets) for k in (0, 1))
-    gain = F.floor(F.lit(1000.0) * F.ln((F.col("t") + 1) * of_docs / ((F.col("s") + 1) * of_target)))
-    out = rows.select("bucket", gain.alias("gain")).toArrow()
-    gains = dict(zip(out.column("bucket").to_pylist(), out.column("gain").to_pylist()))
-    return [gains[b] for b in range(buckets)]
+    of_docs, of_target = (float(sum(x[k] for x in found.values()) + buckets) for k in (0, 1))
+    counts = (found.get(b, (0, 0)) for b in range(buckets))
+    return [math.floor(1000 * math.log((t + 1) * of_docs / ((s + 1) * of_target))) for s, t in counts]
 
 
 def weight(found: Column, gains: list[int]) -> Column:
@@ -88,12 +96,14 @@ def noise(doc_id: Column, seed: int = SEED) -> Column:
     return F.floor(F.lit(-1000.0) * F.ln(-F.ln((h + 0.5) / 4294967296.0)))
 
 
-def importance_scores(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, max_words: int = MAX_WORDS, seed: int = SEED) -> DataFrame:
-    """doc_id, n_features, n_words, weight and score of every row of docs (doc_id, text); target: text."""
-    gains = gain_array(docs, target, buckets, max_words)
-    split = docs.select("doc_id", words(F.col("text")).alias("w"))
-    found = split.select("doc_id", F.size("w").cast("long").alias("n_words"), feature_buckets(F.col("w"), buckets, max_words).alias("b"))
-    out = found.select("doc_id", F.size("b").cast("long").alias("n_features"), "n_words", weight(F.col("b"), gains).alias("weight"))
+def importance_scores(docs: DataFrame, target: DataFrame, work: Workspace, buckets: int = BUCKETS, max_words: int = MAX_WORDS, seed: int = SEED) -> DataFrame:
+    """doc_id, n_features, n_words, weight and score of every row of docs (doc_id, text); target: text.
+
+    Texts are read once: their arrays of buckets are a work table, about half as large as the texts.
+    """
+    table = work.write(bucket_table(docs, buckets, max_words), "buckets")
+    gains = gain_array(table, bucket_table(target, buckets, max_words), buckets)
+    out = table.select("doc_id", F.size("b").cast("long").alias("n_features"), "n_words", weight(F.col("b"), gains).alias("weight"))
     return out.select("*", (F.col("weight") + noise(F.col("doc_id"), seed)).alias("score"))
 
 
@@ -126,5 +136,5 @@ def draw(scores: DataFrame, work: Workspace, share: int = SHARE, min_words: int
 
 def resample(docs: DataFrame, target: DataFrame, work: Workspace, share: int = SHARE, min_words: int = MIN_WORDS, **how) -> DataFrame:
     """The rows of docs, with all of their columns, whose id is drawn."""
-    drawn = draw(importance_scores(docs, target, **how), work, share, min_words).where("rank is not null").select("doc_id").distinct()
+    drawn = draw(importance_scores(docs, target, work, **how), work, share, min_words).where("rank is not null").select("doc_id").distinct()
     return docs.join(drawn, docs["doc_id"].eqNullSafe(drawn["doc_id"]), "left_semi")

@@ -85,8 +85,9 @@ def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = importance.importance_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return importance.draw(scores, Workspace(spark, "op12")).select("doc_id", "n_features", "weight", "score", "rank")
+    work = Workspace(spark, "op12")
+    scores = importance.importance_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), work)
+    return importance.draw(scores, work).select("doc_id", "n_features", "weight", "score", "rank")
 
 
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:

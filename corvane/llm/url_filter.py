@@ -23,6 +23,8 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.functions.text import let
+
 BUCKETS = 4096
 GRAMS = (3, 4, 5)
 #: Strength of the penalty on the regression's weights.
@@ -55,29 +57,27 @@ def fitting_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Co
         return F.lit(None).cast("string")
     keys = sorted({r for _, r in rules})
     lengths = sorted({len(k) - len(k.split("/", 1)[0]) for k in keys}, reverse=True)
-    labels = F.split(host, r"\.")
     # No rule's host has more labels than this, so no other parents are looked at.
     depth = max(k.split("/", 1)[0].count(".") + 1 for k in keys)
-    size = F.size(labels)
-    parents = F.transform(F.sequence(F.least(size, F.lit(depth)), F.lit(1)), lambda n: F.array_join(F.slice(labels, size - n + 1, n), "."))
+    host_of = F.substring_index(host, ".", -depth)
+    parents = F.transform(F.sequence(F.lit(1), F.lit(depth)), lambda n: F.when(n <= F.size(F.split(host_of, r"\.")), F.call_function("substring_index", host_of, F.lit("."), -n)))
     starts = F.array(*[F.when(F.length(path) >= n, F.left(path, F.lit(n))) for n in lengths])
     tried = F.flatten(F.transform(parents, lambda p: F.transform(starts, lambda s: F.concat(p, s))))
-    found = F.filter(tried, lambda k: k.isin(*keys))
-    longest = F.array_max(F.transform(found, F.length))
-    return F.get(F.filter(found, lambda k: F.length(k) == longest), F.lit(0))
+    fits = F.filter(tried, lambda k: k.isin(*keys))
+    # The parents come shortest first, so of equal lengths the longer host is the later.
+    return F.aggregate(fits, F.lit(None).cast("string"), lambda a, k: F.when(a.isNull() | (F.length(k) >= F.length(a)), k).otherwise(a))
 
 
 def gram_buckets(host: Column, path: Column, buckets: int = BUCKETS) -> Column:
     """Array of the buckets of all character n-grams of host and path; each has its own ends and its own buckets, and all digits are alike."""
 
     def of(part: Column, kind: str) -> Column:
-        chars = F.split(F.concat(F.lit("^"), F.translate(part, "123456789", "000000000"), F.lit("$")), "")
-
-        def grams(n: int) -> Column:
+        def grams(chars: Column, n: int) -> Column:
             starts = F.slice(chars, F.lit(1), F.greatest(F.size(chars) - (n - 1), F.lit(0)))
             return F.transform(starts, lambda _, i: F.pmod(F.xxhash64(F.lit(kind), F.concat(*[F.get(chars, i + k) for k in range(n)])), F.lit(buckets)).cast("int"))
 
-        return F.when(part == "", F.array().cast("array<int>")).otherwise(F.concat(*map(grams, GRAMS)))
+        marked = F.concat(F.lit("^"), F.translate(part, "123456789", "000000000"), F.lit("$"))
+        return F.when(part == "", F.array().cast("array<int>")).otherwise(let(F.split(marked, ""), lambda chars: F.concat(*[grams(chars, n) for n in GRAMS])))
 
     return F.concat(of(host, "host"), of(path, "path"))
 
