@@ -1,210 +1,322 @@
-"""Main content of a page as Markdown (X2), with the standard library's HTML parser.
-
-Page furniture is dropped; of the rest the article, main or role=main element is
-taken, else the element with the most text outside of links.  Unclosed elements
-are tolerated.
+"""Main content of a page as Markdown (X2), over the events of the standard library's HTML parser.
+
+A page becomes a flat list of nodes in the order of the source, each with its parent and
+its end; all passes are loops over that list, so depth costs nothing and has no limit.
+
+Choice of the main content: page furniture (by tag, class or id) is left out.  Where there are
+article, main or role=main elements, the one with the most text is it.  Otherwise every
+block's text outside of links is passed up to its ancestors, ``DECAY`` of it a level, and
+the block with the most, less its share of linked text, is it, joined by those of its
+siblings that hold enough text of their own.
+
+Defined cases: null, empty and textless pages have empty title and text; unclosed and
+crossed elements end where a block, cell, item or row that excludes them begins; a page of
+any length and depth is read in time in proportion to it.  Only quote marks are bounded:
+blocks nested deeper than ``quote_levels`` quotes are shown at that level, as each line
+of Markdown repeats its marks and a page of nested quotes would grow with its square.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import defaultdict
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import types as T
-
-DROPPED = {"script", "style", "nav", "header", "footer", "aside", "form", "noscript", "iframe", "svg", "button", "template"}
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-BLOCKS = {"p", "div", "section", "article", "main", "ul", "ol", "li", "table", "tr", "blockquote", "pre", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "dl", "dt", "dd", "body", "html"}
-JUNK = re.compile(r"\b(?:ad|ads|advert\w*|comments?|sidebar|related|share|social|promo|newsletter|cookie\w*|popup|breadcrumbs?)\b", re.I)
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+from corvane import ship
 
-class Node:
-    __slots__ = ("tag", "attrs", "children", "text", "linked")
+#: Share of a block's text that counts for its parent.
+DECAY = 0.7
+#: A sibling joins with this share of the best block's score, or as a paragraph of so many characters; linked text is at most a third.
+SIBLING_SHARE, SIBLING_TEXT, SIBLING_LINKED = 0.25, 80, 1 / 3
+#: Marks of nested quotes before deeper ones are shown alike.
+QUOTE_LEVELS = 8
 
-    def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.children = tag, attrs, []
-        self.text = self.linked = 0
+DROPPED = frozenset("script style nav header footer aside form noscript iframe svg button template title".split())
+VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+CELLS = frozenset(("td", "th"))
+BLOCKS = frozenset("html body article main section div p ul ol li dl dt dd table thead tbody tfoot tr blockquote pre figure figcaption hr address details summary".split()) | HEADINGS
+#: What begins an element, and the elements that are then closed if they are open within their scope.
+CLOSES = {"li": (("li",), ("ul", "ol")), "tr": (("tr",), ("table",)), "td": (("td", "th"), ("table",)), "th": (("td", "th"), ("table",)), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",))}
+STYLES = {"b": "**", "strong": "**", "i": "*", "em": "*", "code": "`", "kbd": "`"}
+JUNK = re.compile(r"\b(?:ad|ads|advert\w*|comments?|sidebar|related|share|social|promo|newsletter|cookie\w*|popup|breadcrumbs?)\b", re.I)
 
-    def junk(self) -> bool:
-        return self.tag in DROPPED or (self.tag not in {"html", "body", "article", "main"} and bool(JUNK.search(f"{self.attrs.get('class', '')} {self.attrs.get('id', '')}".replace("-", " ").replace("_", " "))))
 
+class Page(HTMLParser):
+    """Nodes in order: tag ("" of text), parent, end (the node after its last), attributes or text."""
 
-class Tree(HTMLParser):
-    def __init__(self):
+    def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.root = Node("html", {})
-        self.open = [self.root]
-        self.title: list[str] = []
-        self.in_title = False
+        self.tag, self.parent, self.end, self.held = ["html"], [-1], [0], [{}]
+        self.open, self.places, self.endless = [0], defaultdict(list), len(html) + 1
+        self.feed(html)
+        self.close()
+        self._close(0)
+        self.end[0] = len(self.tag)
+
+    def _add(self, tag: str, held) -> None:
+        self.tag.append(tag)
+        self.parent.append(self.open[-1])
+        self.end.append(len(self.tag))
+        self.held.append(held)
+
+    def _close(self, place: int) -> None:
+        """Ends the open elements above a place of the stack."""
+        while len(self.open) > place + 1:
+            node = self.open.pop()
+            self.end[node] = len(self.tag)
+            self.places[self.tag[node]].pop()
+
+    def _last(self, tags: tuple[str, ...]) -> int:
+        return max((self.places[t][-1] for t in tags if self.places[t]), default=0)
 
     def handle_starttag(self, tag, attrs):
-        self.in_title = tag == "title"
-        if tag in BLOCKS and self.open[-1].tag == "p":
-            self.open.pop()
-        if tag in {"li", "tr", "td", "th"}:
-            for i in range(len(self.open) - 1, max(0, len(self.open) - 4), -1):
-                if self.open[i].tag == tag or (tag in {"td", "th"} and self.open[i].tag in {"td", "th"}):
-                    del self.open[i:]
-                    break
-                if self.open[i].tag in {"ul", "ol", "table"}:
-                    break
-        node = Node(tag, {k: v or "" for k, v in attrs})
-        self.open[-1].children.append(node)
-        if tag not in VOID and len(self.open) < 400:
-            self.open.append(node)
+        if tag in BLOCKS and self.places["p"]:
+            self._close(self.places["p"][-1] - 1)
+        if tag in CLOSES:
+            closed, scope = CLOSES[tag]
+            if (at := self._last(closed)) > self._last(scope):
+                self._close(at - 1)
+        self._add(tag, {k: v or "" for k, v in attrs})
+        if tag not in VOID:
+            self.places[tag].append(len(self.open))
+            self.open.append(len(self.tag) - 1)
 
     def handle_endtag(self, tag):
-        self.in_title = False
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                del self.open[i:]
-                return
+        if self.places[tag]:
+            self._close(self.places[tag][-1] - 1)
 
     def handle_data(self, data):
-        (self.title if self.in_title else self.open[-1].children).append(data)
-
-
-def measure(node: Node) -> None:
-    """Characters of text and of linked text below each node."""
-    for child in node.children:
-        if isinstance(child, str):
-            node.text += len(child.strip())
-        elif not child.junk():
-            measure(child)
-            node.text += child.text
-            node.linked += child.text if child.tag == "a" else child.linked
-
-
-def find_main(root: Node) -> Node:
-    best, score, todo = root, -1.0, [root]
-    while todo:
-        node = todo.pop()
-        if node.junk():
-            continue
-        if node.tag in {"article", "main"} or node.attrs.get("role") == "main":
-            value = 1e9 + node.text
-        elif node.tag in BLOCKS:
-            own = sum(c.text - c.linked for c in node.children if isinstance(c, Node) and c.tag in {"p", "pre", "blockquote", "h1", "h2", "h3", "ul", "ol", "table"})
-            value = own * (1 - node.linked / node.text) if node.text else 0
-        else:
-            value = -1
-        if value > score and node.text:
-            best, score = node, value
-        todo.extend(c for c in reversed(node.children) if isinstance(c, Node))
-    return best
-
-
-def inline(node: Node) -> str:
-    out = []
-    for child in node.children:
-        if isinstance(child, str):
-            out.append(re.sub(r"\s+", " ", child))
-        elif child.junk():
-            continue
-        elif child.tag == "br":
-            out.append("\n")
-        else:
-            body = inline(child)
-            bare = body.strip()
-            if child.tag == "a" and bare and child.attrs.get("href"):
-                out.append(f"[{bare}]({child.attrs['href']})")
-            elif child.tag in {"strong", "b"} and bare:
-                out.append(f"**{bare}**")
-            elif child.tag in {"em", "i"} and bare:
-                out.append(f"*{bare}*")
-            elif child.tag in {"code", "kbd"} and bare:
-                out.append(f"`{bare}`")
+        self._add("", data)
+
+    def parse_comment(self, i, report=1):
+        # Where one comment has no end, later ones have none either; nothing is searched again.
+        if i >= self.endless:
+            return -1
+        found = super().parse_comment(i, report)
+        if found < 0:
+            self.endless = i
+        return found
+
+    def title(self) -> str:
+        first = next((i for i, t in enumerate(self.tag) if t == "title"), None)
+        return "" if first is None else " ".join("".join(self.held[i] for i in range(first, self.end[first]) if not self.tag[i]).split())
+
+    def main(self) -> list[tuple[int, int]]:
+        """Ranges of nodes that are the main content, in order; the furniture inside is marked in ``self.dropped``."""
+        n, tag, parent, held = len(self.tag), self.tag, self.parent, self.held
+        self.dropped, linked_in, block = [False] * n, [False] * n, [0] * n
+        own, text, linked = [0.0] * n, [0] * n, [0] * n
+        for i in range(1, n):
+            up, t = parent[i], tag[i]
+            self.dropped[i] = self.dropped[up] or t in DROPPED or (t not in ("", "html", "body", "article", "main") and _junk(held[i]))
+            linked_in[i] = linked_in[up] or t == "a"
+            block[i] = i if t in BLOCKS or t in CELLS else block[up]
+            if not t and not self.dropped[i]:
+                size = len(held[i].strip())
+                text[i], linked[i] = size, size * linked_in[i]
+                own[block[i]] += size - linked[i]
+        passed = own[:]
+        for i in range(n - 1, 0, -1):
+            up = parent[i]
+            text[up] += text[i]
+            linked[up] += linked[i]
+            passed[up] += DECAY * passed[i]
+        blocks = [i for i in range(n) if tag[i] in BLOCKS and not self.dropped[i] and text[i]]
+        if not blocks:
+            return []
+        if named := [i for i in blocks if tag[i] in ("article", "main") or held[i].get("role") == "main"]:
+            best = max(named, key=lambda i: (text[i], i))
+            return [(best, self.end[best])]
+        # A block's own text counts for it as its children's does, so a lone paragraph is no better than what holds it.
+        score = {i: (passed[i] - (1 - DECAY) * own[i]) * (1 - linked[i] / text[i]) for i in blocks}
+        best = max(blocks, key=lambda i: (score[i], -i))
+        out, up = [], parent[best]
+        if up >= 0:
+            child = up + 1
+            while child < self.end[up]:
+                joins = child in score and linked[child] <= SIBLING_LINKED * text[child] and (score[child] >= SIBLING_SHARE * score[best] or (tag[child] == "p" and text[child] >= SIBLING_TEXT) or tag[child] in HEADINGS)
+                if child == best or joins:
+                    out.append((child, self.end[child]))
+                child = self.end[child]
+        return out or [(best, self.end[best])]
+
+
+def _junk(attributes: dict[str, str]) -> bool:
+    names = f"{attributes.get('class', '')} {attributes.get('id', '')}"
+    return len(names) > 1 and bool(JUNK.search(names.replace("-", " ").replace("_", " ")))
+
+
+class Writer:
+    """Markdown of ranges of a page's nodes."""
+
+    def __init__(self, page: Page, quote_levels: int = QUOTE_LEVELS):
+        self.page, self.quote_levels = page, quote_levels
+        self.out: list[tuple[int, int, str]] = []  # depth of quotes, the lowest depth since the last block, text
+        self.depth = self.low = 0
+        self.run: list[tuple[tuple, str]] = []
+        self.holder, self.rows, self.table, self.lists = -1, [], -1, []
+        self.marks: dict[str, int] = defaultdict(int)
+        self.links: list[str] = []
+
+    def emit(self, text: str) -> None:
+        if text:
+            self.out.append((self.depth, min(self.low, self.depth), text))
+            self.low = self.depth
+
+    def collect(self, one_line: bool = False) -> str:
+        """The text since the last block, with its styles."""
+        parts, k = [], 0
+        while k < len(self.run):
+            style, first = self.run[k][0], k
+            while k < len(self.run) and self.run[k][0] == style:
+                k += 1
+            text = "".join(t for _, t in self.run[first:k])
+            core = text.strip()
+            if core and style:
+                link, *marks = style
+                shown = core
+                for mark in marks:
+                    shown = f"{mark}{shown}{mark}"
+                shown = f"[{shown}]({link})" if link else shown
+                text = f"{text[: len(text) - len(text.lstrip())]}{shown}{text[len(text.rstrip()) :]}"
+            parts.append(text)
+        self.run.clear()
+        whole = "".join(parts)
+        return " ".join(whole.split()) if one_line else re.sub(r" *\n\s*", "\n", re.sub(r"[^\S\n]+", " ", whole)).strip()
+
+    def style(self) -> tuple:
+        marks = [m for m in ("`", "*", "**") if self.marks[m]]
+        link = self.links[-1] if self.links else ""
+        return (link, *marks) if link or marks else ()
+
+    def enter(self, i: int) -> None:
+        tag, held = self.page.tag[i], self.page.held[i]
+        if not tag:
+            kept = self.holder >= 0 and self.page.tag[self.holder] == "pre"
+            self.run.append(((), held) if kept else (self.style(), re.sub(r"\s+", " ", held)))
+        elif tag == "br":
+            self.run.append(((), "\n"))
+        elif tag in STYLES:
+            self.marks[STYLES[tag]] += 1
+        elif tag == "a":
+            self.links.append(held.get("href", ""))
+        elif tag in BLOCKS or tag in CELLS:
+            if self.holder >= 0:
+                self.run.append(((), " "))
+                return
+            if tag not in CELLS and self.table < 0:
+                self.emit(self.collect())
+            if tag in HEADINGS or tag in CELLS or tag in ("li", "pre"):
+                self.holder = i
+            elif tag in ("ul", "ol"):
+                self.lists.append((i, []))
+            elif tag == "table" and self.table < 0:
+                self.table, self.rows = i, []
+            elif tag == "tr":
+                self.rows.append([])
+            elif tag == "blockquote":
+                self.depth += 1
+
+    def leave(self, i: int) -> None:
+        tag = self.page.tag[i]
+        if tag in STYLES:
+            self.marks[STYLES[tag]] -= 1
+        elif tag == "a":
+            self.links.pop()
+        elif i == self.holder:
+            self.holder = -1
+            if tag == "pre":
+                raw = "".join(t for _, t in self.run).strip("\n")
+                self.run.clear()
+                fence = "`" * max([3, *(len(x) + 1 for x in re.findall("`{3,}", raw))])
+                self.emit(f"{fence}\n{raw}\n{fence}" if raw.strip() else "")
+                return
+            text = self.collect(one_line=True)
+            if tag in HEADINGS:
+                self.emit(f"{'#' * int(tag[1])} {text}" if text else "")
+            elif tag == "li" and self.lists:
+                self.lists[-1][1].append(text)
+            elif tag == "li":
+                self.emit(f"- {text}" if text else "")
             else:
-                out.append(body)
-    return "".join(out)
-
-
-def raw_text(node: Node) -> str:
-    return "".join(c if isinstance(c, str) else raw_text(c) for c in node.children)
+                if not self.rows:
+                    self.rows.append([])
+                self.rows[-1].append(text)
+        elif self.holder >= 0:
+            if tag in BLOCKS or tag in CELLS:
+                self.run.append(((), " "))
+        elif i == self.table:
+            self.table = -1
+            loose, rows = self.collect(), [r for r in self.rows if r]
+            self.emit(loose)
+            if rows:
+                shown = [f"| {' | '.join(r)} |" for r in rows]
+                self.emit("\n".join([shown[0], f"| {' | '.join('---' for _ in rows[0])} |", *shown[1:]]))
+            self.rows = []
+        elif tag in BLOCKS and self.table < 0:
+            self.emit(self.collect())
+            if self.lists and self.lists[-1][0] == i:
+                items = [x for x in self.lists.pop()[1] if x]
+                self.emit("\n".join(f"{f'{k}.' if tag == 'ol' else '-'} {x}" for k, x in enumerate(items, 1)))
+            elif tag == "blockquote":
+                self.depth -= 1
+                self.low = min(self.low, self.depth)
+        elif tag == "blockquote":
+            self.depth -= 1
+
+    def write(self, ranges: list[tuple[int, int]]) -> str:
+        page = self.page
+        for first, end in ranges:
+            inside, i = [], first
+            while i < end:
+                while inside and page.end[inside[-1]] <= i:
+                    self.leave(inside.pop())
+                if page.dropped[i]:
+                    i = page.end[i]
+                    continue
+                self.enter(i)
+                if page.tag[i] and page.tag[i] not in VOID:
+                    inside.append(i)
+                i += 1
+            while inside:
+                self.leave(inside.pop())
+            self.emit(self.collect())
+        parts: list[str] = []
+        for depth, low, text in self.out:
+            if parts:
+                common = min(low, self.quote_levels)
+                parts.append("\n" + "> " * common + "\n" if common else "\n\n")
+            marks = "> " * min(depth, self.quote_levels)
+            parts.append("\n".join(marks + line for line in text.split("\n")) if marks else text)
+        return "".join(parts)
+
+
+def readable(html: str | None, quote_levels: int = QUOTE_LEVELS) -> tuple[str, str]:
+    """(title, Markdown) of a page; both empty if there is no text."""
+    if not html or not html.strip():
+        return "", ""
+    page = Page(html)
+    return page.title(), Writer(page, quote_levels).write(page.main())
 
 
-#: Marks of nested quotes; deeper quotes are shown at this depth, so a page's text grows with the page.
-QUOTE_LEVELS = 8
+def readable_column(html: Column, quote_levels: int = QUOTE_LEVELS) -> Column:
+    """Struct of title and text of each page; null where the page is.  Only the page's own column goes to Python."""
 
+    @F.pandas_udf("title string, text string")
+    def each(pages: pd.Series) -> pd.DataFrame:
+        found = [(None, None) if x is None else readable(x, quote_levels) for x in pages]
+        return pd.DataFrame(found, columns=["title", "text"], dtype=object)
 
-def blocks(node: Node, out: list[str], depth: int = 0) -> None:
-    run: list = []
-
-    def flush() -> None:
-        holder = Node("span", {})
-        holder.children = list(run)
-        run.clear()
-        if text := inline(holder).strip():
-            out.append(text)
-
-    for child in node.children:
-        if isinstance(child, str) or (child.tag not in BLOCKS and not any(isinstance(c, Node) and c.tag in BLOCKS for c in child.children)):
-            run.append(child)
-            continue
-        flush()
-        if child.junk():
-            continue
-        if re.fullmatch("h[1-6]", child.tag):
-            if text := inline(child).strip():
-                out.append(f"{'#' * int(child.tag[1])} {text}")
-        elif child.tag == "pre":
-            out.append(f"```\n{raw_text(child).strip(chr(10))}\n```")
-        elif child.tag in {"ul", "ol"}:
-            items = [x for c in child.children if isinstance(c, Node) and c.tag == "li" and (x := inline(c).strip())]
-            if items:
-                out.append("\n".join(f"{f'{k}.' if child.tag == 'ol' else '-'} {x}" for k, x in enumerate(items, 1)))
-        elif child.tag == "table":
-            rows, todo = [], [child]
-            while todo:
-                n = todo.pop()
-                if n.tag == "tr":
-                    rows.append([re.sub(r"\s+", " ", inline(c)).strip() for c in n.children if isinstance(c, Node) and c.tag in {"td", "th"}])
-                else:
-                    todo.extend(c for c in reversed(n.children) if isinstance(c, Node))
-            rows = [r for r in rows if r]
-            if rows:
-                shown = [f"| {' | '.join(r)} |" for r in rows]
-                out.append("\n".join([shown[0], f"| {' | '.join('---' for _ in rows[0])} |", *shown[1:]]))
-        elif child.tag == "blockquote":
-            inner: list[str] = []
-            blocks(child, inner, depth + 1)
-            if depth < QUOTE_LEVELS:
-                out.append("\n".join(f"> {x}" for x in "\n\n".join(inner).split("\n")))
-            else:
-                out += inner
-        else:
-            blocks(child, out, depth)
-    flush()
+    return each(html)
 
 
-def readable(html: str | None) -> tuple[str, str]:
-    """(title, Markdown) of a page; both empty if there is no text.  A page nested too deep for a walk of its tree gives its bare text."""
-    if not html or not html.strip():
-        return "", ""
-    tree = Tree()
-    tree.feed(html)
-    tree.close()
-    title = re.sub(r"\s+", " ", "".join(tree.title)).strip()
-    out: list[str] = []
-    try:
-        measure(tree.root)
-        blocks(find_main(tree.root), out)
-    except RecursionError:
-        out = [re.sub(r"\s+", " ", re.sub(r"(?is)<(script|style|title).*?</\1>|<[^>]*>", " ", html))]
-    return title, "\n\n".join(out).strip()
-
-
-def main_content(pages: DataFrame, column: str = "html", when: str | None = None) -> DataFrame:
+def main_content(pages: DataFrame, column: str = "html", when: str | None = None, quote_levels: int = QUOTE_LEVELS) -> DataFrame:
     """pages with main_title and main_text; rows that ``when`` (SQL) excludes have nulls."""
-    schema = T.StructType([*pages.schema.fields, T.StructField("main_title", T.StringType()), T.StructField("main_text", T.StringType())])
-    wanted = pages.selectExpr("*", f"({when or 'true'}) AS _wanted")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found = [readable(x) if w else (None, None) for x, w in zip(frame[column], frame.pop("_wanted"), strict=True)]
-            yield frame.assign(main_title=pd.Series([x for x, _ in found], dtype=object, index=frame.index), main_text=pd.Series([x for _, x in found], dtype=object, index=frame.index))
-
-    return wanted.mapInPandas(run, schema)
+    ship(pages.sparkSession)
+    wanted = F.when(F.expr(when or "true"), F.coalesce(F.col(column), F.lit("")))
+    return pages.withColumn("_main", readable_column(wanted, quote_levels)).select(*pages.columns, F.col("_main.title").alias("main_title"), F.col("_main.text").alias("main_text"))

@@ -53,3 +53,10 @@ def sql_prefix(x: str, n: str) -> str:
 
     cut = f"CASE WHEN NOT {inside(f'{n} + 1')} THEN {n} WHEN NOT {inside(n)} THEN {n} - 1 WHEN NOT {inside(f'{n} - 1')} THEN {n} - 2 ELSE {n} - 3 END"
     return f"(CASE WHEN strlen({x}) <= {n} THEN {x} ELSE decode(unhex(left(hex({x}), (2 * ({cut}))::BIGINT))) END)"
+
+
+def sql_clean(x: str) -> str:
+    """Markdown clean-up as in corvane.functions.markdown.clean."""
+    for pattern, with_ in ((r"\\([^*_#\[\]\\`~\s])", r"\1"), (r"(?m)^(#{1,6})([^ \n#])", r"\1 \2"), (r"\[([^\]]*)\]\(\)", r"\1"), (r"\n{4,}", "\n\n\n")):
+        x = f"regexp_replace({x}, '{pattern}', '{with_}', 'g')"
+    return sql_trim(x)

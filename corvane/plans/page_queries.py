@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corvane.functions import classify, html, markdown, tokens, urls
 from corvane.functions.text import bytes_of, non_blank_lines
 from corvane.operators import evidence, extraction, readability
-from corvane.plans.base import WS, Catalog, sql_domain, sql_lines, sql_trim
+from corvane.plans.base import WS, Catalog, sql_clean, sql_domain, sql_lines, sql_trim
 from corvane.sources.tables import pages, table
 
 catalog = Catalog()
@@ -219,25 +219,44 @@ def json_pretty(spark, sf_dir):
 _TYPES = ("application/json; charset=utf-8", "Text/Plain", "application/pdf", "IMAGE/png", "text/html", "text/markdown", "application/octet-stream")
 
 
+def _sql_unescape(x: str) -> str:
+    """Entities that pages have, "&amp;" last."""
+    for name, char in (("&quot;", "chr(34)"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&copy;", "chr(169)"), ("&middot;", "chr(183)"), ("&#39;", "chr(39)"), ("&amp;", "'&'")):
+        x = f"replace({x}, '{name}', {char})"
+    return x
+
+
+# Main content of a page whose article holds a heading and paragraphs: the heading, then each paragraph with its bold lead.
+_COLLAPSED = _sql_unescape(r"trim(regexp_replace(regexp_replace({}, '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))")
+_PIECE = _COLLAPSED.format("p")
+_ARTICLE = rf"""
+SELECT *, '# ' || {_COLLAPSED.format("regexp_extract(body, '(?s)<h1[^>]*>(.*?)</h1>', 1)")} AS head,
+  list_filter(list_transform(string_split(regexp_extract(body, '(?s)</h1>(.*)$', 1), '<p>'), lambda p: CASE WHEN {_PIECE} = '' THEN '' WHEN contains(p, '<b>') THEN '**' || {_PIECE} || '**' ELSE {_PIECE} END), lambda p: p <> '') AS paragraphs
+FROM (SELECT *, regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1) AS body FROM {{}})
+"""
+_MAIN = sql_clean("head || chr(10) || chr(10) || array_to_string(paragraphs, chr(10) || chr(10))")
+_MAIN_TITLE = rf"regexp_replace({_sql_unescape(f"coalesce({_TITLE}, '')")}, '\s+', ' ', 'g')"
+
+
 @catalog.add(f"""
 WITH t AS (SELECT page_id, {list(_TYPES)!r}[(page_id % 7 + 1)::INT] AS content_type, html, url FROM pages),
 k AS (SELECT *, CASE WHEN contains(lower(content_type), 'application/json') THEN 'json' WHEN contains(lower(content_type), 'text/plain') THEN 'plain'
   WHEN contains(lower(content_type), 'application/pdf') OR contains(lower(content_type), 'application/octet-stream') OR contains(lower(content_type),
-    'image/') OR contains(lower(content_type), 'video/') OR contains(lower(content_type), 'audio/') THEN 'binary' ELSE 'html' END AS kind FROM t)
-SELECT page_id, kind, CASE kind WHEN 'binary' THEN '' WHEN 'html' THEN replace(replace(replace(coalesce({_TITLE}, ''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') ELSE split_part(regexp_replace(url, '^(https://)*(http://)*', ''), '?', 1) END AS title, true AS has_text,
+    'image/') OR contains(lower(content_type), 'video/') OR contains(lower(content_type), 'audio/') THEN 'binary' ELSE 'html' END AS kind FROM t),
+a AS ({_ARTICLE.format("k")})
+SELECT page_id, kind, CASE kind WHEN 'binary' THEN '' WHEN 'html' THEN {_MAIN_TITLE} ELSE split_part(regexp_replace(url, '^(https://)*(http://)*', ''), '?', 1) END AS title,
   CASE kind WHEN 'binary' THEN '[Unsupported content type: ' || content_type || '. Binary content cannot be extracted.]' WHEN
-  'html' THEN NULL ELSE html END AS text, CASE kind WHEN 'binary' THEN 0 WHEN 'html' THEN NULL ELSE strlen(html) END::BIGINT AS length FROM k
+  'html' THEN {_MAIN} ELSE html END AS text, CASE kind WHEN 'binary' THEN 0 WHEN 'html' THEN length({_MAIN}) ELSE strlen(html) END::BIGINT AS length FROM a
 """)
 def content_dispatch(spark, sf_dir):
     kinds = F.get(F.array(*map(F.lit, _TYPES)), (F.col("page_id") % 7).cast("int"))
     out = extraction.dispatch(pages(spark, sf_dir).withColumn("content_type", kinds))
-    not_html = F.col("kind") != "html"
-    return out.select("page_id", "kind", "title", F.col("text_content").isNotNull().alias("has_text"), F.when(not_html, F.col("text_content")).alias("text"), F.when(not_html, F.col("length")).alias("length"))
+    return out.select("page_id", "kind", "title", F.col("text_content").alias("text"), "length")
 
 
-@catalog.add()
+@catalog.add(f"SELECT page_id, {_MAIN_TITLE} AS title, {_MAIN} AS text FROM ({_ARTICLE.format('pages')})")
 def readability_text(spark, sf_dir):
-    out = readability.main_content(pages(spark, sf_dir).repartition(8))
+    out = readability.main_content(pages(spark, sf_dir))
     return out.select("page_id", F.col("main_title").alias("title"), markdown.clean(F.col("main_text")).alias("text"))
 
 
