@@ -27,9 +27,41 @@ def drop_pattern(tags: tuple[str, ...]) -> str:
     return f"(?is){closed}|" + "|".join(f"<{t}[^>]*>" for t in tags)
 
 
+#: Private-use characters that mark start tags without an end tag while elements are dropped; a page's own are doubled up first.
+_MARK, _OWN, _LONE = "\ue000", "\ue000\ue001", "\ue000\ue002"
+
+
+def through_last(x: Column, closer: str) -> Column:
+    """The text through the last match of an end pattern; empty without one.  One search from the end."""
+    return F.regexp_extract(x, f"(?is)^.*{closer}", 0)
+
+
+def _mark_unclosed(given: Column, tag: str) -> Column:
+    """Start tags after the last end tag of their kind are marked."""
+
+    def marked(x: Column) -> Column:
+        return let(through_last(x, f"</{tag}>"), lambda head: F.concat(head, F.regexp_replace(F.substr(x, F.length(head) + 1), f"(?i)<({tag})", f"<{_LONE}$1")))
+
+    return let(given, marked)
+
+
 def drop_elements(x: Column, tags: tuple[str, ...]) -> Column:
-    """Elements by tag prefix, through the first end tag; of an unclosed one the start tag alone."""
-    return F.regexp_replace(x, drop_pattern(tags), "")
+    """Elements by tag prefix, through the first end tag; of an unclosed one the start tag alone.
+
+    An end tag is searched for only where there is one: start tags behind the last end tag
+    of their kind are marked before, and what follows the last ">" holds no tag.  So the
+    time is in proportion to the text, however many tags aren't closed.
+    """
+
+    def dropped(text: Column) -> Column:
+        marked = F.replace(text, F.lit(_MARK), F.lit(_OWN))
+        for tag in tags:
+            marked = _mark_unclosed(marked, tag)
+        closed = "|".join(f"<{t}.*?</{t}>" for t in tags)
+        gone = let(marked, lambda m: let(F.regexp_extract(m, "(?s)^.*>", 0), lambda head: F.concat(F.regexp_replace(head, f"(?is)<{_LONE}[^>]*>|{closed}", ""), F.substr(m, F.length(head) + 1))))
+        return F.replace(F.replace(gone, F.lit(_LONE), F.lit("")), F.lit(_OWN), F.lit(_MARK))
+
+    return F.when(F.rlike(x, F.lit(f"(?i)<({'|'.join(tags)})")), let(x, dropped)).otherwise(x)
 
 
 def drop_comments(x: Column) -> Column:
@@ -42,7 +74,8 @@ def strip_tags(x: Column) -> Column:
 
 def title(x: Column) -> Column:
     """Text of the title element, or null."""
-    raw = F.regexp_extract(x, r"(?is)<title[^>]*>(.*?)</title>", 1)
+    # Only the first start tag can match: where it has no end tag behind it, no later one has.
+    raw = F.regexp_extract(F.regexp_extract(x, "(?is)<title.*", 0), r"(?is)^<title[^>]*>(.*?)</title>", 1)
     return F.when(raw != "", trim_space(raw))
 
 
@@ -67,7 +100,8 @@ def attribute(tag: Column, name: str) -> Column:
 def anchors(x: Column) -> Column:
     """Array of (text, href) of links; without empty and fragment-only targets."""
     pattern = F.lit(r"(?is)<a[ \t]([^>]*)>(.*?)</a>")
-    pairs = F.arrays_zip(F.regexp_extract_all(x, pattern, F.lit(1)).alias("tag"), F.regexp_extract_all(x, pattern, F.lit(2)).alias("body"))
+    closed = through_last(x, "</a>")
+    pairs = F.arrays_zip(F.regexp_extract_all(closed, pattern, F.lit(1)).alias("tag"), F.regexp_extract_all(closed, pattern, F.lit(2)).alias("body"))
 
     def link(p: Column) -> Column:
         href, text = attribute(p["tag"], "href"), trim_space(strip_tags(p["body"]))
@@ -117,7 +151,7 @@ def canonical(x: Column) -> Column:
 
 
 def times(x: Column) -> Column:
-    found = F.transform(F.regexp_extract_all(x, F.lit(r"(?is)<time[^>]*>(.*?)</time>"), F.lit(1)), lambda t: _entry("time", trim_space(t)))
+    found = F.transform(F.regexp_extract_all(through_last(x, "</time>"), F.lit(r"(?is)<time[^>]*>(.*?)</time>"), F.lit(1)), lambda t: _entry("time", trim_space(t)))
     return F.filter(found, lambda e: e["value"] != "")
 
 
@@ -160,7 +194,7 @@ def pretty_json_each(x: pd.Series) -> pd.Series:
 
 def jsonld_blocks(x: Column) -> Column:
     """Bodies of JSON-LD scripts: as two-space JSON, trimmed where they aren't JSON."""
-    return pretty_json_each(F.transform(F.regexp_extract_all(x, F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1)), trim_space))
+    return pretty_json_each(F.transform(F.regexp_extract_all(through_last(x, "</script>"), F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1)), trim_space))
 
 
 def numbered(blocks: Column, name: str) -> Column:
@@ -170,20 +204,21 @@ def numbered(blocks: Column, name: str) -> Column:
 
 
 def table_bodies(x: Column) -> Column:
-    return F.regexp_extract_all(x, F.lit(r"(?is)<table[^>]*>(.*?)</table>"), F.lit(1))
+    return F.regexp_extract_all(through_last(x, "</table>"), F.lit(r"(?is)<table[^>]*>(.*?)</table>"), F.lit(1))
 
 
 def every_row(body: Column) -> Column:
     """Array of all rows, each an array of (is_header, text); a row's plain cells before its last header cell are skipped."""
 
     def cells(row: Column) -> Column:
+        row = through_last(row, "</t[hd]>")
         kinds = F.regexp_extract_all(row, F.lit(r"(?is)<(t[hd])[^>]*>.*?</t[hd]>"), F.lit(1))
         texts = F.regexp_extract_all(row, F.lit(r"(?is)<t[hd][^>]*>(.*?)</t[hd]>"), F.lit(1))
         every = F.transform(texts, lambda t, i: F.struct((F.lower(F.get(kinds, i)) == "th").alias("is_header"), trim_space(strip_tags(t)).alias("text")))
         last = F.size(kinds) - F.coalesce(F.array_position(F.reverse(F.transform(kinds, F.lower)), "th"), F.lit(0)) + F.when(F.array_contains(F.transform(kinds, F.lower), "th"), 0).otherwise(-F.size(kinds) - 1)
         return F.filter(every, lambda c, i: c["is_header"] | (i > last))
 
-    return F.transform(F.regexp_extract_all(body, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1)), cells)
+    return F.transform(F.regexp_extract_all(through_last(body, "</tr>"), F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1)), cells)
 
 
 def table_rows(body: Column) -> Column:
