@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import urls
 from corvane.functions.html import strip_tags
-from corvane.functions.text import lines, trim_space
+from corvane.functions.text import let, lines, trim_space
 
 #: Hosts of the sites with adapters.
 REDDIT_HOSTS = ("reddit.com", "www.reddit.com", "old.reddit.com")
@@ -101,28 +101,37 @@ def video_id(url: Column) -> Column:
 
 
 def vtt_cues(x: Column) -> Column:
-    """Array of (ts, text) of a WebVTT file."""
-    kind = "array<struct<ts:string,text:string>>"
-    start = F.struct(F.array().cast(kind).alias("cues"), F.lit("").alias("ts"), F.lit("").alias("text"))
-
-    def flushed(s: Column) -> Column:
-        whole = trim_space(s["text"])
-        return F.when((s["ts"] != "") & (whole != ""), F.array_append(s["cues"], F.struct(s["ts"].alias("ts"), whole.alias("text")))).otherwise(s["cues"])
-
-    def step(s: Column, raw: Column) -> Column:
-        line = trim_space(raw)
-        clean = strip_tags(line)
-        ends = (line == "") | F.rlike(line, F.lit("^(WEBVTT|Kind:|Language:)"))
-        # Text that came without a time is only dropped when a cue is flushed.
-        kept = F.when((s["ts"] != "") & (s["text"] != ""), F.lit("")).otherwise(s["text"])
-        more = F.when(clean == "", s["text"]).when(s["text"] == "", clean).otherwise(F.concat(s["text"], F.lit(" "), clean))
-        return (
-            F.when(ends, F.struct(flushed(s).alias("cues"), F.lit("").alias("ts"), kept.alias("text")))
-            .when(F.contains(line, F.lit("-->")), F.struct(flushed(s).alias("cues"), trim_space(F.split_part(line, F.lit("-->"), F.lit(1))).alias("ts"), kept.alias("text")))
-            .otherwise(F.struct(s["cues"].alias("cues"), s["ts"].alias("ts"), more.alias("text")))
-        )
-
-    return F.aggregate(lines(x), start, step, flushed)
+    """Array of (ts, text) of a WebVTT file.
+
+    A cue ends at the next blank, head or time line.  Text that comes without a time
+    belongs to the next cue.  So a cue's lines are those from the end of the cue
+    before it to its own end, and each line is looked at once.
+    """
+
+    def read(raw: Column) -> Column:
+        def of(line: Column) -> Column:
+            ends = (line == "") | F.rlike(line, F.lit("^(WEBVTT|Kind:|Language:)"))
+            time = F.when(~ends & F.contains(line, F.lit("-->")), trim_space(F.split_part(line, F.lit("-->"), F.lit(1))))
+            return F.struct((ends | time.isNotNull()).alias("edge"), F.coalesce(time, F.lit("")).alias("ts"), F.when(ends | time.isNotNull(), "").otherwise(strip_tags(line)).alias("text"))
+
+        return let(trim_space(raw), of)
+
+    def edges(rows: Column) -> Column:
+        return F.filter(F.transform(rows, lambda r, i: F.struct(i.alias("at"), r["edge"].alias("edge"), r["ts"].alias("ts"))), lambda e: e["edge"])
+
+    def timed(rows: Column, found: Column) -> Column:
+        ended = F.transform(found, lambda e, k: F.struct(e["ts"].alias("ts"), F.coalesce(F.get(found, k + 1)["at"], F.size(rows)).alias("end")))
+        return F.filter(ended, lambda c: c["ts"] != "")
+
+    def cues(rows: Column, times: Column) -> Column:
+        def cue(c: Column, k: Column) -> Column:
+            first = F.coalesce(F.get(times, k - 1)["end"], F.lit(-1)) + 1
+            said = F.filter(F.transform(F.slice(rows, first + 1, c["end"] - first), lambda r: r["text"]), lambda t: t != "")
+            return F.struct(c["ts"].alias("ts"), trim_space(F.array_join(said, " ")).alias("text"))
+
+        return F.filter(F.transform(times, cue), lambda c: c["text"] != "")
+
+    return let(F.transform(lines(x), read), lambda rows: let(edges(rows), lambda found: let(timed(rows, found), lambda times: cues(rows, times))))
 
 
 def srt_cues(x: Column) -> Column:
@@ -154,26 +163,32 @@ def transcript_markdown(title: Column, seconds: Column, description: Column, cue
 
 
 def search_results(html: Column, most: int) -> Column:
-    """Array of (title, url) of a result page: each result's title, and the nearest link target before its mark."""
+    """Array of (title, url) of a result page: each result's title, and the nearest link target before its mark; a result without one is left out."""
     mark = 'class="result__a"'
-    pieces = F.split(html, mark, -1)
-
-    def result(after: Column, i: Column) -> Column:
-        # The nearest link is nearly always between this mark and the one before.
-        near_piece = F.get(pieces, i)
-        before = F.when(F.contains(near_piece, F.lit('href="')), near_piece).otherwise(F.array_join(F.slice(pieces, F.lit(1), i + 1), mark))
-        inner = F.regexp_extract(after, r"(?s)^[^>]*>([^<]*)", 1)
-        plain = inner
-        for old, new in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"')):
-            plain = F.replace(plain, F.lit(old), F.lit(new))
-        target = F.regexp_extract(F.concat(before, F.lit(mark), after), r'(?s)^.*href="([^"]*)"', 1)
-        near = F.regexp_extract(before, r'(?s)^.*href="([^"]*)"', 1)
-        # A link whose closing quote lies behind the mark still counts.
-        cut = F.contains(F.regexp_extract(before, r'(?s)^.*href="(.*)$', 1), F.lit('"'))
-        href = F.when(cut, near).otherwise(target)
-        return F.struct(trim_space(plain).alias("title"), urls.clean_result_url(href).alias("url"))
-
-    found = F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), result)
+
+    def nearest(pieces: Column) -> Column:
+        """For each piece the last one up to it that has a link, or -1: each such place, repeated until the next."""
+        places = F.filter(F.transform(pieces, lambda p, i: F.when(F.contains(p, F.lit('href="')), i).otherwise(-1)), lambda i: i >= 0)
+
+        def repeated(at: Column) -> Column:
+            runs = F.flatten(F.transform(at, lambda i, k: F.array_repeat(i, F.coalesce(F.get(at, k + 1), F.size(pieces)) - i)))
+            return F.concat(F.array_repeat(F.lit(-1), F.coalesce(F.get(at, F.lit(0)), F.size(pieces))), runs)
+
+        return let(places, repeated)
+
+    def results(pieces: Column, linked: Column) -> Column:
+        def result(after: Column, i: Column) -> Column:
+            plain = F.regexp_extract(after, r"(?s)^[^>]*>([^<]*)", 1)
+            for old, new in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"')):
+                plain = F.replace(plain, F.lit(old), F.lit(new))
+            # A link that isn't closed before the mark ends at the mark's own quote.
+            source = F.concat(F.get(pieces, F.get(linked, i)), F.lit(mark))
+            href = F.coalesce(F.regexp_extract(source, r'(?s)^.*href="([^"]*)"', 1), F.lit(""))
+            return F.struct(trim_space(plain).alias("title"), urls.clean_result_url(href).alias("url"))
+
+        return F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), result)
+
+    found = let(F.split(html, mark, -1), lambda pieces: let(nearest(pieces), lambda linked: results(pieces, linked)))
     return F.slice(F.filter(found, lambda r: F.startswith(r["url"], F.lit("http"))), 1, most)
 
 

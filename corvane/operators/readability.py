@@ -168,6 +168,13 @@ class Writer:
             self.out.append((self.depth, min(self.low, self.depth), text))
             self.low = self.depth
 
+    def emit_rows(self) -> None:
+        rows = [r for r in self.rows if r]
+        self.rows = []
+        if rows:
+            shown = [f"| {' | '.join(r)} |" for r in rows]
+            self.emit("\n".join([shown[0], f"| {' | '.join('---' for _ in rows[0])} |", *shown[1:]]))
+
     def collect(self, one_line: bool = False) -> str:
         """The text since the last block, with its styles."""
         parts, k = [], 0
@@ -252,12 +259,8 @@ class Writer:
                 self.run.append(((), " "))
         elif i == self.table:
             self.table = -1
-            loose, rows = self.collect(), [r for r in self.rows if r]
-            self.emit(loose)
-            if rows:
-                shown = [f"| {' | '.join(r)} |" for r in rows]
-                self.emit("\n".join([shown[0], f"| {' | '.join('---' for _ in rows[0])} |", *shown[1:]]))
-            self.rows = []
+            self.emit(self.collect())
+            self.emit_rows()
         elif tag in BLOCKS and self.table < 0:
             self.emit(self.collect())
             if self.lists and self.lists[-1][0] == i:
@@ -286,6 +289,7 @@ class Writer:
             while inside:
                 self.leave(inside.pop())
             self.emit(self.collect())
+            self.emit_rows()
         parts: list[str] = []
         for depth, low, text in self.out:
             if parts:

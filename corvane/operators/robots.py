@@ -5,44 +5,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.functions.text import lines, trim_space
+from corvane.functions.text import let, lines, trim_space
 
 TTL_SECONDS = 3600
 
 
-def parse_rules(robots: Column, agent: str) -> Column:
-    """(allow, disallow) of the group that applies to an agent.
+def rule_lines(robots: Column, agent: str) -> Column:
+    """Array of (allow, rule) of the group that applies to an agent, in order.
 
     The agent's own group beats the one for all; a later group of the same name
     replaces an earlier one; of stacked User-agent lines only the last has rules.
+    A group is found by the places of the User-agent lines; no array grows line by line.
     """
-    kind = "array<struct<agent:string,allow:array<string>,disallow:array<string>>>"
-    none = F.array().cast("array<string>")
-    start = F.struct(F.array().cast(kind).alias("done"), F.lit("").alias("agent"), none.alias("allow"), none.alias("disallow"))
-
-    def closed(s: Column) -> Column:
-        group = F.struct(s["agent"].alias("agent"), s["allow"].alias("allow"), s["disallow"].alias("disallow"))
-        return F.when(s["agent"] == "", s["done"]).otherwise(F.array_append(s["done"], group))
-
-    def step(s: Column, raw: Column) -> Column:
-        line = trim_space(raw)
-        value = trim_space(F.regexp_replace(line, "^[^:]*:", ""))
-        named = F.startswith(line, F.lit("User-agent:"))
-        inside = s["agent"] != ""
-        denies, allows = inside & F.startswith(line, F.lit("Disallow:")), inside & F.startswith(line, F.lit("Allow:"))
-        opened = F.struct(closed(s).alias("done"), F.lower(value).alias("agent"), none.alias("allow"), none.alias("disallow"))
-        grown = F.struct(
-            s["done"].alias("done"),
-            s["agent"].alias("agent"),
-            F.when(allows, F.array_append(s["allow"], value)).otherwise(s["allow"]).alias("allow"),
-            F.when(denies, F.array_append(s["disallow"], value)).otherwise(s["disallow"]).alias("disallow"),
-        )
-        return F.when(named, opened).otherwise(grown)
-
-    groups = F.aggregate(lines(robots), start, step, closed)
-    last = lambda name: F.try_element_at(F.filter(groups, lambda g: g["agent"] == name), F.lit(-1))
-    empty = F.struct(F.lit("").alias("agent"), none.alias("allow"), none.alias("disallow"))
-    return F.coalesce(last(agent.lower()), last("*"), empty)
+
+    def read(raw: Column) -> Column:
+        def of(line: Column) -> Column:
+            kind = F.when(F.startswith(line, F.lit("User-agent:")), "agent").when(F.startswith(line, F.lit("Disallow:")), "deny").when(F.startswith(line, F.lit("Allow:")), "allow")
+            return F.struct(kind.alias("kind"), trim_space(F.regexp_replace(line, "^[^:]*:", "")).alias("value"))
+
+        return let(trim_space(raw), of)
+
+    def group(rows: Column) -> Column:
+        def last(name: str) -> Column:
+            return F.array_max(F.transform(rows, lambda r, i: F.when((r["kind"] == "agent") & (F.lower(r["value"]) == name), i)))
+
+        def inside(first: Column) -> Column:
+            following = F.array_min(F.transform(rows, lambda r, i: F.when((r["kind"] == "agent") & (i > first), i)))
+            return F.slice(rows, first + 2, F.coalesce(following, F.size(rows)) - first - 1)
+
+        return let(F.coalesce(last(agent.lower()), last("*")), lambda first: F.when(first.isNotNull(), inside(first)))
+
+    found = let(F.transform(lines(F.coalesce(robots, F.lit(""))), read), group)
+    rules = F.transform(F.filter(found, lambda r: r["kind"].isin("allow", "deny")), lambda r: F.struct((r["kind"] == "allow").alias("allow"), r["value"].alias("rule")))
+    return F.coalesce(rules, F.array().cast("array<struct<allow:boolean,rule:string>>"))
+
+
+def parse_rules(robots: Column, agent: str) -> Column:
+    """(allow, disallow): the rules of the group that applies to an agent."""
+
+    def of(found: Column) -> Column:
+        pick = lambda allow: F.transform(F.filter(found, lambda r: r["allow"] == F.lit(allow)), lambda r: r["rule"])
+        return F.struct(pick(True).alias("allow"), pick(False).alias("disallow"))
+
+    return let(rule_lines(robots, agent), of)
 
 
 def path_matches(path: Column, rule: Column) -> Column:
@@ -59,9 +64,27 @@ def is_allowed(path: Column, rules: Column) -> Column:
 
 
 def decide(pages: DataFrame, robots: DataFrame, agent: str, domain: str = "domain", path: str = "path") -> DataFrame:
-    """pages with ``allowed``; a domain without a robots file allows all.  Rules are parsed once a domain, before the join."""
-    rules = robots.select(domain, parse_rules(F.col("robots_text"), agent).alias("_rules"))
-    return pages.join(rules, domain, "left").withColumn("allowed", F.coalesce(is_allowed(F.col(path), F.col("_rules")), F.lit(True))).drop("_rules")
+    """pages with ``allowed``; a domain without a robots file, and a null path, allow all.
+
+    A path is looked up, not compared: rules are rows, and a (domain, path) asks for its
+    beginnings of the lengths that the domain's rules have, in one equi-join, so its cost
+    is the number of lengths and not of rules.  Only rules with stars are tried one by one.
+    Two robots files of a domain count as one set of rules.
+    """
+    rules = robots.select(F.col(domain).alias("_d"), F.explode(rule_lines(F.col("robots_text"), agent)).alias("r")).where("r.rule <> ''").select("_d", "r.*").distinct()
+    starred = F.contains("rule", F.lit("*"))
+    lists = rules.groupBy("_d").agg(F.collect_set(F.when(~starred, F.length("rule"))).alias("_lengths"), F.collect_list(F.when(starred, F.struct("allow", "rule"))).alias("_stars"))
+    plain = rules.where(~starred).groupBy("_d", F.col("rule").alias("_rule")).agg(*[F.max(F.when(F.col("allow") == F.lit(a), F.octet_length("rule"))).alias(n) for n, a in (("_plain_allow", True), ("_plain_deny", False))])
+    asked = pages.select(F.col(domain).alias("_d"), F.col(path).alias("_p")).where("_d is not null and _p is not null").distinct().join(lists, "_d")
+    star = lambda allow: F.array_max(F.transform(F.filter("_stars", lambda r: (r["allow"] == F.lit(allow)) & path_matches(F.col("_p"), r["rule"])), lambda r: F.octet_length(r["rule"])))
+    beginnings = F.transform(F.filter("_lengths", lambda n: n <= F.length("_p")), lambda n: F.left(F.col("_p"), n))
+    tried = asked.select("_d", "_p", star(True).alias("_star_allow"), star(False).alias("_star_deny"), F.explode_outer(beginnings).alias("_rule"))
+    longest = lambda kind: F.coalesce(F.greatest(F.max(f"_star_{kind}"), F.max(f"_plain_{kind}")), F.lit(0))
+    found = tried.join(plain, ["_d", "_rule"], "left").groupBy("_d", "_p").agg(longest("allow").alias("_a"), longest("deny").alias("_n"))
+    allowed = F.when((F.col("_a") >= F.col("_n")) & (F.col("_a") > 0), True).otherwise(F.col("_n") == 0)
+    verdicts = found.select("_d", "_p", allowed.alias("allowed"))
+    joined = pages.join(verdicts, (pages[domain] == verdicts["_d"]) & (pages[path] == verdicts["_p"]), "left")
+    return joined.withColumn("allowed", F.coalesce("allowed", F.lit(True))).drop("_d", "_p")
 
 
 def fresh(robots: DataFrame, now: Column) -> DataFrame:

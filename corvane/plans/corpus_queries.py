@@ -294,19 +294,48 @@ def robots_fresh(spark, sf_dir):
 _ROBOTS = ("User-agent: *\nDisallow: /w\nAllow: /wh\n\nUser-agent: other\nDisallow: /\n", "User-agent: Engine\nDisallow: /*s*e\nUser-agent: *\nDisallow: /\n", "User-agent: engine\nUser-agent: x\nDisallow: /\n", "# none\nDisallow: /\n", "User-agent: *\nDisallow: \nDisallow: /f\nAllow: /f\n")
 
 
-@catalog.add(r"""
-WITH p AS (
-  SELECT o_orderkey, o_orderkey % 6 AS k, '/' || CASE WHEN o_orderkey % 5 = 0 THEN 'dir/' ELSE '' END || ['what','we','fe','sane'][(o_orderkey % 4 + 1)::INT] || CASE WHEN o_orderkey % 3 = 0 THEN (o_orderkey % 97)::VARCHAR ELSE '' END AS q FROM orders
+_ROBOT_WORDS = ("what", "we", "fe", "sane")
+# Robots files of twelve domains: one rule a part, thousands a domain at larger scales, beside the short files above.
+_ROBOT_FILES = f"""
+SELECT 'd' || (p_partkey % 12)::VARCHAR AS domain, CASE p_partkey % 12 WHEN 0 THEN 'User-agent: *' WHEN 1 THEN 'User-agent: engine' ELSE 'User-agent: Engine' END || chr(10) ||
+  string_agg(CASE WHEN p_partkey % 5 < 2 THEN 'Allow: ' ELSE 'Disallow: ' END || CASE WHEN p_partkey % 40 < 12 THEN '/*' ELSE '' END || '/' || {list(_ROBOT_WORDS)}[(p_partkey % 4 + 1)::INT] || '/' || (p_partkey * 7 % 389)::VARCHAR
+    || CASE WHEN p_partkey % 3 = 0 THEN left(replace(p_name, ' ', '/'), 4) ELSE '' END, chr(10) ORDER BY p_partkey)
+  || CASE WHEN p_partkey % 12 = 2 THEN chr(10) || 'User-agent: *' || chr(10) || 'Disallow: /' ELSE '' END AS txt
+FROM part GROUP BY p_partkey % 12
+"""
+
+
+@catalog.add(f"""
+WITH files AS ({_ROBOT_FILES} UNION ALL SELECT 'e' || i::VARCHAR, {[t.replace(chr(10), "|") for t in _ROBOTS]}[i + 1] FROM range({len(_ROBOTS)}) AS r(i)),
+split AS (SELECT domain, string_split(replace(txt, '|', chr(10)), chr(10)) AS ls FROM files),
+line AS (SELECT domain, i, {sql_trim('ls[i]')} AS l FROM split, unnest(range(1, len(ls) + 1)) AS u(i)),
+kinds AS (SELECT domain, i, CASE WHEN starts_with(l, 'User-agent:') THEN 'agent' WHEN starts_with(l, 'Disallow:') THEN 'deny' WHEN starts_with(l, 'Allow:') THEN 'allow' END AS kind, {sql_trim("regexp_replace(l, '^[^:]*:', '')")} AS rule FROM line),
+grouped AS (SELECT *, max(CASE WHEN kind = 'agent' THEN i END) OVER (PARTITION BY domain ORDER BY i) AS g FROM kinds),
+chosen AS (SELECT domain, coalesce(max(i) FILTER (lower(rule) = 'engine'), max(i) FILTER (rule = '*')) AS g FROM kinds WHERE kind = 'agent' GROUP BY domain),
+rules AS (SELECT domain, kind, rule FROM grouped JOIN chosen USING (domain, g) WHERE kind IN ('allow', 'deny') AND rule <> ''),
+p AS (
+  SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'e' || (o_orderkey % 6)::VARCHAR ELSE 'd' || (o_custkey % 13)::VARCHAR END AS domain,
+    CASE WHEN o_orderkey % 5 = 0 THEN '/dir' ELSE '' END || '/' || {list(_ROBOT_WORDS)}[(o_orderkey % 4 + 1)::INT] || CASE WHEN o_orderkey % 3 = 0 THEN (o_orderkey % 97)::VARCHAR ELSE '/' || (o_custkey * 11 % 389)::VARCHAR || lower(left(o_orderpriority, 3)) END AS path FROM orders
+),
+found AS (
+  SELECT o_orderkey, coalesce(max(strlen(rule)) FILTER (kind = 'allow'), 0) AS a, coalesce(max(strlen(rule)) FILTER (kind = 'deny'), 0) AS n FROM p JOIN rules USING (domain)
+  WHERE CASE WHEN contains(rule, '*') THEN regexp_matches(path, '(?s)' || array_to_string(list_transform(string_split(rule, '*'), lambda x: regexp_escape(x)), '.*')) ELSE starts_with(path, rule) END GROUP BY o_orderkey
 )
-SELECT o_orderkey, q AS path, CASE k WHEN 0 THEN starts_with(q, '/wh') OR NOT starts_with(q, '/w') WHEN 1 THEN NOT regexp_matches(q, '/.*s.*e') WHEN
-  4 THEN true ELSE true END AS allowed FROM p
+SELECT p.o_orderkey, p.domain, path, coalesce((a >= n AND a > 0) OR n = 0, true) AS allowed FROM p LEFT JOIN found USING (o_orderkey)
 """)
 def robots_allowed(spark, sf_dir):
-    k = F.col("o_orderkey")
-    word = F.get(F.array(*map(F.lit, ("what", "we", "fe", "sane"))), (k % 4).cast("int"))
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("d"), (k % 6).cast("string")).alias("domain"), F.concat(F.when(k % 5 == 0, "/dir/").otherwise("/"), word, F.when(k % 3 == 0, (k % 97).cast("string")).otherwise("")).alias("path"))
-    files = spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(_ROBOTS)], "domain string, robots_text string")
-    return robots.decide(rows, files, "Engine").select("o_orderkey", "path", "allowed")
+    k, c, part = F.col("o_orderkey"), F.col("o_custkey"), F.col("p_partkey")
+    word = lambda n: F.get(F.array(*map(F.lit, _ROBOT_WORDS)), (n % 4).cast("int"))
+    tail = F.when(k % 3 == 0, (k % 97).cast("string")).otherwise(F.concat(F.lit("/"), (c * 11 % 389).cast("string"), F.lower(F.left("o_orderpriority", F.lit(3)))))
+    domain = F.when(k % 3 == 0, F.concat(F.lit("e"), (k % 6).cast("string"))).otherwise(F.concat(F.lit("d"), (c % 13).cast("string")))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", domain.alias("domain"), F.concat(F.when(k % 5 == 0, "/dir").otherwise(""), F.lit("/"), word(k), tail).alias("path"))
+    rule = F.concat(F.when(part % 5 < 2, "Allow: ").otherwise("Disallow: "), F.when(part % 40 < 12, "/*").otherwise(""), F.lit("/"), word(part), F.lit("/"), (part * 7 % 389).cast("string"), F.when(part % 3 == 0, F.left(F.replace("p_name", F.lit(" "), F.lit("/")), F.lit(4))).otherwise(""))
+    ruled = table(spark, sf_dir, "part").select((part % 12).alias("d"), part.alias("k"), rule.alias("rule")).groupBy("d").agg(F.array_sort(F.collect_list(F.struct("k", "rule"))).alias("r"))
+    head = F.when(F.col("d") == 0, "User-agent: *\n").when(F.col("d") == 1, "User-agent: engine\n").otherwise("User-agent: Engine\n")
+    text = F.concat(head, F.array_join("r.rule", "\n"), F.when(F.col("d") == 2, "\nUser-agent: *\nDisallow: /").otherwise(""))
+    files = ruled.select(F.concat(F.lit("d"), F.col("d").cast("string")).alias("domain"), text.alias("robots_text"))
+    short = spark.createDataFrame([(f"e{i}", t) for i, t in enumerate(_ROBOTS)], "domain string, robots_text string")
+    return robots.decide(rows, files.unionByName(short), "Engine").select("o_orderkey", "domain", "path", "allowed")
 
 
 _STRICT = "replace(replace(url_encode(url), '%7E', '~'), '*', '%2A')"

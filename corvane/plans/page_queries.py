@@ -392,12 +392,13 @@ def fetch_diagnostics(spark, sf_dir):
 SELECT page_id, '📎 Evidence: sha256:' || left(sha256(t), 16) || '… | fetched ' || strftime(TIMESTAMP '1970-01-01' + to_seconds(page_id * 86399 * 1009), '%Y-%m-%dT%H:%M:%SZ') || ' | confidence: '
   || CASE WHEN strlen(t) > 500 THEN 'high' WHEN strlen(t) > 100 THEN 'medium' ELSE 'low' END || ' | ' || (page_id % 3)::VARCHAR || ' citations' AS line, sha256(t) AS content_hash
 FROM (
-  SELECT page_id, left(coalesce({_TEXT}, ''), (page_id % 9 * 90)::BIGINT) || repeat(' [a](https://a.example)', (page_id % 3 > 0)::INT) || repeat(' [[b]](http://b.example)', (page_id % 3 > 1)::INT) AS t FROM pages
+  SELECT page_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN repeat(coalesce({_TITLE}, ''), 4) ELSE coalesce({_TEXT}, '') END || repeat(' [a](https://a.example)', (page_id % 3 > 0)::INT) || repeat(' [[b]](http://b.example)', (page_id % 3 > 1)::INT) AS t FROM pages
 )
 """)
 def evidence_lines(spark, sf_dir):
     k = F.col("page_id")
-    text = F.left(F.coalesce(html.text_mode(F.col("html")), F.lit("")), (k % 9 * 90).cast("int"))
+    # Whole texts, and titles and addresses for shorter ones.
+    text = F.when(k % 4 == 0, F.col("url")).when(k % 4 == 1, F.repeat(F.coalesce(html.title(F.col("html")), F.lit("")), F.lit(4))).otherwise(F.coalesce(html.text_mode(F.col("html")), F.lit("")))
     links = F.concat(F.when(k % 3 > 0, " [a](https://a.example)").otherwise(""), F.when(k % 3 > 1, " [[b]](http://b.example)").otherwise(""))
     t = pages(spark, sf_dir).select("page_id", "url", F.concat(text, links).alias("t"))
     e = evidence.bundle(F.col("t"), F.col("url"), F.lit("HttpSimple"), evidence.iso(k * 86399 * 1009), F.lit(False))

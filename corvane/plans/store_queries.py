@@ -212,9 +212,20 @@ def fallback_replay(spark, sf_dir):
     return routes.replay(part.select("url", F.get(names, (u % 3).cast("int")).alias("strategy")), o)
 
 
-@catalog.add("WITH s(domain, strategy) AS (VALUES " + ", ".join(f"('{d}', '{s}')" for d, s in seeds.seed_rows()) + ") SELECT domain, strategy, 500::BIGINT AS avg_latency_ms, 1.0::DOUBLE AS success_rate, 1 AS total_requests FROM s")
+_SEEDED_DOMAIN = f"CASE WHEN event_id % 40 < 20 THEN domain ELSE {[d for d, _ in seeds.seed_rows()]}[(event_id % 40 + 1)::INT] END"
+
+
+@catalog.add(
+    _LOG + "s(domain, strategy) AS (VALUES " + ", ".join(f"('{d}', '{s}')" for d, s in seeds.seed_rows()) + f"""), known AS (
+  SELECT {_SEEDED_DOMAIN} AS domain, strategy, count(*)::INT AS total_requests, avg(success::INT::DOUBLE) AS success_rate, max(ts) AS last_check_at FROM log GROUP BY 1, 2
+)
+SELECT * FROM known UNION ALL SELECT domain, strategy, 1, 1.0::DOUBLE, TIMESTAMP '1970-01-01' FROM s WHERE domain NOT IN (SELECT domain FROM known)"""
+)
 def route_seeds(spark, sf_dir):
-    return seeds.import_seeds(_stats(spark, sf_dir).limit(0)).select("domain", "strategy", "avg_latency_ms", "success_rate", "total_requests")
+    """Seeds for their domains that the log has no route of."""
+    k, names = F.col("event_id") % 40, F.array(*[F.lit(d) for d, _ in seeds.seed_rows()])
+    log = fetch_log(spark, sf_dir).withColumn("domain", F.when(k < 20, F.col("domain")).otherwise(F.get(names, k.cast("int"))))
+    return seeds.seed_missing(routes.route_stats_mean(log)).select("domain", "strategy", "total_requests", "success_rate", "last_check_at")
 
 
 @catalog.add(_LOG + _STATS + """, e AS (SELECT * FROM stats WHERE strategy IN ('Headless', 'YouTube'))
@@ -284,9 +295,11 @@ def cache_upsert_strict(spark, sf_dir):
     return cache.put(c, later, 3600, strict_parity=True).select("url", "strategy", "extraction_mode", "content_hash")
 
 
-@catalog.add(_CACHE + "SELECT count(*) FILTER (WHERE false) AS entry_count, 0::BIGINT AS total_size_bytes FROM cache")
+@catalog.add(_CACHE + "SELECT 'before' AS state, count(*) AS entry_count, coalesce(sum(original_size), 0)::BIGINT AS total_size_bytes FROM cache UNION ALL SELECT 'after', 0, 0")
 def cache_clear(spark, sf_dir):
-    return cache.stats(cache.clear(url_cache(spark, sf_dir)))
+    """What a cache holds before and after it is cleared."""
+    c = url_cache(spark, sf_dir)
+    return cache.stats(c).select(F.lit("before").alias("state"), "*").unionByName(cache.stats(cache.clear(c)).select(F.lit("after").alias("state"), "*"))
 
 
 @catalog.add(_CACHE + "SELECT url, content_hash, true AS smaller FROM cache WHERE original_size > 2000")

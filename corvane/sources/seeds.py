@@ -83,3 +83,9 @@ def seed_log(spark: SparkSession) -> DataFrame:
 def import_seeds(stats: DataFrame) -> DataFrame:
     """The seeds' statistics where there are none yet."""
     return routes.route_stats(seed_log(stats.sparkSession)) if stats.isEmpty() else stats
+
+
+def seed_missing(stats: DataFrame) -> DataFrame:
+    """stats, and the seeds' statistics for those of their domains that have no route yet."""
+    seeded = routes.route_stats(seed_log(stats.sparkSession)).join(stats.select("domain").distinct(), "domain", "left_anti")
+    return stats.unionByName(seeded.select(*stats.columns))
