@@ -1,6 +1,6 @@
-"""python -m corvane {list | run | routes | import-pack | status | clear | export | import | settings | doctor}
+"""python -m corvane {list | run | routes | import-pack | status | clear | export | import | seed | migrate | settings | doctor}
 
-A store is a folder of versioned tables (``corvane.sources.route_files``): ``routes`` and ``cache``.
+A store is a folder of versioned tables (``corvane.sources.store``): routes, cache, history and evidence.
 """
 
 from __future__ import annotations
@@ -16,9 +16,8 @@ from pyspark.sql import functions as F
 from corvane.operators import cache, routes
 from corvane.plans import catalog
 from corvane.session import build
-from corvane.sources import config, route_files, schemas
+from corvane.sources import config, route_files, seeds, store
 
-TABLES = {"routes": schemas.ROUTE_STATS, "cache": schemas.URL_CACHE}
 _FIRST = "1970-01-01"
 
 
@@ -34,6 +33,8 @@ def _parser() -> argparse.ArgumentParser:
         ("clear", ("store",), "empties the content cache; routes stay"),
         ("export", ("store", "out"), "routes as a JSON array"),
         ("import", ("store", "entries"), "merges the routes of a JSON array as outcomes"),
+        ("seed", ("store",), "seeds the routes of a store that has none"),
+        ("migrate", ("store",), "rewrites the tables of older schema versions"),
     ):
         command = sub.add_parser(name, help=text)
         for x in given:
@@ -45,11 +46,8 @@ def _parser() -> argparse.ArgumentParser:
 
 def open_store(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame], int]:
     """Tables of the newest version (empty ones where there is none), and its number."""
-    fs = spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{route_files.MANIFEST}")):
-        return {name: spark.createDataFrame([], schema) for name, schema in TABLES.items()}, 0
-    whole = spark.read.parquet(f"{folder}/{route_files.MANIFEST}").agg(F.max("version").alias("v")).first()["v"]
-    return {name: route_files.load_store(spark, folder, name) for name in TABLES}, whole
+    held = store.Store(spark, folder)
+    return {name: held.read(name) for name in store.TABLES}, held.version
 
 
 def status(spark: SparkSession, folder: str) -> str:
@@ -60,19 +58,27 @@ def status(spark: SparkSession, folder: str) -> str:
 
 
 def clear(spark: SparkSession, folder: str) -> None:
-    tables, version = open_store(spark, folder)
-    route_files.save_store({**tables, "cache": cache.clear(tables["cache"])}, folder, version + 1)
+    held = store.Store(spark, folder)
+    held.replace("cache", cache.clear(held.read("cache")))
 
 
 def import_routes(spark: SparkSession, folder: str, path: str) -> int:
     """Merges entries as one outcome each; their number."""
-    tables, version = open_store(spark, folder)
-    entries = route_files.read_entries(spark, path)
-    merged = routes.merge_outcomes(tables["routes"], route_files.as_outcomes(entries, F.lit(_FIRST).cast("timestamp")))
-    route_files.save_store({**tables, "routes": merged.select(*tables["routes"].columns)}, folder, version + 1)
+    held, entries = store.Store(spark, folder), route_files.read_entries(spark, path)
+    held.replace("routes", routes.merge_outcomes(held.read("routes"), route_files.as_outcomes(entries, F.lit(_FIRST).cast("timestamp"))))
     return entries.count()
 
 
+def seed(spark: SparkSession, folder: str) -> int:
+    """Seeds the routes of a store that has none; the number of routes it then has."""
+    held = store.Store(spark, folder)
+    known = held.read("routes")
+    if known.isEmpty():
+        stats = seeds.import_seeds(known)
+        held.replace("routes", stats.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in known.schema]))
+    return held.read("routes").count()
+
+
 def doctor(path: str | None) -> list[tuple[str, bool]]:
     """What the engine needs, and whether it is there."""
     out = [("java", shutil.which("java") is not None)]
@@ -118,6 +124,10 @@ def _with_session(args: argparse.Namespace) -> None:
     elif args.command == "clear":
         clear(spark, args.store)
         print("Cache cleared.")
+    elif args.command == "seed":
+        print(f"{seed(spark, args.store)} routes.")
+    elif args.command == "migrate":
+        print(f"{store.Store(spark, args.store).migrate()} tables rewritten.")
     elif args.command == "export":
         route_files.export_text(open_store(spark, args.store)[0]["routes"]).write.mode("overwrite").text(args.out)
     else:

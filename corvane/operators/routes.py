@@ -6,9 +6,14 @@ route_stats: domain, strategy, avg_latency_ms, success_rate, total_requests, las
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane import ship
+
 CAPACITY = 10_000
 #: Strategies in the order of falling back, and those that are probed.
 STRATEGIES = ("HttpSimple", "TlsChrome", "TlsMobile", "Headless", "PublicApi", "YouTube")
@@ -22,27 +27,86 @@ def fallback_rank(strategy: Column) -> Column:
     return F.nullif(F.array_position(F.array(*map(F.lit, STRATEGIES)), strategy), F.lit(0)) - 1
 
 
-def floor_mean(latencies: Column, start_mean: Column | None = None, start_n: Column | None = None) -> Column:
-    """Running mean that is floored at each step, so its value depends on the order."""
-    start = F.struct((start_mean if start_mean is not None else F.lit(0)).cast("long").alias("avg"), (start_n if start_n is not None else F.lit(0)).cast("long").alias("n"))
-    step = lambda s, x: F.struct(F.call_function("div", s["avg"] * s["n"] + x, s["n"] + 1).cast("long").alias("avg"), (s["n"] + 1).alias("n"))
-    return F.aggregate(latencies, start, step, lambda s: s["avg"])
+#: Latencies in a block that goes from the sort to the fold.
+BLOCK = 1 << 14
 
 
-def route_stats(log: DataFrame) -> DataFrame:
-    """Statistics as if each outcome had been merged in order of (ts, event_id).
+def ordered_means(log: DataFrame, start: DataFrame | None = None) -> DataFrame:
+    """domain, strategy, avg_latency_ms: the running mean that is floored at each step, in order of (ts, event_id).
 
-    The floored mean can't be split into partial sums, so a route's latencies are
-    folded in order as one array of (ts, id, latency); all else aggregates partially.
+    The value depends on the order, so it can't be split into partial sums; nor is a route
+    ever held as a whole.  The log is sorted across partitions, each sorted partition
+    passes on its routes' latencies in blocks of bounded size, and each route's state
+    (mean, count) is carried through its blocks in order.  ``start`` has the state of
+    known routes (KEY, avg_latency_ms, total_requests).  A null latency makes the mean null.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("ts", "event_id", "latency_ms")))
-    return log.groupBy(*KEY).agg(
-        floor_mean(F.transform(ordered, lambda x: x["latency_ms"])).alias("avg_latency_ms"),
+    ship(log.sparkSession)
+    names = [*KEY, "part", "nth", "mean", "n", "values"]
+    schema = "domain string, strategy string, part int, nth long, mean long, n long, values array<bigint>"
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, nth = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            keys = list(zip(*(batch.column(k).to_pylist() for k in KEY)))
+            cuts = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]]
+            cuts = [a + k for a, b in zip(cuts, [*cuts[1:], len(keys)]) for k in range(0, b - a, BLOCK)]
+            if cuts:
+                held, size = batch.column("latency_ms").cast(pa.int64()).to_pylist(), len(cuts)
+                columns = [*([keys[i][k] for i in cuts] for k in range(2)), [part] * size, list(range(nth, nth + size)), [None] * size, [None] * size, [held[a:b] for a, b in zip(cuts, [*cuts[1:], len(keys)])]]
+                kinds = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+                nth += size
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(rows):
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=[*KEY, "avg_latency_ms"])
+
+        key, mean, n = None, 0, 0
+        for batch in batches:
+            done = []
+            for domain, strategy, mean0, n0, values in zip(*(batch.column(c).to_pylist() for c in (*KEY, "mean", "n", "values"))):
+                if (domain, strategy) != key:
+                    if key is not None:
+                        done.append((*key, mean))
+                    key, mean, n = (domain, strategy), 0, 0
+                if n0 is not None:
+                    mean, n = mean0, n0
+                for x in values:
+                    # The quotient goes towards zero, as of whole numbers.
+                    if mean is not None:
+                        whole = None if x is None else mean * n + x
+                        mean = None if whole is None else whole // (n + 1) if whole >= 0 else -(-whole // (n + 1))
+                    n += 1
+            if done:
+                yield out(done)
+        if key is not None:
+            yield out([(*key, mean)])
+
+    parts = log.select(*KEY, "ts", "event_id", "latency_ms").orderBy(*KEY, "ts", "event_id", "latency_ms").select(*KEY, "latency_ms").mapInArrow(blocks, schema)
+    if start is not None:
+        known = start.select(*KEY, F.lit(-1).alias("part"), F.lit(0).cast("long").alias("nth"), F.col("avg_latency_ms").cast("long").alias("mean"), F.col("total_requests").cast("long").alias("n"), F.array().cast("array<bigint>").alias("values"))
+        parts = known.unionByName(parts)
+    return parts.repartition(*KEY).sortWithinPartitions(*KEY, "part", "nth").mapInArrow(fold, "domain string, strategy string, avg_latency_ms long")
+
+
+def _by_key(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    """A join on KEY where nulls are equal; the left side's keys stay, the right side's are where they are missing."""
+    other = right.withColumnsRenamed({k: f"_{k}" for k in KEY})
+    on = [left[k].eqNullSafe(other[f"_{k}"]) for k in KEY]
+    return left.join(other, on, how)
+
+
+def route_stats(log: DataFrame) -> DataFrame:
+    """Statistics as if each outcome had been merged in order of (ts, event_id); all but the mean aggregates partially."""
+    sums = log.groupBy(*KEY).agg(
         F.avg(F.col("success").cast("double")).alias("success_rate"),
         F.count(F.lit(1)).cast("int").alias("total_requests"),
         F.max(F.when(F.col("success"), F.col("ts"))).alias("last_success_at"),
         F.max("ts").alias("last_check_at"),
     )
+    return _by_key(sums, ordered_means(log), "left").select(*KEY, "avg_latency_ms", "success_rate", "total_requests", "last_success_at", "last_check_at")
 
 
 def route_stats_mean(log: DataFrame) -> DataFrame:
@@ -58,24 +122,21 @@ def route_stats_mean(log: DataFrame) -> DataFrame:
 
 def merge_outcomes(stats: DataFrame, log: DataFrame) -> DataFrame:
     """Known statistics carried on with new outcomes."""
-    ordered = F.array_sort(F.collect_list(F.struct("ts", "event_id", "latency_ms")))
     new = log.groupBy(*KEY).agg(
-        F.transform(ordered, lambda x: x["latency_ms"]).alias("_lat"),
         F.count(F.lit(1)).alias("_n"),
         F.sum(F.col("success").cast("long")).alias("_ok"),
         F.max(F.when(F.col("success"), F.col("ts"))).alias("_last"),
         F.max("ts").alias("_check"),
     )
     old_n, new_n = F.coalesce("total_requests", F.lit(0)), F.coalesce("_n", F.lit(0))
-    none = F.array().cast("array<bigint>")
-    return stats.join(new, KEY, "full").select(
-        *KEY,
-        floor_mean(F.coalesce("_lat", none), F.coalesce("avg_latency_ms", F.lit(0)), old_n).alias("avg_latency_ms"),
+    merged = _by_key(stats, new, "full").select(
+        *[F.coalesce(k, f"_{k}").alias(k) for k in KEY],
         ((F.coalesce("success_rate", F.lit(0.0)) * old_n + F.coalesce("_ok", F.lit(0))) / (old_n + new_n)).alias("success_rate"),
         (old_n + new_n).cast("int").alias("total_requests"),
         F.greatest("last_success_at", "_last").alias("last_success_at"),
         F.greatest("last_check_at", "_check").alias("last_check_at"),
     )
+    return _by_key(merged, ordered_means(log, stats), "left").select(*KEY, "avg_latency_ms", "success_rate", "total_requests", "last_success_at", "last_check_at")
 
 
 def recordable(log: DataFrame) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from corvane.functions import classify, urls
 from corvane.operators import cache, evidence, history, routes
 from corvane.plans.base import Catalog, sql_domain, sql_lines
 from corvane.plans.page_queries import sql_reason
-from corvane.sources import route_files, seeds
+from corvane.sources import route_files, seeds, store
 from corvane.sources.tables import FETCH_LOG_SQL, NOW, PAGE_HISTORY_SQL, URL_CACHE_SQL, fetch_log, now, page_history, table, url_cache
 
 catalog = Catalog()
@@ -302,6 +304,18 @@ def cache_clear(spark, sf_dir):
     return cache.stats(c).select(F.lit("before").alias("state"), "*").unionByName(cache.stats(cache.clear(c)).select(F.lit("after").alias("state"), "*"))
 
 
+@catalog.add(_CACHE + """
+SELECT url, CASE WHEN doc_id % 4 < 2 THEN 'HttpSimple' ELSE strategy END AS strategy, 'markdown' AS extraction_mode, content_hash, original_size, expires_at,
+  CASE WHEN doc_id % 4 > 0 THEN '"' || left(content_hash, 8) || '"' END AS etag FROM cache
+""")
+def store_migrations(spark, sf_dir):
+    """A cache whose rows were written in four schema versions, read as one."""
+    c, k = url_cache(spark, sf_dir), F.substring_index("url", "/", -1).cast("long") % store.CURRENT
+    parts = [store.upgrade(c.where(k == v - 1).select(*store.columns_of("cache", v)), "cache", v) for v in range(1, store.CURRENT + 1)]
+    whole = functools.reduce(lambda a, b: a.unionByName(b), parts)
+    return whole.select("url", "strategy", "extraction_mode", "content_hash", "original_size", "expires_at", "etag")
+
+
 @catalog.add(_CACHE + "SELECT url, content_hash, true AS smaller FROM cache WHERE original_size > 2000")
 def cache_gzip(spark, sf_dir):
     """Contents compressed and read back."""
