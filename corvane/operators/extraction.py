@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import html as H
-from corvane.functions import markdown
+from corvane.functions import markdown, tokens
 from corvane.functions.urls import title_from_url
 from corvane.operators import readability
 
@@ -14,6 +14,8 @@ from corvane.operators import readability
 BINARY_TYPES = ("application/pdf", "application/octet-stream", "image/", "video/", "audio/")
 MODES = ("markdown", "text", "html", "links", "metadata", "json-ld", "tables")
 SEPARATOR = "\n\n---\n\n"
+#: Items of a batch.
+MOST_IN_BATCH = 10
 
 
 def parse_mode(mode: Column) -> Column:
@@ -63,7 +65,21 @@ def extract(body: Column, url: Column, mode: str) -> Column:
     raise ValueError(f"no column expression for mode {mode}")
 
 
-def combine(items: DataFrame, group: str = "batch", position: str = "pos", text: str = "text") -> DataFrame:
-    """One text a group, its items in order of position."""
-    gathered = F.array_sort(F.collect_list(F.struct(position, text)))
-    return items.groupBy(group).agg(F.array_join(F.transform(gathered, lambda x: x[text]), SEPARATOR).alias("combined"))
+def item_text(text: Column, url: Column, warning: Column, error: Column, exhausted: Column, budget: Column, label: str = "corvane") -> Column:
+    """What a batch shows of one address: its text with a quality warning, within the budget; or its error."""
+    why = F.when(exhausted, F.concat(F.lit("all strategies exhausted: "), error)).otherwise(error)
+    warned = F.concat(F.coalesce(text, F.lit("")), F.coalesce(F.concat(F.lit(f"\n\n[{label}: "), warning, F.lit("]")), F.lit("")))
+    return F.when(error.isNotNull(), F.concat(F.lit("[fetch error for "), url, F.lit(": "), why, F.lit("]"))).otherwise(tokens.apply_budget(warned, budget))
+
+
+def combine(items: DataFrame, group: str = "batch", position: str = "pos", text: str = "text", most: int = MOST_IN_BATCH) -> DataFrame:
+    """One text a group, its items in order of position, and null with an error for a group of more than ``most`` items.
+
+    Of each group only the first items and one more leave their partitions, so a group
+    of any size is told apart from a whole one without being gathered.
+    """
+    order = Window.partitionBy(group).orderBy(position, text)
+    first = items.select(group, position, text).withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= most + 1)
+    gathered = F.array_sort(F.collect_list(F.struct("_k", F.coalesce(text, F.lit("")).alias("text"))))
+    joined = first.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), gathered.alias("_t"))
+    return joined.select(group, F.when(F.col("_n") <= most, F.array_join("_t.text", SEPARATOR)).alias("combined"), F.when(F.col("_n") > most, F.lit(f"Maximum {most} URLs per batch")).alias("error"))

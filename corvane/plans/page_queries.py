@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corvane.functions import classify, html, markdown, tokens, urls
 from corvane.functions.text import bytes_of, non_blank_lines
 from corvane.operators import evidence, extraction, readability
-from corvane.plans.base import WS, Catalog, sql_clean, sql_domain, sql_lines, sql_trim
+from corvane.plans.base import WS, Catalog, sql_clean, sql_domain, sql_lines, sql_prefix, sql_trim
 from corvane.sources.tables import pages, table
 
 catalog = Catalog()
@@ -405,13 +405,27 @@ def evidence_lines(spark, sf_dir):
     return t.select("page_id", e.alias("e")).select("page_id", evidence.evidence_line(F.col("e")).alias("line"), "e.content_hash")
 
 
+# Batches of up to nine pages, and one in eleven of more than ten, which is refused.
+_BATCH = "CASE WHEN page_id // 9 % 11 = 5 THEN page_id // 99 * 11 + 4 ELSE page_id // 9 END"
+
+
 @catalog.add(f"""
-SELECT page_id % 25 AS batch, string_agg(page_id::VARCHAR || ' ' || coalesce({_TITLE}, ''), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER
-  BY page_id) AS combined FROM pages GROUP BY page_id % 25
+WITH t AS (SELECT page_id, url, {_BATCH} AS batch, coalesce({_TEXT}, '') AS t, page_id % 6 * 40 AS b FROM pages),
+w AS (SELECT *, t || CASE WHEN {sql_reason('t')} IS NULL THEN '' ELSE chr(10) || chr(10) || '[corvane: ' || {sql_reason('t')} || ']' END AS x FROM t),
+i AS (SELECT batch, page_id, CASE WHEN page_id % 7 = 3 THEN '[fetch error for ' || url || ': ' || CASE WHEN page_id % 2 = 0 THEN 'all strategies exhausted: ' ELSE '' END || 'status ' || (400 + page_id % 5)::VARCHAR || ']'
+  WHEN b = 0 OR strlen(x) <= 4 * b THEN x ELSE {sql_prefix('x', '(4 * b)')} || chr(10) || chr(10) || '[... truncated to fit token budget]' END AS item FROM w)
+SELECT batch, CASE WHEN count(*) <= 10 THEN string_agg(item, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY page_id) END AS combined,
+  CASE WHEN count(*) > 10 THEN 'Maximum 10 URLs per batch' END AS error FROM i GROUP BY batch
 """)
 def batch_combine(spark, sf_dir):
-    p = pages(spark, sf_dir).select((F.col("page_id") % 25).alias("batch"), F.col("page_id").alias("pos"), F.concat(F.col("page_id").cast("string"), F.lit(" "), F.coalesce(html.title(F.col("html")), F.lit(""))).alias("text"))
-    return extraction.combine(p)
+    """Texts with warnings and budgets, errors of two kinds, and batches that are too large."""
+    k = F.col("page_id")
+    ninth = F.call_function("div", k, F.lit(9))
+    batch = F.when(ninth % 11 == 5, F.call_function("div", k, F.lit(99)) * 11 + 4).otherwise(ninth)
+    t = pages(spark, sf_dir).select("page_id", "url", batch.alias("batch"), F.coalesce(html.text_mode(F.col("html")), F.lit("")).alias("t"))
+    error = F.when(k % 7 == 3, F.concat(F.lit("status "), (400 + k % 5).cast("string")))
+    item = extraction.item_text(F.col("t"), F.col("url"), classify.quality_reason(F.col("t")), error, k % 2 == 0, (k % 6 * 40).cast("int"))
+    return extraction.combine(t.select("batch", k.alias("pos"), item.alias("text")))
 
 
 @catalog.add(f"""

@@ -122,3 +122,19 @@ def test_a_route_of_half_the_log_is_folded_in_order(spark, monkeypatch, adaptive
         spark.conf.set("spark.sql.adaptive.enabled", before)
     halves = {k: plain_mean([x for _, i, x in sorted(v) if i >= 2000], *((plain_mean([x for _, i, x in sorted(v) if i < 2000]), sum(i < 2000 for _, i, _ in v)))) for k, v in by_route.items()}
     assert {(r.domain, r.strategy): r.avg_latency_ms for r in merged} == halves
+
+
+# --- batches ---
+
+
+def test_batches_of_any_size(spark):
+    from corvane.operators import extraction
+
+    rows = [(1, k, f"t{k}" if k != 3 else None) for k in range(10)] + [(2, k, "x") for k in range(5000)] + [(None, 0, "alone"), (3, 1, "tie"), (3, 1, "again")]
+    found = {r.batch: (r.combined, r.error) for r in extraction.combine(spark.createDataFrame(rows, "batch int, pos int, text string").repartition(5)).collect()}
+    assert found[1] == ("\n\n---\n\n".join(f"t{k}" if k != 3 else "" for k in range(10)), None)
+    assert found[2] == (None, "Maximum 10 URLs per batch") and found[None] == ("alone", None) and found[3] == ("again\n\n---\n\ntie", None)
+    item = extraction.item_text(F.col("t"), F.lit("u"), F.col("w"), F.col("e"), F.col("x"), F.lit(3))
+    rows = [("text", None, None, False), ("long text here", "few", None, False), ("t", None, "no", True), (None, "w", "no", False), (None, None, None, None)]
+    shown = [r[0] for r in spark.createDataFrame(rows, "t string, w string, e string, x boolean").coalesce(1).select(item).collect()]
+    assert shown == ["text", "long text he\n\n[... truncated to fit token budget]", "[fetch error for u: all strategies exhausted: no]", "[fetch error for u: no]", ""]
