@@ -6,8 +6,11 @@ k + 1 pieces: an occurrence with at most k edits leaves one of them untouched
 (pigeonhole), so exact search for the pieces finds every candidate place.  There
 the regex library matches the notice with its bounded-error syntax and reports
 span and edits.  Three base phrases are searched exactly in the same strings, and
-as notices of few edits besides; a notice of another license that is as near as a
-misspelling (``UNLIKE``) is not reported as one.
+as notices of few edits besides.
+
+Edits may fall anywhere in a notice's frame.  The words that tell licenses apart
+(``IDENTITY``) may have one each and must not become another such word, and version
+numbers have none, so another license's notice isn't reported as a misspelling.
 
 Defined cases: null and empty texts have no words, no labels and score 0; a
 notice counts wherever it begins and ends at word borders; overlapping candidates
@@ -61,17 +64,9 @@ NOTICES = (
     ("spdx license identifier apache 2 0", "apache-2", 2),
     ("spdx license identifier bsd 3 clause", "bsd", 2),
 )
-#: Words that make a near place of a wording something else: a pattern over the place (and the word after it, for version numbers).
-UNLIKE = {
-    "under the mit license": regex.compile(r"\b(?:mpl|ms)\b"),
-    "apache license version 2": regex.compile(r"(?<! 2) 1\b"),
-    "cc by nc": regex.compile(r"\bn[do]$"),
-    "licensed under cc by nc": regex.compile(r"\b(?:nd|no|sa)$"),
-}
-
-
-#: Characters after a place in which its next word is looked for.
-AFTER = 17
+#: The words of the notices that tell licenses apart, and other words that are as near to them as a misspelling.
+IDENTITY = frozenset("mit apache bsd gnu lesser affero mozilla attribution noncommercial sharealike cc by nc boost eclipse spdx".split())
+OTHER_WORDS = frozenset("bsl mpl epl gpl lgpl agpl isc ms nist ncsa zlib nd sa na no ny be my bye commercial".split()) | IDENTITY
 
 
 class Notice:
@@ -79,13 +74,26 @@ class Notice:
 
     def __init__(self, wording: str, label: str, edits: int):
         self.wording, self.label, self.edits = wording, label, edits
-        self.unlike = UNLIKE.get(wording)
+        self.words = wording.split()
+        self.numbers = [w for w in self.words if w.isdigit()]
+        # Of each word that tells it apart: its place, and what it may look like: with one edit, or run together with a neighbour.
+        self.identity = [(i, w, regex.compile("|".join(f"(?:{x}){{e<=1}}" for x in {w, *("".join(self.words[k : k + 2]) for k in (i - 1, i) if k >= 0)}))) for i, w in enumerate(self.words) if w in IDENTITY]
         # k + 1 pieces of nearly equal length cover the wording.
         n = edits + 1
         cuts = [len(wording) * i // n for i in range(n + 1)]
         self.pieces = [(a, wording[a:b].encode()) for a, b in zip(cuts, cuts[1:], strict=False)]
         self.pattern = regex.compile(rf"(?e)(?<=^| )(?:{regex.escape(wording)}){{e<={edits}}}(?= |$)")
 
+    def means_it(self, place: list[str]) -> bool:
+        """Whether a near place is this notice misspelt: the same version, and each word that tells licenses apart with at most one edit and not another such word."""
+        if [w for w in place if w.isdigit()] != self.numbers:
+            return False
+        for i, word, near in self.identity:
+            seen = place[i : i + 1] if len(place) == len(self.words) else [*place, *map("".join, zip(place, place[1:]))]
+            if not any(x == word or (x not in OTHER_WORDS and near.fullmatch(x)) for x in seen):
+                return False
+        return True
+
     def candidates(self, words: bytes) -> list[tuple[int, int]]:
         """Joined ranges of bytes that hold every occurrence with at most the allowed edits."""
         size, ranges = len(self.wording.encode()), []
@@ -113,10 +121,8 @@ class Notice:
             part = words[a:end].decode()
             inner, first = None, borders.before(a)
             for m in self.pattern.finditer(part):
-                if self.unlike and any(m.fuzzy_counts):
-                    after = (part[m.end() : m.end() + AFTER] or words[end : end + AFTER].decode(errors="ignore")).split()[:1] if self.wording[-1].isdigit() else []
-                    if self.unlike.search(" ".join([part[m.start() : m.end()].strip(), *after])):
-                        continue
+                if any(m.fuzzy_counts) and not self.means_it(m.group().split()):
+                    continue
                 inner = inner or Borders(np.frombuffer(part.encode("utf-32-le"), "<u4"))
                 found.append((first + inner.before(m.start()), first + inner.before(m.start()) + m.group().strip().count(" ") + 1, sum(m.fuzzy_counts)))
         return found

@@ -878,3 +878,28 @@ def test_long_hash_equals_spark(spark):
     values = [0, 1, -1, 42, 2**62, -(2**63), 123456789]
     got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v long").selectExpr("xxhash64(v)").collect()]
     assert hash_longs(np.array(values, np.int64)).view(np.int64).tolist() == got
+
+
+OTHER_NOTICES = {
+    "apache license version 3": "", "mozilla public license version 1 1": "", "eclipse public license version 1": "", "spdx license identifier mpl 2 0": "", "spdx license identifier apache 1 1": "", "licensed under the bsl license": "",
+    "cc by na": "", "cc by nd": "", "licensed under cc by sa": "", "under the exit license": "", "under the edit license": "", "under the nist license": "", "under the mpl license": "", "under the ms license": "", "boost software license version 2 0": "",
+    "spdx license identifier bsd 2 clause": "", "gnu general public licence": "gpl", "Apache Licence, Version 2.0": "apache-2", "released under the MIT licence": "mit", "cc by-nx": "cc-by-nc", "licensd under the apche license version 2.0": "apache-2", "under themit license": "mit",
+}
+
+
+def test_notices_of_other_licenses_are_no_misspellings():
+    for text, label in OTHER_NOTICES.items():
+        assert ",".join(sorted({x[2] for x in licenses.scan_text(f"some words {text} and more".encode())["spans"]})) == label, text
+
+
+def test_notices_against_each_other():
+    """A notice has the labels of the notices that it holds as they are, and keeps its own with an edit at any place of its frame."""
+    rng = random.Random(12)
+    for wording, label, _ in licenses.NOTICES:
+        held = {x for w, x, _ in licenses.NOTICES if f" {w} " in f" {wording} "}
+        assert {x[2] for x in licenses.scan_text(f"before {wording} after".encode())["spans"]} == held, wording
+        frame = [i for i, c in enumerate(wording) if c.isalpha() and 0 < i < len(wording) - 1]
+        for i in rng.sample(frame, min(12, len(frame))):
+            for edit in ("", "q", wording[i] + "q"):
+                found = {x[2] for x in licenses.scan_text(f"before {wording[:i]}{edit}{wording[i + 1 :]} after".encode())["spans"]}
+                assert label in found, (wording, i, edit)
