@@ -158,14 +158,9 @@ def ranked(stats: DataFrame) -> DataFrame:
 
 
 def best(stats: DataFrame) -> DataFrame:
-    """domain, strategy and score of the best route: an aggregate, so it combines before the shuffle."""
-    place = F.struct("score", (-F.coalesce(fallback_name_order(F.col("strategy")), F.lit(99))).alias("o"))
-    return with_score(stats).groupBy("domain").agg(F.max_by(F.struct("strategy", "score"), place).alias("b")).select("domain", "b.strategy", "b.score")
-
-
-def fallback_name_order(strategy: Column) -> Column:
-    """Alphabetical place of a strategy's name."""
-    return F.nullif(F.array_position(F.array(*map(F.lit, sorted(STRATEGIES))), strategy), F.lit(0))
+    """domain, strategy and score of the best route, equal scores by name: an aggregate, so it combines before the shuffle."""
+    place = F.struct(F.col("score").isNull().alias("none"), (-F.col("score")).alias("score"), "strategy")
+    return with_score(stats).groupBy("domain").agg(F.min_by(F.struct("strategy", "score"), place).alias("b")).select("domain", "b.strategy", "b.score")
 
 
 def evict_stale(stats: DataFrame, min_requests: int, min_rate: float, days: int, now: Column) -> DataFrame:

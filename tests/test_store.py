@@ -138,3 +138,9 @@ def test_batches_of_any_size(spark):
     rows = [("text", None, None, False), ("long text here", "few", None, False), ("t", None, "no", True), (None, "w", "no", False), (None, None, None, None)]
     shown = [r[0] for r in spark.createDataFrame(rows, "t string, w string, e string, x boolean").coalesce(1).select(item).collect()]
     assert shown == ["text", "long text he\n\n[... truncated to fit token budget]", "[fetch error for u: all strategies exhausted: no]", "[fetch error for u: no]", ""]
+
+
+def test_best_routes_of_equal_scores_by_name(spark):
+    rows = [("d", n, 100, 0.5) for n in ("Zeta", "Own", "TlsChrome", "Another")] + [("e", "Own", None, None), ("e", "Headless", 900, 0.0)]
+    found = {r.domain: r.strategy for r in routes.best(spark.createDataFrame(rows, "domain string, strategy string, avg_latency_ms bigint, success_rate double").repartition(4)).collect()}
+    assert found == {"d": "Another", "e": "Headless"}
