@@ -17,6 +17,8 @@ Exactness and bounds:
 * Within a word's bucket rows are ordered by size and compared in arrays: length
   filter, positional filter, and a parity map of the words (128 bits, for large sets 256), whose
   differing bits never exceed the sets' symmetric difference.
+* A word with over ``full`` rows is dealt out to several buckets in the first round, by the rows'
+  hashes, so no cell grows with one word; its rows are compared by neighbourhoods there and count as open.
 * Rows out are linear (bounds in ``Limits``): of a row's earlier candidates in a bucket only the
   ``keep`` closest are verified at first.  In a bucket of over ``full`` rows each
   row meets its ``window`` neighbours only.  A class that had more candidates, or
@@ -70,6 +72,8 @@ class Limits:
     #: Buckets of more rows are compared by neighbourhoods first, each row with so many before it.
     full: int = 1 << 14
     window: int = 64
+    #: A task tells of words (by 16 bits of their hash) that have over one part in so many of its rows, so at most of so many.
+    share: int = 1 << 12
     #: Rows of a group of such a bucket, where that leaves classes open.
     group: int = 1 << 13
     #: Lines that a task folds before it deals them out.
@@ -397,7 +401,7 @@ def bucket_candidates(held: list[list[np.ndarray]], similarity: float, keep: int
 
     full: only rows whose role is 1 or 3 are taken as b, only those of role 2 or 3 as a,
     all of a bucket is compared, and by all words.  Else buckets of over limits.full rows are
-    compared by neighbourhoods, and named as heavy.
+    compared by neighbourhoods, and named as heavy; so are parts of a word's rows (role 1), which are all open and known as heavy before.
     """
     x = Bucket(held)
     low, high = x.reach(similarity)
@@ -409,10 +413,11 @@ def bucket_candidates(held: list[list[np.ndarray]], similarity: float, keep: int
     else:
         probe, high = rows, rows
         words, start, n = np.unique(x.word, return_index=True, return_counts=True)
-        heavy = np.flatnonzero(n > limits.full)
-        if len(heavy):
-            in_heavy = np.repeat(n > limits.full, n)
-            cut = in_heavy & (low < rows - limits.window)
+        part = x.role > 0
+        heavy = np.flatnonzero((n > limits.full) & ~part[start])
+        open_ |= part
+        if len(heavy) or part.any():
+            cut = (np.repeat(n > limits.full, n) | part) & (low < rows - limits.window)
             open_[cut] = True
             last = np.zeros(x.n + 1, np.int64)  # rows from low to cut are left out by a later row
             np.add.at(last, low[cut], 1)
@@ -484,9 +489,33 @@ def parity_maps(small: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def deal_by_word(classes: DataFrame, wanted=None, opened=None, heavy=None, limits: Limits = Limits()) -> DataFrame:
+def word_rows(classes: DataFrame, limits: Limits = Limits()) -> np.ndarray:
+    """Prefix rows of words by the first 16 bits of their hash, where these are over limits.full; else 0.
+
+    Each task counts all of its rows and tells at most limits.share counts, so a count
+    lacks at most one part in limits.share of all rows.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << HEAVY_BITS, np.int64)
+        for b in batches:
+            for block in b.column(1):
+                word = Classes(blocks.unpack(block.as_buffer().to_pybytes())).prefix
+                total += np.bincount((word[word != 0] >> np.uint64(64 - HEAVY_BITS)).astype(np.int64), minlength=len(total))
+        at = np.flatnonzero(total > total.sum() // limits.share)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["slot", "n"])
+
+    out = np.zeros(1 << HEAVY_BITS, np.int64)
+    # At most 2^HEAVY_BITS rows.
+    for row in classes.mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") > limits.full).collect():
+        out[row["slot"]] = row["n"]
+    return out
+
+
+def deal_by_word(classes: DataFrame, parts=None, wanted=None, opened=None, heavy=None, limits: Limits = Limits()) -> DataFrame:
     """Rows of the classes' prefix words, dealt out to cells by word.
 
+    parts: for each 16 bits of a word's hash, to how many buckets its rows go in the first round.
     wanted: a Bloom of words, opened: one of class ids; with them only rows of
     wanted words go, with all words as 16-bit hashes, and those of heavy words
     go to cells by pairs of groups.
@@ -502,12 +531,14 @@ def deal_by_word(classes: DataFrame, wanted=None, opened=None, heavy=None, limit
         owner, pos, word = owner[use], pos[use], own.prefix[use]
         high = word >> np.uint64(32)
         if wanted is None:
-            cell, role = word % n_cells, np.zeros(len(word), np.uint8)
+            groups = parts.value[high >> np.uint64(32 - HEAVY_BITS)].astype(np.uint64)
+            role = (groups > 1).astype(np.uint8)
+            grid = np.where(groups > 1, 1 + _mix(own.id[owner]) % groups, 0)
         else:
             is_open = opened.value.has(own.id.view(np.int64))[owner]
             groups = heavy.value[high >> np.uint64(32 - HEAVY_BITS)].astype(np.int64)
             single = np.flatnonzero(groups == 1)
-            parts = [(single, np.where(is_open[single], 3, 2), np.zeros(len(single), np.int64))]
+            dealt = [(single, np.where(is_open[single], 3, 2), np.zeros(len(single), np.int64))]
             many = np.flatnonzero(groups > 1)
             if len(many):
                 n = groups[many]
@@ -515,14 +546,14 @@ def deal_by_word(classes: DataFrame, wanted=None, opened=None, heavy=None, limit
                 n = np.repeat(n, n)
                 # The group doesn't follow the rows' order, so that cells are even.
                 mine = (_mix(own.id[owner[again]]) % n.astype(np.uint64)).astype(np.int64)
-                parts.append((again, np.where(is_open[again] & (mine == other), 3, 2), 1 + other * n + mine))
+                dealt.append((again, np.where(is_open[again] & (mine == other), 3, 2), 1 + other * n + mine))
                 probe = np.flatnonzero(is_open[again] & (mine != other))
-                parts.append((again[probe], np.ones(len(probe), np.int64), 1 + mine[probe] * n[probe] + other[probe]))
-            at, role, grid = (np.concatenate(y) for y in zip(*parts, strict=True))
+                dealt.append((again[probe], np.ones(len(probe), np.int64), 1 + mine[probe] * n[probe] + other[probe]))
+            at, role, grid = (np.concatenate(y) for y in zip(*dealt, strict=True))
             owner, pos, word, high, role = owner[at], pos[at], word[at], high[at], role.astype(np.uint8)
-            cell = (word + _spread(grid.astype(np.uint64)) * (grid > 0)) % n_cells
-            # Rows of one word in different cells of its grid may meet in one cell; the grid's place keeps them apart.
-            high = (high ^ _spread(grid.astype(np.uint64)) * (grid > 0)) & np.uint64(0xFFFFFFFF)
+        cell = (word + _spread(grid.astype(np.uint64)) * (grid > 0)) % n_cells
+        # Rows of one word in different cells of its grid may meet in one cell; the grid's place keeps them apart.
+        high = (high ^ _spread(grid.astype(np.uint64)) * (grid > 0)) & np.uint64(0xFFFFFFFF)
         map_a, map_b, map_c, map_d = parity_maps(own.small, own.size)
         rank_large = np.cumsum(own.size > LARGE) - 1
 
@@ -616,13 +647,15 @@ def kept_lines(docs: DataFrame, similarity: float = SIMILARITY, work: Workspace
     spark = docs.sparkSession
     work = work or Workspace(spark, "line-dedup")
     classes = line_classes(docs, spark.sparkContext.broadcast(word_counters(docs)), similarity, work, limits)
-    found = blocks.by_cell(deal_by_word(classes, limits=limits), lambda held: bucket_candidates(held, similarity, limits.keep, False, limits), PAIR_SCHEMA)
+    counted = word_rows(classes, limits)
+    parts = spark.sparkContext.broadcast(np.maximum(1, -(-counted // limits.full)).astype(np.uint32))
+    found = blocks.by_cell(deal_by_word(classes, parts, limits=limits), lambda held: bucket_candidates(held, similarity, limits.keep, False, limits), PAIR_SCHEMA)
     pairs = work.write(distinct_pairs(found), "pairs", "lz4")
     gone = work.write(verified(pairs.where("a_id is not null"), docs, similarity), "gone", "lz4")
-    groups = np.ones(1 << HEAVY_BITS, np.uint32)
+    groups = np.maximum(1, -(-counted // limits.group)).astype(np.uint32)
     # At most 2^HEAVY_BITS rows.
     for row in pairs.where("heavy is not null").groupBy("heavy").agg(F.max("rows").alias("rows")).collect():
-        groups[row["heavy"]] = -(-row["rows"] // limits.group)
+        groups[row["heavy"]] = max(groups[row["heavy"]], -(-row["rows"] // limits.group))
     heavy = spark.sparkContext.broadcast(groups)
     for turn, keep in enumerate((limits.keep, None)):
         marked = pairs.where("more").select(*B).distinct()
@@ -637,7 +670,7 @@ def kept_lines(docs: DataFrame, similarity: float = SIMILARITY, work: Workspace
 
         words = from_classes(classes, prefix_of_open, "word long")
         wanted = spark.sparkContext.broadcast(Bloom(words.distinct(), "word"))
-        dealt = deal_by_word(classes, wanted, opened, heavy, limits)
+        dealt = deal_by_word(classes, None, wanted, opened, heavy, limits)
         found = blocks.by_cell(dealt, lambda held, keep=keep: bucket_candidates(held, similarity, keep, True, limits), PAIR_SCHEMA)
         pairs = work.write(distinct_pairs(found), f"pairs-{turn}", "lz4")
         more = verified(pairs.where("a_id is not null"), docs, similarity)

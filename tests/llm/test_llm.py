@@ -836,6 +836,47 @@ def test_line_dedup_of_large_sets(spark, limits):
     assert got == {i: len(gone.get((i, t), ())) for i, t in given} and 5 < sum(got.values()) < 40
 
 
+@pytest.mark.parametrize("limits", (*LIMITS, line_dedup.Limits(keep=1, full=40, window=4, group=30, share=64)))
+def test_line_dedup_of_few_words_in_all_lines(spark, limits):
+    """All sets of ten words, each with the word that is in every line: one prefix word has half of the rows."""
+    words = [f"w{k}" for k in range(10)]
+    texts = ["every " + " ".join(w for k, w in enumerate(words) if n >> k & 1) for n in range(1 << 10)]
+    random.Random(23).shuffle(texts)
+    given = list(enumerate(texts))
+    df = spark.createDataFrame(given, "doc_id long, text string").repartition(5)
+    gone = plain_removed(given)
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(df, counts=True, limits=limits).collect()}
+    assert got == {i: len(gone.get((i, t), ())) for i, t in given} and sum(got.values()) > 100
+
+
+def test_line_dedup_deals_out_rows_of_one_word(spark):
+    """Lines of a word that all share: its rows are in parts of about ``full`` rows, so no cell has them all."""
+    limits = line_dedup.Limits(full=100)
+    lines = [f"hot cold{k} cold{k}b" for k in range(40)] + ["hot " + " ".join(f"v{k % m}" for m in (7, 11, 13, 17)) for k in range(4000)]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(4)
+    one = "hot " + " ".join(f"u{k}" for k in range(3))
+    df = df.union(spark.createDataFrame([(5000 + k, one) for k in range(300)], "doc_id long, text string"))
+    work = common.Workspace(spark, "dealt")
+    # Without counts of words their order is that of hashes, so frequent words are in prefixes.
+    flat = spark.sparkContext.broadcast(np.ones(1 << line_dedup.COUNTER_BITS, np.uint8))
+    classes = line_dedup.line_classes(df, flat, 0.2, work, limits)
+    counted = line_dedup.word_rows(classes, limits)
+    assert counted.max() > 1000
+    parts = spark.sparkContext.broadcast(np.maximum(1, -(-counted // limits.full)).astype(np.uint32))
+
+    def largest(parts):
+        rows = {}
+        for r in line_dedup.deal_by_word(classes, parts, limits=limits).collect():
+            word = blocks.unpack(r["block"])[0]
+            for w, n in zip(*np.unique(word, return_counts=True), strict=True):
+                rows[int(w)] = rows.get(int(w), 0) + int(n)
+        return max(rows.values()), sum(rows.values())
+
+    whole = spark.sparkContext.broadcast(np.ones(1 << line_dedup.HEAVY_BITS, np.uint32))
+    (split, n), (together, m) = largest(parts), largest(whole)
+    assert n == m and split <= 2 * limits.full and together > 1000
+
+
 def test_line_dedup_of_a_document_of_many_lines(spark):
     lines = [f"word{k} and more of line {k} than of others {k + 1}" for k in range(1_000_000)]
     lines[5000] = lines[70].upper()
