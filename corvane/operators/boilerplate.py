@@ -9,6 +9,8 @@ from corvane.functions.text import bytes_of, let, lines, trim_space
 
 MAX_BLOCK_BYTES = 2000
 LEAST_COUNT = 3
+#: Parts that the rows of a line are dealt out to when boilerplate is looked up.
+SALTS = 32
 
 
 def exploded(docs: DataFrame, domain: str, key: str, text: str, *more: str) -> DataFrame:
@@ -31,12 +33,14 @@ def strip(docs: DataFrame, blocks: DataFrame, domain: str, key: str, text: str)
     """domain, key, text without boilerplate lines; blank lines stay, a text of nothing else is empty; a text without lines has no row.
 
     Only places and hashes of lines that can be blocks are shuffled to find the
-    ones to drop; the texts move once, to meet their documents' lists.
+    ones to drop, those of one line to SALTS places, as a line may be on every page; the
+    texts move once, to meet their documents' lists.
     """
-    marks = blocks.select(domain, "block_hash")
+    marks = blocks.select(domain, "block_hash", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("_salt"))
     hashed = docs.where(F.col(text) != "").select(domain, key, F.xxhash64(text).alias("_text"), text)
     rows = exploded(hashed, domain, key, text, "_text").where("block_hash is not null").select(domain, key, "_text", "pos", "block_hash")
-    gone = rows.join(marks, [domain, "block_hash"], "left_semi").groupBy(domain, key, "_text").agg(F.collect_set("pos").alias("_gone"))
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(key, "_text"), F.lit(SALTS)))
+    gone = rows.join(marks, [domain, "block_hash", "_salt"], "left_semi").groupBy(domain, key, "_text").agg(F.collect_set("pos").alias("_gone"))
     right = gone.select(F.col(domain).alias("_domain"), F.col(key).alias("_key"), F.col("_text").alias("_hash"), "_gone")
     same = hashed[domain].eqNullSafe(F.col("_domain")) & hashed[key].eqNullSafe(F.col("_key")) & (hashed["_text"] == F.col("_hash"))
 

@@ -12,10 +12,9 @@ from pyspark.sql import functions as F
 from corvane.functions import urls
 from corvane.functions.classify import quality_reason
 from corvane.functions.text import bytes_of
+from corvane.operators.ordering import FEW_ROWS, RANGES, constant, range_of, split_points
 
 MAX_ENTRY_BYTES = 102_400
-#: Characters of a url that tell entries of one instant apart: the scheme and two of the host.
-URL_HEAD = 10
 SEARCH_DEFAULT, SEARCH_MOST = 20, 100
 KEY = ["url", "strategy", "extraction_mode"]
 
@@ -94,29 +93,43 @@ def clear(cache: DataFrame) -> DataFrame:
     return cache.limit(0)
 
 
-def evict_lru(cache: DataFrame, max_bytes: int, buckets: int = 1024) -> DataFrame:
+def evict_lru(cache: DataFrame, max_bytes: int, buckets: int = RANGES, few: int = FEW_ROWS) -> DataFrame:
     """Entries that stay after the least recently read went until the rest fits.
 
-    The running total needs no global sort in one task: sizes are summed by ranges
-    of last_accessed_at and, for entries of one instant, by the beginning of their url;
-    the ranges' totals are accumulated (``buckets`` times the few beginnings), and only within a range
-    is there a window.  Nothing runs before the result is read.
+    Entries are in order of last read, url, strategy and mode (nulls first); those of one key go or stay together.
+    Only the first key that stays is looked for: sizes are summed by about ``buckets`` ranges of equal
+    numbers of entries, whatever their times, then again within the range where the cut is, until it has
+    ``few`` entries at most; these are summed key by key.  The entries themselves are filtered where they
+    are read and don't move.  The sums run at once (as many turns as the logarithm of the entries' number).
     """
-    micros = F.unix_micros(F.to_timestamp("last_accessed_at"))
-    first, last = cache.agg(F.min(micros)).scalar(), cache.agg(F.max(micros)).scalar()
-    total = cache.agg(F.coalesce(F.sum("original_size"), F.lit(0))).scalar()
-    width = F.greatest(F.lit(1), F.call_function("div", last - first, F.lit(buckets)) + 1)
-    ranges = ["_r", "_u"]
-    keyed = cache.withColumn("_r", F.call_function("div", micros - first, width)).withColumn("_u", F.left("url", F.lit(URL_HEAD)))
-    # Within a range entries are in order of time first, so beginnings of urls split only ranges of one instant.
-    spans = keyed.groupBy("_r").agg((F.min("last_accessed_at") == F.max("last_accessed_at")).alias("_one"))
-    keyed = keyed.join(F.broadcast(spans), "_r").withColumn("_u", F.when(F.col("_one"), F.col("_u")).otherwise(""))
-    totals = keyed.groupBy(*ranges).agg(F.sum("original_size").alias("_n"))
-    before = totals.select(*ranges, (F.sum("_n").over(Window.orderBy(*ranges).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
-    order = Window.partitionBy(*ranges).orderBy("last_accessed_at", *KEY[:2]).rowsBetween(Window.unboundedPreceding, 0)
-    freed = F.col("_before") + F.sum("original_size").over(order) - F.col("original_size")
-    rows = keyed.join(F.broadcast(before), ranges).withColumn("_freed", freed)
-    return rows.where(F.col("_freed") >= total - max_bytes).select(*cache.columns)
+    key = F.struct(F.unix_micros(F.to_timestamp("last_accessed_at")).alias("t"), *KEY)
+    rows = cache.select(key.alias("_k"), F.coalesce("original_size", F.lit(0)).alias("_n"))
+    left = rows.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).first()["n"] - max_bytes
+    if left <= 0:
+        return cache
+    upper = None  # the first key behind the cut range
+    while splits := split_points(rows, "_k", buckets, few):
+        dealt = rows.withColumn("_r", range_of(F.col("_k"), splits))
+        # At most one range for each split point and one more; one of them has the cut.
+        sums = _running(dealt, "_r").collect()
+        if len(sums) == 1:  # entries of one key
+            break
+        cut = next(x for x in sums if x["_before"] < left <= x["_before"] + x["_own"])
+        r, left = cut["_r"], left - cut["_before"]
+        upper = splits[r] if r < len(splits) else upper
+        if r:
+            rows = rows.where(F.col("_k") >= splits[r - 1])
+        if r < len(splits):
+            rows = rows.where(F.col("_k") < splits[r])
+    first = _running(rows, "_k").where(F.col("_before") >= left).agg(F.min("_k").alias("k")).first()["k"]
+    first = upper if first is None else constant(first, rows, "_k")
+    return cache.limit(0) if first is None else cache.where(key >= first)
+
+
+def _running(rows: DataFrame, by: str) -> DataFrame:
+    """by, _own (bytes) and _before (bytes of all smaller ones)."""
+    own = rows.groupBy(by).agg(F.sum("_n").alias("_own"))
+    return own.withColumn("_before", F.sum("_own").over(Window.orderBy(by).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_own"))
 
 
 def stats(cache: DataFrame) -> DataFrame:

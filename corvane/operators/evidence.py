@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.functions.text import bytes_of
+from corvane.operators.ordering import FEW_ROWS, RANGES, range_of, split_points
 
 #: Most citations of a page, and bytes of context around a link's opening bracket.
 MAX_CITATIONS, CONTEXT_BEFORE, CONTEXT_AFTER = 50, 40, 60
@@ -98,15 +99,18 @@ def latest(evidence: DataFrame) -> DataFrame:
     return evidence.groupBy("url").agg(F.max_by(F.struct(*columns), "id").alias("e")).select("url", "e.*")
 
 
-def append(evidence: DataFrame, new: DataFrame) -> DataFrame:
-    """The evidence (with ids) and after it new rows, numbered on in order of retrieval and url.
+def append(evidence: DataFrame, new: DataFrame, ranges: int = 4 * RANGES, few: int = FEW_ROWS) -> DataFrame:
+    """The evidence (with ids) and after it new rows, numbered on in order of retrieval, url and hash (nulls first).
 
-    Numbers are given out by ranges of retrieval times: only ranges' counts are summed up in one place.
+    Rows are numbered within about ``ranges`` ranges of equal numbers of rows, so rows of one day or
+    instant are in many tasks (more than ``few`` rows, which are one range); only the ranges' counts are summed up in one place.
     """
     top = evidence.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).scalar()
-    days = new.withColumn("_day", F.substring("retrieved_at", 1, 10))
-    counts = days.groupBy("_day").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select("_day", F.coalesce(F.sum("_n").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_day").orderBy("retrieved_at", "url", "content_hash"))
-    numbered = days.join(F.broadcast(before), "_day").withColumn("id", (top + F.col("_before") + within).cast("long"))
+    keyed = new.withColumn("_k", F.struct("retrieved_at", "url", "content_hash"))
+    dealt = keyed.withColumn("_r", range_of(F.col("_k"), split_points(keyed.select("_k"), "_k", ranges, few)))
+    # One row for each split point at most.
+    counts = dealt.groupBy("_r").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_r", F.coalesce(F.sum("_n").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_r").orderBy("_k"))
+    numbered = dealt.join(F.broadcast(before), "_r").withColumn("id", (top + F.col("_before") + within).cast("long"))
     return evidence.unionByName(numbered.select(*evidence.columns))

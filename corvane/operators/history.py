@@ -13,9 +13,19 @@ KEPT_VERSIONS = 10
 
 
 def newest(history: DataFrame, n: int = KEPT_VERSIONS) -> DataFrame:
-    """The newest n versions of each url, by time then id; bodies aren't needed to rank, only carried."""
+    """The newest n versions of each url, by time then id.  A version is known by its url and id.
+
+    Only keys are ranked (a url's ranks are limited before they are shuffled, too); bodies
+    meet them by url and id, so those of one url are in many tasks.
+    """
     order = Window.partitionBy("url").orderBy(F.desc("fetched_at"), F.desc("id"))
-    return history.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    ranked = history.select("url", "id", "fetched_at").distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    return _beside(history, ranked.select(F.col("url").alias("_url"), F.col("id").alias("_id"), "rank"), "inner")
+
+
+def _beside(history: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Versions with the other columns of keys (_url, _id, ...)."""
+    return history.join(keys, history["url"].eqNullSafe(keys["_url"]) & history["id"].eqNullSafe(keys["_id"]), how).drop("_url", "_id")
 
 
 def split_lines(x: str) -> list[str]:
@@ -61,7 +71,15 @@ def diff(new: Column, old: Column) -> Column:
 
 
 def diffs(history: DataFrame) -> DataFrame:
-    """Each version against the one before it: url, id, old_hash, new_hash and the difference."""
+    """Each version against the one before it: url, id, old_hash, new_hash and the difference.  A version is known by its url and id.
+
+    Pairs are found on keys and hashes alone; bodies come to them by url and id, so
+    those of one url are in many tasks and none is in a window.
+    """
     order = Window.partitionBy("url").orderBy("fetched_at", "id")
-    rows = history.withColumns({"_old": F.lag("content_body").over(order), "old_hash": F.lag("content_hash").over(order)})
-    return rows.select("url", "id", "old_hash", F.col("content_hash").alias("new_hash"), diff(F.col("content_body"), F.col("_old")).alias("d")).select("url", "id", "old_hash", "new_hash", "d.*")
+    keys = history.select("url", "id", "fetched_at", "content_hash").distinct()
+    pairs = keys.select("url", F.col("id").alias("_id"), F.lag("id").over(order).alias("_before"), F.lag("content_hash").over(order).alias("old_hash"), F.lag(F.lit(True)).over(order).alias("_any"))
+    new = _beside(history.select("url", "id", F.col("content_hash").alias("new_hash"), F.col("content_body").alias("_new")), pairs.withColumnRenamed("url", "_url"), "inner")
+    old = history.select(F.col("url").alias("_url"), F.col("id").alias("_old_id"), F.col("content_body").alias("_old")).dropDuplicates(["_url", "_old_id"])
+    both = new.join(old, new["_any"] & new["url"].eqNullSafe(old["_url"]) & new["_before"].eqNullSafe(old["_old_id"]), "left")
+    return both.select("url", "id", "old_hash", "new_hash", diff(F.col("_new"), F.col("_old")).alias("d")).select("url", "id", "old_hash", "new_hash", "d.*")
