@@ -118,7 +118,8 @@ def link_texts(classes: DataFrame, texts: DataFrame, work: Workspace, similarity
     """(id, comp) of the texts that share a bucket; classes: distinct (id, bands), written."""
     rows = classes.select("id", F.explode("bands").alias("key"))
     many = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    shared = work.write(rows.join(many, "key"), "buckets", "lz4")
+    # Exploded rows are more than Spark sizes them at: never broadcast.
+    shared = work.write(rows.hint("merge").join(many, "key"), "buckets", "lz4")
     labels = work.write(shared.select("id").distinct().withColumn("comp", F.col("id")), "labels-0", "lz4")
     for k in range(1, ROUNDS + 2):
         held = shared.join(labels, "id")

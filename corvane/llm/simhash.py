@@ -136,7 +136,8 @@ def link_fingerprints(points: DataFrame, work: Workspace, radius: int = RADIUS)
     bucket = ["mask", "key"]
     tables = points.select("fp", F.explode(_array(mask_family(0, radius))).alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
     many = tables.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = work.write(tables.join(many, bucket), "buckets")
+    # Spark sizes exploded rows by the table before them and would send them all through the driver.
+    shared = work.write(tables.hint("merge").join(many, bucket), "buckets")
     labels = work.write(shared.select("fp").distinct().withColumn("comp", F.col("fp")), "labels-0", "lz4")
     held = shared.withColumn("comp", F.col("fp"))
     for k in range(ROUNDS):
@@ -156,7 +157,7 @@ def link_fingerprints(points: DataFrame, work: Workspace, radius: int = RADIUS)
         finer = rows.where(F.col("n") > SPLIT).select("fp", "comp", F.col("mask").alias("first"), F.explode(_array(mask_family(turn, radius))).alias("more"))
         finer = finer.select("fp", "comp", F.col("first").bitwiseOR(F.col("more")).alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask"))).distinct()
         sizes = finer.groupBy(*bucket).agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y").select(*bucket, "n")
-        rows = work.write(finer.join(sizes, bucket), f"rows-{turn}", "lz4")
+        rows = work.write(finer.hint("merge").join(sizes, bucket), f"rows-{turn}", "lz4")
     parts.append(rows.select("fp", "comp", *bucket))
     every = parts[0]
     for part in parts[1:]:

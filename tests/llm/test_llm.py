@@ -578,6 +578,23 @@ def test_links_of_dense_fingerprints(spark, monkeypatch, split):
     assert {frozenset(x) for x in found.values()} == {frozenset(x) for x in groups.values()}
 
 
+class PlanKeeper(Workspace):
+    """Keeps the plans of the tables that it writes."""
+
+    def write(self, df, table, codec="zstd"):
+        self.plans = getattr(self, "plans", {}) | {table: df._jdf.queryExecution().executedPlan().toString()}
+        return super().write(df, table, codec)
+
+
+def test_exploded_rows_are_not_broadcast(spark):
+    work = PlanKeeper(spark, "test-plans")
+    points = work.write(spark.createDataFrame([(1,), (2,), (1 << 40,)], "fp long"), "points")
+    simhash.link_fingerprints(points, work)
+    near_copies.link_texts(work.write(spark.createDataFrame([(1, [5, 6]), (2, [5])], "id long, bands array<long>"), "classes"), spark.createDataFrame([(1, "a b"), (2, "a b")], "id long, text string"), near := PlanKeeper(spark, "test-plans"))
+    for plan in (work.plans["buckets"], work.plans["rows-1"], work.plans["rows-2"], near.plans["buckets"]):
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 # --- near copies of the pipeline ---
 
 
