@@ -209,9 +209,10 @@ def replay(requests: DataFrame, outcomes: DataFrame, max_attempts: int = MAX_ATT
     """Replays the fallback loop: url, strategy (first) -> final, attempts, done reason.
 
     outcomes: url, strategy, error_class (null if fetched), is_spa, valuable.  Each
-    attempt is one equi-join on (url, strategy); the loop is unrolled.
+    attempt is one equi-join on (url, strategy), merged: Spark sizes exploded outcomes by
+    the table before them, and would broadcast all of them.  The loop is unrolled.
     """
-    known = outcomes.select(F.col("url").alias("_url"), F.col("strategy").alias("_strategy"), "error_class", "is_spa", "valuable")
+    known = outcomes.select(F.col("url").alias("_url"), F.col("strategy").alias("_strategy"), "error_class", "is_spa", "valuable").hint("merge")
     rows = requests.select("url", F.col("strategy").alias("current"), F.array().cast("array<string>").alias("visited"), F.lit(0).alias("attempts"), F.lit(None).cast("string").alias("result"))
     for k in range(1, max_attempts + 1):
         joined = rows.join(known, (rows["url"] == known["_url"]) & (rows["current"] == known["_strategy"]) & rows["result"].isNull(), "left")

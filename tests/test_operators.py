@@ -319,3 +319,11 @@ def test_store_commands(spark, tmp_path, capsys):
     assert cli.main(["list"]) == 0 and "page_text" in capsys.readouterr().out
     assert cli.main(["settings"]) == 0 and "cache_ttl: 3600" in capsys.readouterr().out
     assert cli.main(["doctor"]) == 0
+
+
+def test_replay_does_not_broadcast_exploded_outcomes(spark):
+    urls = spark.range(3).select(F.col("id").alias("url"))
+    outcomes = urls.select("url", F.explode(F.array(*map(F.lit, routes.STRATEGIES))).alias("strategy"), F.lit("Blocking").alias("error_class"), F.lit(False).alias("is_spa"), F.lit(True).alias("valuable"))
+    got = routes.replay(urls.select("url", F.lit("HttpSimple").alias("strategy")), outcomes)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {r["visited"] for r in got.collect()} == {"HttpSimple,TlsChrome,TlsMobile"}
