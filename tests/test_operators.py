@@ -327,3 +327,9 @@ def test_replay_does_not_broadcast_exploded_outcomes(spark):
     got = routes.replay(urls.select("url", F.lit("HttpSimple").alias("strategy")), outcomes)
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
     assert {r["visited"] for r in got.collect()} == {"HttpSimple,TlsChrome,TlsMobile"}
+
+
+def test_references_without_semicolon_are_text():
+    title, text = readability.readable("<title>A&amp;&amp</title><article><h1>B &lt; C &amp</h1><p>x&copy y&copy; &#39 &#39; &nosuch; &ampx; &&amp;lt; <a href='/?a=1&copy=2&amp;b=3'>z</a> a & b &")
+    assert title == "A&&amp"
+    assert text == "# B < C &amp\n\nx&copy y© &#39 ' &nosuch; &ampx; &&lt; [z](/?a=1&copy=2&b=3) a & b &"
