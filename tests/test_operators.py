@@ -333,3 +333,9 @@ def test_references_without_semicolon_are_text():
     title, text = readability.readable("<title>A&amp;&amp</title><article><h1>B &lt; C &amp</h1><p>x&copy y&copy; &#39 &#39; &nosuch; &ampx; &&amp;lt; <a href='/?a=1&copy=2&amp;b=3'>z</a> a & b &")
     assert title == "A&&amp"
     assert text == "# B < C &amp\n\nx&copy y© &#39 ' &nosuch; &ampx; &&lt; [z](/?a=1&copy=2&b=3) a & b &"
+
+
+def test_dispatch_keeps_cut_references_and_their_length(spark):
+    pages = spark.createDataFrame([(1, "https://e.example/", "text/html", "<title>a &amp</title><article><h1>a &amp</h1><p>some text</article>")], "page_id long, url string, content_type string, html string")
+    row = extraction.dispatch(pages).first()
+    assert (row["title"], row["text_content"], row["length"]) == ("a &amp", "# a &amp\n\nsome text", 19)
