@@ -22,8 +22,15 @@ def content_hash(x: Column) -> Column:
     return F.sha2(x, 256)
 
 
+#: Seconds of 400 years, after which the calendar repeats itself.
+CYCLE = 146097 * 86400
+
+
 def iso(epoch_seconds: Column) -> Column:
-    return F.date_format(F.timestamp_seconds(epoch_seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """The instant in UTC sessions; years from 10000 on have more digits and no sign, and no timestamp's range is exceeded."""
+    within = F.timestamp_seconds(F.pmod(epoch_seconds, F.lit(CYCLE)))
+    year = F.year(within) + 400 * F.floor(epoch_seconds / CYCLE)
+    return F.concat(F.format_string("%04d", year), F.date_format(within, "-MM-dd'T'HH:mm:ss'Z'"))
 
 
 def link_matches(text: str) -> list[tuple[int, str, str]]:

@@ -339,3 +339,9 @@ def test_dispatch_keeps_cut_references_and_their_length(spark):
     pages = spark.createDataFrame([(1, "https://e.example/", "text/html", "<title>a &amp</title><article><h1>a &amp</h1><p>some text</article>")], "page_id long, url string, content_type string, html string")
     row = extraction.dispatch(pages).first()
     assert (row["title"], row["text_content"], row["length"]) == ("a &amp", "# a &amp\n\nsome text", 19)
+
+
+def test_times_of_years_with_more_digits(spark):
+    seconds = [0, 253402300799, 253402300800, 8639900000000 * 1009, -1]
+    got = spark.createDataFrame([(i, s) for i, s in enumerate(seconds)], "i long, s long").select("i", evidence.iso(F.col("s")).alias("t")).orderBy("i").collect()
+    assert [r["t"] for r in got] == ["1970-01-01T00:00:00Z", "9999-12-31T23:59:59Z", "10000-01-01T00:00:00Z", "276253589-08-11T22:13:20Z", "1969-12-31T23:59:59Z"]

@@ -77,3 +77,13 @@ assert "pipeline" not in entry.queries() and ({module!r} == "corpus_pipeline" or
 """
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
+
+
+def test_evidence_lines_of_far_times_equal_sql(spark, tmp_path):
+    ids = [3, 2906, 2907, 6613, 6615, 46871, 64101]
+    pages = spark.createDataFrame([(i, f"https://e.example/{i}", "<title>t</title><p>x</p>") for i in ids], "page_id long, url string, html string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(tuple(r) for r in catalog.queries()["evidence_lines"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert got == sorted(con.execute(catalog.oracle_sql()["evidence_lines"]).fetchall())
