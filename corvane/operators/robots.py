@@ -68,19 +68,32 @@ def decide(pages: DataFrame, robots: DataFrame, agent: str, domain: str = "domai
 
     A path is looked up, not compared: rules are rows, and a (domain, path) asks for its
     beginnings of the lengths that the domain's rules have, in one equi-join, so its cost
-    is the number of lengths and not of rules.  Only rules with stars are tried one by one.
-    Two robots files of a domain count as one set of rules.
+    is the number of lengths and not of rules.  Of a rule with stars, the part that the
+    fewest of its domain's rules have is looked up in the same way, anywhere in the path;
+    only rules whose part occurs are tried.  Two robots files of a domain count as one set of rules.
     """
     rules = robots.select(F.col(domain).alias("_d"), F.explode(rule_lines(F.col("robots_text"), agent)).alias("r")).where("r.rule <> ''").select("_d", "r.*").distinct()
     starred = F.contains("rule", F.lit("*"))
-    lists = rules.groupBy("_d").agg(F.collect_set(F.when(~starred, F.length("rule"))).alias("_lengths"), F.collect_list(F.when(starred, F.struct("allow", "rule"))).alias("_stars"))
-    plain = rules.where(~starred).groupBy("_d", F.col("rule").alias("_rule")).agg(*[F.max(F.when(F.col("allow") == F.lit(a), F.octet_length("rule"))).alias(n) for n, a in (("_plain_allow", True), ("_plain_deny", False))])
-    asked = pages.select(F.col(domain).alias("_d"), F.col(path).alias("_p")).where("_d is not null and _p is not null").distinct().join(lists, "_d")
-    star = lambda allow: F.array_max(F.transform(F.filter("_stars", lambda r: (r["allow"] == F.lit(allow)) & path_matches(F.col("_p"), r["rule"])), lambda r: F.octet_length(r["rule"])))
-    beginnings = F.transform(F.filter("_lengths", lambda n: n <= F.length("_p")), lambda n: F.left(F.col("_p"), n))
-    tried = asked.select("_d", "_p", star(True).alias("_star_allow"), star(False).alias("_star_deny"), F.explode_outer(beginnings).alias("_rule"))
-    longest = lambda kind: F.coalesce(F.greatest(F.max(f"_star_{kind}"), F.max(f"_plain_{kind}")), F.lit(0))
-    found = tried.join(plain, ["_d", "_rule"], "left").groupBy("_d", "_p").agg(longest("allow").alias("_a"), longest("deny").alias("_n"))
+    parts = rules.where(starred).select("_d", "allow", "rule", F.explode(F.array_distinct(F.split("rule", r"\*"))).alias("_part"))
+    shared = parts.groupBy("_d", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    counted = parts.hint("merge").join(shared, ["_d", "_part"])
+    # An empty part is in every path.
+    rarest = F.min(F.struct((F.col("_part") == "").alias("empty"), "_n", (-F.length("_part")).alias("size"), "_part"))
+    stars = counted.groupBy("_d", "allow", "rule").agg(rarest.alias("least")).select("_d", F.col("least._part").alias("_part"), "allow", "rule")
+    plain = rules.where(~starred).groupBy("_d", F.col("rule").alias("_part")).agg(*[F.max(F.when(F.col("allow") == F.lit(a), F.octet_length("rule"))).alias(n) for n, a in (("_allow", True), ("_deny", False))])
+    asked = pages.select(F.col(domain).alias("_d"), F.col(path).alias("_p")).where("_d is not null and _p is not null").distinct()
+
+    def lengths(looked_up: DataFrame) -> DataFrame:
+        return looked_up.groupBy("_d").agg(F.collect_set(F.length("_part")).alias("_lengths"))
+
+    p = F.col("_p")
+    beginnings = F.transform(F.filter("_lengths", lambda n: n <= F.length(p)), lambda n: F.left(p, n))
+    inside = F.array_distinct(F.flatten(F.transform(F.filter("_lengths", lambda n: n <= F.length(p)), lambda n: F.transform(F.sequence(F.lit(1), F.length(p) - n + 1), lambda at: F.substr(p, at, n)))))
+    found = asked.join(lengths(plain), "_d").select("_d", "_p", F.explode(beginnings).alias("_part")).hint("merge").join(plain, ["_d", "_part"]).select("_d", "_p", "_allow", "_deny")
+    tried = asked.join(lengths(stars), "_d").select("_d", "_p", F.explode(inside).alias("_part")).hint("merge").join(stars, ["_d", "_part"]).where(path_matches(p, F.col("rule")))
+    size = lambda allow: F.when(F.col("allow") == F.lit(allow), F.octet_length("rule"))
+    found = found.unionByName(tried.select("_d", "_p", size(True).alias("_allow"), size(False).alias("_deny")))
+    found = found.groupBy("_d", "_p").agg(F.coalesce(F.max("_allow"), F.lit(0)).alias("_a"), F.coalesce(F.max("_deny"), F.lit(0)).alias("_n"))
     allowed = F.when((F.col("_a") >= F.col("_n")) & (F.col("_a") > 0), True).otherwise(F.col("_n") == 0)
     verdicts = found.select("_d", "_p", allowed.alias("allowed"))
     joined = pages.join(verdicts, (pages[domain] == verdicts["_d"]) & (pages[path] == verdicts["_p"]), "left")

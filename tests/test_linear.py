@@ -154,3 +154,16 @@ def test_robots_of_thousands_of_rules(spark):
 def test_robots_file_of_many_lines_is_read_in_linear_time(spark):
     text = "User-agent: me\n" + "Disallow: /a\n" * 30_000 + "User-agent: you\nAllow: /\n" * 3_000
     assert seconds(spark, text, lambda x: F.size(robots.rule_lines(x, "me"))) < 5
+
+
+def test_robots_with_many_starred_rules(spark):
+    n = 8000
+    text = "User-agent: *\n" + "\n".join(f"{'Allow' if i % 2 else 'Disallow'}: /*/a/{i}*z" for i in range(n))
+    files = spark.createDataFrame([("d", text)], "domain string, robots_text string")
+    pages = spark.range(n, numPartitions=4).select("id", F.lit("d").alias("domain"), F.concat(F.lit("/x/a/"), "id", F.lit("/"), F.when(F.col("id") % 3 > 0, "z").otherwise("y")).alias("path"))
+    began = time.time()
+    got = robots.decide(pages, files, "Engine").where("allowed").count()
+    assert time.time() - began < 40
+    # Rule j fits path i where j is i's beginning, as 12 is of 123; the longest decides.
+    want = sum(i % 3 == 0 or next(int(str(i)[:k]) % 2 for k in range(len(str(i)), 0, -1)) for i in range(n))
+    assert got == want

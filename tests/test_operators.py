@@ -1,6 +1,7 @@
 """Operators on small cases with known results."""
 
 import json
+import random
 import time
 
 import pytest
@@ -345,3 +346,15 @@ def test_times_of_years_with_more_digits(spark):
     seconds = [0, 253402300799, 253402300800, 8639900000000 * 1009, -1]
     got = spark.createDataFrame([(i, s) for i, s in enumerate(seconds)], "i long, s long").select("i", evidence.iso(F.col("s")).alias("t")).orderBy("i").collect()
     assert [r["t"] for r in got] == ["1970-01-01T00:00:00Z", "9999-12-31T23:59:59Z", "10000-01-01T00:00:00Z", "276253589-08-11T22:13:20Z", "1969-12-31T23:59:59Z"]
+
+
+def test_starred_rules_are_looked_up_as_they_match(spark):
+    rng = random.Random(3)
+    word = lambda letters, n: "".join(rng.choice(letters) for _ in range(rng.randrange(n)))
+    files = [(f"d{d}", "User-agent: *\n" + "\n".join(f"{rng.choice(('Allow', 'Disallow'))}: /{word('ab*é', 7)}" for _ in range(8))) for d in range(12)] + [("every", "User-agent: *\nDisallow: ***\nAllow: a*\nDisallow: *a*b*b\nAllow: .*")]
+    rows = [(i, rng.choice(files)[0], f"/{word('abé', 9)}") for i in range(600)] + [(600, "every", ""), (601, "every", "/x.\n*"), (602, None, "/a"), (603, "every", None)]
+    robots_files = spark.createDataFrame(files, "domain string, robots_text string")
+    pages = spark.createDataFrame(rows, "id long, domain string, path string")
+    got = {r["id"]: r["allowed"] for r in robots.decide(pages, robots_files, "Engine").collect()}
+    plain = pages.join(robots_files, "domain", "left").select("id", F.coalesce(robots.is_allowed(F.col("path"), robots.parse_rules(F.col("robots_text"), "Engine")), F.lit(True)).alias("allowed"))
+    assert got == {r["id"]: r["allowed"] for r in plain.collect()} and 100 < sum(got.values()) < 580
