@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import decontamination, line_dedup, near_copies, packing, quality
+from corvane.llm import decontamination, line_dedup, near_copies, packing, quality, simhash
 from corvane.llm.common import Workspace
 from corvane.llm.encoders import vocabulary
 from corvane.llm.queries import WORD_VOCABULARY, table
@@ -29,8 +29,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component, by MinHash bands and verified shingles (fingerprints of 64 bits can't tell these apart, see README)."""
-    return near_copies.keep_first(docs, SIMILARITY, SHINGLE_WORDS)
+    """One document of each near-duplicate component: candidates by linked SimHash fingerprints, and by MinHash bands for pairs beyond their radius (see README), verified on their shingles."""
+    return near_copies.keep_first(docs, SIMILARITY, SHINGLE_WORDS, radius=simhash.RADIUS)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: SQL expresses neither the trained line labels nor the MinHash bands of the near copies; tests hold the stages against plain versions.
+#: SQL expresses neither the trained line labels nor the links of the near copies; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 

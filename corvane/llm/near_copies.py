@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from corvane.llm.common import Bloom, Workspace, free_names, map_batches, sequential_segments, steps, text_bytes
 from corvane.llm.line_dedup import _spread, word_hashes
-from corvane.llm.simhash import components, first_of
+from corvane.llm.simhash import components, first_of, link_fingerprints, with_fingerprint
 
 SIMILARITY, SHINGLE = 0.8, 5
 BANDS, ROWS = 32, 4
@@ -115,8 +115,13 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int
 
 
 def link_texts(classes: DataFrame, texts: DataFrame, work: Workspace, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
-    """(id, comp) of the texts that share a bucket; classes: distinct (id, bands), written."""
-    rows = classes.select("id", F.explode("bands").alias("key"))
+    """(id, comp) of the texts that share a bucket; classes: distinct (id, bands), written.
+
+    Texts that share a ``print``, if there is one, meet its leaders, too, but not each other.
+    """
+    rows = classes.select("id", F.explode("bands").alias("key"), F.lit(True).alias("band"))
+    if "print" in classes.columns:
+        rows = rows.unionByName(classes.where("print is not null").select("id", F.col("print").alias("key"), F.lit(False).alias("band")))
     many = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     # Exploded rows are more than Spark sizes them at: never broadcast.
     shared = work.write(rows.hint("merge").join(many, "key"), "buckets", "lz4")
@@ -127,6 +132,7 @@ def link_texts(classes: DataFrame, texts: DataFrame, work: Workspace, similarity
             lead = held.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(k), "id").alias("h"), "id", "comp")).alias("lead")).select("key", F.col("lead.id").alias("id_b"), F.col("lead.comp").alias("comp_b"))
             pairs = held.join(lead, "key").where("comp <> comp_b")
         else:
+            held = held.where("band").drop("band")
             mixed = held.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
             held = work.write(held.join(mixed, "key"), "mixed", "lz4")
             pairs = held.join(held.select(F.col("id").alias("id_b"), F.col("comp").alias("comp_b"), "key"), "key").where("comp < comp_b")
@@ -144,15 +150,30 @@ def link_texts(classes: DataFrame, texts: DataFrame, work: Workspace, similarity
     return labels
 
 
-def keep_first(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, work: Workspace | None = None) -> DataFrame:
-    """One document of each component: that of the smallest doc_id (of rows that repeat it, one), with all its columns."""
+def with_prints(classes: DataFrame, work: Workspace, radius: int) -> DataFrame:
+    """classes (id, own, bands, fp) with ``print``, the key of the component of linked SimHash fingerprints; null for a text without a word."""
+    points = work.write(classes.where(F.size("bands") > 0).select("fp").distinct(), "prints", "lz4")
+    linked = link_fingerprints(points, Workspace(classes.sparkSession, "near-copies-prints"), radius)
+    key = F.when(F.size("bands") > 0, F.xxhash64(F.lit("print"), F.coalesce("comp", "fp")))
+    return work.write(classes.join(linked, "fp", "left").select("id", "own", "bands", key.alias("print")), "printed", "lz4")
+
+
+def keep_first(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, work: Workspace | None = None, radius: int | None = None) -> DataFrame:
+    """One document of each component: that of the smallest doc_id (of rows that repeat it, one), with all its columns.
+
+    With a ``radius``, texts whose SimHash fingerprints are linked at so many bits are candidates, too.
+    """
     work = work or Workspace(docs.sparkSession, "near-copies")
-    own, bands = free_names(docs, "_text", "_bands")
-    marked = work.write(with_bands(docs, own, bands, shingle), "documents")
-    classes = marked.groupBy(F.col(own).alias("id")).agg(F.min(F.col("doc_id").cast("long")).alias("own"), F.first(bands).alias("bands"))
+    own, bands, fp = free_names(docs, "_text", "_bands", "_fp")
+    marked = with_bands(docs, own, bands, shingle)
+    marked = work.write(marked if radius is None else with_fingerprint(marked, fp), "documents")
+    prints = [] if radius is None else [F.first(fp).alias("fp")]
+    classes = marked.groupBy(F.col(own).alias("id")).agg(F.min(F.col("doc_id").cast("long")).alias("own"), F.first(bands).alias("bands"), *prints)
     classes = work.write(classes, "classes", "lz4")
-    marked = marked.drop(bands)
-    linked = link_texts(classes.select("id", "bands"), marked.select(F.col(own).alias("id"), "text"), work, similarity, shingle)
+    if prints:
+        classes = with_prints(classes, work, radius)
+    marked = marked.drop(bands, fp)
+    linked = link_texts(classes.drop("own"), marked.select(F.col(own).alias("id"), "text"), work, similarity, shingle)
     held = classes.join(linked, "id", "left").select("id", "own", F.coalesce("comp", "id").alias("comp"))
     least = classes.join(linked, "id").groupBy("comp").agg(F.min("own").alias("least"))
     comp = held.join(least, "comp", "left").select(F.col("id").alias("fp"), "comp", F.coalesce("least", "own").alias("least"))

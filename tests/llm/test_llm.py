@@ -648,6 +648,20 @@ def test_pipeline_takes_near_copies_from_similarity_on(spark, none):
     assert near_copies.keep_first(none).collect() == []
 
 
+def test_pipeline_takes_candidates_by_fingerprints(spark, monkeypatch):
+    import corpus_pipeline
+
+    # Without bands, only linked fingerprints bring these together; the shingles decide.
+    monkeypatch.setattr(near_copies, "band_keys", lambda texts, shingle=5: [near_copies.np.array([hash(x)]) if x.split() else near_copies.np.zeros(0, "i8") for x in texts])
+    words = [f"w{i}" for i in range(400)]
+    given = [(3, " ".join(words)), (2, " ".join([*words[:-1], "x"])), (7, " ".join([*words, *words[:9]])), (5, "to to to to"), (4, "to to to to to"), (1, None), (6, "")]
+    df = spark.createDataFrame(given, "doc_id long, text string")
+    prints = [simhash.fingerprint((t or "").encode()) for _, t in given]
+    assert (prints[0] ^ prints[1]).bit_count() <= 4 and prints[3] == prints[4]
+    assert near_copies.keep_first(df).count() == 6
+    assert sorted(r["doc_id"] for r in corpus_pipeline.simhash_near_dedup(spark, df, "").collect()) == plain_first(given)
+
+
 def test_near_copies_of_odd_rows(spark, docs):
     given = list({(r["doc_id"], r["text"]) for r in docs.collect()})
     got = near_copies.keep_first(docs)
