@@ -87,3 +87,7 @@ def test_evidence_lines_of_far_times_equal_sql(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
     assert got == sorted(con.execute(catalog.oracle_sql()["evidence_lines"]).fetchall())
+
+
+def test_long_rows_of_a_small_file_are_several_tasks(spark):
+    assert catalog.queries()["metadata_entries"](spark, SF).rdd.getNumPartitions() >= 8
