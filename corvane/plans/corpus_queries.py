@@ -9,7 +9,7 @@ from corvane.functions import adapters, markdown, tokens
 from corvane.functions.text import bytes_of
 from corvane.operators import boilerplate, evidence, robots, search, sections
 from corvane.plans.base import WS, Catalog, sql_lines, sql_prefix, sql_trim
-from corvane.sources.tables import now, pages, table
+from corvane.sources.tables import dealt, now, pages, table
 
 catalog = Catalog()
 
@@ -368,7 +368,7 @@ def site_urls(spark, sf_dir):
 
 
 def _customers(spark, sf_dir):
-    return table(spark, sf_dir, "customer")
+    return dealt(table(spark, sf_dir, "customer"), "c_custkey")
 
 
 def _key():

@@ -89,5 +89,6 @@ def test_evidence_lines_of_far_times_equal_sql(spark, tmp_path):
     assert got == sorted(con.execute(catalog.oracle_sql()["evidence_lines"]).fetchall())
 
 
-def test_long_rows_of_a_small_file_are_several_tasks(spark):
-    assert catalog.queries()["metadata_entries"](spark, SF).rdd.getNumPartitions() >= 8
+@pytest.mark.parametrize("name", ["metadata_entries", "reddit_md"])
+def test_long_rows_of_a_small_file_are_several_tasks(spark, name):
+    assert catalog.queries()[name](spark, SF).rdd.getNumPartitions() >= 8
