@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import html as H
 from corvane.functions import markdown, tokens
+from corvane.functions.text import let
 from corvane.functions.urls import title_from_url
 from corvane.operators import readability
 
@@ -69,7 +70,7 @@ def item_text(text: Column, url: Column, warning: Column, error: Column, exhaust
     """What a batch shows of one address: its text with a quality warning, within the budget; or its error."""
     why = F.when(exhausted, F.concat(F.lit("all strategies exhausted: "), error)).otherwise(error)
     warned = F.concat(F.coalesce(text, F.lit("")), F.coalesce(F.concat(F.lit(f"\n\n[{label}: "), warning, F.lit("]")), F.lit("")))
-    return F.when(error.isNotNull(), F.concat(F.lit("[fetch error for "), url, F.lit(": "), why, F.lit("]"))).otherwise(tokens.apply_budget(warned, budget))
+    return F.when(error.isNotNull(), F.concat(F.lit("[fetch error for "), url, F.lit(": "), why, F.lit("]"))).otherwise(let(warned, lambda whole: tokens.apply_budget(whole, budget)))
 
 
 def combine(items: DataFrame, group: str = "batch", position: str = "pos", text: str = "text", most: int = MOST_IN_BATCH) -> DataFrame:

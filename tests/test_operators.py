@@ -358,3 +358,9 @@ def test_starred_rules_are_looked_up_as_they_match(spark):
     got = {r["id"]: r["allowed"] for r in robots.decide(pages, robots_files, "Engine").collect()}
     plain = pages.join(robots_files, "domain", "left").select("id", F.coalesce(robots.is_allowed(F.col("path"), robots.parse_rules(F.col("robots_text"), "Engine")), F.lit(True)).alias("allowed"))
     assert got == {r["id"]: r["allowed"] for r in plain.collect()} and 100 < sum(got.values()) < 580
+
+
+def test_marks_of_html_are_found_by_ascii_case_only(spark):
+    given = [m.upper() for m in classify.HTML_ARTIFACTS] + ["<ſcript", "<linK", "blazorXserver.js", "<!--blazor", "__next_data_", None]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(given)], "i int, x string").select("i", classify.has_html_artifact(F.col("x")).alias("y")).orderBy("i").collect()
+    assert [r["y"] for r in rows] == [True] * len(classify.HTML_ARTIFACTS) + [False] * 5 + [None]

@@ -92,3 +92,8 @@ def test_evidence_lines_of_far_times_equal_sql(spark, tmp_path):
 @pytest.mark.parametrize("name", ["metadata_entries", "reddit_md"])
 def test_long_rows_of_a_small_file_are_several_tasks(spark, name):
     assert catalog.queries()[name](spark, SF).rdd.getNumPartitions() >= 8
+
+
+def test_batches_look_at_each_text_once_in_several_tasks(spark):
+    plan = catalog.queries()["batch_combine"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("content too short") == 1 and "translate" not in plan and "RepartitionByExpression" in plan
