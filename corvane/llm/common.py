@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane import ship
+from corvane.functions.batches import give_back
 
 #: Bytes of text that one step of a Python operator holds in numpy arrays at a time.
 STEP_BYTES = 2 << 20
@@ -117,14 +117,6 @@ def text_steps(column: pa.Array, limit: int = STEP_BYTES) -> Iterator[tuple[int,
         yield a, text_bytes(column.slice(a, b - a))
 
 
-def give_back() -> None:
-    """Returns what a task has freed to the machine: the worker stays for other tasks, next to the executor."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
-    if trim:
-        trim(0)
-
-
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | T.StructType) -> DataFrame:
     """mapInArrow with a function of one batch, of about ``BATCH_BYTES`` at most (or one row)."""
     ship(df.sparkSession)

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import gzip
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
+from corvane.functions.batches import each_value
+
 EXPORTED = ("domain", "strategy", "avg_latency_ms", "success_rate", "total_requests")
 #: The folder of a store that lists its whole versions.
 MANIFEST = "manifest"
@@ -70,11 +73,11 @@ def load_store(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}/version={newest}")
 
 
-@F.pandas_udf(BinaryType())
-def gzip_bytes(x: pd.Series) -> pd.Series:
-    return x.map(lambda s: None if s is None else gzip.compress(s.encode(), mtime=0))
+@F.arrow_udf(BinaryType())
+def gzip_bytes(x: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    return each_value(x, lambda v: gzip.compress(v.as_buffer(), mtime=0), pa.binary())
 
 
-@F.pandas_udf(StringType())
-def gunzip_text(x: pd.Series) -> pd.Series:
-    return x.map(lambda b: None if b is None else gzip.decompress(bytes(b)).decode())
+@F.arrow_udf(StringType())
+def gunzip_text(x: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    return each_value(x, lambda v: gzip.decompress(v.as_buffer()).decode(), pa.string())

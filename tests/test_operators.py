@@ -4,10 +4,11 @@ import json
 import random
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.functions import adapters, classify, html, markdown, text, tokens, urls
+from corvane.functions import adapters, batches, classify, html, markdown, text, tokens, urls
 from corvane.operators import boilerplate, cache, evidence, extraction, history, readability, robots, routes, sections
 from corvane.sources import config, route_files, seeds
 
@@ -364,3 +365,13 @@ def test_marks_of_html_are_found_by_ascii_case_only(spark):
     given = [m.upper() for m in classify.HTML_ARTIFACTS] + ["<ſcript", "<linK", "blazorXserver.js", "<!--blazor", "__next_data_", None]
     rows = spark.createDataFrame([(i, x) for i, x in enumerate(given)], "i int, x string").select("i", classify.has_html_artifact(F.col("x")).alias("y")).orderBy("i").collect()
     assert [r["y"] for r in rows] == [True] * len(classify.HTML_ARTIFACTS) + [False] * 5 + [None]
+
+
+def test_gzip_holds_few_rows_of_a_batch(spark):
+    texts = ["é" * i for i in range(1000)] + [None]
+    zipped = list(route_files.gzip_bytes.func(iter([pa.array(texts), pa.array([], pa.string())])))
+    assert max(map(len, zipped)) <= batches.STEP
+    back = list(route_files.gunzip_text.func(iter(zipped)))
+    assert max(map(len, back)) <= batches.STEP and [x for part in back for x in part.to_pylist()] == texts
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string").select("i", route_files.gunzip_text(route_files.gzip_bytes("x")).alias("y")).collect()
+    assert {r["i"]: r["y"] for r in rows} == dict(enumerate(texts))
