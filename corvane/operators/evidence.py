@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import bisect
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvane.functions.batches import each_value
 from corvane.functions.text import bytes_of
 from corvane.operators.ordering import FEW_ROWS, RANGES, range_of, split_points
 
@@ -66,28 +68,30 @@ def _context(raw: bytes, at: int) -> str:
 _CITATION = T.StructType([T.StructField(x, T.StringType()) for x in ("text", "source_url", "context")])
 
 
-@F.pandas_udf(T.ArrayType(_CITATION))
-def citations(x: pd.Series) -> pd.Series:
+_CITATIONS = pa.list_(pa.struct([(x, pa.string()) for x in _CITATION.names]))
+
+
+def cited(text: str) -> list[dict]:
+    """The citations of one text."""
+    out, seen, raw, byte, last = [], set(), None, 0, 0
+    for at, label, target in link_matches(text):
+        if label and target.startswith(("http://", "https://")) and target not in seen:
+            raw = text.encode() if raw is None else raw
+            byte, last = byte + len(text[last:at].encode()), at
+            seen.add(target)
+            out.append({"text": label, "source_url": target, "context": _context(raw, byte)})
+            if len(out) == MAX_CITATIONS:
+                break
+    return out
+
+
+@F.arrow_udf(T.ArrayType(_CITATION))
+def citations(x: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Array of (text, source_url, context): Markdown links to http(s), the first of each target, at most 50.
 
     Brackets inside a link's text may nest, which no regular expression follows.
     """
-
-    def one(text: str | None) -> list[dict] | None:
-        if text is None:
-            return None
-        out, seen, raw, byte, last = [], set(), None, 0, 0
-        for at, label, target in link_matches(text):
-            if label and target.startswith(("http://", "https://")) and target not in seen:
-                raw = text.encode() if raw is None else raw
-                byte, last = byte + len(text[last:at].encode()), at
-                seen.add(target)
-                out.append({"text": label, "source_url": target, "context": _context(raw, byte)})
-                if len(out) == MAX_CITATIONS:
-                    break
-        return out
-
-    return x.map(one)
+    return each_value(x, lambda v: cited(v.as_py()), _CITATIONS)
 
 
 def bundle(content: Column, url: Column, strategy: Column, retrieved_at: Column, blocked: Column) -> Column:

@@ -258,7 +258,8 @@ def boilerplate_counts(spark, sf_dir):
 @catalog.add(_MD + "SELECT doc_id, 1 AS n, 'w' AS text, 'https://e.example/' || (doc_id % 9)::VARCHAR AS source_url FROM m")
 def citations(spark, sf_dir):
     rows = markdown_docs(spark, sf_dir).select("doc_id", evidence.citations(F.col("md")).alias("c"))
-    return rows.select("doc_id", F.size("c").alias("n"), F.explode("c").alias("x")).select("doc_id", "n", "x.text", "x.source_url")
+    # For explode, Spark would filter by the array's size first, and find the citations twice.
+    return rows.select("doc_id", F.size("c").alias("n"), F.explode_outer("c").alias("x")).where("x is not null").select("doc_id", "n", "x.text", "x.source_url")
 
 
 _CITING = "'Intro ' || c_name || ' [see [' || k || '] here](https://x.example/' || k || ') and' || chr(10) || '[b](/rel) [c]( http://y.example/' || k || ' ) [[open [d](https://x.example/' || k || ') [ ](https://z.example) [e](https://v.example/' || c_custkey::VARCHAR || ')'"

@@ -375,3 +375,10 @@ def test_gzip_holds_few_rows_of_a_batch(spark):
     assert max(map(len, back)) <= batches.STEP and [x for part in back for x in part.to_pylist()] == texts
     rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string").select("i", route_files.gunzip_text(route_files.gzip_bytes("x")).alias("y")).collect()
     assert {r["i"]: r["y"] for r in rows} == dict(enumerate(texts))
+
+
+def test_citations_hold_few_rows_of_a_batch():
+    texts = [f"[a{i}](https://x/{i})" for i in range(1000)] + [None, ""]
+    found = list(evidence.citations.func(iter([pa.array(texts)])))
+    assert max(map(len, found)) <= batches.STEP
+    assert [x if x is None else [c["source_url"] for c in x] for part in found for x in part.to_pylist()] == [[f"https://x/{i}"] for i in range(1000)] + [None, []]

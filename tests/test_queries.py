@@ -97,3 +97,9 @@ def test_long_rows_of_a_small_file_are_several_tasks(spark, name):
 def test_batches_look_at_each_text_once_in_several_tasks(spark):
     plan = catalog.queries()["batch_combine"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("content too short") == 1 and "translate" not in plan and "RepartitionByExpression" in plan
+
+
+@pytest.mark.parametrize("name", ["citations", "citation_context", "evidence_lines"])
+def test_citations_are_found_once(spark, name):
+    plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
