@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from corvane import ship
-from corvane.llm.common import give_back, sequential_segments
+from corvane.llm.common import give_back
 
 SCHEMA = "cell int, block binary"
 CELLS, MANY = 4, 4096
@@ -50,11 +50,15 @@ def unpack(raw: bytes) -> list[np.ndarray]:
     return out
 
 
-def ragged_index(counts: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Places of the lists' values when the lists are put into this order."""
-    start = np.cumsum(counts) - counts
+def ragged_index(counts: np.ndarray, order: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
+    """Places of the lists' values when the lists are put into this order; start: where each list begins, if that is known."""
+    if start is None:
+        start = np.cumsum(counts) - counts
     taken = counts[order]
-    return np.repeat(start[order], taken) + sequential_segments(taken)
+    ends = np.cumsum(taken)
+    at = np.arange(ends[-1] if len(ends) else 0, dtype=np.int64)
+    at += np.repeat(start[order] - (ends - taken), taken)
+    return at
 
 
 def joined(blocks: list[list[np.ndarray]]) -> list[np.ndarray]:

@@ -221,6 +221,10 @@ def prefix_length(size: np.ndarray, similarity: float) -> np.ndarray:
     return size - np.ceil(np.round(similarity * size, 9)).astype(np.int64) + 1
 
 
+#: Blocks of classes: what most steps read, all words as 16-bit hashes, and the prefix words.
+CLASS_SCHEMA = "head binary, small binary, prefix binary"
+
+
 class Classes:
     """Columns of line classes: one entry a class, with its first place, all words as 16-bit hashes and the prefix words (0 for one that nobody shares)."""
 
@@ -229,6 +233,7 @@ class Classes:
         self.id, self.id2, self.known, self.doc, self.key, self.line = (columns[0], columns[1], columns[2], columns[3], columns[4], columns[5])
         self.size, self.n_prefix = columns[6].astype(np.int64), columns[7].astype(np.int64)
         self.small, self.prefix = columns[8], columns[9]
+        self.small_start, self.prefix_start = np.cumsum(self.size) - self.size, np.cumsum(self.n_prefix) - self.n_prefix
 
     def __len__(self) -> int:
         return len(self.id)
@@ -241,15 +246,32 @@ class Classes:
         return Classes([sets.id, sets.id2, known.astype(np.uint8), doc, key, number.astype(np.uint64), sets.size.astype(np.uint64), n_prefix.astype(np.uint64), sets.small(), prefix])
 
     def take(self, order: np.ndarray) -> list[np.ndarray]:
-        return [*(x[order] for x in self.columns[:8]), self.small[blocks.ragged_index(self.size, order)], self.prefix[blocks.ragged_index(self.n_prefix, order)]]
+        return [*(x[order] for x in self.columns[:8]), self.small[blocks.ragged_index(self.size, order, self.small_start)], self.prefix[blocks.ragged_index(self.n_prefix, order, self.prefix_start)]]
 
     def first_places(self) -> np.ndarray:
         """Of entries of the same class, the place of the first by (doc_id, nulls last, line, text)."""
-        order = np.lexsort((self.key, self.line, self.doc, 1 - self.known.astype(np.int8), self.id2, self.id))
+        order = np.argsort(self.id)
+        same = np.zeros(len(order) + 1, bool)
+        same[1:-1] = self.id[order][1:] == self.id[order][:-1]
+        again = np.flatnonzero(same[1:] | same[:-1])  # only entries that share their id are compared by the rest
+        at = order[again]
+        order[again] = at[np.lexsort((self.key[at], self.line[at], self.doc[at], 1 - self.known[at].astype(np.int8), self.id2[at], self.id[at]))]
         new = np.ones(len(order), bool)
         new[1:] = (self.id[order][1:] != self.id[order][:-1]) | (self.id2[order][1:] != self.id2[order][:-1])
         return order[new]
 
+    def parts(self, order: np.ndarray) -> list[bytes]:
+        """The entries at these places as a row of CLASS_SCHEMA."""
+        *head, small, prefix = self.take(order)
+        return [blocks.pack(head), blocks.pack([small]), blocks.pack([prefix])]
+
+    @staticmethod
+    def read(batch: pa.RecordBatch) -> Iterator[Classes]:
+        """Classes of each row of CLASS_SCHEMA; what the batch has no column of is empty."""
+        for row in range(batch.num_rows):
+            head, small, prefix = (blocks.unpack(batch.column(name)[row].as_buffer().to_pybytes()) if name in batch.schema.names else [np.zeros(0, np.uint64)] for name in ("head", "small", "prefix"))
+            yield Classes([*head, *small, *prefix])
+
     @staticmethod
     def merged(held: list[list[np.ndarray]]) -> Classes:
         return Classes(blocks.joined(held))
@@ -259,14 +281,14 @@ class Classes:
 
 
 def line_classes(docs: DataFrame, counters, similarity: float, work: Workspace, limits: Limits = Limits()) -> DataFrame:
-    """Blocks of classes, written."""
+    """Blocks of classes (CLASS_SCHEMA), written."""
     n_cells = np.uint64(blocks.cells(docs.sparkSession))
 
     def flush(held: list[Classes]) -> Iterator[pa.RecordBatch]:
         if held:
             own = Classes.merged([x.columns for x in held])
-            own = Classes(own.take(own.first_places()))
-            yield from blocks.deal((own.id % n_cells).astype(np.int32), own.take)
+            first = own.first_places()
+            yield from blocks.deal((own.id[first] % n_cells).astype(np.int32), lambda rows: own.take(first[rows]))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -289,10 +311,10 @@ def line_classes(docs: DataFrame, counters, similarity: float, work: Workspace,
         own = Classes.merged(held)
         order = own.first_places()
         for i in range(0, len(order), blocks.BLOCK_ROWS):
-            yield blocks.batch([0], [blocks.pack(own.take(order[i : i + blocks.BLOCK_ROWS]))])
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in own.parts(order[i : i + blocks.BLOCK_ROWS])], names=["head", "small", "prefix"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return work.write(blocks.by_cell(own.mapInArrow(read, blocks.SCHEMA), fold, blocks.SCHEMA), "classes", "none")
+    return work.write(blocks.by_cell(own.mapInArrow(read, blocks.SCHEMA), fold, CLASS_SCHEMA), "classes", "none")
 
 
 def place_hash(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
@@ -480,9 +502,10 @@ def parity_maps(small: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
     bit = np.uint64(1) << (place & np.uint64(63))
     out = []
     for limit in (None, LARGE):
-        chosen = np.arange(len(size)) if limit is None else np.flatnonzero(size > limit)
-        at = np.repeat(start[chosen], size[chosen]) + sequential_segments(size[chosen])
-        own, begin = small[at], np.cumsum(size[chosen]) - size[chosen]
+        own, begin = small, start
+        if limit is not None:
+            chosen = np.flatnonzero(size > limit)
+            own, begin = small[blocks.ragged_index(size, chosen)], np.cumsum(size[chosen]) - size[chosen]
         for half in (0, 1):
             table = np.where((place >> np.uint64(6) == half) & (more | (limit is None)), bit, np.uint64(0))
             out.append(np.bitwise_xor.reduceat(table[own], begin) if len(own) else np.zeros(0, np.uint64))
@@ -499,15 +522,15 @@ def word_rows(classes: DataFrame, limits: Limits = Limits()) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << HEAVY_BITS, np.int64)
         for b in batches:
-            for block in b.column(1):
-                word = Classes(blocks.unpack(block.as_buffer().to_pybytes())).prefix
+            for block in b.column(0):
+                word = blocks.unpack(block.as_buffer().to_pybytes())[0]
                 total += np.bincount((word[word != 0] >> np.uint64(64 - HEAVY_BITS)).astype(np.int64), minlength=len(total))
         at = np.flatnonzero(total > total.sum() // limits.share)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["slot", "n"])
 
     out = np.zeros(1 << HEAVY_BITS, np.int64)
     # At most 2^HEAVY_BITS rows.
-    for row in classes.mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") > limits.full).collect():
+    for row in classes.select("prefix").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") > limits.full).collect():
         out[row["slot"]] = row["n"]
     return out
 
@@ -524,10 +547,16 @@ def deal_by_word(classes: DataFrame, parts=None, wanted=None, opened=None, heavy
 
     def one(own: Classes) -> Iterator[pa.RecordBatch]:
         owner = np.repeat(np.arange(len(own)), own.n_prefix)
-        pos = sequential_segments(own.n_prefix)
         use = own.prefix != 0
         if wanted is not None:
             use[use] = wanted.value.has(own.prefix[use].view(np.int64))
+            some = np.unique(owner[use])  # classes without a wanted word go no further
+            if not len(some):
+                return
+            use = use[blocks.ragged_index(own.n_prefix, some, own.prefix_start)]
+            own = Classes(own.take(some))
+            owner = np.repeat(np.arange(len(own)), own.n_prefix)
+        pos = sequential_segments(own.n_prefix)
         owner, pos, word = owner[use], pos[use], own.prefix[use]
         high = word >> np.uint64(32)
         if wanted is None:
@@ -569,9 +598,9 @@ def deal_by_word(classes: DataFrame, parts=None, wanted=None, opened=None, heavy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for b in batches:
-            for block in b.column(1):
-                held.append(blocks.unpack(block.as_buffer().to_pybytes()))
-                n += len(held[-1][0])
+            for own in Classes.read(b):
+                held.append(own.columns)
+                n += len(own)
                 if n >= limits.fold >> 1:
                     yield from one(Classes.merged(held))
                     held, n = [], 0
@@ -583,8 +612,8 @@ def deal_by_word(classes: DataFrame, parts=None, wanted=None, opened=None, heavy
 
 
 def from_classes(classes: DataFrame, fn, schema: str) -> DataFrame:
-    """Rows that fn makes of each block of classes."""
-    return map_batches(classes, lambda b: pa.concat_batches([fn(Classes(blocks.unpack(x.as_buffer().to_pybytes()))) for x in b.column(1)]), schema)
+    """Rows that fn makes of each block of classes (of the columns that it needs)."""
+    return map_batches(classes, lambda b: pa.concat_batches([fn(x) for x in Classes.read(b)]), schema)
 
 
 def distinct_pairs(pairs: DataFrame) -> DataFrame:
@@ -668,7 +697,7 @@ def kept_lines(docs: DataFrame, similarity: float = SIMILARITY, work: Workspace
             use = np.repeat(opened.value.has(own.id.view(np.int64)), own.n_prefix) & (own.prefix != 0)
             return pa.RecordBatch.from_arrays([pa.array(np.unique(own.prefix[use]).view(np.int64))], names=["word"])
 
-        words = from_classes(classes, prefix_of_open, "word long")
+        words = from_classes(classes.select("head", "prefix"), prefix_of_open, "word long")
         wanted = spark.sparkContext.broadcast(Bloom(words.distinct(), "word"))
         dealt = deal_by_word(classes, None, wanted, opened, heavy, limits)
         found = blocks.by_cell(dealt, lambda held, keep=keep: bucket_candidates(held, similarity, keep, True, limits), PAIR_SCHEMA)
@@ -687,7 +716,7 @@ def _kept_by_document(classes: DataFrame, gone: DataFrame) -> DataFrame:
     Classes that a Bloom filter of the gone ones doesn't know go straight to their
     documents; the others are held against the gone ones themselves.
     """
-    spark = classes.sparkSession
+    spark, classes = classes.sparkSession, classes.select("head")
     n_cells = np.uint64(blocks.cells(spark))
     doubtful = spark.sparkContext.broadcast(Bloom(gone, "b_id"))
 
@@ -697,8 +726,7 @@ def _kept_by_document(classes: DataFrame, gone: DataFrame) -> DataFrame:
 
     def sure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for block in b.column(1):
-                own = Classes(blocks.unpack(block.as_buffer().to_pybytes()))
+            for own in Classes.read(b):
                 at = ~doubtful.value.has(own.id.view(np.int64))
                 yield from dealt(own.doc[at], own.known[at], own.key[at], own.line[at])
 
@@ -736,7 +764,8 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, work: Workspace
     doc, key, kept = free_names(base, "_doc", "_key", "_kept")
     stay = kept_lines(docs, similarity, work, limits).select(F.col("doc_id").alias(doc), F.col("text_key").alias(key), F.col("kept").alias(kept))
     same = base["doc_id"].cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(base["text"]) == F.col(key))
-    held = base.join(stay, same, "left").select(*[base[c] for c in base.columns], kept)
+    # The kept lines of a partition are a small part of its texts, so these are looked up there, not sorted.
+    held = base.join(stay.hint("shuffle_hash"), same, "left").select(*[base[c] for c in base.columns], kept)
     more = [T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed_lines", T.ArrayType(T.IntegerType()))] if counts else []
     schema = T.StructType([*base.schema.fields, *more])
     at = base.columns.index(next(c for c in base.columns if c.lower() == "text"))

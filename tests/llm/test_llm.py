@@ -908,6 +908,30 @@ def test_line_dedup_deals_out_rows_of_one_word(spark):
     assert n == m and split <= 2 * limits.full and together > 1000
 
 
+def test_line_dedup_steps_read_only_the_columns_of_classes_that_they_use(spark):
+    df = spark.createDataFrame([(k, f"a line of word{k % 40} and of other{k % 7}\nanother of word{k}") for k in range(200)], "doc_id long, text string")
+    flat = spark.sparkContext.broadcast(np.ones(1 << line_dedup.COUNTER_BITS, np.uint8))
+    classes = line_dedup.line_classes(df, flat, 0.8, common.Workspace(spark, "columns"))
+    gone = spark.createDataFrame([], "b_doc long, b_line int, b_id long")
+    kept = line_dedup._kept_by_document(classes, gone)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "head:binary" in plan and "small:binary" not in plan and "prefix:binary" not in plan
+    assert sum(len(r["kept"]) for r in kept.collect()) == 200 + 200  # no two lines are of the same words
+
+
+def test_first_places_of_classes_that_share_half_of_their_hash():
+    made = np.random.default_rng(5)
+    columns = [made.integers(0, high, 4000).astype(kind) for high, kind in ((900, np.uint64), (2, np.uint64), (2, np.uint8), (30, np.int64), (4, np.int64), (5, np.uint64))]
+    ones = np.ones(4000, np.uint64)
+    own = line_dedup.Classes([*columns, ones, ones, ones.astype(np.uint16), ones])
+    want = {}
+    for i, i2, known, doc, key, line in zip(*(x.tolist() for x in columns), strict=True):
+        want[i, i2] = min(want.get((i, i2), (9,)), (1 - known, doc, line, key))
+    at = own.first_places()
+    assert len(at) == len(want)
+    assert {(int(own.id[k]), int(own.id2[k])): (1 - int(own.known[k]), int(own.doc[k]), int(own.line[k]), int(own.key[k])) for k in at} == want
+
+
 def test_line_dedup_of_a_document_of_many_lines(spark):
     lines = [f"word{k} and more of line {k} than of others {k + 1}" for k in range(1_000_000)]
     lines[5000] = lines[70].upper()
