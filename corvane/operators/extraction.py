@@ -44,7 +44,7 @@ def dispatch(pages: DataFrame) -> DataFrame:
     marked = readability.main_content(pages.withColumn("kind", kind), "html", when="kind = 'html'")
     text = F.when(F.col("kind") == "json", H.pretty_json(body)).when(F.col("kind") == "plain", body).when(F.col("kind") == "binary", unsupported(F.col("content_type"))).otherwise(markdown.clean(F.col("main_text")))
     title = F.when(F.col("kind") == "binary", "").when(F.col("kind") == "html", F.coalesce(F.col("main_title"), F.lit(""))).otherwise(title_from_url(F.col("url")))
-    length = F.when(F.col("kind") == "binary", 0).when(F.col("kind") == "html", F.length(text)).otherwise(F.octet_length(body)).cast("long")
+    length = F.when(F.col("kind") == "binary", 0).when((F.col("kind") == "html") & body.isNotNull(), F.length(text)).otherwise(F.octet_length(body)).cast("long")
     return marked.withColumns({"title": title, "text_content": F.when((F.col("kind") != "html") | (F.col("main_text") != ""), text), "length": length}).drop("main_text", "main_title")
 
 

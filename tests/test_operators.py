@@ -4,12 +4,14 @@ import json
 import random
 import time
 
+import duckdb
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from corvane.functions import adapters, batches, classify, html, markdown, text, tokens, urls
 from corvane.operators import boilerplate, cache, evidence, extraction, history, readability, robots, routes, sections
+from corvane.plans import catalog
 from corvane.sources import config, route_files, seeds
 
 
@@ -382,3 +384,14 @@ def test_citations_hold_few_rows_of_a_batch():
     found = list(evidence.citations.func(iter([pa.array(texts)])))
     assert max(map(len, found)) <= batches.STEP
     assert [x if x is None else [c["source_url"] for c in x] for part in found for x in part.to_pylist()] == [[f"https://x/{i}"] for i in range(1000)] + [None, []]
+
+
+def test_dispatch_of_empty_headings_other_spaces_and_null_pages_is_as_its_sql(spark, tmp_path):
+    given = ["<h1></h1><p>a text</p>", "<h1> </h1><p>b</p><p>c</p>", "<h1>H\u00a0x</h1><p>y\u2003 \n z</p>", "<h1>H</h1><p>p</p>", None]
+    pages = [(k * 7 + kind, f"https://a.example/{k}?q", h and f"<title>T\u00a0 t</title><article>{h}</article>") for k, h in enumerate(given) for kind in range(7)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW pages AS FROM '{tmp_path}/pages.parquet/*.parquet'")
+        want = con.sql(catalog.oracle_sql()["content_dispatch"]).fetchall()
+    got = [tuple(r) for r in catalog.queries()["content_dispatch"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and len(want) == 35
