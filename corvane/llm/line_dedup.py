@@ -705,12 +705,12 @@ def kept_lines(docs: DataFrame, similarity: float = SIMILARITY, work: Workspace
         more = verified(pairs.where("a_id is not null"), docs, similarity)
         gone = work.write(gone.unionByName(more).distinct(), f"gone-{turn}", "lz4")
 
-    kept = work.write(_kept_by_document(classes, gone), "kept", "lz4")
+    kept = work.write(_kept_by_document(classes, gone, limits), "kept", "lz4")
     work.drop("classes", "pairs", "gone", *(f"{name}-{turn}" for name in ("open", "pairs", "gone") for turn in range(2)))
     return kept
 
 
-def _kept_by_document(classes: DataFrame, gone: DataFrame) -> DataFrame:
+def _kept_by_document(classes: DataFrame, gone: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """doc_id, text_key and the numbers of the first places of classes that aren't gone.
 
     Classes that a Bloom filter of the gone ones doesn't know go straight to their
@@ -720,15 +720,24 @@ def _kept_by_document(classes: DataFrame, gone: DataFrame) -> DataFrame:
     n_cells = np.uint64(blocks.cells(spark))
     doubtful = spark.sparkContext.broadcast(Bloom(gone, "b_id"))
 
-    def dealt(doc: np.ndarray, known: np.ndarray, key: np.ndarray, line: np.ndarray) -> Iterator[pa.RecordBatch]:
-        columns = [known.astype(np.uint8), doc, key, line.astype(np.uint64)]
-        yield from blocks.deal((key.view(np.uint64) % n_cells).astype(np.int32), lambda rows: [x[rows] for x in columns])
+    def dealt(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        """Places (doc, known, text_key, line), dealt out by text."""
+        if held:
+            doc, known, key, line = blocks.joined(held)
+            columns = [known.astype(np.uint8), doc, key, line.astype(np.uint64)]
+            yield from blocks.deal((key.view(np.uint64) % n_cells).astype(np.int32), lambda rows: [x[rows] for x in columns])
 
     def sure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for b in batches:
             for own in Classes.read(b):
                 at = ~doubtful.value.has(own.id.view(np.int64))
-                yield from dealt(own.doc[at], own.known[at], own.key[at], own.line[at])
+                held.append([own.doc[at], own.known[at], own.key[at], own.line[at]])
+                n += len(own)
+                if n >= limits.fold:
+                    yield from dealt(held)
+                    held, n = [], 0
+        yield from dealt(held)
 
     def places(own: Classes) -> pa.RecordBatch:
         at = doubtful.value.has(own.id.view(np.int64))
@@ -737,7 +746,7 @@ def _kept_by_document(classes: DataFrame, gone: DataFrame) -> DataFrame:
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             doc = pc.fill_null(b.column(0), 0).to_numpy(zero_copy_only=False)
-            yield from dealt(doc, pc.is_valid(b.column(0)).to_numpy(zero_copy_only=False), b.column(3).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False))
+            yield from dealt([[doc, pc.is_valid(b.column(0)).to_numpy(zero_copy_only=False), b.column(3).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)]])
 
     def gather(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         known, doc, key, line = blocks.joined(held)
